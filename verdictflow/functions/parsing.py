@@ -1,10 +1,14 @@
-"""Verdict and confidence parsing as native Column expressions (no UDFs).
+"""Verdict and confidence parsing as native Spark SQL expressions (no UDFs).
 
-Every function here maps Columns to a Column, so parsing stays inside
-whole-stage code generation and runs wherever the rows already are: no
-shuffle, no Python worker.
+Every parser is an ordinary Catalyst expression, so parsing stays inside
+whole-stage code generation and runs where the rows already are: no shuffle,
+no Python worker. The expressions are written as Spark SQL text and turned
+into Columns with one ``F.expr`` call each; building them from thousands of
+small Column operations cost one py4j round trip per operation (seconds of
+driver time per query).
 
-Three parser generations exist, selected by ``policy``:
+Inputs are column names, or SQL text prefixed with ``expr:``. Three parser
+generations exist, selected by ``policy``:
 
 * ``p1`` - lexical verdict normaliser plus the confidence chain
   structured value -> percent phrase -> confidence word -> 0.6;
@@ -14,7 +18,7 @@ Three parser generations exist, selected by ``policy``:
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -82,7 +86,7 @@ P2_UNCLEAR_CONFIDENCE = 0.5
 FALLBACK_CONFIDENCE = 0.1
 # ---------------------------------------------------------------------------
 
-# A number Python's float() accepts, without inf/nan/underscores (quirk Q4/Q5).
+# A number Python's float() accepts, without inf/nan/underscores (quirks Q4/Q5).
 NUMERIC_RE = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # what float() accepts out of a "[0-9.]+" capture
 DOTTED_NUMBER_RE = r"^([0-9]+\.?[0-9]*|\.[0-9]+)$"
@@ -97,254 +101,256 @@ def java_regex(py_pattern: str) -> str:
     return "(?U)" + py_pattern.replace(".*?", "[^\\n]*?")
 
 
-def py_strip(c: Column) -> Column:
-    """``str.strip()``: trim all leading/trailing whitespace, not just spaces."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+# ----------------------------------------------------------------- SQL text helpers
+def lit(s: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r") + "'"
+
+
+def ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_of(x: str) -> str:
+    """A column name -> quoted identifier; ``expr:<sql>`` -> the SQL text."""
+    return x[5:] if x.startswith("expr:") else ident(x)
+
+
+def _any(text: str, words) -> str:
+    return "(" + " OR ".join(f"contains({text}, {lit(w)})" for w in words) + ")"
 
 
-def _any_contains(text: Column, words) -> Column:
-    out = None
-    for w in words:
-        e = text.contains(w)
-        out = e if out is None else (out | e)
-    return out
+def _count(text: str, words) -> str:
+    return "(" + " + ".join(f"regexp_count({text}, {lit(w)})" for w in words) + ")"
 
 
-def _count_all(text: Column, words) -> Column:
-    out = None
-    for w in words:
-        e = F.regexp_count(text, F.lit(w))
-        out = e if out is None else (out + e)
-    return out
+def py_strip_sql(x: str) -> str:
+    """``str.strip()``: trim all leading/trailing whitespace, not just spaces."""
+    return f"regexp_replace({x}, {lit(r'(?U)^\s+|\s+$')}, '')"
 
 
 # ----------------------------------------------------------------- C1 / C2
-def verdict_p1(verdict_text: Column, reasoning: Column) -> Column:
+def verdict_p1_sql(vt: str, reasoning: str) -> str:
+    t = f"lower(coalesce({vt}, ''))"
+    r = f"lower(coalesce({reasoning}, ''))"
+    hy, hn = _any(t, YES_WORDS), _any(t, NO_WORDS)
+    return (f"CASE WHEN {hy} AND {hn} THEN CASE WHEN {_count(t, YES_COUNTED)} > {_count(t, NO_COUNTED)} "
+            f"THEN 'yes' ELSE 'no' END WHEN {hy} THEN 'yes' WHEN {hn} THEN 'no' "
+            f"WHEN {_any(r, REASONING_YES_WORDS)} THEN 'yes' ELSE 'no' END")
+
+
+def verdict_conflict_sql(vt: str) -> str:
+    t = f"lower(coalesce({vt}, ''))"
+    return f"({_any(t, YES_WORDS)} AND {_any(t, NO_WORDS)})"
+
+
+def verdict_ambiguous_sql(vt: str) -> str:
+    t = f"lower(coalesce({vt}, ''))"
+    return f"(NOT {_any(t, YES_WORDS)} AND NOT {_any(t, NO_WORDS)})"
+
+
+def verdict_p1(verdict_text: str, reasoning: str) -> Column:
     """Lexical verdict normaliser -> 'yes' / 'no'."""
-    t = F.lower(F.coalesce(verdict_text, F.lit("")))
-    has_yes = _any_contains(t, YES_WORDS)
-    has_no = _any_contains(t, NO_WORDS)
-    r = F.lower(F.coalesce(reasoning, F.lit("")))
-    return (
-        F.when(has_yes & has_no,
-               F.when(_count_all(t, YES_COUNTED) > _count_all(t, NO_COUNTED), F.lit("yes")).otherwise(F.lit("no")))
-        .when(has_yes, F.lit("yes"))
-        .when(has_no, F.lit("no"))
-        .when(_any_contains(r, REASONING_YES_WORDS), F.lit("yes"))
-        .otherwise(F.lit("no"))
-    )
-
-
-def verdict_conflict(verdict_text: Column) -> Column:
+    return F.expr(verdict_p1_sql(sql_of(verdict_text), sql_of(reasoning)))
+
+
+def verdict_conflict(verdict_text: str) -> Column:
     """The verdict carries both a yes-word and a no-word."""
-    t = F.lower(F.coalesce(verdict_text, F.lit("")))
-    return _any_contains(t, YES_WORDS) & _any_contains(t, NO_WORDS)
+    return F.expr(verdict_conflict_sql(sql_of(verdict_text)))
 
 
-def verdict_ambiguous(verdict_text: Column) -> Column:
+def verdict_ambiguous(verdict_text: str) -> Column:
     """The verdict carries neither a yes-word nor a no-word."""
-    t = F.lower(F.coalesce(verdict_text, F.lit("")))
-    return ~_any_contains(t, YES_WORDS) & ~_any_contains(t, NO_WORDS)
+    return F.expr(verdict_ambiguous_sql(sql_of(verdict_text)))
 
 
 # ----------------------------------------------------------------- C7 - C10
-def confidence_structured(conf_text: Column) -> Column:
-    """A numeric structured confidence clamped to [0, 1]; else NULL."""
-    s = py_strip(conf_text)
-    v = F.when(s.rlike(NUMERIC_RE), s.try_cast("double"))
-    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
+def confidence_structured_sql(ct: str) -> str:
+    s = py_strip_sql(ct)
+    return (f"CASE WHEN {s} RLIKE {lit(NUMERIC_RE)} THEN "
+            f"least(greatest(try_cast({s} AS DOUBLE), 0.0D), 1.0D) END")
 
 
-def confidence_percent(text: Column) -> Column:
-    """First percent pattern (in order) whose number parses; x/100 if x > 1, capped at 1."""
+def percent_number_sql(text: str) -> str:
+    """The number of the first percent pattern whose capture parses (NULL if none)."""
     vals = []
     for p in PERCENT_PATTERNS:
-        g = F.regexp_extract(text, java_regex(p), 1)
-        vals.append(F.when(g.rlike(DOTTED_NUMBER_RE), g.try_cast("double")))
-    first = F.coalesce(*vals)
-    scaled = F.least(F.when(first > 1, first / 100).otherwise(first), F.lit(1.0))
-    # every pattern needs a '%': skip the ten regexes for texts without one
-    return F.when(text.contains("%") & first.isNotNull(), scaled)
+        g = f"regexp_extract({text}, {lit(java_regex(p))}, 1)"
+        vals.append(f"CASE WHEN {g} RLIKE {lit(DOTTED_NUMBER_RE)} THEN try_cast({g} AS DOUBLE) END")
+    # every pattern needs a '%': texts without one skip the ten regexes
+    return f"CASE WHEN contains({text}, '%') THEN coalesce({', '.join(vals)}) END"
+
 
+def percent_scale_sql(v: str) -> str:
+    return f"CASE WHEN {v} IS NOT NULL THEN least(CASE WHEN {v} > 1 THEN {v} / 100 ELSE {v} END, 1.0D) END"
 
-def _lexicon_array() -> Column:
-    return F.array(*[F.struct(F.lit(w).alias("w"), F.lit(float(v)).alias("v")) for w, v in CONFIDENCE_LEXICON])
 
+def confidence_percent_sql(text: str) -> str:
+    return percent_scale_sql(f"({percent_number_sql(text)})")
 
-def confidence_lexicon(text: Column) -> Column:
-    """Value of the first lexicon phrase (declared order) contained in ``text``."""
-    hits = F.filter(_lexicon_array(), lambda e: text.contains(e["w"]))
-    return F.get(hits, 0)["v"]
 
+def confidence_lexicon_sql(text: str) -> str:
+    arr = "array(" + ", ".join(f"named_struct('w', {lit(w)}, 'v', {float(v)}D)" for w, v in CONFIDENCE_LEXICON) + ")"
+    return f"get(filter({arr}, e -> contains({text}, e.w)), 0).v"
 
-def confidence_text(reasoning: Column, raw_output: Column) -> Column:
+
+def confidence_text_sql(reasoning: str, raw_output: str) -> str:
     """The searched text: ``f"{reasoning} {raw_output}".lower()``."""
-    return F.lower(F.concat(F.coalesce(reasoning, F.lit("")), F.lit(" "), F.coalesce(raw_output, F.lit(""))))
+    return f"lower(concat(coalesce({reasoning}, ''), ' ', coalesce({raw_output}, '')))"
+
+
+def confidence_full_sql(ct: str, text: str, percent: str | None = None) -> str:
+    pct = percent_scale_sql(percent) if percent else confidence_percent_sql(text)
+    return (f"coalesce({confidence_structured_sql(ct)}, {pct}, {confidence_lexicon_sql(text)}, "
+            f"{DEFAULT_CONFIDENCE}D)")
+
+
+def confidence_structured(conf_text: str) -> Column:
+    """A numeric structured confidence clamped to [0, 1]; else NULL."""
+    return F.expr(confidence_structured_sql(sql_of(conf_text)))
+
+
+def confidence_percent(text: str) -> Column:
+    """First percent pattern (in order) whose number parses; x/100 if x > 1, capped at 1.
+    ``text`` is the lower-cased search text."""
+    return F.expr(confidence_percent_sql(sql_of(text)))
+
+
+def confidence_lexicon(text: str) -> Column:
+    """Value of the first lexicon phrase (declared order) contained in ``text`` (lower-cased)."""
+    return F.expr(confidence_lexicon_sql(sql_of(text)))
 
 
-def confidence_full(conf_text: Column, text: Column) -> Column:
-    """Structured -> percent -> lexicon -> 0.6."""
-    return F.coalesce(confidence_structured(conf_text), confidence_percent(text), confidence_lexicon(text),
-                      F.lit(DEFAULT_CONFIDENCE))
+def confidence_text(reasoning: str, raw_output: str) -> Column:
+    return F.expr(confidence_text_sql(sql_of(reasoning), sql_of(raw_output)))
+
+
+def confidence_full(conf_text: str, text: str) -> Column:
+    """Structured -> percent -> lexicon -> 0.6 (``text`` lower-cased)."""
+    return F.expr(confidence_full_sql(sql_of(conf_text), sql_of(text)))
 
 
 # ----------------------------------------------------------------- C4 - C6
-def _p2_clear(verdict_text: Column):
-    t = F.lower(py_strip(F.coalesce(verdict_text, F.lit(""))))
-    says_yes = t.contains("yes") & ~t.contains("no")
-    says_no = t.contains("no") & ~t.contains("yes")
-    return says_yes, says_no
+def strict_sql(v: str, err: str = "NULL") -> str:
+    """'yes' xor 'no' (after strip + lower) -> that word; else NULL; NULL too when ``err`` is set."""
+    t = f"lower({py_strip_sql(f'coalesce({v}, {lit("")})')})"
+    return (f"CASE WHEN {err} IS NULL AND contains({t}, 'yes') AND NOT contains({t}, 'no') THEN 'yes' "
+            f"WHEN {err} IS NULL AND contains({t}, 'no') AND NOT contains({t}, 'yes') THEN 'no' END")
 
 
-def verdict_strict(verdict_text: Column) -> Column:
+def verdict_strict(verdict_text: str) -> Column:
     """'yes' xor 'no' -> that word; otherwise NULL (unclear)."""
-    says_yes, says_no = _p2_clear(verdict_text)
-    return F.when(says_yes, F.lit("yes")).when(says_no, F.lit("no"))
+    return F.expr(strict_sql(sql_of(verdict_text)))
+
+
+def coin_flip_sql(seed: int, role: str, key: str) -> str:
+    h = f"md5(concat_ws(':', {lit(str(seed))}, {lit(role)}, CAST({key} AS STRING)))"
+    return f"CASE WHEN substring({h}, 1, 1) < '8' THEN 'yes' ELSE 'no' END"
 
 
-def coin_flip(seed: int, role: str, key: Column) -> Column:
+def coin_flip(seed: int, role: str, key: str) -> Column:
     """Reproducible stand-in for ``random.choice(['yes','no'])`` (md5 of seed, role, key)."""
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(role), key.cast("string")))
-    return F.when(F.substring(h, 1, 1) < F.lit("8"), F.lit("yes")).otherwise(F.lit("no"))
+    return F.expr(coin_flip_sql(seed, role, sql_of(key)))
 
 
-# ----------------------------------------------------------------- C11 assembly
-RESULT_FIELDS = ("verdict", "prediction", "confidence", "reasoning", "raw_output", "error")
+def result_sql(verdict: str, conf: str, reasoning: str, raw_output: str, err: str) -> str:
+    """C11: the result struct."""
+    return (f"named_struct('verdict', {verdict}, 'prediction', CASE WHEN {verdict} = 'yes' THEN 1 ELSE 0 END, "
+            f"'confidence', {conf}, 'reasoning', {reasoning}, 'raw_output', {raw_output}, 'error', {err})")
 
 
-def default_raw_output(verdict: Column, reasoning: Column, conf: Column) -> Column:
-    """Printed form of a model answer when the verifier gives none."""
-    return F.concat(F.lit("reasoning='"), F.coalesce(reasoning, F.lit("")), F.lit("' verdict='"),
-                    F.coalesce(verdict, F.lit("")), F.lit("' confidence='"), F.coalesce(conf, F.lit("")), F.lit("'"))
-
-
-def parse_p1(raw: Column) -> Column:
-    """C1-C11 + C3: raw model answer struct -> result struct (P1 semantics)."""
-    err = raw["error"]
-    failed = err.isNotNull() | raw["verdict"].isNull()
-    reasoning = (F.when(err.isNotNull(), F.concat(F.lit("Error: "), err))
-                 .when(raw["verdict"].isNull(), F.lit("Model output error"))
-                 .otherwise(F.coalesce(raw["reasoning"], F.lit(""))))
-    verdict_text = F.when(failed, F.lit("no")).otherwise(raw["verdict"])
-    conf_text = F.when(~failed, raw["confidence"])
-    raw_output = (F.when(failed, F.concat(F.lit("verdict='no' reasoning='"), reasoning, F.lit("'")))
-                  .otherwise(F.coalesce(raw["raw_output"],
-                                        default_raw_output(raw["verdict"], raw["reasoning"], raw["confidence"]))))
-    verdict = verdict_p1(verdict_text, reasoning)
-    text = confidence_text(reasoning, raw_output)
-    return F.struct(
-        verdict.alias("verdict"),
-        F.when(verdict == "yes", F.lit(1)).otherwise(F.lit(0)).alias("prediction"),
-        confidence_full(conf_text, text).alias("confidence"),
-        reasoning.alias("reasoning"),
-        raw_output.alias("raw_output"),
-        err.alias("error"),
-    )
-
-
-def parse_p2(raw: Column) -> Column:
+def parse_p2_sql(raw: str) -> str:
+    err = f"{raw}.error"
+    s = strict_sql(f"{raw}.verdict", err)
+    return result_sql(f"CASE WHEN {s} = 'yes' THEN 'yes' ELSE 'no' END",
+                      f"CASE WHEN {s} IS NOT NULL THEN {P2_CLEAR_CONFIDENCE}D ELSE {P2_UNCLEAR_CONFIDENCE}D END",
+                      f"CASE WHEN {err} IS NOT NULL THEN 'Parse error' ELSE coalesce({raw}.reasoning, '') END",
+                      "CAST(NULL AS STRING)", err)
+
+
+def parse_p3_sql(raw: str, key: str, role: str, seed: int = 0) -> str:
+    err = f"{raw}.error"
+    v = f"coalesce({strict_sql(f'{raw}.verdict', err)}, {coin_flip_sql(seed, role, key)})"
+    return result_sql(v, "CAST(NULL AS DOUBLE)", f"coalesce({raw}.reasoning, '')", "CAST(NULL AS STRING)", err)
+
+
+def parse_biased_sql(raw: str, bias: str) -> str:
+    if bias not in ("yes", "no"):
+        raise ValueError("bias must be 'yes' or 'no'")
+    err = f"{raw}.error"
+    v = f"coalesce({strict_sql(f'{raw}.verdict', err)}, {lit(bias)})"
+    return result_sql(v, "CAST(NULL AS DOUBLE)", f"coalesce({raw}.reasoning, '')", "CAST(NULL AS STRING)", err)
+
+
+def parse_p2(raw: str) -> Column:
     """C4: strict parser with fixed confidences; a failed call is a parse error (0, 0.5)."""
-    err = raw["error"]
-    says_yes, says_no = _p2_clear(raw["verdict"])
-    clear = (says_yes | says_no) & err.isNull()
-    pred = F.when(err.isNull() & says_yes, F.lit(1)).otherwise(F.lit(0))
-    return F.struct(
-        F.when(pred == 1, F.lit("yes")).otherwise(F.lit("no")).alias("verdict"),
-        pred.alias("prediction"),
-        F.when(clear, F.lit(P2_CLEAR_CONFIDENCE)).otherwise(F.lit(P2_UNCLEAR_CONFIDENCE)).alias("confidence"),
-        F.when(err.isNotNull(), F.lit("Parse error")).otherwise(F.coalesce(raw["reasoning"], F.lit(""))).alias("reasoning"),
-        F.lit(None).cast("string").alias("raw_output"),
-        err.alias("error"),
-    )
-
-
-def parse_p3(raw: Column, key: Column, role: str, seed: int = 0) -> Column:
+    return F.expr(parse_p2_sql(sql_of(raw)))
+
+
+def parse_p3(raw: str, key: str, role: str, seed: int = 0) -> Column:
     """C5: 'yes' xor 'no', else (and on failure) a seeded coin flip; no confidence."""
-    err = raw["error"]
-    v = F.when(err.isNull(), verdict_strict(raw["verdict"]))
-    verdict = F.coalesce(v, coin_flip(seed, role, key))
-    return F.struct(
-        verdict.alias("verdict"),
-        F.when(verdict == "yes", F.lit(1)).otherwise(F.lit(0)).alias("prediction"),
-        F.lit(None).cast("double").alias("confidence"),
-        F.coalesce(raw["reasoning"], F.lit("")).alias("reasoning"),
-        F.lit(None).cast("string").alias("raw_output"),
-        err.alias("error"),
-    )
-
-
-def parse_biased(raw: Column, bias: str) -> Column:
+    return F.expr(parse_p3_sql(sql_of(raw), sql_of(key), role, seed))
+
+
+def parse_biased(raw: str, bias: str) -> Column:
     """C6: 'yes' xor 'no', else (and on failure) the verifier's own bias."""
-    if bias not in ("yes", "no"):
-        raise ValueError("bias must be 'yes' or 'no'")
-    err = raw["error"]
-    verdict = F.coalesce(F.when(err.isNull(), verdict_strict(raw["verdict"])), F.lit(bias))
-    return F.struct(
-        verdict.alias("verdict"),
-        F.when(verdict == "yes", F.lit(1)).otherwise(F.lit(0)).alias("prediction"),
-        F.lit(None).cast("double").alias("confidence"),
-        F.coalesce(raw["reasoning"], F.lit("")).alias("reasoning"),
-        F.lit(None).cast("string").alias("raw_output"),
-        err.alias("error"),
-    )
-
-
-def fallback_result(message: Column) -> Column:
+    return F.expr(parse_biased_sql(sql_of(raw), bias))
+
+
+def fallback_result_sql(message: str) -> str:
     """The result every role gets when a row fails as a whole."""
-    return F.struct(
-        F.lit("no").alias("verdict"),
-        F.lit(0).alias("prediction"),
-        F.lit(FALLBACK_CONFIDENCE).alias("confidence"),
-        F.concat(F.lit("Error: "), message).alias("reasoning"),
-        F.lit("").alias("raw_output"),
-        message.alias("error"),
-    )
-
-
-def parse_role(df, raw_col: str, out_col: str, policy: str = "p1", key_col: str = "claim_id", seed: int = 0,
-               bias: str | None = None):
-    """Add ``out_col`` = parsed result of the raw answer struct in ``raw_col``.
-
-    For P1 the lowered search text is materialised as its own column first, so
-    the optimizer keeps it in a separate projection (it is used by eleven
-    regexes and the lexicon) and the generated code per stage stays small.
+    return (f"named_struct('verdict', 'no', 'prediction', 0, 'confidence', {FALLBACK_CONFIDENCE}D, "
+            f"'reasoning', concat('Error: ', {message}), 'raw_output', '', 'error', {message})")
+
+
+def default_raw_output_sql(raw: str) -> str:
+    """Printed form of a model answer when the verifier gives none."""
+    return (f"concat({lit("reasoning='")}, coalesce({raw}.reasoning, ''), {lit("' verdict='")}, "
+            f"coalesce({raw}.verdict, ''), {lit("' confidence='")}, coalesce({raw}.confidence, ''), {lit("'")})")
+
+
+# ----------------------------------------------------------------- C11 assembly
+def parse_role(df: DataFrame, raw_col: str, out_col: str, policy: str = "p1", key_col: str = "claim_id",
+               seed: int = 0, bias: str | None = None) -> DataFrame:
+    """Add ``out_col`` = result struct ``(verdict, prediction, confidence, reasoning, raw_output, error)``
+    parsed from the raw answer struct in ``raw_col`` (C1-C11, C3 for failed calls).
+
+    Intermediate values are *flat* top-level columns, each produced in its own
+    projection: the optimizer does not merge a costly expression into a
+    projection that uses it several times, but it does dissolve struct columns
+    into their field expressions, which duplicated the eleven-regex search text
+    into every use and made planning time explode.
     """
-    raw = F.col(raw_col)
+    t = f"__{out_col}"
+    raw = ident(raw_col)
     if policy == "p1":
-        tmp = f"__{out_col}_text"
-        err = raw["error"]
-        failed = err.isNotNull() | raw["verdict"].isNull()
-        reasoning = (F.when(err.isNotNull(), F.concat(F.lit("Error: "), err))
-                     .when(raw["verdict"].isNull(), F.lit("Model output error"))
-                     .otherwise(F.coalesce(raw["reasoning"], F.lit(""))))
-        raw_output = (F.when(failed, F.concat(F.lit("verdict='no' reasoning='"), reasoning, F.lit("'")))
-                      .otherwise(F.coalesce(raw["raw_output"],
-                                            default_raw_output(raw["verdict"], raw["reasoning"], raw["confidence"]))))
-        df = df.withColumn(tmp, F.struct(
-            F.when(failed, F.lit("no")).otherwise(raw["verdict"]).alias("verdict_text"),
-            F.when(~failed, raw["confidence"]).alias("conf_text"),
-            reasoning.alias("reasoning"),
-            raw_output.alias("raw_output"),
-            err.alias("error")))
-        n = F.col(tmp)
-        df = df.withColumn(tmp, F.struct(n["verdict_text"].alias("verdict_text"), n["conf_text"].alias("conf_text"),
-                                         n["reasoning"].alias("reasoning"), n["raw_output"].alias("raw_output"),
-                                         n["error"].alias("error"),
-                                         confidence_text(n["reasoning"], n["raw_output"]).alias("text")))
-        n = F.col(tmp)
-        verdict = verdict_p1(n["verdict_text"], n["reasoning"])
-        df = df.withColumn(out_col, F.struct(
-            verdict.alias("verdict"),
-            F.when(verdict == "yes", F.lit(1)).otherwise(F.lit(0)).alias("prediction"),
-            confidence_full(n["conf_text"], n["text"]).alias("confidence"),
-            n["reasoning"].alias("reasoning"),
-            n["raw_output"].alias("raw_output"),
-            n["error"].alias("error")))
-        return df.drop(tmp)
+        err = f"{raw}.error"
+        failed = f"({err} IS NOT NULL OR {raw}.verdict IS NULL)"
+        reason = (f"CASE WHEN {err} IS NOT NULL THEN concat('Error: ', {err}) "
+                  f"WHEN {raw}.verdict IS NULL THEN 'Model output error' ELSE coalesce({raw}.reasoning, '') END")
+        df = df.withColumns({
+            f"{t}_reason": F.expr(reason),
+            f"{t}_vt": F.expr(f"CASE WHEN {failed} THEN 'no' ELSE {raw}.verdict END"),
+            f"{t}_ct": F.expr(f"CASE WHEN NOT {failed} THEN {raw}.confidence END"),
+            f"{t}_err": F.expr(err),
+            f"{t}_ro": F.expr(f"CASE WHEN {failed} THEN concat({lit("verdict='no' reasoning='")}, "
+                              f"{reason}, {lit("'")}) ELSE coalesce({raw}.raw_output, "
+                              f"{default_raw_output_sql(raw)}) END"),
+        })
+        df = df.withColumn(f"{t}_text", F.expr(confidence_text_sql(ident(f"{t}_reason"), ident(f"{t}_ro"))))
+        df = df.withColumns({
+            f"{t}_verdict": F.expr(verdict_p1_sql(ident(f"{t}_vt"), ident(f"{t}_reason"))),
+            f"{t}_pct": F.expr(percent_number_sql(ident(f"{t}_text"))),
+        })
+        df = df.withColumn(f"{t}_conf", F.expr(confidence_full_sql(ident(f"{t}_ct"), ident(f"{t}_text"),
+                                                                   percent=ident(f"{t}_pct"))))
+        df = df.withColumn(out_col, F.expr(result_sql(ident(f"{t}_verdict"), ident(f"{t}_conf"),
+                                                      ident(f"{t}_reason"), ident(f"{t}_ro"), ident(f"{t}_err"))))
+        return df.drop(*[f"{t}_{x}" for x in ("reason", "vt", "ct", "err", "ro", "text", "verdict", "pct", "conf")])
     if policy == "p2":
-        return df.withColumn(out_col, parse_p2(raw))
+        return df.withColumn(out_col, F.expr(parse_p2_sql(raw)))
     if policy == "p3":
-        return df.withColumn(out_col, parse_p3(raw, F.col(key_col), out_col, seed))
+        return df.withColumn(out_col, F.expr(parse_p3_sql(raw, ident(key_col), out_col, seed)))
     if policy == "biased":
-        return df.withColumn(out_col, parse_biased(raw, bias or "no"))
+        return df.withColumn(out_col, F.expr(parse_biased_sql(raw, bias or "no")))
     raise ValueError(f"unknown parser policy: {policy}")

@@ -25,14 +25,15 @@ RESULT_COLUMNS = ("a", "b", "judge", "agree", "min_confidence", "mean_confidence
                   "final_prediction", "final_verdict", "correct", "calls")
 
 
-def blank_claim(claim: Column) -> Column:
+def blank_claim(claim_col: str = "claim") -> Column:
     """NULL, empty or whitespace-only claim."""
-    return claim.isNull() | (F.length(P.py_strip(claim)) == 0)
+    c = P.ident(claim_col)
+    return F.expr(f"{c} IS NULL OR length({P.py_strip_sql(c)}) = 0")
 
 
 def split_blank_claims(claims: DataFrame, claim_col: str = "claim") -> tuple[DataFrame, DataFrame]:
     """B7 quarantine mode: (usable claims, rejected claims) - two filters, no extra pass."""
-    bad = blank_claim(F.col(claim_col))
+    bad = blank_claim(claim_col)
     return claims.filter(~bad), claims.filter(bad).withColumn("reject_reason", F.lit("Claim cannot be empty"))
 
 
@@ -73,8 +74,7 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
     drops it here (use :func:`split_blank_claims` to keep the rejects).
     ``row_error_col`` names a column whose non-NULL value fails the row as a
     whole (D13 fallback: prediction 0, confidence 0.1, escalated).
-    ``judge_gate`` overrides which rows the judge is asked about (the sweep asks
-    once for every row any gamma of the sweep would escalate).
+    ``judge_gate`` overrides which rows the judge is asked about.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
@@ -84,10 +84,10 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
     claim = F.col(claim_col)
     df = claims
     if blank == "fail":
-        df = df.withColumn(claim_col, F.when(blank_claim(claim), F.raise_error(F.lit("Claim cannot be empty")))
+        df = df.withColumn(claim_col, F.when(blank_claim(claim_col), F.raise_error(F.lit("Claim cannot be empty")))
                            .otherwise(claim))
     elif blank == "quarantine":
-        df = df.filter(~blank_claim(claim))
+        df = df.filter(~blank_claim(claim_col))
     elif blank != "keep":
         raise ValueError("blank must be 'fail', 'quarantine' or 'keep'")
 
@@ -95,41 +95,42 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
     df = verifier_b.answers(df, "__b_raw", claim)
     df = P.parse_role(df, "__a_raw", "a", pa, id_col, seed, biases[0])
     df = P.parse_role(df, "__b_raw", "b", pb, id_col, seed, biases[1])
+    failed = f"({P.ident(row_error_col)} IS NOT NULL)" if row_error_col else "FALSE"
     if row_error_col:
-        failed = F.col(row_error_col).isNotNull()
-        fb = P.fallback_result(F.col(row_error_col).cast("string"))
-        df = df.withColumn("a", F.when(failed, fb).otherwise(F.col("a"))) \
-               .withColumn("b", F.when(failed, fb).otherwise(F.col("b")))
-    else:
-        failed = F.lit(False)
+        fb = P.fallback_result_sql(f"CAST({P.ident(row_error_col)} AS STRING)")
+        df = df.withColumns({"a": F.expr(f"CASE WHEN {failed} THEN {fb} ELSE a END"),
+                             "b": F.expr(f"CASE WHEN {failed} THEN {fb} ELSE b END")})
 
     g = gamma if isinstance(gamma, Column) else F.lit(float(gamma))
-    agree = F.col("a.prediction") == F.col("b.prediction")
-    min_conf = F.least(F.col("a.confidence"), F.col("b.confidence"))
-    df = df.withColumn("gamma", g.cast("double")) \
-           .withColumn("agree", agree) \
-           .withColumn("min_confidence", min_conf) \
-           .withColumn("mean_confidence", (F.col("a.confidence") + F.col("b.confidence")) / 2)
-    esc = failed | escalation_gate(F.col("agree"), F.col("min_confidence"), F.col("gamma"), policy)
-    df = df.withColumn("escalated", esc)
+    low = "FALSE" if policy == "p3" else "min_confidence < gamma"
+    df = df.withColumns({
+        "gamma": g.cast("double"),
+        "agree": F.expr("a.prediction = b.prediction"),
+        "min_confidence": F.expr("least(a.confidence, b.confidence)"),
+        "mean_confidence": F.expr("(a.confidence + b.confidence) / 2"),
+    })
+    df = df.withColumns({
+        "escalated": F.expr(f"{failed} OR NOT agree OR {low}"),
+        "reason": F.expr(f"CASE WHEN {failed} THEN 'error' WHEN NOT agree THEN 'disagreement' "
+                         f"WHEN {low} THEN 'low_confidence_agreement' ELSE 'consensus' END"),
+    })
 
     ask = F.col("escalated") if judge_gate is None else judge_gate
-    df = judge.answers(df, "__j_raw", claim, gate=ask & ~failed)
+    df = judge.answers(df, "__j_raw", claim, gate=ask & ~F.expr(failed))
     df = P.parse_role(df, "__j_raw", "judge", pj, id_col, seed)
-    jres = F.when(failed, P.fallback_result(F.col(row_error_col).cast("string")) if row_error_col else F.lit(None)) \
-        .when(F.col("escalated"), F.col("judge"))
-    df = df.withColumn("judge", jres)
-
-    final = (F.when(failed, F.lit(0))
-             .when(F.col("escalated"), F.col("judge.prediction"))
-             .otherwise(F.col("a.prediction")))
-    df = df.withColumn("final_prediction", final) \
-           .withColumn("final_verdict", F.when(F.col("final_prediction") == 1, F.lit("yes")).otherwise(F.lit("no"))) \
-           .withColumn("reason", F.when(failed, F.lit("error"))
-                       .otherwise(escalation_reason(F.col("agree"), F.col("min_confidence"), F.col("gamma"), policy)))
-    truth = F.col(truth_col) if truth_col and truth_col in claims.columns else F.lit(None).cast("string")
-    df = df.withColumn("correct", correctness(F.col("final_prediction"), F.col("final_verdict"), truth, policy)) \
-           .withColumn("calls", F.when(F.col("escalated"), F.lit(3)).otherwise(F.lit(2)))
+    jfb = P.fallback_result_sql(f"CAST({P.ident(row_error_col)} AS STRING)") if row_error_col else "NULL"
+    df = df.withColumn("judge", F.expr(f"CASE WHEN {failed} THEN {jfb} WHEN escalated THEN judge END"))
+    truth = P.ident(truth_col) if truth_col and truth_col in claims.columns else "CAST(NULL AS STRING)"
+    given = f"({truth} IS NOT NULL AND {truth} <> '')"
+    hit = ("final_verdict = " + truth) if policy == "p3" else \
+        f"final_prediction = CASE WHEN {truth} = 'yes' THEN 1 ELSE 0 END"
+    df = df.withColumn("final_prediction", F.expr(
+        f"CASE WHEN {failed} THEN 0 WHEN escalated THEN judge.prediction ELSE a.prediction END"))
+    df = df.withColumn("final_verdict", F.expr("CASE WHEN final_prediction = 1 THEN 'yes' ELSE 'no' END"))
+    df = df.withColumns({
+        "correct": F.expr(f"CASE WHEN {given} THEN {hit} END"),
+        "calls": F.expr("CASE WHEN escalated THEN 3 ELSE 2 END"),
+    })
     return df.drop("__a_raw", "__b_raw", "__j_raw")
 
 

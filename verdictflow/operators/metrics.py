@@ -249,3 +249,9 @@ def by_type_summary(results: DataFrame, type_col: str = "type", truth_col: str =
         F.avg(F.when(labelled, F.col("correct").cast("int"))).alias("accuracy"),
         F.avg(F.col("escalated").cast("int")).alias("escalation_rate"),
         F.avg((~F.col("agree")).cast("int")).alias("disagreement_rate"))
+
+
+def harness_metrics(results: DataFrame, by=None, truth_col: str = "ground_truth") -> DataFrame:
+    """F11 / F14 at one gamma: the P2 harness columns per group."""
+    keys = _by(by)
+    return results.groupBy(*keys).agg(*evaluation_sums(truth_col)).select(*keys, *harness_metrics_from_sums())

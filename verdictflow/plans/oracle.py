@@ -165,7 +165,7 @@ def cascade_ctes(prefix: str = "", gamma: float | str = 0.7, policy: str = "p1",
                 prev = name
         else:
             cols = p2_cols(p) if pol == "p2" else p3_cols(p, seed, bias_of[p] if pol == "biased" else None)
-            name = f"{P}{p}s"
+            name = f"{P}{p}_parsed"
             ctes.append(f"{name} AS (SELECT *, {cols} FROM {prev})")
             prev = name
     err = row_error or "CAST(NULL AS VARCHAR)"

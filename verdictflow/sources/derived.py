@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictflow.operators.verifiers import RuleVerifier, raw_answer
+from verdictflow.functions.parsing import ident, lit
+from verdictflow.operators.verifiers import RuleVerifier
 
 # Phrase lists of the derived verdict relation (test fixture).
 FIXTURE_VERDICTS = (
@@ -50,24 +51,26 @@ def document_claims(spark: SparkSession, sf_dir: str, with_text: bool = True) ->
     return docs.alias("d").join(labels.alias("l"), F.col("d.doc_id") == F.col("l.doc_id"), "inner").select(*cols)
 
 
-def _pick(values, idx: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), idx.cast("int"))
+def fixture_answer_sql(role: str | int, key: str) -> str:
+    """Raw answer of role x (0=a, 1=b, 2=judge) for claim key ``key`` (SQL; FIXTURES.md F-6)."""
+    x = ROLE_INDEX[role] if isinstance(role, str) else int(role)
+    verdicts = "array(" + ", ".join(lit(v) for v in FIXTURE_VERDICTS) + ")"
+    reasonings = "array(" + ", ".join(lit(v) for v in FIXTURE_REASONINGS) + ")"
+    verdict = f"element_at({verdicts}, CAST(({key} * {2 * x + 1} + {3 * x}) % 20 + 1 AS INT))"
+    reasoning = f"element_at({reasonings}, CAST(({key} * {2 * x + 3} + {5 * x}) % 17 + 1 AS INT))"
+    conf = f"CASE ({key} + {x}) % 5 WHEN 0 THEN '0.9' WHEN 1 THEN '0.55' WHEN 2 THEN 'x%' END"
+    return (f"named_struct('verdict', {verdict}, 'confidence', {conf}, 'reasoning', {reasoning}, "
+            f"'raw_output', concat('verdict=', {verdict}, ' confidence=', coalesce({conf}, '')), "
+            f"'error', CAST(NULL AS STRING), 'elapsed_ms', CAST(NULL AS DOUBLE))")
 
 
-def fixture_answer(role: str | int, key: Column) -> Column:
-    """Raw answer of role x (0=a, 1=b, 2=judge) for claim key k (see FIXTURES.md F-6)."""
-    x = ROLE_INDEX[role] if isinstance(role, str) else int(role)
-    verdict = _pick(FIXTURE_VERDICTS, (key * (2 * x + 1) + 3 * x) % 20 + 1)
-    reasoning = _pick(FIXTURE_REASONINGS, (key * (2 * x + 3) + 5 * x) % 17 + 1)
-    m = (key + x) % 5
-    conf = F.when(m == 0, F.lit("0.9")).when(m == 1, F.lit("0.55")).when(m == 2, F.lit("x%"))
-    raw = F.concat(F.lit("verdict="), verdict, F.lit(" confidence="), F.coalesce(conf, F.lit("")))
-    return raw_answer(verdict, conf, reasoning, raw)
+def fixture_answer(role: str | int, key: str = "claim_id") -> Column:
+    return F.expr(fixture_answer_sql(role, ident(key)))
 
 
 def fixture_verifier(role: str | int, key_col: str = "claim_id") -> RuleVerifier:
     """D3 rule verifier answering with the derived relation for ``role``."""
-    return RuleVerifier(lambda claim: fixture_answer(role, F.col(key_col)), name=f"fixture_{role}")
+    return RuleVerifier(lambda claim: fixture_answer(role, key_col), name=f"fixture_{role}")
 
 
 def fixture_verifiers(key_col: str = "claim_id"):
