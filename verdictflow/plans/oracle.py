@@ -35,13 +35,20 @@ def claims_sql(with_text: bool = True) -> str:
             "FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
 
 
-def answers_cols(key: str = "claim_id", roles=ROLES) -> str:
+def answers_cols(key: str = "claim_id", roles=ROLES, errors: bool = False) -> str:
+    """Fixture answers ``{p}_v, {p}_r, {p}_c, {p}_e`` per (prefix, role index or SQL for it)."""
     out = []
     for p, x in roles:
-        out.append(f"({_list(FIXTURE_VERDICTS)})[({key} * {2 * x + 1} + {3 * x}) % 20 + 1] AS {p}_v")
-        out.append(f"({_list(FIXTURE_REASONINGS)})[({key} * {2 * x + 3} + {5 * x}) % 17 + 1] AS {p}_r")
+        x = f"({x})"
+        v = f"({_list(FIXTURE_VERDICTS)})[({key} * (2 * {x} + 1) + 3 * {x}) % 20 + 1]"
+        e = "CAST(NULL AS VARCHAR)"
+        if errors:
+            v = f"CASE WHEN ({key} + {x}) % 11 = 5 THEN CAST(NULL AS VARCHAR) ELSE {v} END"
+            e = f"CASE WHEN ({key} + {x}) % 7 = 3 THEN 'timeout' END"
+        out.append(f"{v} AS {p}_v")
+        out.append(f"({_list(FIXTURE_REASONINGS)})[({key} * (2 * {x} + 3) + 5 * {x}) % 17 + 1] AS {p}_r")
         out.append(f"CASE ({key} + {x}) % 5 WHEN 0 THEN '0.9' WHEN 1 THEN '0.55' WHEN 2 THEN 'x%' END AS {p}_c")
-        out.append(f"CAST(NULL AS VARCHAR) AS {p}_e")
+        out.append(f"{e} AS {p}_e")
     return ", ".join(out)
 
 
@@ -86,7 +93,8 @@ def p1_stages(p: str) -> list[str]:
     for pat in PERCENT_PATTERNS:
         g = f"regexp_extract({text}, {q(pat)}, 1)"
         extracts.append(f"CASE WHEN regexp_matches({g}, {q(DOTTED_NUMBER_RE)}) THEN TRY_CAST({g} AS DOUBLE) END")
-    lex = "CASE " + " ".join(f"WHEN contains({text}, {q(w)}) THEN {float(v)}" for w, v in CONFIDENCE_LEXICON) + " END"
+    lex = "CASE " + " ".join(f"WHEN contains({text}, {q(w)}) THEN CAST({float(v)} AS DOUBLE)"
+                             for w, v in CONFIDENCE_LEXICON) + " END"
     structured = (f"CASE WHEN regexp_matches({p}_cs, {q(NUMERIC_RE)}) THEN "
                   f"least(greatest(TRY_CAST({p}_cs AS DOUBLE), 0.0), 1.0) END")
     s3 = [f"{verdict} AS {p}_verdict",
@@ -108,7 +116,8 @@ def p2_cols(p: str) -> str:
     return ", ".join([
         f"CASE WHEN {p}_e IS NULL AND {sy} THEN 1 ELSE 0 END AS {p}_prediction",
         f"CASE WHEN {p}_e IS NULL AND {sy} THEN 'yes' ELSE 'no' END AS {p}_verdict",
-        f"CASE WHEN ({sy} OR {sn}) AND {p}_e IS NULL THEN 0.8 ELSE 0.5 END AS {p}_confidence",
+        f"CASE WHEN ({sy} OR {sn}) AND {p}_e IS NULL THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END "
+        f"AS {p}_confidence",
         f"CASE WHEN {p}_e IS NOT NULL THEN 'Parse error' ELSE coalesce({p}_r, '') END AS {p}_reasoning",
     ])
 
@@ -124,8 +133,8 @@ def strict_verdict_sql(p: str) -> str:
             f"WHEN {p}_e IS NULL AND contains({t}, 'no') AND NOT contains({t}, 'yes') THEN 'no' END")
 
 
-def p3_cols(p: str, seed: int = 0, bias: str | None = None) -> str:
-    fallback = coin_sql(ROLE_NAME[p], seed=seed) if bias is None else q(bias)
+def p3_cols(p: str, seed: int = 0, bias: str | None = None, role: str | None = None) -> str:
+    fallback = coin_sql(role or ROLE_NAME[p], seed=seed) if bias is None else q(bias)
     v = f"coalesce({strict_verdict_sql(p)}, {fallback})"
     return ", ".join([
         f"{v} AS {p}_verdict",
@@ -137,7 +146,7 @@ def p3_cols(p: str, seed: int = 0, bias: str | None = None) -> str:
 
 def cascade_ctes(prefix: str = "", gamma: float | str = 0.7, policy: str = "p1", claims: str | None = None,
                  answers: str | None = None, row_error: str | None = None, parsers=None, biases=(None, None),
-                 seed: int = 0, cross_gammas=None) -> str:
+                 seed: int = 0, cross_gammas=None, errors: bool = False, raw_given: bool = False) -> str:
     """CTE chain ending in ``{prefix}res`` (flattened cascade results).
 
     With ``cross_gammas`` every claim is paired with every gamma (columns
@@ -145,9 +154,11 @@ def cascade_ctes(prefix: str = "", gamma: float | str = 0.7, policy: str = "p1",
     """
     P = prefix
     claims = claims or claims_sql()
-    ans_from = answers or f"SELECT *, {answers_cols()} FROM {P}claims"
+    ans_from = answers or f"SELECT *, {answers_cols(errors=errors)} FROM {P}claims"
     ctes = [f"{P}claims AS ({claims})", f"{P}ans0 AS ({ans_from})"]
-    if cross_gammas is not None:
+    if raw_given:
+        ctes.append(f"{P}ans AS (SELECT * FROM {P}ans0)")
+    elif cross_gammas is not None:
         gl = " UNION ALL ".join(f"SELECT {i} AS pos, CAST({g} AS DOUBLE) AS gamma_in"
                                 for i, g in enumerate(cross_gammas))
         ctes.append(f"{P}ans AS (SELECT *, {answers_raw_cols()} FROM {P}ans0 CROSS JOIN ({gl}) gl)")
@@ -277,3 +288,24 @@ def harness_sql() -> str:
 def sweep_ctes(gammas, policy: str = "p1", prefix: str = "", **kw) -> str:
     """Independent restatement of the sweep: the cascade at every gamma via a cross join."""
     return cascade_ctes(prefix, policy=policy, cross_gammas=list(gammas), **kw)
+
+
+def parse_input_ctes(errors: bool = False, policy: str | None = "p1", role: str = "r") -> str:
+    """Every document x role index with its fixture answer, prefix ``r``; then the parser stages."""
+    pin = (f"SELECT claim_id, x, CASE x WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'judge' END AS role, "
+           f"{answers_cols(roles=(('r', 'x'),), errors=errors)} "
+           f"FROM (SELECT doc_id AS claim_id, unnest([0, 1, 2]) AS x FROM documents) d")
+    ctes = [f"pin0 AS ({pin})", f"pin AS (SELECT *, {answers_raw_cols((('r', 0),))} FROM pin0)"]
+    prev = "pin"
+    if policy == "p1":
+        for i, st in enumerate(p1_stages("r")):
+            ctes.append(f"ps{i} AS (SELECT *, {st} FROM {prev})")
+            prev = f"ps{i}"
+    elif policy == "p2":
+        ctes.append(f"ps AS (SELECT *, {p2_cols('r')} FROM {prev})")
+        prev = "ps"
+    elif policy == "p3":
+        ctes.append(f"ps AS (SELECT *, {p3_cols('r', role=role)} FROM {prev})")
+        prev = "ps"
+    ctes.append(f"parsed AS (SELECT * FROM {prev})")
+    return ",\n".join(ctes)

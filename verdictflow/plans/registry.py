@@ -56,13 +56,18 @@ def rounded_sql(sql: str, doubles) -> str:
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) AS _q"
 
 
+def _load():
+    """Import the key modules (each registers its queries)."""
+    from verdictflow.plans import keys, keys_parsing  # noqa: F401
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from verdictflow.plans import keys  # noqa: F401  (registers everything)
+    _load()
     return {k: (lambda e: (lambda spark, sf_dir: rounded(e.fn(spark, sf_dir))))(e) for k, e in REGISTRY.items()}
 
 
 def oracle_queries() -> dict[str, str]:
-    from verdictflow.plans import keys  # noqa: F401
+    _load()
     return {k: rounded_sql(e.sql, e.doubles) for k, e in REGISTRY.items() if e.sql is not None}
 
 

@@ -51,27 +51,53 @@ def document_claims(spark: SparkSession, sf_dir: str, with_text: bool = True) ->
     return docs.alias("d").join(labels.alias("l"), F.col("d.doc_id") == F.col("l.doc_id"), "inner").select(*cols)
 
 
-def fixture_answer_sql(role: str | int, key: str) -> str:
-    """Raw answer of role x (0=a, 1=b, 2=judge) for claim key ``key`` (SQL; FIXTURES.md F-6)."""
-    x = ROLE_INDEX[role] if isinstance(role, str) else int(role)
+def fixture_answer_sql(role, key: str, errors: bool = False) -> str:
+    """Raw answer of role x (0=a, 1=b, 2=judge) for claim key ``key`` (SQL; FIXTURES.md F-6).
+
+    ``role`` is a role name, an index, or SQL text for the index (``expr:x``).
+    ``errors=True`` injects failed calls: ``error='timeout'`` when
+    ``(key + x) % 7 = 3`` and a missing verdict when ``(key + x) % 11 = 5``.
+    """
+    if isinstance(role, str) and role.startswith("expr:"):
+        x = f"({role[5:]})"
+    else:
+        x = str(ROLE_INDEX[role] if isinstance(role, str) else int(role))
     verdicts = "array(" + ", ".join(lit(v) for v in FIXTURE_VERDICTS) + ")"
     reasonings = "array(" + ", ".join(lit(v) for v in FIXTURE_REASONINGS) + ")"
-    verdict = f"element_at({verdicts}, CAST(({key} * {2 * x + 1} + {3 * x}) % 20 + 1 AS INT))"
-    reasoning = f"element_at({reasonings}, CAST(({key} * {2 * x + 3} + {5 * x}) % 17 + 1 AS INT))"
+    verdict = f"element_at({verdicts}, CAST(({key} * (2 * {x} + 1) + 3 * {x}) % 20 + 1 AS INT))"
+    reasoning = f"element_at({reasonings}, CAST(({key} * (2 * {x} + 3) + 5 * {x}) % 17 + 1 AS INT))"
     conf = f"CASE ({key} + {x}) % 5 WHEN 0 THEN '0.9' WHEN 1 THEN '0.55' WHEN 2 THEN 'x%' END"
+    err = "CAST(NULL AS STRING)"
+    if errors:
+        err = f"CASE WHEN ({key} + {x}) % 7 = 3 THEN 'timeout' END"
+        verdict = f"CASE WHEN ({key} + {x}) % 11 = 5 THEN CAST(NULL AS STRING) ELSE {verdict} END"
     return (f"named_struct('verdict', {verdict}, 'confidence', {conf}, 'reasoning', {reasoning}, "
             f"'raw_output', concat('verdict=', {verdict}, ' confidence=', coalesce({conf}, '')), "
-            f"'error', CAST(NULL AS STRING), 'elapsed_ms', CAST(NULL AS DOUBLE))")
+            f"'error', {err}, 'elapsed_ms', CAST(NULL AS DOUBLE))")
+
 
+def fixture_answer(role, key: str = "claim_id", errors: bool = False) -> Column:
+    return F.expr(fixture_answer_sql(role, ident(key), errors))
 
-def fixture_answer(role: str | int, key: str = "claim_id") -> Column:
-    return F.expr(fixture_answer_sql(role, ident(key)))
 
+def role_answers(spark: SparkSession, sf_dir: str, errors: bool = False) -> DataFrame:
+    """Every document x every role with its fixture raw answer: ``claim_id, x, role, raw``."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"))
+    d = d.select("claim_id", F.expr("explode(array(0, 1, 2)) AS x"))
+    return d.select("claim_id", "x", F.expr("CASE x WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'judge' END AS role"),
+                    F.expr(fixture_answer_sql("expr:x", "claim_id", errors)).alias("raw"))
 
-def fixture_verifier(role: str | int, key_col: str = "claim_id") -> RuleVerifier:
+
+def fixture_verifier(role: str | int, key_col: str = "claim_id", errors: bool = False) -> RuleVerifier:
     """D3 rule verifier answering with the derived relation for ``role``."""
-    return RuleVerifier(lambda claim: fixture_answer(role, key_col), name=f"fixture_{role}")
+    return RuleVerifier(lambda claim: fixture_answer(role, key_col, errors), name=f"fixture_{role}")
+
+
+def fixture_verifiers(key_col: str = "claim_id", errors: bool = False):
+    return tuple(fixture_verifier(r, key_col, errors) for r in ("a", "b", "judge"))
 
 
-def fixture_verifiers(key_col: str = "claim_id"):
-    return tuple(fixture_verifier(r, key_col) for r in ("a", "b", "judge"))
+def fixture_outputs(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
+    """Precomputed answers of one role for every document (input of a TableVerifier, D4)."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"))
+    return d.select("claim_id", fixture_answer(role).alias("r")).select("claim_id", "r.*")
