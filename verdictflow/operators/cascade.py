@@ -14,6 +14,8 @@ Policies (the three generations of the reference):
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,7 +133,20 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
         "correct": F.expr(f"CASE WHEN {given} THEN {hit} END"),
         "calls": F.expr("CASE WHEN escalated THEN 3 ELSE 2 END"),
     })
-    return df.drop("__a_raw", "__b_raw", "__j_raw")
+    return observe_calls(df.drop("__a_raw", "__b_raw", "__j_raw"))
+
+
+def observe_calls(results: DataFrame, name: str | None = None) -> DataFrame:
+    """Count rows, escalations (= judge calls) and model calls as observed metrics.
+
+    The CollectMetrics node is also a plan barrier: the optimizer does not
+    push a later filter through it into the parser projections, where inlining
+    every multiply-used column made the filter condition grow multiplicatively
+    (a filter on ``escalated`` or ``judge`` then took minutes to plan).
+    """
+    name = name or f"verdictflow_cascade_{uuid.uuid4().hex[:10]}"
+    return results.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("escalated")).alias("judge_calls"),
+                           F.sum(F.col("calls")).alias("model_calls"))
 
 
 def flat_results(results: DataFrame, claim_col: str = "claim") -> DataFrame:

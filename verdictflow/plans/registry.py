@@ -58,7 +58,7 @@ def rounded_sql(sql: str, doubles) -> str:
 
 def _load():
     """Import the key modules (each registers its queries)."""
-    from verdictflow.plans import keys, keys_parsing  # noqa: F401
+    from verdictflow.plans import keys, keys_data, keys_parsing  # noqa: F401
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -31,6 +31,8 @@ def get_spark(master: str | None = None, app: str = "verdictflow", shuffle_parti
         b = b.master(master)
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
+    if master and master.startswith("local") and "spark.driver.memory" not in (extra or {}):
+        b = b.config("spark.driver.memory", "8g")  # local mode: the driver JVM is the whole cluster
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
