@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from verdictflow.functions import parsing as P
@@ -67,7 +67,8 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
             gamma: float | Column = 0.7, policy: str = "p1", *, id_col: str = "claim_id", claim_col: str = "claim",
             truth_col: str | None = "ground_truth", seed: int = 0, blank: str = "fail",
             row_error_col: str | None = None, parsers: tuple[str, str, str] | None = None,
-            biases: tuple[str | None, str | None] = (None, None), judge_gate: Column | None = None) -> DataFrame:
+            biases: tuple[str | None, str | None] = (None, None), judge_gate: Column | None = None,
+            observation: Observation | None = None) -> DataFrame:
     """Label every claim with the cascade.
 
     ``claims`` needs ``id_col`` and ``claim_col``; ``truth_col`` (yes/no) is optional.
@@ -133,19 +134,24 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
         "correct": F.expr(f"CASE WHEN {given} THEN {hit} END"),
         "calls": F.expr("CASE WHEN escalated THEN 3 ELSE 2 END"),
     })
-    return observe_calls(df.drop("__a_raw", "__b_raw", "__j_raw"))
+    return observe_calls(df, observation).drop("__a_raw", "__b_raw", "__j_raw")
 
 
-def observe_calls(results: DataFrame, name: str | None = None) -> DataFrame:
-    """Count rows, escalations (= judge calls) and model calls as observed metrics.
+def observe_calls(results: DataFrame, observation: Observation | str | None = None) -> DataFrame:
+    """Observed metrics of a cascade: rows, escalations and the judge inputs actually sent.
+
+    ``judge_calls`` counts non-NULL gated judge inputs, i.e. the rows the judge
+    was asked about (it equals ``escalations`` unless a ``judge_gate`` widens it).
+    Pass a ``pyspark.sql.Observation`` to read them after an action.
 
     The CollectMetrics node is also a plan barrier: the optimizer does not
     push a later filter through it into the parser projections, where inlining
     every multiply-used column made the filter condition grow multiplicatively
     (a filter on ``escalated`` or ``judge`` then took minutes to plan).
     """
-    name = name or f"verdictflow_cascade_{uuid.uuid4().hex[:10]}"
-    return results.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("escalated")).alias("judge_calls"),
+    obs = observation or f"verdictflow_cascade_{uuid.uuid4().hex[:10]}"
+    return results.observe(obs, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("escalated")).alias("escalations"),
+                           F.count(F.col("__j_raw")).alias("judge_calls"),
                            F.sum(F.col("calls")).alias("model_calls"))
 
 

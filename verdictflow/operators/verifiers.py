@@ -168,22 +168,20 @@ class ModelVerifier(Verifier):
     is retried ``retries`` times, then each row is tried on its own so one bad
     claim cannot fail its neighbours; a row that still fails, or takes longer
     than ``timeout_s``, becomes an answer with ``error`` set (never a job failure).
-    ``calls`` (an optional Spark accumulator) counts the claims sent.
+    Calls are counted by the cascade's observed metrics (``judge_calls``).
     """
 
     def __init__(self, client_factory: Callable[[], ClientFn], name: str = "model", batch_size: int = 64,
-                 retries: int = 2, timeout_s: float | None = 60.0, calls=None):
+                 retries: int = 2, timeout_s: float | None = 60.0):
         self.client_factory = client_factory
         self.name = name
         self.batch_size = batch_size
         self.retries = retries
         self.timeout_s = timeout_s
-        self.calls = calls
         self._udf = self._build_udf()
 
     def _build_udf(self):
-        factory, batch_size, retries, timeout_s, calls = (self.client_factory, self.batch_size, self.retries,
-                                                          self.timeout_s, self.calls)
+        factory, batch_size, retries, timeout_s = self.client_factory, self.batch_size, self.retries, self.timeout_s
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             client = factory()
@@ -208,8 +206,6 @@ class ModelVerifier(Verifier):
                                 pool = cf.ThreadPoolExecutor(max_workers=1)
                             except Exception as e:  # noqa: BLE001 - isolated below
                                 err = f"{type(e).__name__}: {e}"
-                        if calls is not None:
-                            calls.add(len(chunk))
                         if ans is not None:
                             per_row = (time.perf_counter() - t0) * 1000.0 / max(len(chunk), 1)
                             for c in RAW_FIELDS[:4]:

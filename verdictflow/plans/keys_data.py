@@ -524,3 +524,32 @@ def q_run_log(spark, sf_dir):
         n = m.first()["total_evaluations"]
         K.append_run_log(spark, path, f"documents_gamma_{g}", n, time.time() - t0, m)
     return spark.read.parquet(path).select("dataset_name", "dataset_size", "final_metrics")
+
+
+# ----------------------------------------------------------------- J1, J2
+def _stream_paths(spark, name):
+    base = durable_path(spark, name)
+    return f"{base}/sink", f"{base}/checkpoint"
+
+
+@register("stream_cascade")
+def q_stream_cascade(spark, sf_dir):
+    """The cascade over the ``events`` table read as a stream; the micro-batch files read back."""
+    from verdictflow.streaming.stream import event_claims, stream_cascade, stream_table
+    a, b, j = fixture_verifiers()
+    sink, ckpt = _stream_paths(spark, "stream_cascade")
+    q = stream_cascade(event_claims(stream_table(spark, sf_dir, "events")), a, b, j, sink, ckpt, truth_col=None)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("claim_id", "event_type", "escalated", "final_verdict", "reason")
+
+
+@register("stream_counters")
+def q_stream_counters(spark, sf_dir):
+    """Running counters per event type over the streamed cascade results."""
+    from verdictflow.streaming.stream import event_claims, stream_counters, stream_table
+    a, b, j = fixture_verifiers()
+    sink, ckpt = _stream_paths(spark, "stream_counters")
+    r = cascade(event_claims(stream_table(spark, sf_dir, "events")), a, b, j, GAMMA, truth_col=None)
+    q = stream_counters(r, sink, ckpt, by="event_type")
+    q.awaitTermination()
+    return spark.read.parquet(sink)
