@@ -313,44 +313,64 @@ def default_raw_output_sql(raw: str) -> str:
 def parse_role(df: DataFrame, raw_col: str, out_col: str, policy: str = "p1", key_col: str = "claim_id",
                seed: int = 0, bias: str | None = None) -> DataFrame:
     """Add ``out_col`` = result struct ``(verdict, prediction, confidence, reasoning, raw_output, error)``
-    parsed from the raw answer struct in ``raw_col`` (C1-C11, C3 for failed calls).
+    parsed from the raw answer struct in ``raw_col`` (C1-C11, C3 for failed calls)."""
+    return parse_roles(df, [(raw_col, out_col, policy, bias)], key_col, seed)
 
-    Intermediate values are *flat* top-level columns, each produced in its own
+
+def parse_roles(df: DataFrame, roles, key_col: str = "claim_id", seed: int = 0) -> DataFrame:
+    """Parse several roles ``[(raw_col, out_col, policy, bias), ...]`` side by side.
+
+    Intermediate values are *flat* top-level columns, each stage its own
     projection: the optimizer does not merge a costly expression into a
     projection that uses it several times, but it does dissolve struct columns
     into their field expressions, which duplicated the eleven-regex search text
-    into every use and made planning time explode.
+    into every use and made planning time explode. Roles share the stages, so
+    parsing A and B costs as many plan operations as parsing one.
     """
-    t = f"__{out_col}"
-    raw = ident(raw_col)
-    if policy == "p1":
-        err = f"{raw}.error"
-        failed = f"({err} IS NOT NULL OR {raw}.verdict IS NULL)"
-        reason = (f"CASE WHEN {err} IS NOT NULL THEN concat('Error: ', {err}) "
-                  f"WHEN {raw}.verdict IS NULL THEN 'Model output error' ELSE coalesce({raw}.reasoning, '') END")
-        df = df.withColumns({
-            f"{t}_reason": F.expr(reason),
-            f"{t}_vt": F.expr(f"CASE WHEN {failed} THEN 'no' ELSE {raw}.verdict END"),
-            f"{t}_ct": F.expr(f"CASE WHEN NOT {failed} THEN {raw}.confidence END"),
-            f"{t}_err": F.expr(err),
-            f"{t}_ro": F.expr(f"CASE WHEN {failed} THEN concat({lit("verdict='no' reasoning='")}, "
-                              f"{reason}, {lit("'")}) ELSE coalesce({raw}.raw_output, "
-                              f"{default_raw_output_sql(raw)}) END"),
-        })
-        df = df.withColumn(f"{t}_text", F.expr(confidence_text_sql(ident(f"{t}_reason"), ident(f"{t}_ro"))))
-        df = df.withColumns({
-            f"{t}_verdict": F.expr(verdict_p1_sql(ident(f"{t}_vt"), ident(f"{t}_reason"))),
-            f"{t}_pct": F.expr(percent_number_sql(ident(f"{t}_text"))),
-        })
-        df = df.withColumn(f"{t}_conf", F.expr(confidence_full_sql(ident(f"{t}_ct"), ident(f"{t}_text"),
-                                                                   percent=ident(f"{t}_pct"))))
-        df = df.withColumn(out_col, F.expr(result_sql(ident(f"{t}_verdict"), ident(f"{t}_conf"),
-                                                      ident(f"{t}_reason"), ident(f"{t}_ro"), ident(f"{t}_err"))))
-        return df.drop(*[f"{t}_{x}" for x in ("reason", "vt", "ct", "err", "ro", "text", "verdict", "pct", "conf")])
-    if policy == "p2":
-        return df.withColumn(out_col, F.expr(parse_p2_sql(raw)))
-    if policy == "p3":
-        return df.withColumn(out_col, F.expr(parse_p3_sql(raw, ident(key_col), out_col, seed)))
-    if policy == "biased":
-        return df.withColumn(out_col, F.expr(parse_biased_sql(raw, bias or "no")))
-    raise ValueError(f"unknown parser policy: {policy}")
+    p1 = [(ident(raw), f"__{out}", out) for raw, out, pol, _ in roles if pol == "p1"]
+    temps = []
+    if p1:
+        st1, st2, st3, st4, st5 = {}, {}, {}, {}, {}
+        for raw, t, out in p1:
+            err = f"{raw}.error"
+            failed = f"({err} IS NOT NULL OR {raw}.verdict IS NULL)"
+            reason = (f"CASE WHEN {err} IS NOT NULL THEN concat('Error: ', {err}) "
+                      f"WHEN {raw}.verdict IS NULL THEN 'Model output error' ELSE coalesce({raw}.reasoning, '') END")
+            st1.update({
+                f"{t}_reason": F.expr(reason),
+                f"{t}_vt": F.expr(f"CASE WHEN {failed} THEN 'no' ELSE {raw}.verdict END"),
+                f"{t}_ct": F.expr(f"CASE WHEN NOT {failed} THEN {raw}.confidence END"),
+                f"{t}_err": F.expr(err),
+                f"{t}_ro": F.expr(f"CASE WHEN {failed} THEN concat({lit("verdict='no' reasoning='")}, "
+                                  f"{reason}, {lit("'")}) ELSE coalesce({raw}.raw_output, "
+                                  f"{default_raw_output_sql(raw)}) END"),
+            })
+            st2[f"{t}_text"] = F.expr(confidence_text_sql(ident(f"{t}_reason"), ident(f"{t}_ro")))
+            st3.update({
+                f"{t}_verdict": F.expr(verdict_p1_sql(ident(f"{t}_vt"), ident(f"{t}_reason"))),
+                f"{t}_pct": F.expr(percent_number_sql(ident(f"{t}_text"))),
+            })
+            st4[f"{t}_conf"] = F.expr(confidence_full_sql(ident(f"{t}_ct"), ident(f"{t}_text"),
+                                                          percent=ident(f"{t}_pct")))
+            st5[out] = F.expr(result_sql(ident(f"{t}_verdict"), ident(f"{t}_conf"), ident(f"{t}_reason"),
+                                         ident(f"{t}_ro"), ident(f"{t}_err")))
+            temps += [f"{t}_{x}" for x in ("reason", "vt", "ct", "err", "ro", "text", "verdict", "pct", "conf")]
+        for stage in (st1, st2, st3, st4):
+            df = df.withColumns(stage)
+        df = df.withColumns(st5)
+    other = {}
+    for raw, out, pol, bias in roles:
+        r = ident(raw)
+        if pol == "p1":
+            continue
+        if pol == "p2":
+            other[out] = F.expr(parse_p2_sql(r))
+        elif pol == "p3":
+            other[out] = F.expr(parse_p3_sql(r, ident(key_col), out, seed))
+        elif pol == "biased":
+            other[out] = F.expr(parse_biased_sql(r, bias or "no"))
+        else:
+            raise ValueError(f"unknown parser policy: {pol}")
+    if other:
+        df = df.withColumns(other)
+    return df.drop(*temps) if temps else df

@@ -96,8 +96,7 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
 
     df = verifier_a.answers(df, "__a_raw", claim)
     df = verifier_b.answers(df, "__b_raw", claim)
-    df = P.parse_role(df, "__a_raw", "a", pa, id_col, seed, biases[0])
-    df = P.parse_role(df, "__b_raw", "b", pb, id_col, seed, biases[1])
+    df = P.parse_roles(df, [("__a_raw", "a", pa, biases[0]), ("__b_raw", "b", pb, biases[1])], id_col, seed)
     failed = f"({P.ident(row_error_col)} IS NOT NULL)" if row_error_col else "FALSE"
     if row_error_col:
         fb = P.fallback_result_sql(f"CAST({P.ident(row_error_col)} AS STRING)")

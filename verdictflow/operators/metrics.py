@@ -21,6 +21,11 @@ def _i(c: Column) -> Column:
     return F.sum(F.when(c, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
 
 
+def _n(cond: str) -> Column:
+    """Count of rows where the SQL condition holds (one expression, one py4j call)."""
+    return F.expr(f"CAST(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) AS BIGINT)")
+
+
 def truth_binary(truth: Column) -> Column:
     """1 if truth == 'yes' else 0 (so an un-normalised 'true' is 0; NULL is 0)."""
     return F.when(truth == "yes", F.lit(1)).otherwise(F.lit(0))
@@ -38,22 +43,20 @@ SUM_NAMES = ("n", "n_esc", "n_agree", "n_hit", "n_hit_esc", "n_hit_non", "n_call
 
 def evaluation_sums(truth_col: str = "ground_truth") -> list[Column]:
     """Additive per-group sums behind F5-F12 (``calculate_metrics``)."""
-    gt = truth_binary(F.col(truth_col))
-    pred = F.col("final_prediction")
-    esc = F.col("escalated")
-    hit = pred == gt
+    gt = f"(CASE WHEN `{truth_col}` = 'yes' THEN 1 ELSE 0 END)"
+    hit = f"final_prediction = {gt}"
     return [
-        F.count(F.lit(1)).alias("n"),
-        _i(esc).alias("n_esc"),
-        _i(F.col("agree")).alias("n_agree"),
-        _i(hit).alias("n_hit"),
-        _i(esc & hit).alias("n_hit_esc"),
-        _i(~esc & hit).alias("n_hit_non"),
-        F.sum(row_cost(esc)).cast("bigint").alias("n_calls"),
-        _i((pred == 1) & (gt == 1)).alias("n_tp"),
-        _i((pred == 1) & (gt == 0)).alias("n_fp"),
-        _i((pred == 0) & (gt == 1)).alias("n_fn"),
-        _i(F.col("agree") & ~esc).alias("n_agree_non"),
+        F.expr("count(1)").alias("n"),
+        _n("escalated").alias("n_esc"),
+        _n("agree").alias("n_agree"),
+        _n(hit).alias("n_hit"),
+        _n(f"escalated AND {hit}").alias("n_hit_esc"),
+        _n(f"NOT escalated AND {hit}").alias("n_hit_non"),
+        F.expr("CAST(sum(CASE WHEN escalated THEN 3 ELSE 2 END) AS BIGINT)").alias("n_calls"),
+        _n(f"final_prediction = 1 AND {gt} = 1").alias("n_tp"),
+        _n(f"final_prediction = 1 AND {gt} = 0").alias("n_fp"),
+        _n(f"final_prediction = 0 AND {gt} = 1").alias("n_fn"),
+        _n("agree AND NOT escalated").alias("n_agree_non"),
     ]
 
 
@@ -61,39 +64,35 @@ def _div(a: Column, b: Column) -> Column:
     return F.when(b > 0, a.cast("double") / b.cast("double"))
 
 
+def _d(a: str, b: str) -> str:
+    return f"CASE WHEN ({b}) > 0 THEN CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) END"
+
+
 def derive_metrics(include_efficiency: bool = True) -> list[Column]:
     """F5-F13 from the sums (``MetricsResult``); undefined ratios are NULL."""
-    n, esc, agree, hit = F.col("n"), F.col("n_esc"), F.col("n_agree"), F.col("n_hit")
-    calls, tp, fp, fn = F.col("n_calls"), F.col("n_tp"), F.col("n_fp"), F.col("n_fn")
-    non = n - esc
-    precision = _div(tp, tp + fp)
-    recall = _div(tp, tp + fn)
-    acc = _div(hit, n)
-    avg_calls = _div(calls, n)
+    prec, rec = _d("n_tp", "n_tp + n_fp"), _d("n_tp", "n_tp + n_fn")
+    acc, calls = _d("n_hit", "n"), _d("n_calls", "n")
     cols = [
-        n.alias("total_evaluations"),
-        esc.alias("escalations"),
-        agree.alias("agreements"),
-        (n - agree).alias("disagreements"),
-        hit.alias("correct_predictions"),
-        acc.alias("overall_accuracy"),
-        _div(F.col("n_hit_esc"), esc).alias("escalated_accuracy"),
-        _div(F.col("n_hit_non"), non).alias("non_escalated_accuracy"),
-        _div(esc, n).alias("escalation_rate"),
-        _div(n - agree, n).alias("disagreement_rate"),
-        _div(agree, n).alias("agreement_rate"),
-        calls.alias("total_model_calls"),
-        avg_calls.alias("avg_calls_per_evaluation"),
-        F.when(hit > 0, calls.cast("double") / hit.cast("double")).otherwise(F.lit(INF)).alias("cost_per_correct"),
-        _div(non - F.col("n_hit_non"), non).alias("false_consensus_rate"),
-        precision.alias("precision"),
-        recall.alias("recall"),
-        F.when(precision.isNotNull() & recall.isNotNull() & ((precision + recall) > 0),
-               2 * precision * recall / (precision + recall)).alias("f1_score"),
+        ("n", "total_evaluations"), ("n_esc", "escalations"), ("n_agree", "agreements"),
+        ("n - n_agree", "disagreements"), ("n_hit", "correct_predictions"),
+        (acc, "overall_accuracy"),
+        (_d("n_hit_esc", "n_esc"), "escalated_accuracy"),
+        (_d("n_hit_non", "n - n_esc"), "non_escalated_accuracy"),
+        (_d("n_esc", "n"), "escalation_rate"),
+        (_d("n - n_agree", "n"), "disagreement_rate"),
+        (_d("n_agree", "n"), "agreement_rate"),
+        ("n_calls", "total_model_calls"),
+        (calls, "avg_calls_per_evaluation"),
+        ("CASE WHEN n_hit > 0 THEN CAST(n_calls AS DOUBLE) / CAST(n_hit AS DOUBLE) ELSE double('Infinity') END",
+         "cost_per_correct"),
+        (_d("n - n_esc - n_hit_non", "n - n_esc"), "false_consensus_rate"),
+        (prec, "precision"), (rec, "recall"),
+        (f"CASE WHEN ({prec}) IS NOT NULL AND ({rec}) IS NOT NULL AND ({prec}) + ({rec}) > 0 "
+         f"THEN 2 * ({prec}) * ({rec}) / (({prec}) + ({rec})) END", "f1_score"),
     ]
     if include_efficiency:
-        cols.append(F.when(avg_calls > 0, acc / avg_calls).otherwise(F.lit(0.0)).alias("efficiency"))
-    return cols
+        cols.append((f"CASE WHEN ({calls}) > 0 THEN ({acc}) / ({calls}) ELSE 0.0D END", "efficiency"))
+    return [F.expr(e).alias(n) for e, n in cols]
 
 
 def _by(by) -> list[str]:
@@ -112,22 +111,15 @@ def evaluation_metrics(results: DataFrame, by: str | Sequence[str] | None = None
 
 def harness_metrics_from_sums() -> list[Column]:
     """the P2 harness columns (false consensus is 0 when undefined)."""
-    n, esc, agree = F.col("n"), F.col("n_esc"), F.col("n_agree")
-    non = n - esc
-    agree_non = F.col("n_agree_non")
-    return [
-        _div(F.col("n_hit"), n).alias("accuracy"),
-        _div(esc, n).alias("escalation_rate"),
-        _div(F.col("n_hit_esc"), esc).alias("escalated_accuracy"),
-        _div(F.col("n_hit_non"), non).alias("non_escalated_accuracy"),
-        F.coalesce(_div(agree_non - (F.col("n_hit_non")), agree_non), F.lit(0.0)).alias("false_consensus_rate"),
-        _div(n - agree, n).alias("disagreement_rate"),
-        _div(F.col("n_calls"), n).alias("avg_calls_per_evaluation"),
-        n.alias("total_evaluations"),
-        esc.alias("total_escalations"),
-        agree.alias("total_agreements"),
-        (n - agree).alias("total_disagreements"),
+    cols = [
+        (_d("n_hit", "n"), "accuracy"), (_d("n_esc", "n"), "escalation_rate"),
+        (_d("n_hit_esc", "n_esc"), "escalated_accuracy"), (_d("n_hit_non", "n - n_esc"), "non_escalated_accuracy"),
+        (f"coalesce({_d('n_agree_non - n_hit_non', 'n_agree_non')}, 0.0D)", "false_consensus_rate"),
+        (_d("n - n_agree", "n"), "disagreement_rate"), (_d("n_calls", "n"), "avg_calls_per_evaluation"),
+        ("n", "total_evaluations"), ("n_esc", "total_escalations"), ("n_agree", "total_agreements"),
+        ("n - n_agree", "total_disagreements"),
     ]
+    return [F.expr(e).alias(n) for e, n in cols]
 
 
 # ------------------------------------------------------------------ F1 - F4
