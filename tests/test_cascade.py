@@ -131,3 +131,17 @@ def test_judge_called_only_for_escalated_rows(spark, tmp_path):
     assert len(sent) == 20 and all(len(c) % 2 == 1 for c in sent)  # only the rows A answered 'no' on
     # a filter after the cascade plans quickly (the observe node stops push-down)
     assert cascade(df, a, b, j, 0.7, truth_col=None).filter("escalated AND judge.error IS NULL").count() == 20
+
+
+def test_join_answers_one_join(spark):
+    from verdictflow.operators.verifiers import join_answers
+    out = spark.createDataFrame([(0, "a", "yes", "0.9"), (0, "b", "yes", "0.95"), (0, "judge", "no", None),
+                                 (1, "a", "yes", "0.9"), (1, "b", "no", "0.9"), (1, "judge", "no", None)],
+                                "claim_id long, role string, verdict string, confidence string")
+    c, (a, b, j) = join_answers(claims(spark, 3), out)
+    r = {x["claim_id"]: x for x in cascade(c, a, b, j, 0.7).collect()}
+    assert not r[0]["escalated"] and r[0]["final_verdict"] == "yes"
+    assert r[1]["escalated"] and r[1]["final_verdict"] == "no"
+    assert r[2]["a"]["error"] == "missing answer"
+    plan = cascade(c, a, b, j, 0.7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") <= 2  # one join (the plan string may name it twice: SMJ/BHJ + AQE)

@@ -68,7 +68,7 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
             truth_col: str | None = "ground_truth", seed: int = 0, blank: str = "fail",
             row_error_col: str | None = None, parsers: tuple[str, str, str] | None = None,
             biases: tuple[str | None, str | None] = (None, None), judge_gate: Column | None = None,
-            observation: Observation | None = None) -> DataFrame:
+            observation: Observation | None = None, judge_partitions: int | None = None) -> DataFrame:
     """Label every claim with the cascade.
 
     ``claims`` needs ``id_col`` and ``claim_col``; ``truth_col`` (yes/no) is optional.
@@ -78,6 +78,8 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
     ``row_error_col`` names a column whose non-NULL value fails the row as a
     whole (D13 fallback: prediction 0, confidence 0.1, escalated).
     ``judge_gate`` overrides which rows the judge is asked about.
+    ``judge_partitions`` hash-repartitions by the key before the judge, for a slow
+    model judge whose escalated rows cluster in a few input partitions.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
@@ -117,6 +119,8 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
                          f"WHEN {low} THEN 'low_confidence_agreement' ELSE 'consensus' END"),
     })
 
+    if judge_partitions:
+        df = df.repartition(judge_partitions, F.col(id_col))
     ask = F.col("escalated") if judge_gate is None else judge_gate
     df = judge.answers(df, "__j_raw", claim, gate=ask & ~F.expr(failed))
     df = P.parse_role(df, "__j_raw", "judge", pj, id_col, seed)

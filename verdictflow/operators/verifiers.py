@@ -136,6 +136,41 @@ class TableVerifier(Verifier):
         return j.withColumn(out_col, ans).drop(tmp, f"__{out_col}_key")
 
 
+class ColumnVerifier(Verifier):
+    """Answers already on the row (a raw answer struct column), e.g. after :func:`join_answers`."""
+
+    def __init__(self, col: str, name: str | None = None):
+        self.col = col
+        self.name = name or col
+
+    def answers(self, df, out_col, claim, gate=None):
+        ans = F.col(self.col)
+        if gate is not None:
+            ans = F.when(gate, ans)
+        return df.withColumn(out_col, ans)
+
+
+def join_answers(claims: DataFrame, outputs: DataFrame, key: str = "claim_id", role_col: str = "role",
+                 roles: tuple[str, ...] = ("a", "b", "judge")) -> tuple[DataFrame, tuple[ColumnVerifier, ...]]:
+    """D4 at scale: attach every role's precomputed answer with ONE join.
+
+    ``outputs`` is long (``key, role, verdict, confidence, reasoning, raw_output, error``).
+    It is grouped by key (one shuffle, map-side partial aggregation) and joined
+    to the claims on the same key, so the join reuses that partitioning instead
+    of three separate joins each shuffling the claims. Returns the widened claims
+    and one :class:`ColumnVerifier` per role (a missing answer becomes an error row).
+    """
+    cols = {c: (F.col(c) if c in outputs.columns else F.lit(None)) for c in RAW_FIELDS}
+    ans = raw_answer(cols["verdict"], cols["confidence"], cols["reasoning"], cols["raw_output"], cols["error"],
+                     cols["elapsed_ms"])
+    wide = outputs.groupBy(F.col(key).alias(f"__{key}")).agg(
+        *[F.first(F.when(F.col(role_col) == r, ans), ignorenulls=True).alias(f"__ans_{r}") for r in roles])
+    j = claims.join(wide, claims[key] == wide[f"__{key}"], "left").drop(f"__{key}")
+    missing = raw_answer(error="missing answer")
+    j = j.withColumns({f"__ans_{r}": F.coalesce(F.col(f"__ans_{r}"), missing) for r in roles})
+    return j, tuple(ColumnVerifier(f"__ans_{r}", name=f"precomputed_{r}") for r in roles)
+
+
 # --------------------------------------------------------------------------- D1 / D14
 ClientFn = Callable[[pd.Series], pd.DataFrame]
 

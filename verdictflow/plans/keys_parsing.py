@@ -292,3 +292,12 @@ def q_cascade_errors(spark, sf_dir):
 
 
 __all__ = ["M"]
+
+
+@register("precomputed_answers_long", with_ctes(O.cascade_ctes(), f"SELECT {O.FLAT_COLS} FROM res"), FLAT_DOUBLES)
+def q_precomputed_answers_long(spark, sf_dir):
+    """D4 at scale: all roles' stored answers (long table) attached with one join on the key."""
+    from verdictflow.operators.verifiers import join_answers
+    out = role_answers(spark, sf_dir).select("claim_id", "role", "raw.*")
+    c, (a, b, j) = join_answers(document_claims(spark, sf_dir), out)
+    return cascade(c, a, b, j, GAMMA).select(*flat_cols())
