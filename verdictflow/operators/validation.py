@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictflow.functions.parsing import ident, lit
+from verdictflow.functions.parsing import ident, lit, py_strip_sql
 
 # The accepted label spellings and their meaning.
 VALID_LABELS = ("yes", "no", "true", "false", "1", "0")
@@ -32,16 +32,18 @@ def check_alignment(claims: DataFrame, labels: DataFrame, key: str = "claim_id")
 
 
 def label_summary(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """B2-B4 in one pass: size, invalid labels (exact, case-sensitive, before normalising),
-    positive / negative counts and whether the set is balanced (|pos - neg| <= 1)."""
+    """B2-B4 in one pass: size, invalid rows and distinct invalid labels (exact,
+    case-sensitive, before normalising), positive / negative counts and whether
+    the set is balanced (|pos - neg| <= 1). The invalid labels themselves stay
+    distributed (:func:`invalid_labels`): their number is not bounded."""
     c = ident(label_col)
     valid = F.expr(_in(c, VALID_LABELS))
     pos = F.expr(_in(c, POSITIVE_LABELS))
     s = df.agg(F.count(F.lit(1)).alias("size"),
                F.count_if(~F.coalesce(valid, F.lit(False))).alias("invalid"),
-               F.sort_array(F.collect_set(F.when(~valid, F.col(label_col)))).alias("invalid_labels"),
+               F.count_distinct(F.when(~valid, F.col(label_col))).alias("invalid_distinct"),
                F.count_if(F.coalesce(pos, F.lit(False))).alias("positive"))
-    return s.select("size", "invalid", "invalid_labels", "positive",
+    return s.select("size", "invalid", "invalid_distinct", "positive",
                     (F.col("size") - F.col("positive")).alias("negative"),
                     (F.abs(2 * F.col("positive") - F.col("size")) <= 1).alias("balanced"))
 
@@ -66,14 +68,16 @@ def validate_dataset(df: DataFrame, label_col: str = "label", require_balanced:
     if s["size"] == 0:
         raise ValueError("Dataset cannot be empty")
     if s["invalid"]:
-        raise ValueError(f"Invalid labels found: {set(s['invalid_labels'])}. Use: {set(VALID_LABELS)}")
+        shown = [r[0] for r in invalid_labels(df, label_col).orderBy("label").limit(20).collect()]
+        more = f" (+{s['invalid_distinct'] - len(shown)} more)" if s["invalid_distinct"] > len(shown) else ""
+        raise ValueError(f"Invalid labels found: {set(shown)}{more}. Use: {set(VALID_LABELS)}")
     if require_balanced and not s["balanced"]:
         raise ValueError(f"Dataset not balanced: {s['positive']} positive, {s['negative']} negative")
     return s
 
 
 def normalize_label_sql(c: str) -> str:
-    t = f"lower(trim({c}))"
+    t = f"lower({py_strip_sql(c)})"  # str(label).strip().lower()
     return (f"CASE WHEN {_in(t, POSITIVE_LABELS)} THEN 'yes' WHEN {_in(t, NEGATIVE_LABELS)} THEN 'no' END")
 
 

@@ -51,18 +51,16 @@ def _summary_sql(cols):
     valid = "label IN ('yes', 'no', 'true', 'false', '1', '0')"
     pos = "label IN ('yes', 'true', '1')"
     inner = (f"SELECT count(*) AS size, CAST(sum(CASE WHEN NOT coalesce({valid}, FALSE) THEN 1 ELSE 0 END) AS BIGINT) "
-             f"AS invalid, array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE NOT {valid}))), '|') "
-             f"AS invalid_labels, CAST(sum(CASE WHEN coalesce({pos}, FALSE) THEN 1 ELSE 0 END) AS BIGINT) AS positive "
+             f"AS invalid, count(DISTINCT CASE WHEN NOT {valid} THEN label END) AS invalid_distinct, CAST(sum(CASE WHEN coalesce({pos}, FALSE) THEN 1 ELSE 0 END) AS BIGINT) AS positive "
              f"FROM rl")
     return with_ctes(RAW_LABELS_CTE + f", s AS ({inner})",
-                     f"SELECT {cols} FROM (SELECT size, invalid, invalid_labels, positive, size - positive AS negative, "
+                     f"SELECT {cols} FROM (SELECT size, invalid, invalid_distinct, positive, size - positive AS negative, "
                      f"abs(2 * positive - size) <= 1 AS balanced FROM s) x")
 
 
-@register("validate_dataset", _summary_sql("size, invalid, invalid_labels, positive, negative, balanced"))
+@register("validate_dataset", _summary_sql("size, invalid, invalid_distinct, positive, negative, balanced"))
 def q_validate_dataset(spark, sf_dir):
-    s = V.label_summary(raw_labels(spark, sf_dir))
-    return s.withColumn("invalid_labels", F.array_join("invalid_labels", "|"))
+    return V.label_summary(raw_labels(spark, sf_dir))
 
 
 @register("validate_balance", _summary_sql("positive, negative, balanced"))
@@ -77,8 +75,9 @@ def q_invalid_labels(spark, sf_dir):
 
 
 @register("normalize_labels", with_ctes(
-    RAW_LABELS_CTE, "SELECT claim_id, label, CASE WHEN lower(trim(label)) IN ('yes', 'true', '1') THEN 'yes' "
-                    "WHEN lower(trim(label)) IN ('no', 'false', '0') THEN 'no' END AS normalized FROM rl"))
+    RAW_LABELS_CTE, "SELECT claim_id, label, CASE WHEN lower(regexp_replace(label, '^\\s+|\\s+$', '', 'g')) "
+                    "IN ('yes', 'true', '1') THEN 'yes' WHEN lower(regexp_replace(label, '^\\s+|\\s+$', '', 'g')) "
+                    "IN ('no', 'false', '0') THEN 'no' END AS normalized FROM rl"))
 def q_normalize_labels(spark, sf_dir):
     return V.normalize_labels(raw_labels(spark, sf_dir), "label", "normalized", mode="lenient")
 
