@@ -203,3 +203,23 @@ def test_sinks(spark, sf, tmp_path):
     log = K.append_run_log(spark, str(tmp_path / "log"), "y", 1, 0.1, M.evaluation_metrics(r))
     assert log.count() == 2
     assert os.path.exists(str(tmp_path / "res/metadata"))
+
+
+def test_config_validation(spark):
+    from verdictflow.operators.config import CascadeConfig, VerifierSpec
+    cfg = CascadeConfig()
+    assert (cfg.verifier_a.temperature, cfg.verifier_b.temperature, cfg.judge.temperature) == (0.1, 0.9, 0.0)
+    with pytest.raises(ValueError):
+        cfg.with_gamma(1.5)  # overrides are checked too (quirk Q13)
+    with pytest.raises(ValueError):
+        VerifierSpec("m", temperature=-0.1)
+    assert cfg.roster(spark).count() == 3
+
+
+def test_report_rendering(spark, sf):
+    from verdictflow.plans import sweep as S
+    from verdictflow.plans.report import render_report, sweep_report_rows
+    a, b, j = fixture_verifiers()
+    sw = S.gamma_sweep(cascade(document_claims(spark, sf), a, b, j, 0.95))
+    text = render_report(sweep_report_rows(sw))
+    assert "best_accuracy" in text and "%" in text and text.count("\n") > 10

@@ -552,3 +552,92 @@ def q_stream_counters(spark, sf_dir):
     q = stream_counters(r, sink, ckpt, by="event_type")
     q.awaitTermination()
     return spark.read.parquet(sink)
+
+
+# ----------------------------------------------------------------- A1 - A3, D1, D14/F21, I1
+def _written(spark, sf_dir, suffix, records=False):
+    """Labelled claims written by Spark in a reference file format, to be read back."""
+    path = durable_path(spark, "claims") + suffix
+    c = document_claims(spark, sf_dir).withColumnRenamed("ground_truth", "label")
+    if records:  # a JSON array of {claim, label} records: one document, written by one task
+        one = c.agg(F.sort_array(F.collect_list(F.struct("claim_id", "claim", "label"))).alias("r"))
+        recs = F.transform("r", lambda x: F.struct(x["claim"].alias("claim"), x["label"].alias("label")))
+        one.select(F.to_json(recs).alias("value")).coalesce(1) \
+            .write.mode("overwrite").text(path)
+    else:
+        K.save_dataset(c, path)
+    return path
+
+
+CLAIM_LABEL_SQL = with_ctes(f"c AS ({O.claims_sql()})", "SELECT claim, ground_truth AS label FROM c")
+
+
+@register("read_json_records", CLAIM_LABEL_SQL)
+def q_read_json_records(spark, sf_dir):
+    return D.read_json_records(spark, _written(spark, sf_dir, ".json", records=True)).select("claim", "label")
+
+
+@register("read_json_columns", CLAIM_LABEL_SQL)
+def q_read_json_columns(spark, sf_dir):
+    return D.read_json_columns(spark, _written(spark, sf_dir, ".json")).select("claim", "label")
+
+
+@register("read_csv", CLAIM_LABEL_SQL)
+def q_read_csv(spark, sf_dir):
+    return D.read_csv(spark, _written(spark, sf_dir, ".csv")).select("claim", "label")
+
+
+def _udf_answers():
+    """A and the judge are the in-process rule model (yes iff the whole text has even length)."""
+    cols = []
+    for p in ("a", "j"):
+        cols += [f"CASE WHEN length(claim) % 2 = 0 THEN 'yes' ELSE 'no' END AS {p}_v", f"'checked by rule' AS {p}_r",
+                 f"'0.95' AS {p}_c", f"CAST(NULL AS VARCHAR) AS {p}_e", f"CAST(NULL AS VARCHAR) AS {p}_o"]
+    return (f"SELECT *, {', '.join(cols)}, {O.answers_cols(roles=(('b', 1),))}, "
+            f"'verdict=' || b_v || ' confidence=' || coalesce(b_c, '') AS b_o FROM claims")
+
+
+@register("verifier_udf", with_ctes(O.cascade_ctes(answers=_udf_answers(), raw_given=True),
+                                    f"SELECT {O.FLAT_COLS} FROM res"),
+          ("a_confidence", "b_confidence", "judge_confidence", "min_confidence"))
+def q_verifier_udf(spark, sf_dir):
+    """A and the judge through the Arrow pandas UDF over the whole document texts."""
+    from verdictflow.operators.clients import RuleClient
+    from verdictflow.operators.verifiers import ModelVerifier
+    from verdictflow.plans.keys import flat_cols
+    from verdictflow.sources.derived import fixture_verifier
+    a, j = ModelVerifier(RuleClient), ModelVerifier(RuleClient)
+    return cascade(document_claims(spark, sf_dir), a, fixture_verifier("b"), j, GAMMA).select(*flat_cols())
+
+
+@register("model_timing")
+def q_model_timing(spark, sf_dir):
+    """Per-call time of a model verifier (time varies run to run: rows-only)."""
+    from verdictflow.operators.clients import RuleClient
+    from verdictflow.operators.verifiers import ModelVerifier
+    mv = ModelVerifier(RuleClient)
+    d = mv.answers(document_claims(spark, sf_dir), "m", F.col("claim"))
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("claims"), F.avg("m.elapsed_ms").alias("avg_time_ms"),
+                                 F.count_if(F.col("m.error").isNotNull()).alias("errors"))
+
+
+def _ablation_sql():
+    cols = "pos, gamma, overall_accuracy, escalation_rate, avg_calls_per_evaluation, efficiency"
+    best = (f"(SELECT 'best_accuracy' AS config, {cols} FROM sw ORDER BY overall_accuracy DESC, pos LIMIT 1) "
+            f"UNION ALL (SELECT 'best_efficiency' AS config, {cols} FROM sw "
+            f"ORDER BY overall_accuracy / avg_calls_per_evaluation DESC, pos LIMIT 1) "
+            f"UNION ALL (SELECT 'lowest_cost' AS config, {cols} FROM sw ORDER BY avg_calls_per_evaluation, pos LIMIT 1)")
+    bal = ("SELECT CAST(sum(CASE WHEN ground_truth = 'yes' THEN 1 ELSE 0 END) AS BIGINT) AS positive, "
+           "CAST(sum(CASE WHEN ground_truth = 'no' THEN 1 ELSE 0 END) AS BIGINT) AS negative, count(*) AS size "
+           f"FROM ({O.claims_sql(False)}) c")
+    from verdictflow.plans.keys import sweep_sql
+    return sweep_sql(select=f"SELECT * FROM ({best}) b, ({bal}) k")
+
+
+@register("ablation", _ablation_sql(), ("gamma", "overall_accuracy", "escalation_rate", "avg_calls_per_evaluation",
+                                        "efficiency"))
+def q_ablation(spark, sf_dir):
+    """Sweep -> the three optimal configurations, with the dataset's size and balance."""
+    from verdictflow.plans.report import ablation
+    a, b, j = fixture_verifiers()
+    return ablation(document_claims(spark, sf_dir), a, b, j, GAMMAS)
