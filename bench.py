@@ -60,11 +60,16 @@ def main():
     def q_sweep1():
         S.gamma_sweep(cascade(document_claims(spark, SF_DIR), a, b, j, 0.7), [0.7]).collect()
 
+    calls = {}
+
     def q_model_udf():  # A and judge through the Arrow pandas UDF; judge only for escalated rows
+        from pyspark.sql import Observation
         ma = ModelVerifier(RuleClient)
         mj = ModelVerifier(RuleClient)
-        r = cascade(document_claims(spark, SF_DIR), ma, fixture_verifier("b"), mj, 0.7)
+        obs = Observation("bench_calls")
+        r = cascade(document_claims(spark, SF_DIR), ma, fixture_verifier("b"), mj, 0.7, observation=obs)
         M.evaluation_metrics(r, "lang").collect()
+        calls.update(obs.get)
 
     def q_text_rule():  # forced disagreement with a rule over whole document texts
         r = forced_disagreement(document_claims(spark, SF_DIR), text_rule(), fixture_verifier("judge"))
@@ -96,7 +101,9 @@ def main():
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
     out = {"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
            "sf": sf, "cpus": int(CPUS), "sweep7_over_sweep1": round(times["sweep7"] / max(times["sweep1"], 1e-9), 3),
-           "parse_rows_per_sec": round(3 * docs / max(times["parse"], 1e-9), 1)}
+           "parse_rows_per_sec": round(3 * docs / max(times["parse"], 1e-9), 1),
+           "judge_calls": calls.get("judge_calls"), "escalations": calls.get("escalations"),
+           "judge_calls_equal_escalations": calls.get("judge_calls") == calls.get("escalations")}
     print(json.dumps(out))
     spark.stop()
 

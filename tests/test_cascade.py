@@ -145,3 +145,16 @@ def test_join_answers_one_join(spark):
     assert r[2]["a"]["error"] == "missing answer"
     plan = cascade(c, a, b, j, 0.7)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") <= 2  # one join (the plan string may name it twice: SMJ/BHJ + AQE)
+
+
+def test_materialized_cascade_calls_models_once(spark, tmp_path):
+    from verdictflow.plans import sweep as S
+    log = str(tmp_path / "a.log")
+    a = ModelVerifier(lambda: RuleClient(log_path=log))
+    df = spark.createDataFrame([(i, "y" * (i + 1), "yes") for i in range(30)],
+                               "claim_id long, claim string, ground_truth string")
+    r = S.sweep_results(df, a, constant_verifier("yes", "0.8"), constant_verifier("no"), [0.5, 0.9])
+    S.gamma_sweep(r, [0.5, 0.9]).collect()
+    M.evaluation_metrics(r).collect()
+    r.count()
+    assert len(open(log).read().splitlines()) == 30  # three uses, one model pass

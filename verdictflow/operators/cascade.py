@@ -68,7 +68,8 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
             truth_col: str | None = "ground_truth", seed: int = 0, blank: str = "fail",
             row_error_col: str | None = None, parsers: tuple[str, str, str] | None = None,
             biases: tuple[str | None, str | None] = (None, None), judge_gate: Column | None = None,
-            observation: Observation | None = None, judge_partitions: int | None = None) -> DataFrame:
+            observation: Observation | None = None, judge_partitions: int | None = None,
+            materialize: bool = False) -> DataFrame:
     """Label every claim with the cascade.
 
     ``claims`` needs ``id_col`` and ``claim_col``; ``truth_col`` (yes/no) is optional.
@@ -80,6 +81,10 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
     ``judge_gate`` overrides which rows the judge is asked about.
     ``judge_partitions`` hash-repartitions by the key before the judge, for a slow
     model judge whose escalated rows cluster in a few input partitions.
+    ``materialize`` writes the results to the shared checkpoint folder and returns
+    the written table: model answers are then computed exactly once, a lost
+    executor re-reads them, and every later use (rows, metrics, sweeps) sees the
+    same answers.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
@@ -137,7 +142,11 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
         "correct": F.expr(f"CASE WHEN {given} THEN {hit} END"),
         "calls": F.expr("CASE WHEN escalated THEN 3 ELSE 2 END"),
     })
-    return observe_calls(df, observation).drop("__a_raw", "__b_raw", "__j_raw")
+    out = observe_calls(df, observation).drop("__a_raw", "__b_raw", "__j_raw")
+    if materialize:
+        from verdictflow.session import materialize as _write
+        out = _write(out, "cascade")
+    return out
 
 
 def observe_calls(results: DataFrame, observation: Observation | str | None = None) -> DataFrame:

@@ -52,6 +52,9 @@ def escalation_bucket(sorted_gammas: Sequence[float], policy: str = "p1") -> Col
     always = ~F.col("agree") | (F.col("reason") == "error")
     if policy == "p3":
         return F.when(always, F.lit(0)).otherwise(F.lit(len(sorted_gammas)))
+    if len(sorted_gammas) <= 64:  # a sum of comparisons stays in generated code
+        k = " + ".join(f"CASE WHEN min_confidence >= {float(g)!r}D THEN 1 ELSE 0 END" for g in sorted_gammas)
+        return F.when(always, F.lit(0)).otherwise(F.expr(k))
     arr = F.array(*[F.lit(g) for g in sorted_gammas])
     mc = F.col("min_confidence")
     return F.when(always, F.lit(0)).otherwise(F.size(F.filter(arr, lambda g: g <= mc)))
@@ -154,7 +157,10 @@ def sweep_results(claims: DataFrame, verifier_a, verifier_b, judge, gammas: Sequ
                   policy: str = "p1", **kw) -> DataFrame:
     """Run the models once for a whole sweep (cascade at the largest gamma)."""
     from verdictflow.operators.cascade import cascade
+    from verdictflow.operators.verifiers import ModelVerifier
     gs = _check_gammas(gammas)
+    if "materialize" not in kw:  # model answers are costly and non-deterministic: write them once
+        kw["materialize"] = any(isinstance(v, ModelVerifier) for v in (verifier_a, verifier_b, judge))
     return cascade(claims, verifier_a, verifier_b, judge, max(gs), policy, **kw)
 
 
