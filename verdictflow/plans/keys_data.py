@@ -184,7 +184,7 @@ def q_metrics_json(spark, sf_dir):
 def q_reasoning_preview(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("claim_id"), preview(F.col("text"), 60).alias("claim_60"),
-                    preview(F.col("text"), 150).alias("text_150"), F.length("text").alias("n_chars"))
+                    preview(F.col("text"), 150).alias("text_150"), F.length("text").cast("bigint").alias("n_chars"))
 
 
 # ----------------------------------------------------------------- E1, E3, E4, F19, G6

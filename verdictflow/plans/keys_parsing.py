@@ -127,7 +127,7 @@ def _turn_sql():
 def q_parse_conversation_turns(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
     c = c.select("conv_id", "turn", raw_answer(F.col("text"), None, F.col("text"), F.col("text")).alias("raw"),
-                 F.length("text").alias("n_chars"))
+                 F.length("text").cast("bigint").alias("n_chars"))
     return P.parse_role(c, "raw", "r").select("conv_id", "turn", F.col("r.verdict").alias("verdict"),
                                               F.col("r.confidence").alias("confidence"), "n_chars")
 
