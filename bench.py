@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -34,8 +33,7 @@ def main():
     from verdictflow.sources.derived import document_claims, fixture_verifier, fixture_verifiers, role_answers, table
     from verdictflow.streaming.stream import event_claims, stream_counters, stream_table
 
-    spark = get_spark(f"local[{CPUS}]", shuffle_partitions=int(CPUS),
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="vf-bench-ckpt-")})
+    spark = get_spark(f"local[{CPUS}]", shuffle_partitions=int(CPUS))  # checkpoint dir: from the session
     a, b, j = fixture_verifiers()
     sf = os.path.basename(SF_DIR.rstrip("/")).replace("sf", "")
 
@@ -76,7 +74,8 @@ def main():
         M.evaluation_metrics(r, "lang").collect()
 
     def q_stream():  # running counters over the events stream
-        d = tempfile.mkdtemp(prefix="vf-bench-stream-")
+        from verdictflow.session import durable_path
+        d = durable_path(spark, "bench-stream")
         r = cascade(event_claims(stream_table(spark, SF_DIR, "events")), a, b, j, 0.7, truth_col=None)
         stream_counters(r, f"{d}/sink", f"{d}/ckpt", by="event_type").awaitTermination()
 

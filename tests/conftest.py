@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -13,8 +12,8 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from verdictflow.session import get_spark
-    s = get_spark("local[*]", shuffle_partitions=8,
-                  extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="vf-test-ckpt-")})
+    # spark.checkpoint.dir comes from the session's configuration; get_spark sets one only if unset
+    s = get_spark("local[*]", shuffle_partitions=8)
     yield s
     s.stop()
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from verdictflow.functions import parsing as P
 from verdictflow.functions.bands import BAND_SCHEMES, band_sql, escalation_band
-from verdictflow.operators import metrics as M
 from verdictflow.operators.cascade import cascade, forced_disagreement
 from verdictflow.operators.verifiers import RuleVerifier, TableVerifier, constant_verifier, raw_answer
 from verdictflow.plans import oracle as O
@@ -291,8 +290,6 @@ def q_cascade_errors(spark, sf_dir):
     return cascade(document_claims(spark, sf_dir), a, b, j, GAMMA).select(*flat_cols())
 
 
-__all__ = ["M"]
-
 
 @register("precomputed_answers_long", with_ctes(O.cascade_ctes(), f"SELECT {O.FLAT_COLS} FROM res"), FLAT_DOUBLES)
 def q_precomputed_answers_long(spark, sf_dir):
