@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from verdictflow.session import ensure_checkpoint_dir
 
 SMALL_TAKE = 10_000  # up to this many rows, top-n uses TakeOrdered (each task keeps n rows)
+BROADCAST_POOL_ROWS = 1_000_000  # a counted pool up to this size is broadcast to the draws
 _LOCAL_BITS = 33     # monotonically_increasing_id = partition_index << 33 | row_in_partition
 
 
@@ -142,7 +143,12 @@ def synthetic_alternating(spark, pool: DataFrame, size: int, seed: int = 0, trut
     slots = slots.withColumn(truth_col, F.when(F.col("i") % 2 == 0, F.lit("yes")).otherwise(F.lit("no")))
     slots = slots.withColumn("__idx", draw % F.when(F.col(truth_col) == "yes", F.lit(counts["yes"]))
                              .otherwise(F.lit(counts["no"])))
-    return slots.join(numbered.drop("__g"), [truth_col, "__idx"]).drop("__idx")
+    pool_side = numbered.drop("__g")
+    if counts["yes"] + counts["no"] <= BROADCAST_POOL_ROWS:
+        # the pool's size was just counted: a small pool is broadcast, so the few keys every
+        # slot draws from never become hot shuffle partitions
+        pool_side = F.broadcast(pool_side)
+    return slots.join(pool_side, [truth_col, "__idx"]).drop("__idx")
 
 
 def running_rates(results: DataFrame, order: Sequence[str] = ("claim_id",), every: int = 10) -> DataFrame:
