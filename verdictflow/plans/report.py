@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdictflow.operators import metrics as M
 from verdictflow.plans import sweep as S
 
 REPORT_SCHEMA = "section string, item string, gamma double, value double"
@@ -140,10 +139,9 @@ def ablation(claims: DataFrame, verifier_a, verifier_b, judge, gammas=S.DEFAULT_
     r = S.sweep_results(claims, verifier_a, verifier_b, judge, gammas, policy, truth_col=truth_col, **kw)
     sw = S.gamma_sweep(r, gammas, truth_col=truth_col, policy=policy)
     eff = F.col("overall_accuracy") / F.col("avg_calls_per_evaluation")
-    cols = ["pos", "gamma", "overall_accuracy", "escalation_rate", "avg_calls_per_evaluation", "efficiency"]
-    best = (S.best_accuracy(sw).select(F.lit("best_accuracy").alias("config"), *cols)
+    # dataset size and balance ride along in every sweep row (summed in the same scan): no extra join
+    cols = ["pos", "gamma", "overall_accuracy", "escalation_rate", "avg_calls_per_evaluation", "efficiency",
+            "positive", "negative", F.col("total_evaluations").alias("size")]
+    return (S.best_accuracy(sw).select(F.lit("best_accuracy").alias("config"), *cols)
             .unionByName(S.best_row(sw, eff, "max").select(F.lit("best_efficiency").alias("config"), *cols))
             .unionByName(S.lowest_cost(sw).select(F.lit("lowest_cost").alias("config"), *cols)))
-    bal = M.class_balance(claims, truth_col)
-    # the balance row is a single aggregate row: attach it with a window-free scalar join on a constant key
-    return best.withColumn("__one", F.lit(1)).join(bal.withColumn("__one", F.lit(1)), "__one").drop("__one")

@@ -80,6 +80,7 @@ def _bucket_sums(results: DataFrame, sorted_gammas, keys, truth_col, policy, mas
                           "__pc": F.expr(pc)})
             .groupBy(*keys, "__k")
             .agg(i("TRUE").alias("s_n"), i("agree").alias("s_agree"),
+                 i(f"{ident(truth_col)} = 'yes'").alias("s_pos"), i(f"{ident(truth_col)} = 'no'").alias("s_neg"),
                  i("__pe = __gt").alias("e_hit"), i("__pc = __gt").alias("c_hit"),
                  i("__pe = 1 AND __gt = 1").alias("e_tp"), i("__pe = 1 AND __gt = 0").alias("e_fp"),
                  i("__pe = 0 AND __gt = 1").alias("e_fn"),
@@ -87,7 +88,7 @@ def _bucket_sums(results: DataFrame, sorted_gammas, keys, truth_col, policy, mas
                  i("__pc = 0 AND __gt = 1").alias("c_fn")))
 
 
-_SUMS = ("s_n", "s_agree", "e_hit", "c_hit", "e_tp", "e_fp", "e_fn", "c_tp", "c_fp", "c_fn")
+_SUMS = ("s_n", "s_agree", "s_pos", "s_neg", "e_hit", "c_hit", "e_tp", "e_fp", "e_fn", "c_tp", "c_fp", "c_fn")
 
 
 def sweep_sums(results: DataFrame, gammas: Sequence[float] = DEFAULT_GAMMAS, by=None,
@@ -129,6 +130,8 @@ def sweep_sums(results: DataFrame, gammas: Sequence[float] = DEFAULT_GAMMAS, by=
         (cum["e_fp"] + tot["c_fp"] - cum["c_fp"]).alias("n_fp"),
         (cum["e_fn"] + tot["c_fn"] - cum["c_fn"]).alias("n_fn"),
         (tot["s_agree"] - cum["s_agree"]).alias("n_agree_non"),
+        tot["s_pos"].alias("positive"),
+        tot["s_neg"].alias("negative"),
     )
     return out.filter(F.col("__kind") == 1).drop("__kind")
 
@@ -142,7 +145,7 @@ def gamma_sweep(results: DataFrame, gammas: Sequence[float] = DEFAULT_GAMMAS, by
     """
     keys = _keys(by)
     s = sweep_sums(results, gammas, by, truth_col, policy)
-    return s.select(*keys, "pos", "gamma", *M.derive_metrics())
+    return s.select(*keys, "pos", "gamma", *M.derive_metrics(), "positive", "negative")
 
 
 def sweep_metrics_p2(results: DataFrame, gammas: Sequence[float] = DEFAULT_GAMMAS, by=None,
