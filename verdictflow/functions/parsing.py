@@ -357,7 +357,10 @@ def parse_roles(df: DataFrame, roles, key_col: str = "claim_id", seed: int = 0)
             temps += [f"{t}_{x}" for x in ("reason", "vt", "ct", "err", "ro", "text", "verdict", "pct", "conf")]
         for stage in (st1, st2, st3, st4):
             df = df.withColumns(stage)
-        df = df.withColumns(st5)
+        # the result structs and dropping the temporaries: one projection
+        keep = [F.col(ident(c)) for c in df.columns if c not in temps and c not in st5]
+        df = df.select(*keep, *[e.alias(k) for k, e in st5.items()])
+        temps = []
     other = {}
     for raw, out, pol, bias in roles:
         r = ident(raw)

@@ -111,18 +111,18 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
                              "b": F.expr(f"CASE WHEN {failed} THEN {fb} ELSE b END")})
 
     g = gamma if isinstance(gamma, Column) else F.lit(float(gamma))
-    low = "FALSE" if policy == "p3" else "min_confidence < gamma"
-    df = df.withColumns({
-        "gamma": g.cast("double"),
-        "agree": F.expr("a.prediction = b.prediction"),
+    # the gate: cheap expressions over the result structs, inlined into one projection
+    agree = "(a.prediction = b.prediction)"
+    low = "FALSE" if policy == "p3" else f"(least(a.confidence, b.confidence) < {P.ident('__gamma')})"
+    df = df.withColumn("__gamma", g.cast("double")).withColumns({
+        "gamma": F.col("__gamma"),
+        "agree": F.expr(agree),
         "min_confidence": F.expr("least(a.confidence, b.confidence)"),
         "mean_confidence": F.expr("(a.confidence + b.confidence) / 2"),
-    })
-    df = df.withColumns({
-        "escalated": F.expr(f"{failed} OR NOT agree OR {low}"),
-        "reason": F.expr(f"CASE WHEN {failed} THEN 'error' WHEN NOT agree THEN 'disagreement' "
+        "escalated": F.expr(f"{failed} OR NOT {agree} OR {low}"),
+        "reason": F.expr(f"CASE WHEN {failed} THEN 'error' WHEN NOT {agree} THEN 'disagreement' "
                          f"WHEN {low} THEN 'low_confidence_agreement' ELSE 'consensus' END"),
-    })
+    }).drop("__gamma")
 
     if judge_partitions:
         df = df.repartition(judge_partitions, F.col(id_col))
@@ -130,15 +130,16 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
     df = judge.answers(df, "__j_raw", claim, gate=ask & ~F.expr(failed))
     df = P.parse_role(df, "__j_raw", "judge", pj, id_col, seed)
     jfb = P.fallback_result_sql(f"CAST({P.ident(row_error_col)} AS STRING)") if row_error_col else "NULL"
-    df = df.withColumn("judge", F.expr(f"CASE WHEN {failed} THEN {jfb} WHEN escalated THEN judge END"))
     truth = P.ident(truth_col) if truth_col and truth_col in claims.columns else "CAST(NULL AS STRING)"
     given = f"({truth} IS NOT NULL AND {truth} <> '')"
-    hit = ("final_verdict = " + truth) if policy == "p3" else \
-        f"final_prediction = CASE WHEN {truth} = 'yes' THEN 1 ELSE 0 END"
-    df = df.withColumn("final_prediction", F.expr(
-        f"CASE WHEN {failed} THEN 0 WHEN escalated THEN judge.prediction ELSE a.prediction END"))
-    df = df.withColumn("final_verdict", F.expr("CASE WHEN final_prediction = 1 THEN 'yes' ELSE 'no' END"))
+    final = f"(CASE WHEN {failed} THEN 0 WHEN escalated THEN judge.prediction ELSE a.prediction END)"
+    verdict = f"(CASE WHEN {final} = 1 THEN 'yes' ELSE 'no' END)"
+    hit = f"{verdict} = {truth}" if policy == "p3" else f"{final} = CASE WHEN {truth} = 'yes' THEN 1 ELSE 0 END"
+    # the decision columns: cheap expressions over the row, one projection
     df = df.withColumns({
+        "judge": F.expr(f"CASE WHEN {failed} THEN {jfb} WHEN escalated THEN judge END"),
+        "final_prediction": F.expr(final),
+        "final_verdict": F.expr(verdict),
         "correct": F.expr(f"CASE WHEN {given} THEN {hit} END"),
         "calls": F.expr("CASE WHEN escalated THEN 3 ELSE 2 END"),
     })
