@@ -158,3 +158,19 @@ def test_materialized_cascade_calls_models_once(spark, tmp_path):
     M.evaluation_metrics(r).collect()
     r.count()
     assert len(open(log).read().splitlines()) == 30  # three uses, one model pass
+
+
+def test_evaluate_claim_and_dataset(spark):
+    from verdictflow.operators.cascade import evaluate_claim, evaluate_dataset
+    r = evaluate_claim(spark, "The sky is blue.", constant_verifier("yes", "0.9"), constant_verifier("yes", "0.9"),
+                       constant_verifier("no"), 0.7, ground_truth="yes")
+    assert r["final_verdict"] == "yes" and not r["escalated"] and r["correct"]
+    with pytest.raises(ValueError, match="empty"):
+        evaluate_claim(spark, "  ", constant_verifier("yes"), constant_verifier("yes"), constant_verifier("no"))
+    ds = spark.createDataFrame([(0, "a", "true"), (1, "b", "0")], "claim_id long, claim string, label string")
+    out = {x["claim_id"]: x for x in evaluate_dataset(ds, constant_verifier("yes", "0.9"),
+                                                       constant_verifier("yes", "0.9"), constant_verifier("no")).collect()}
+    assert out[0]["ground_truth"] == "yes" and out[0]["correct"] and out[1]["correct"] is False
+    with pytest.raises(ValueError, match="Invalid labels"):
+        evaluate_dataset(spark.createDataFrame([(0, "a", "Yes")], "claim_id long, claim string, label string"),
+                         constant_verifier("yes"), constant_verifier("yes"), constant_verifier("no"))

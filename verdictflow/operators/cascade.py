@@ -201,3 +201,23 @@ def forced_disagreement(claims: DataFrame, verifier: Verifier, judge: Verifier,
     b = verifier.with_prefix("You tend to disagree with claims. ")
     return cascade(claims, a, b, judge, 0.0, "p3", id_col=id_col, claim_col=claim_col, truth_col=truth_col,
                    seed=seed, parsers=("biased", "biased", "p3"), biases=("yes", "no"))
+
+
+def evaluate_dataset(dataset: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge: Verifier,
+                     gamma: float = 0.7, label_col: str = "label", require_balanced: bool = False,
+                     **kw) -> DataFrame:
+    """D12 batch: validate the labels (B1-B4, strict and case-sensitive like the reference),
+    normalise them (B5) into ``ground_truth``, then run the cascade."""
+    from verdictflow.operators.validation import normalize_labels, validate_dataset
+    validate_dataset(dataset, label_col, require_balanced)
+    claims = normalize_labels(dataset, label_col, "ground_truth")
+    return cascade(claims, verifier_a, verifier_b, judge, gamma, **kw)
+
+
+def evaluate_claim(spark, claim: str, verifier_a: Verifier, verifier_b: Verifier, judge: Verifier,
+                   gamma: float = 0.7, ground_truth: str | None = None, **kw):
+    """D12 single claim: a one-row DataFrame through the same cascade; returns the result row."""
+    if not claim or not claim.strip():
+        raise ValueError("Claim cannot be empty")
+    df = spark.createDataFrame([(0, claim, ground_truth)], "claim_id long, claim string, ground_truth string")
+    return cascade(df, verifier_a, verifier_b, judge, gamma, **kw).first()
