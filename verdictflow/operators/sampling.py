@@ -153,7 +153,9 @@ def synthetic_alternating(spark, pool: DataFrame, size: int, seed: int = 0, trut
 
 def running_rates(results: DataFrame, order: Sequence[str] = ("claim_id",), every: int = 10) -> DataFrame:
     """Running escalation rate and accuracy at rows i > 0 with i % every == 0 (0-based)."""
-    idx = dense_index(results, list(order), "i", sums={
+    # only the order key and the two flags are positioned (and checkpointed), not the whole result rows
+    slim = results.select(*order, "escalated", "correct")
+    idx = dense_index(slim, list(order), "i", sums={
         "__esc": F.col("escalated").cast("long"),
         "__ok": F.coalesce(F.col("correct"), F.lit(False)).cast("long")})
     done = F.col("i") + 1
