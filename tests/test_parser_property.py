@@ -1,4 +1,4 @@
-"""Differential test: the Spark P1 parser against a plain-Python restatement of its rules,
+"""Differential test: the Spark P1 parser against an independent Python specification of its rules,
 on random answers built from the parser's own vocabulary (hypothesis)."""
 
 import math
@@ -18,42 +18,38 @@ TOKENS = ["yes", "no", "true", "false", "correct", "incorrect", "valid", "invali
 STRUCTURED = [None, "0.9", "1.7", "-2", " .5 ", "abc", "90%", "", "1e-1", "+0.25", "5."]
 
 
-def py_verdict(verdict: str, reasoning: str) -> str:
+def _number(s):
+    """float() or None."""
+    try:
+        return float(s)
+    except (TypeError, ValueError):
+        return None
+
+
+def spec_verdict(verdict: str, reasoning: str) -> str:
+    """The verdict rule as a decision on which word groups occur (counts only break conflicts)."""
     t = verdict.strip().lower()
-    has_yes = any(w in t for w in P.YES_WORDS)
-    has_no = any(w in t for w in P.NO_WORDS)
-    if has_yes and has_no:
-        yes_n = sum(t.count(w) for w in P.YES_COUNTED)
-        no_n = sum(t.count(w) for w in P.NO_COUNTED)
-        return "yes" if yes_n > no_n else "no"
-    if has_yes:
-        return "yes"
-    if has_no:
-        return "no"
-    r = (reasoning or "").lower()
-    return "yes" if r and any(w in r for w in P.REASONING_YES_WORDS) else "no"
+    present = {g: {w for w in words if w in t} for g, words in (("pos", P.YES_WORDS), ("neg", P.NO_WORDS))}
+    if present["pos"] and present["neg"]:
+        tally = {g: sum(map(t.count, words)) for g, words in (("pos", P.YES_COUNTED), ("neg", P.NO_COUNTED))}
+        return "yes" if tally["pos"] > tally["neg"] else "no"
+    if present["pos"] or present["neg"]:
+        return "yes" if present["pos"] else "no"
+    hint = (reasoning or "").lower()
+    return "yes" if any(map(hint.__contains__, P.REASONING_YES_WORDS)) else "no"
 
 
-def py_confidence(reasoning: str, raw_output: str, structured) -> float:
-    if structured is not None:
-        try:
-            x = float(structured)
-            return min(max(x, 0.0), 1.0)
-        except ValueError:
-            pass
+def spec_confidence(reasoning: str, raw_output: str, structured) -> float:
+    """First defined value of: clamped structured number, first parseable percent capture, first lexicon phrase."""
+    x = _number(structured)
+    if x is not None:
+        return min(1.0, max(0.0, x))
     text = f"{reasoning} {raw_output}".lower()
-    for pat in P.PERCENT_PATTERNS:
-        m = re.search(pat, text)
-        if m:
-            try:
-                v = float(m.group(1))
-            except ValueError:
-                continue
-            return min(v / 100 if v > 1 else v, 1.0)
-    for w, v in P.CONFIDENCE_LEXICON:
-        if w in text:
-            return v
-    return P.DEFAULT_CONFIDENCE
+    captures = (m.group(1) for m in (re.search(p, text) for p in P.PERCENT_PATTERNS) if m)
+    pct = next(filter(lambda v: v is not None, map(_number, captures)), None)
+    if pct is not None:
+        return 1.0 if pct > 100 else (pct / 100 if pct > 1 else pct)
+    return next((v for w, v in P.CONFIDENCE_LEXICON if w in text), P.DEFAULT_CONFIDENCE)
 
 
 phrase = st.lists(st.sampled_from(TOKENS), min_size=0, max_size=8).map(lambda ws: " ".join(ws))
@@ -67,7 +63,7 @@ def test_parser_matches_python_restatement(spark, cases):
     df = spark.createDataFrame(rows, f"claim_id long, raw {RAW_ANSWER_TYPE.simpleString()}")
     got = {x["claim_id"]: x["r"] for x in P.parse_role(df, "raw", "r").collect()}
     for i, (v, r, o, c) in enumerate(cases):
-        assert got[i]["verdict"] == py_verdict(v, r), (v, r)
-        want = py_confidence(r, o, c)
+        assert got[i]["verdict"] == spec_verdict(v, r), (v, r)
+        want = spec_confidence(r, o, c)
         assert 0.0 <= got[i]["confidence"] <= 1.0
         assert math.isclose(got[i]["confidence"], want, abs_tol=1e-12), (v, r, o, c)
