@@ -171,12 +171,12 @@ def test_summary_stats_and_compare(spark):
 
 
 def test_catalog(spark):
-    avail = spark.createDataFrame([("llama3.2:latest", 0), ("mistral:7b-q4", 1), ("phi3", 2)], "model string, pos int")
-    req = spark.createDataFrame([("phi3",), ("gemma:2b",)], "model string")
-    assert CAT.all_present(req, avail) == (False, ["gemma:2b"])
-    assert CAT.pick_model(avail, "mistral:7b", "mistral").first()[0] == "mistral:7b-q4"
-    assert CAT.pick_model(avail, "llama2:7b", "llama2").first()[0] == "llama3.2:latest"
-    assert CAT.pick_model(avail, "x", "none", fallback="last").first()[0] == "phi3"
+    avail = spark.createDataFrame([("alpha3.2:latest", 0), ("beta:7b-q4", 1), ("delta3", 2)], "model string, pos int")
+    req = spark.createDataFrame([("delta3",), ("epsilon:2b",)], "model string")
+    assert CAT.all_present(req, avail) == (False, ["epsilon:2b"])
+    assert CAT.pick_model(avail, "beta:7b", "beta").first()[0] == "beta:7b-q4"
+    assert CAT.pick_model(avail, "alpha2:7b", "alpha2").first()[0] == "alpha3.2:latest"
+    assert CAT.pick_model(avail, "x", "none", fallback="last").first()[0] == "delta3"
 
 
 def test_streaming_counters_equal_batch(spark, sf, tmp_path):
