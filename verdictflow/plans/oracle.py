@@ -170,9 +170,13 @@ def cascade_ctes(prefix: str = "", gamma: float | str = 0.7, policy: str = "p1",
     bias_of = {"a": biases[0], "b": biases[1], "j": None}
     for p, pol in (("a", pa), ("b", pb), ("j", pj)):
         if pol == "p1":
-            for i, st in enumerate(p1_stages(p)):
+            stages = p1_stages(p)
+            for i, st in enumerate(stages):
                 name = f"{P}{p}s{i}"
-                ctes.append(f"{name} AS (SELECT *, {st} FROM {prev})")
+                # the last parser stage is materialised: DuckDB would otherwise inline the regex
+                # chain into every later reference of the confidence
+                mat = "MATERIALIZED " if i == len(stages) - 1 else ""
+                ctes.append(f"{name} AS {mat}(SELECT *, {st} FROM {prev})")
                 prev = name
         else:
             cols = p2_cols(p) if pol == "p2" else p3_cols(p, seed, bias_of[p] if pol == "biased" else None)
@@ -209,7 +213,7 @@ def cascade_ctes(prefix: str = "", gamma: float | str = 0.7, policy: str = "p1",
     ctes.append(
         f"{P}f2 AS (SELECT *, CASE WHEN final_prediction = 1 THEN 'yes' ELSE 'no' END AS final_verdict FROM {P}f)")
     ctes.append(
-        f"{P}res AS (SELECT *, "
+        f"{P}res AS MATERIALIZED (SELECT *, "
         f"CASE WHEN row_error IS NOT NULL THEN 'no' WHEN escalated THEN j_verdict END AS judge_verdict, "
         f"CASE WHEN row_error IS NOT NULL THEN 0 WHEN escalated THEN j_prediction END AS judge_prediction, "
         f"CASE WHEN row_error IS NOT NULL THEN 0.1 WHEN escalated THEN j_confidence END AS judge_confidence, "
