@@ -223,3 +223,16 @@ def test_report_rendering(spark, sf):
     sw = S.gamma_sweep(cascade(document_claims(spark, sf), a, b, j, 0.95))
     text = render_report(sweep_report_rows(sw))
     assert "best_accuracy" in text and "%" in text and text.count("\n") > 10
+
+
+def test_streaming_update_mode(spark, sf, tmp_path):
+    from verdictflow.streaming.stream import counter_frame, event_claims, read_counters, stream_counters, stream_table
+    a, b, j = fixture_verifiers()
+    r = cascade(event_claims(stream_table(spark, sf, "events", max_files_per_trigger=1)), a, b, j, 0.7,
+                truth_col=None)
+    q = stream_counters(r, str(tmp_path / "sink"), str(tmp_path / "ckpt"), by="event_type", output_mode="update")
+    q.awaitTermination()
+    got = {x["event_type"]: x.asDict() for x in read_counters(spark, str(tmp_path / "sink"), "event_type").collect()}
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    batch = counter_frame(cascade(event_claims(ev), a, b, j, 0.7, truth_col=None), by="event_type").collect()
+    assert {x["event_type"]: x.asDict() for x in batch} == got

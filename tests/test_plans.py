@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 
-STREAMING = {"stream_cascade", "stream_counters"}
+STREAMING = {"stream_cascade", "stream_counters", "stream_counters_update"}
 PYTHON_OK = {"verifier_udf", "model_timing", "paired_ttest_p"}
 
 

@@ -641,3 +641,14 @@ def q_ablation(spark, sf_dir):
     from verdictflow.plans.report import ablation
     a, b, j = fixture_verifiers()
     return ablation(document_claims(spark, sf_dir), a, b, j, GAMMAS)
+
+
+@register("stream_counters_update")
+def q_stream_counters_update(spark, sf_dir):
+    """J2, update mode: only changed groups are written per batch; the latest row per group is read back."""
+    from verdictflow.streaming.stream import event_claims, read_counters, stream_counters, stream_table
+    a, b, j = fixture_verifiers()
+    sink, ckpt = _stream_paths(spark, "stream_counters_update")
+    r = cascade(event_claims(stream_table(spark, sf_dir, "events")), a, b, j, GAMMA, truth_col=None)
+    stream_counters(r, sink, ckpt, by="event_type", output_mode="update").awaitTermination()
+    return read_counters(spark, sink, "event_type")

@@ -60,15 +60,34 @@ def counter_frame(results: DataFrame, by=None, truth_col: str = "ground_truth")
     return c.select(*keys, *[x for x in c.columns if x not in keys and x != "labelled"], *M.rates_from_counters())
 
 
-def stream_counters(results: DataFrame, sink: str, checkpoint: str, by=None,
-                    available_now: bool = True) -> StreamingQuery:
-    """Running counters over a result stream, complete mode; each trigger overwrites
-    ``sink`` with the current totals (one row per group)."""
+def stream_counters(results: DataFrame, sink: str, checkpoint: str, by=None, available_now: bool = True,
+                    output_mode: str = "complete") -> StreamingQuery:
+    """Running counters over a result stream.
+
+    ``complete``: each trigger overwrites ``sink`` with the totals of every group
+    (right for a few groups). ``update``: each trigger writes only the groups that
+    changed, to ``sink/batch_id=<n>`` (idempotent on retry); :func:`read_counters`
+    returns the latest row per group - the form that scales to many groups.
+    """
+    if output_mode not in ("complete", "update"):
+        raise ValueError("output_mode must be 'complete' or 'update'")
     agg = counter_frame(results, by)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+        if output_mode == "complete":
+            batch.write.mode("overwrite").parquet(sink)
+        else:
+            batch.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
 
-    w = agg.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = agg.writeStream.outputMode(output_mode).foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def read_counters(spark: SparkSession, sink: str, by=None) -> DataFrame:
+    """The current counters of an ``update``-mode sink: per group, the row of the latest batch."""
+    keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
+    df = spark.read.parquet(sink)
+    cols = [c for c in df.columns if c not in keys and c != "batch_id"]
+    latest = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("__r"))
+    return latest.select(*keys, "__r.*")
