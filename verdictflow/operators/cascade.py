@@ -225,3 +225,18 @@ def evaluate_claim(spark, claim: str, verifier_a: Verifier, verifier_b: Verifier
         raise ValueError("Claim cannot be empty")
     df = spark.createDataFrame([(0, claim, ground_truth)], "claim_id long, claim string, ground_truth string")
     return cascade(df, verifier_a, verifier_b, judge, gamma, **kw).first()
+
+
+def attach_truth(results: DataFrame, truth: DataFrame, key: str = "claim_id", truth_col: str = "ground_truth",
+                 policy: str = "p1") -> DataFrame:
+    """E1 at scale: join the ground truth *after* the cascade and recompute ``correct``.
+
+    With large claim texts, joining labels before the cascade shuffles every text
+    (a sort-merge join on the key); joining after it shuffles only the narrow
+    result columns. Rows without a truth keep ``correct`` NULL (left join).
+    """
+    r = results.drop(truth_col) if truth_col in results.columns else results
+    j = r.join(truth.select(key, truth_col), key, "left")
+    t = P.ident(truth_col)
+    hit = f"final_verdict = {t}" if policy == "p3" else f"final_prediction = CASE WHEN {t} = 'yes' THEN 1 ELSE 0 END"
+    return j.withColumn("correct", F.expr(f"CASE WHEN {t} IS NOT NULL AND {t} <> '' THEN {hit} END"))

@@ -204,9 +204,9 @@ def q_results_with_truth(spark, sf_dir):
     truth = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("claim_id"),
         F.when(F.col("quality") == 1, F.lit("yes")).otherwise(F.lit("no")).alias("ground_truth"))
-    j2 = r.join(truth, "claim_id")
-    return j2.select("claim_id", "final_verdict", "ground_truth",
-                     (F.col("final_prediction") == M.truth_binary(F.col("ground_truth"))).alias("correct"))
+    from verdictflow.operators.cascade import attach_truth
+    return attach_truth(r, truth).filter(F.col("ground_truth").isNotNull()).select(
+        "claim_id", "final_verdict", "ground_truth", "correct")
 
 
 @register("sweep_cross", with_ctes(
