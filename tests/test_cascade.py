@@ -174,3 +174,18 @@ def test_evaluate_claim_and_dataset(spark):
     with pytest.raises(ValueError, match="Invalid labels"):
         evaluate_dataset(spark.createDataFrame([(0, "a", "Yes")], "claim_id long, claim string, label string"),
                          constant_verifier("yes"), constant_verifier("yes"), constant_verifier("no"))
+
+
+def test_attach_truth_and_judge_partitions(spark):
+    from verdictflow.operators.cascade import attach_truth
+    df = spark.createDataFrame([(i, f"claim {i}") for i in range(6)], "claim_id long, claim string")
+    rule = lambda c: raw_answer(F.when(F.col("claim_id") % 2 == 0, F.lit("no")).otherwise(F.lit("yes")), "0.9")  # noqa
+    r = cascade(df, constant_verifier("yes", "0.9"), RuleVerifier(rule), constant_verifier("no"), 0.7, truth_col=None,
+                judge_partitions=3)
+    truth = spark.createDataFrame([(i, "no" if i < 3 else "yes") for i in range(5)], "claim_id long, ground_truth string")
+    got = {x["claim_id"]: x for x in attach_truth(r, truth).collect()}
+    # even ids disagree -> judge 'no'; odd ids agree confidently -> 'yes'
+    assert [got[i]["final_verdict"] for i in range(6)] == ["no", "yes", "no", "yes", "no", "yes"]
+    assert [got[i]["correct"] for i in range(6)] == [True, False, True, True, False, None]
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(claim_id" in plan
