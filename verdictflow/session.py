@@ -45,12 +45,20 @@ def get_spark(master: str | None = None, app: str = "verdictflow", shuffle_parti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only when unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """Return the shared checkpoint folder, setting a local one only when unset.
+
+    ``setCheckpointDir`` is called once per context (each call would create a new
+    sub-folder); our own durable writes go under the configured folder itself.
+    """
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not d:
-        d = tempfile.mkdtemp(prefix="verdictflow-ckpt-")
+        d = sc.getCheckpointDir()
+        if not d:
+            d = tempfile.mkdtemp(prefix="verdictflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
