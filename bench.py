@@ -1,7 +1,7 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints ONE JSON line.
 
 Every query runs to completion through a ``noop`` sink (full execution, nothing
-collected) or a small aggregate; each is run three times and the fastest run counts.
+collected) or a small aggregate; each is run five times and the fastest run counts (the host is shared and noisy).
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def main():
     times = {}
     for name, fn in queries.items():
         best = None
-        for _ in range(3):
+        for _ in range(5):
             t0 = time.perf_counter()
             fn()
             dt = time.perf_counter() - t0
