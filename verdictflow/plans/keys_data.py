@@ -526,12 +526,46 @@ def q_run_log(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- J1, J2
+EVENT_CLAIMS_SQL = ("SELECT event_id AS claim_id, concat_ws(' ', event_type, props) AS claim, "
+                    "CAST(NULL AS VARCHAR) AS ground_truth, event_type FROM events")
+
+
+def _event_counters_sql():
+    lab = "(ground_truth IS NOT NULL AND ground_truth <> '')"
+    ok = f"({lab} AND coalesce(correct, FALSE))"
+    c = (f"SELECT event_type, count(*) AS total_evaluations, "
+         f"CAST(sum(CASE WHEN escalated THEN 1 ELSE 0 END) AS BIGINT) AS escalations, "
+         f"CAST(sum(CASE WHEN agree THEN 1 ELSE 0 END) AS BIGINT) AS agreements, "
+         f"CAST(sum(CASE WHEN NOT agree THEN 1 ELSE 0 END) AS BIGINT) AS disagreements, "
+         f"CAST(sum(CASE WHEN {ok} THEN 1 ELSE 0 END) AS BIGINT) AS correct_predictions, "
+         f"CAST(sum(CASE WHEN {ok} AND escalated THEN 1 ELSE 0 END) AS BIGINT) AS correct_escalations, "
+         f"CAST(sum(CASE WHEN {ok} AND NOT escalated THEN 1 ELSE 0 END) AS BIGINT) AS correct_non_escalations, "
+         f"count(*) AS verifier_a_calls, count(*) AS verifier_b_calls, "
+         f"CAST(sum(CASE WHEN escalated THEN 1 ELSE 0 END) AS BIGINT) AS judge_calls FROM res GROUP BY event_type")
+    d = O._div
+    rates = ", ".join([
+        f"{d('escalations', 'total_evaluations')} AS escalation_rate",
+        f"{d('disagreements', 'total_evaluations')} AS disagreement_rate",
+        f"{d('agreements', 'total_evaluations')} AS agreement_rate",
+        f"{d('correct_predictions', 'total_evaluations')} AS overall_accuracy",
+        f"{d('correct_escalations', 'escalations')} AS escalation_accuracy",
+        f"{d('correct_non_escalations', 'total_evaluations - escalations')} AS non_escalation_accuracy",
+        "verifier_a_calls + verifier_b_calls + judge_calls AS total_model_calls",
+        f"{d('verifier_a_calls + verifier_b_calls + judge_calls', 'total_evaluations')} AS avg_calls_per_evaluation"])
+    return with_ctes(O.cascade_ctes(claims=EVENT_CLAIMS_SQL) + f",\nc AS ({c})", f"SELECT *, {rates} FROM c")
+
+
+EVENT_RATE_DOUBLES = ("escalation_rate", "disagreement_rate", "agreement_rate", "overall_accuracy",
+                      "escalation_accuracy", "non_escalation_accuracy", "avg_calls_per_evaluation")
+
+
 def _stream_paths(spark, name):
     base = durable_path(spark, name)
     return f"{base}/sink", f"{base}/checkpoint"
 
 
-@register("stream_cascade")
+@register("stream_cascade", with_ctes(O.cascade_ctes(claims=EVENT_CLAIMS_SQL),
+                                      "SELECT claim_id, event_type, escalated, final_verdict, reason FROM res"))
 def q_stream_cascade(spark, sf_dir):
     """The cascade over the ``events`` table read as a stream; the micro-batch files read back."""
     from verdictflow.streaming.stream import event_claims, stream_cascade, stream_table
@@ -542,7 +576,7 @@ def q_stream_cascade(spark, sf_dir):
     return spark.read.parquet(sink).select("claim_id", "event_type", "escalated", "final_verdict", "reason")
 
 
-@register("stream_counters")
+@register("stream_counters", _event_counters_sql(), EVENT_RATE_DOUBLES)
 def q_stream_counters(spark, sf_dir):
     """Running counters per event type over the streamed cascade results."""
     from verdictflow.streaming.stream import event_claims, stream_counters, stream_table
@@ -643,7 +677,7 @@ def q_ablation(spark, sf_dir):
     return ablation(document_claims(spark, sf_dir), a, b, j, GAMMAS)
 
 
-@register("stream_counters_update")
+@register("stream_counters_update", _event_counters_sql(), EVENT_RATE_DOUBLES)
 def q_stream_counters_update(spark, sf_dir):
     """J2, update mode: only changed groups are written per batch; the latest row per group is read back."""
     from verdictflow.streaming.stream import event_claims, read_counters, stream_counters, stream_table
