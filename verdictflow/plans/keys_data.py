@@ -484,32 +484,44 @@ def q_jsonl_records(spark, sf_dir):
     return K.typed_records(meta, ("labeled", lab), ("contested_factual", con), ("summary", summ))
 
 
-@register("save_results")
+@register("save_results", with_ctes(
+    O.cascade_ctes(), "SELECT claim_id, final_verdict, escalated, a_confidence, judge_verdict FROM res"),
+    ("a_confidence",))
 def q_save_results(spark, sf_dir):
-    """A10: nested results as JSON Lines + metadata, read back (rows-only check)."""
+    """A10: nested results as JSON Lines + metadata, read back (structs survive as JSON objects)."""
     path = durable_path(spark, "results")
     K.save_results(results(spark, sf_dir), path, gamma=GAMMA)
-    return spark.read.json(f"{path}/results").select("claim_id", "final_verdict", "escalated", "a", "b", "judge")
+    back = spark.read.json(f"{path}/results")
+    return back.select("claim_id", "final_verdict", "escalated", F.col("a.confidence").alias("a_confidence"),
+                       F.col("judge.verdict").alias("judge_verdict"))
 
 
-@register("run_manifest")
+@register("run_manifest", with_ctes(O.cascade_ctes(), "SELECT claim_id, final_verdict FROM res"))
 def q_run_manifest(spark, sf_dir):
-    """Results partitioned by run id plus the run table; returns this run's rows."""
+    """Results partitioned by run id plus the run table; this run's rows read back (the id is random)."""
     base = durable_path(spark, "runs")
     t0 = time.time()
     rid = K.run_manifest(results(spark, sf_dir), base, {"gamma": GAMMA, "policy": "p1"}, {"mode": "single"},
                          started=t0)
-    return spark.read.parquet(f"{base}/results").filter(F.col("run_id") == rid).select("claim_id", "final_verdict",
-                                                                                       "run_id")
+    return spark.read.parquet(f"{base}/results").filter(F.col("run_id") == rid).select("claim_id", "final_verdict")
 
 
-@register("save_sweep")
+def _sweep_sql_cols():
+    from verdictflow.plans.keys import SWEEP_COLS, sweep_sql
+    return sweep_sql(select=f"SELECT pos, gamma, {', '.join(SWEEP_COLS)} FROM sw")
+
+
+@register("save_sweep", _sweep_sql_cols(), ("gamma", "overall_accuracy", "escalated_accuracy", "non_escalated_accuracy",
+                                            "escalation_rate", "disagreement_rate", "agreement_rate",
+                                            "avg_calls_per_evaluation", "cost_per_correct", "false_consensus_rate",
+                                            "precision", "recall", "f1_score", "efficiency"))
 def q_save_sweep(spark, sf_dir):
-    """The sweep as one CSV file, read back."""
-    from verdictflow.plans.keys import sweep_df
+    """The sweep as one CSV file, read back with the sweep's own schema."""
+    from verdictflow.plans.keys import SWEEP_COLS, sweep_df
     path = durable_path(spark, "sweep") + ".csv"
-    K.save_sweep(sweep_df(spark, sf_dir), path)
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    sw = sweep_df(spark, sf_dir).select("pos", "gamma", *SWEEP_COLS)
+    K.save_sweep(sw, path)
+    return spark.read.option("header", True).schema(sw.schema).csv(path)
 
 
 @register("run_log")
