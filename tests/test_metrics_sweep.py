@@ -94,3 +94,15 @@ def test_sweep_plan_has_no_cross_join(base):
     claims, (a, b, j) = base
     plan = S.gamma_sweep(cascade(claims, a, b, j, 0.95), GAMMAS)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("policy", ["p2", "p3"])
+def test_sweep_other_policies_match_brute_force(base, policy):
+    claims, (a, b, j) = base
+    gs = [0.3, 0.6, 0.9]
+    sw = {r["pos"]: r for r in S.gamma_sweep(cascade(claims, a, b, j, max(gs), policy), gs, policy=policy).collect()}
+    for pos, g in enumerate(gs):
+        brute = M.evaluation_metrics(cascade(claims, a, b, j, g, policy)).first()
+        assert sw[pos]["escalations"] == brute["escalations"], (policy, g)
+        assert sw[pos]["correct_predictions"] == brute["correct_predictions"], (policy, g)
+        assert sw[pos]["false_consensus_rate"] == pytest.approx(brute["false_consensus_rate"], nan_ok=True)
