@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from verdictflow.llm.piece_tokenizer import op4_sentencepiece
+from verdictflow.llm.source_mix import OP7_SQL, op7_source_mix
 from verdictflow.llm.token_counts import op9_token_counts
+from verdictflow.llm.warc import OP2_SQL, op2_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op4_sentencepiece": op4_sentencepiece,
+    "op7_source_mix": op7_source_mix,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op7_source_mix": OP7_SQL}
