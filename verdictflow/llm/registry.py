@@ -6,20 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verdictflow.llm.html_extract import op10_html_extraction
 from verdictflow.llm.piece_tokenizer import op4_sentencepiece
 from verdictflow.llm.quality_rules import op8_quality_rules
 from verdictflow.llm.secret_scan import op3_secret_scan
 from verdictflow.llm.source_mix import OP7_SQL, op7_source_mix
 from verdictflow.llm.token_counts import op9_token_counts
+from verdictflow.llm.top_k import OP5_SQL, op5_top_k
 from verdictflow.llm.warc import OP2_SQL, op2_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_secret_scan": op3_secret_scan,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_top_k": op5_top_k,
     "op7_source_mix": op7_source_mix,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
+    "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op7_source_mix": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op5_top_k": OP5_SQL, "op7_source_mix": OP7_SQL}
