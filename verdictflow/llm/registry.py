@@ -11,11 +11,13 @@ from verdictflow.llm.piece_tokenizer import op4_sentencepiece
 from verdictflow.llm.quality_rules import op8_quality_rules
 from verdictflow.llm.secret_scan import op3_secret_scan
 from verdictflow.llm.source_mix import OP7_SQL, op7_source_mix
+from verdictflow.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from verdictflow.llm.token_counts import op9_token_counts
 from verdictflow.llm.top_k import OP5_SQL, op5_top_k
 from verdictflow.llm.warc import OP2_SQL, op2_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
     "op3_secret_scan": op3_secret_scan,
     "op4_sentencepiece": op4_sentencepiece,
@@ -26,4 +28,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op5_top_k": OP5_SQL, "op7_source_mix": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op5_top_k": OP5_SQL, "op7_source_mix": OP7_SQL}
