@@ -97,19 +97,32 @@ def windows(h: np.ndarray, length: int, factor: int = 0x9E3779B97F4A7C15) -> np.
     return out ^ out >> np.uint64(32)
 
 
-def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``docs`` joined with ``wanted``, both by doc_id; ``wanted`` has each id once.
+def suspects(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with a column ``_near``: false only if the id is surely not among ``ids`` (doc_id).
 
-    The broadcast side is the Bloom filter: at most 2 ** BLOOM rows.
+    The broadcast side is a Bloom filter: at most 2 ** BLOOM rows.
     """
-    def place(c):
-        h = F.xxhash64(c)
+    def place(c: str):
+        h = F.xxhash64(F.col(c).cast("long"))
         return F.pmod(h, F.lit(1 << BLOOM)).cast("int"), F.pmod(F.shiftright(h, BLOOM), F.lit(64)).cast("int")
 
     bit = F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
-    word, spot = place(F.col("doc_id"))
-    bloom = (wanted.select(word.alias("_word"), F.element_at(bit, spot + 1).alias("b")).groupBy("_word")
+    (word, spot), (there, at) = place(id_col), place("doc_id")
+    bloom = (ids.select(there.alias("_word"), F.element_at(bit, at + 1).alias("b")).groupBy("_word")
              .agg(F.bit_or("b").alias("_bits")))
-    near = (docs.withColumn("_word", word).join(F.broadcast(bloom), "_word")
-            .filter(F.col("_bits").bitwiseAND(F.element_at(bit, spot + 1)) != 0).drop("_word", "_bits"))
-    return near.join(wanted, "doc_id")
+    near = F.coalesce(F.col("_bits").bitwiseAND(F.element_at(bit, spot + 1)) != 0, F.lit(False))
+    return (docs.withColumn("_word", word).join(F.broadcast(bloom), "_word", "left")
+            .withColumn("_near", near).drop("_word", "_bits"))
+
+
+def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` joined with ``wanted``, both by doc_id; ``wanted`` has each id once."""
+    return suspects(docs, wanted).filter("_near").drop("_near").join(wanted, "doc_id")
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` but those whose id is among ``ids`` (doc_id); rows that are surely kept stay where they are."""
+    seen = suspects(docs, ids, id_col)
+    gone = ids.select(F.col("doc_id").alias("_gone"))
+    check = seen.filter("_near").drop("_near").join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return seen.filter(~F.col("_near")).drop("_near").unionByName(check)

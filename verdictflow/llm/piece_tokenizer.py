@@ -154,7 +154,7 @@ class PieceTokenizer:
             sym[out] = self.bytes[np.frombuffer(b"".join(raw), np.uint8)]
         return sym, np.searchsorted(seg, np.arange(len(words) + 1))
 
-    def ids(self, texts: list[str]) -> Iterator[list[int]]:
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         block, size = [], 0
         for i, text in enumerate(texts):
@@ -164,7 +164,7 @@ class PieceTokenizer:
                 yield from self.block(block)
                 block, size = [], 0
 
-    def block(self, block: list[list[str]]) -> Iterator[list[int]]:
+    def block(self, block: list[list[str]]) -> Iterator[np.ndarray]:
         every = list(chain.from_iterable(block))
         words = list(dict.fromkeys(every))
         index = dict(zip(words, range(len(words)), strict=True))
@@ -178,7 +178,7 @@ class PieceTokenizer:
         at = 0
         for e in ends.tolist():
             to = int(stop[e - 1]) if e else 0
-            yield flat[at:to].tolist()
+            yield flat[at:to]
             at = to
 
     def decode(self, ids: list[int]) -> str:
@@ -210,17 +210,18 @@ def model_path(name_or_path: str) -> str:
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            model: str = "piece_bpe_32k.model") -> DataFrame:
-    """One row per input row: doc_id, ids (array of int), decoded (string)."""
+    """One row per input row: doc_id, n_tokens, ids (array of int) and decoded (string)."""
 
     @F.pandas_udf("ids array<int>, decoded string")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         t = tokenizer(model_path(model))
         for texts in batches:
             ids = list(t.ids(texts.tolist()))
-            yield pd.DataFrame({"ids": ids, "decoded": [t.decode(x) for x in ids]})
+            yield pd.DataFrame({"ids": ids, "decoded": [t.decode(x.tolist()) for x in ids]})
 
     return (df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-            .select("doc_id", both("t").alias("b")).select("doc_id", "b.ids", "b.decoded"))
+            .select("doc_id", both("t").alias("b"))
+            .select("doc_id", F.size("b.ids").cast("long").alias("n_tokens"), "b.ids", "b.decoded"))
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -233,7 +234,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         t = tokenizer(model_path(model))
         for texts in batches:
             rows = [(len(ids), sha256(",".join(map(t.decimal.__getitem__, ids))), sha256(t.decode(ids)))
-                    for ids in t.ids(texts.tolist())]
+                    for ids in map(np.ndarray.tolist, t.ids(texts.tolist()))]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return (df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))

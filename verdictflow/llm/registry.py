@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from verdictflow.llm.html_extract import op10_html_extraction
+from verdictflow.llm.jaccard_join import OP6_SQL, op6_jaccard_join
 from verdictflow.llm.piece_tokenizer import op4_sentencepiece
 from verdictflow.llm.quality_rules import op8_quality_rules
 from verdictflow.llm.secret_scan import op3_secret_scan
@@ -22,10 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_top_k": op5_top_k,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_source_mix": op7_source_mix,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op5_top_k": OP5_SQL, "op7_source_mix": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op5_top_k": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_source_mix": OP7_SQL}

@@ -117,6 +117,18 @@ def training_order(mix: DataFrame) -> DataFrame:
             .orderBy("position", "doc_id", "copy"))
 
 
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **plan) -> DataFrame:
+    """The rows of ``df`` as often as the mix takes them, range sorted by training position. Ids are
+    unique but for repeated rows, which share their copies."""
+    order = plan_mix(df, id_col, text_col, source_col, **plan)
+    copies = (order.groupBy(F.col("doc_id").alias("_id")).agg(F.flatten(F.collect_list("positions")).alias("p"),
+                                                              F.count(F.lit(1)).alias("rows"))
+              .filter("size(p) > 0").select("_id", F.explode("p").alias("_position"), "rows"))
+    first = df.dropDuplicates([id_col]) if False else df
+    return (first.join(copies, F.col(id_col).eqNullSafe(F.col("_id")))
+            .orderBy("_position", id_col).select(*[F.col(f"`{c}`") for c in df.columns]))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan, in the order in which documents are first trained on (those never taken come first)."""
     mix = plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
