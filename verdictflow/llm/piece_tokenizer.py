@@ -209,8 +209,8 @@ def model_path(name_or_path: str) -> str:
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           model: str = "piece_bpe_32k.model") -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids (array of int) and decoded (string)."""
+           model: str = "piece_bpe_32k.model", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, ids (array of int), decoded (string) and the columns ``keep``."""
 
     @F.pandas_udf("ids array<int>, decoded string")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -219,9 +219,9 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids = list(t.ids(texts.tolist()))
             yield pd.DataFrame({"ids": ids, "decoded": [t.decode(x.tolist()) for x in ids]})
 
-    return (df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-            .select("doc_id", both("t").alias("b"))
-            .select("doc_id", F.size("b.ids").cast("long").alias("n_tokens"), "b.ids", "b.decoded"))
+    return (df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *keep)
+            .select("doc_id", both("_t").alias("_b"), *keep)
+            .select("doc_id", F.size("_b.ids").cast("long").alias("n_tokens"), "_b.ids", "_b.decoded", *keep))
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -70,12 +70,17 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most
             .select("source", "source_size", "place", "target"))
 
 
+def order_key(id_col: str, text_col: str) -> Column:
+    """Names a row and gives its place in its source."""
+    return F.coalesce(F.md5(F.col(id_col).cast("string")), F.md5(F.col(text_col).cast("string")), F.lit(""))
+
+
 def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES, share: float = 1.5, most: float = 2.0,
              digits: int = 3) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words, repeats counted) and
-    positions (training position of each copy, ascending)."""
-    key = F.coalesce(F.md5(F.col(id_col).cast("string")), F.md5(F.col(text_col).cast("string")), F.lit(""))
+    positions (training position of each copy, ascending); and the key that orders its source."""
+    key = order_key(id_col, text_col)
     source = F.col(source_col).cast("string")
     docs = materialize(df.select(
         F.col(id_col).alias("doc_id"), source.alias("source"),
@@ -108,7 +113,7 @@ def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
                                           for u in places]))
     return (placed.withColumn("positions", positions)
             .select("doc_id", "size", "source_size", "target",
-                    (F.size("positions") * F.col("size")).alias("taken"), "positions"))
+                    (F.size("positions") * F.col("size")).alias("taken"), "positions", "key"))
 
 
 def training_order(mix: DataFrame) -> DataFrame:
@@ -118,21 +123,22 @@ def training_order(mix: DataFrame) -> DataFrame:
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **plan) -> DataFrame:
-    """The rows of ``df`` as often as the mix takes them, range sorted by training position. Ids are
-    unique but for repeated rows, which share their copies."""
-    order = plan_mix(df, id_col, text_col, source_col, **plan)
-    copies = (order.groupBy(F.col("doc_id").alias("_id")).agg(F.flatten(F.collect_list("positions")).alias("p"),
-                                                              F.count(F.lit(1)).alias("rows"))
-              .filter("size(p) > 0").select("_id", F.explode("p").alias("_position"), "rows"))
-    first = df.dropDuplicates([id_col]) if False else df
-    return (first.join(copies, F.col(id_col).eqNullSafe(F.col("_id")))
-            .orderBy("_position", id_col).select(*[F.col(f"`{c}`") for c in df.columns]))
+    """The rows of ``df`` as often as the mix takes them, range sorted by training position. Rows
+    repeated with the same id are equal and share out their copies."""
+    copies = (plan_mix(df, id_col, text_col, source_col, **plan).groupBy(F.col("key").alias("_key"))
+              .agg(F.flatten(F.collect_list("positions")).alias("_p"), F.count(F.lit(1)).alias("_rows"))
+              .filter("size(_p) > 0"))
+    rows = df.withColumn("_key", order_key(id_col, text_col)).join(copies, "_key")
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))  # the join has sorted them so
+    own = F.filter("_p", lambda _, i: F.pmod(i, F.col("_rows")) == F.col("_turn") - 1)
+    return (rows.withColumn("_turn", turn).withColumn("_position", F.explode(own))
+            .orderBy("_position", "_key").select(*[F.col(f"`{c}`") for c in df.columns]))
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan, in the order in which documents are first trained on (those never taken come first)."""
     mix = plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return mix.orderBy(F.get("positions", F.lit(0)), "doc_id").drop("positions")
+    return mix.orderBy(F.get("positions", F.lit(0)), "doc_id").drop("positions", "key")
 
 
 OP7_SQL = """
