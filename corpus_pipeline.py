@@ -8,17 +8,41 @@ last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verdictflow.llm import piece_tokenizer
+from verdictflow.llm import jaccard_join, piece_tokenizer, quality_rules, secret_scan, source_mix
 from verdictflow.session import materialize
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the risk-controlled cutoffs."""
+    return quality_rules.quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies."""
+    return jaccard_join.one_of_each(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, the characters of every secret replaced by as many ``*``."""
+    return secret_scan.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Document copies in training order, sources mixed to their target weights."""
+    return source_mix.mixed(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and their decoded text of every remaining document."""
-    return piece_tokenizer.digests(docs)
+    """Of every copy: doc_id, n_tokens, ids, and whether they decode to its text again."""
+    coded = piece_tokenizer.encode(docs.select("doc_id", "text"), keep=("text",))
+    return coded.select("doc_id", "n_tokens", "ids",
+                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
-STAGES = [("sentencepiece", encode)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix),
+          ("sentencepiece", encode)]
 
 #: Encoding has no SQL; the pipeline is tested against a plain Python version of its stages.
 ORACLE_SQL = None
