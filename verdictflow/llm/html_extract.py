@@ -8,8 +8,7 @@ trees turn them into a log-odds of being article content. Decoding picks, for ev
 box inside an article stays excluded with all it holds, and a page region is entered once per path.
 The best assignment is found exactly, bottom up.
 
-The trees are trained on a bounded sample (``sample`` pages, those with the smallest hash of their
-id): on pages that mark their article, and on layouts generated around the sampled sentences that
+The trees are trained on a bounded sample (``sample`` pages, those with the smallest hash): on pages that mark their article, and on layouts generated around the sampled sentences that
 also hold side bars, notices, adverts, forms and comments, with semantic tags or with bare ``div``
 and class names. All pages are extracted, whole.
 
@@ -394,10 +393,14 @@ class Extractor:
 
 def train(df: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 300,
           longest: int = 200_000) -> Extractor:
-    """Trains on the ``sample`` pages of smallest id hash, of at most ``longest`` characters each: the
-    bound on what comes to the driver."""
-    rows = (df.filter((F.length(html_col) > 0) & (F.length(html_col) <= longest)).select(F.col(html_col).alias("html"))
-            .orderBy(F.xxhash64(F.md5("html"))).limit(sample).collect())
+    """Trains on the ``sample`` distinct pages of smallest hash, of at most ``longest`` characters each:
+    the bound on what comes to the driver."""
+    html = F.col(html_col)
+    pages = df.filter((F.length(html) > 0) & (F.length(html) <= longest)).select(
+        F.xxhash64(F.col(id_col), html).alias("h"), html.alias("html"))
+    # keeps about four times the sample, whatever the size of the table
+    low = int(-2 ** 63 + 2 ** 64 * min(1.0, 4 * sample / max(1, df.count()))) - 1
+    rows = pages.filter(F.col("h") <= low).dropDuplicates(["h"]).orderBy("h").limit(sample).collect()
     return Extractor([r.html for r in rows])
 
 

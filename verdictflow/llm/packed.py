@@ -103,9 +103,10 @@ def suspects(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
     The broadcast side is a Bloom filter: at most 2 ** BLOOM rows.
     """
     def place(c: str):
-        h = F.xxhash64(F.col(c).cast("long"))
+        h = F.xxhash64(F.col(c).cast(kind))
         return F.pmod(h, F.lit(1 << BLOOM)).cast("int"), F.pmod(F.shiftright(h, BLOOM), F.lit(64)).cast("int")
 
+    kind = ids.schema["doc_id"].dataType
     bit = F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
     (word, spot), (there, at) = place(id_col), place("doc_id")
     bloom = (ids.select(there.alias("_word"), F.element_at(bit, at + 1).alias("b")).groupBy("_word")

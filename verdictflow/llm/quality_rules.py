@@ -25,6 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from verdictflow.llm.packed import without
 from verdictflow.session import materialize
 
 BLANK = r"[\x20\x09-\x0D]"
@@ -119,17 +120,15 @@ def thresholds(scored: DataFrame, labels: DataFrame, risk: float = 0.01, error:
     stratum together reject at most ``risk`` of its good texts.
     """
     good = (labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id")
-            .agg(F.min("quality").alias("quality")).filter("quality >= 1").select("doc_id"))
+            .agg(F.min("quality").alias("quality")).filter("quality >= 1")
+            .select(F.col("doc_id").cast(scored.schema["doc_id"].dataType).alias("doc_id")))
     held = scored.join(good, "doc_id")
     # the place of a score in the grid says which cutoffs it exceeds
-    place = []
-    for r, grid in rules.items():
-        value = F.col(f"q.{r}")
-        place.append(F.struct(F.lit(r).alias("rule"),
-                              sum(((value > c).cast("int") for c in grid), F.lit(0)).alias("above")))
+    place = [F.struct(F.lit(r).alias("rule"), F.expr(
+        f"size(filter(array({', '.join(f'{c!r}D' for c in g)}), c -> q.{r} > c))").alias("above")) for r, g in rules.items()]
     counts = (held.select("stratum", F.explode(F.array(*place)).alias("p")).groupBy("stratum", "p.rule", "p.above")
               .agg(F.count(F.lit(1)).alias("m")))
-    grid = F.create_map(*[x for r, g in rules.items() for x in (F.lit(r), F.array(*map(F.lit, g)))])
+    grid = F.expr("map(" + ", ".join(f"'{r}', array({', '.join(f'{c!r}D' for c in g)})" for r, g in rules.items()) + ")")
     # one row per stratum, rule and cutoff: at most strata x rules x grid rows
     cut = (counts.groupBy("stratum", "rule").agg(F.collect_list(F.struct("above", "m")).alias("seen"),
                                                  F.sum("m").alias("n"))
@@ -161,14 +160,15 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return materialize(with_counts(narrow).drop("text"), "quality-scores")
 
 
-def quality_filter(df: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                   **limits) -> DataFrame:
-    """The rows of ``df`` that are kept, unchanged. The rows stay where they are: only the scores of
-    the labelled ones are joined, and the cutoffs come back as a few rows."""
-    cutoffs = materialize(thresholds(score(df, text_col=text_col, lang_col=lang_col), labels, **limits), "quality-cutoffs")
-    rows = df.select(F.struct("*").alias("row"), F.col(text_col).alias("text"),
-                     stratum(F.col(lang_col)).alias("stratum"))
-    return judged(with_counts(rows), cutoffs).filter("kept").select("row.*")
+def quality_filter(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   lang_col: str = "lang", **limits) -> DataFrame:
+    """The rows of ``df`` that are kept, unchanged. Scores travel without texts, and only rows whose id
+    may be rejected are moved. Rows without id are told apart by their text."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), F.md5(F.col(text_col))), F.lit("#"))
+    rows = df.withColumn("_key", key)
+    scored = score(rows, "_key", text_col, lang_col)
+    gone = judged(scored, thresholds(scored, labels, **limits)).filter("NOT kept").select("doc_id").distinct()
+    return without(rows, materialize(gone, "quality-rejected"), "_key").drop("_key")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
