@@ -31,7 +31,7 @@ def pack(keys: np.ndarray, n: int, columns: dict[str, np.ndarray]) -> pa.RecordB
     at = ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(at, kind="stable")
     used, first = np.unique(at[order], return_index=True)
-    ends = [*first[1:].tolist(), len(keys)]
+    ends = np.append(first[1:], len(keys))[:len(used)].tolist()
     out = {"bucket": pa.array(used, pa.int32())}
     for name, values in {"key": keys, **columns}.items():
         values = values[order]
@@ -48,7 +48,7 @@ def per_doc(docs: np.ndarray, pos: np.ndarray) -> tuple[list[int], list[bytes]]:
     order = np.argsort(docs, kind="stable")
     docs, pos = docs[order], pos[order].astype(np.int32)
     used, first = np.unique(docs, return_index=True)
-    ends = [*first[1:].tolist(), len(docs)]
+    ends = np.append(first[1:], len(docs))[:len(used)].tolist()
     return used.tolist(), [pos[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
 
 
