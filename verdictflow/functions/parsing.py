@@ -303,10 +303,12 @@ def fallback_result_sql(message: str) -> str:
             f"'reasoning', concat('Error: ', {message}), 'raw_output', '', 'error', {message})")
 
 
-def default_raw_output_sql(raw: str) -> str:
-    """Printed form of a model answer when the verifier gives none."""
-    return (f"concat({lit("reasoning='")}, coalesce({raw}.reasoning, ''), {lit("' verdict='")}, "
-            f"coalesce({raw}.verdict, ''), {lit("' confidence='")}, coalesce({raw}.confidence, ''), {lit("'")})")
+def printed_answer_sql(reasoning: str, verdict: str, confidence: str) -> str:
+    """Printed form of an answer, one field per line, when the verifier gives none. It shows the
+    normalised verdict, as that replaces the model's own words before the answer is printed."""
+    return (f"concat({lit("Prediction(" + chr(10) + "    reasoning='")}, {reasoning}, "
+            f"{lit("'," + chr(10) + "    verdict='")}, {verdict}, {lit("'," + chr(10) + "    confidence='")}, "
+            f"coalesce({confidence}, ''), {lit("'" + chr(10) + ")")})")
 
 
 # ----------------------------------------------------------------- C11 assembly
@@ -330,7 +332,7 @@ def parse_roles(df: DataFrame, roles, key_col: str = "claim_id", seed: int = 0)
     p1 = [(ident(raw), f"__{out}", out) for raw, out, pol, _ in roles if pol == "p1"]
     temps = []
     if p1:
-        st1, st2, st3, st4, st5 = {}, {}, {}, {}, {}
+        st1, st1b, st1c, st2, st3, st4, st5 = {}, {}, {}, {}, {}, {}, {}
         for raw, t, out in p1:
             err = f"{raw}.error"
             failed = f"({err} IS NOT NULL OR {raw}.verdict IS NULL)"
@@ -341,21 +343,18 @@ def parse_roles(df: DataFrame, roles, key_col: str = "claim_id", seed: int = 0)
                 f"{t}_vt": F.expr(f"CASE WHEN {failed} THEN 'no' ELSE {raw}.verdict END"),
                 f"{t}_ct": F.expr(f"CASE WHEN NOT {failed} THEN {raw}.confidence END"),
                 f"{t}_err": F.expr(err),
-                f"{t}_ro": F.expr(f"CASE WHEN {failed} THEN concat({lit("verdict='no' reasoning='")}, "
-                                  f"{reason}, {lit("'")}) ELSE coalesce({raw}.raw_output, "
-                                  f"{default_raw_output_sql(raw)}) END"),
             })
+            st1b[f"{t}_verdict"] = F.expr(verdict_p1_sql(ident(f"{t}_vt"), ident(f"{t}_reason")))
+            printed = printed_answer_sql(ident(f"{t}_reason"), ident(f"{t}_verdict"), ident(f"{t}_ct"))
+            st1c[f"{t}_ro"] = F.expr(f"coalesce(CASE WHEN NOT {failed} THEN {raw}.raw_output END, {printed})")
             st2[f"{t}_text"] = F.expr(confidence_text_sql(ident(f"{t}_reason"), ident(f"{t}_ro")))
-            st3.update({
-                f"{t}_verdict": F.expr(verdict_p1_sql(ident(f"{t}_vt"), ident(f"{t}_reason"))),
-                f"{t}_pct": F.expr(percent_number_sql(ident(f"{t}_text"))),
-            })
+            st3[f"{t}_pct"] = F.expr(percent_number_sql(ident(f"{t}_text")))
             st4[f"{t}_conf"] = F.expr(confidence_full_sql(ident(f"{t}_ct"), ident(f"{t}_text"),
                                                           percent=ident(f"{t}_pct")))
             st5[out] = F.expr(result_sql(ident(f"{t}_verdict"), ident(f"{t}_conf"), ident(f"{t}_reason"),
                                          ident(f"{t}_ro"), ident(f"{t}_err")))
             temps += [f"{t}_{x}" for x in ("reason", "vt", "ct", "err", "ro", "text", "verdict", "pct", "conf")]
-        for stage in (st1, st2, st3, st4):
+        for stage in (st1, st1b, st1c, st2, st3, st4):
             df = df.withColumns(stage)
         # the result structs and dropping the temporaries: one projection
         keep = [F.col(ident(c)) for c in df.columns if c not in temps and c not in st5]

@@ -19,7 +19,7 @@ from verdictflow.plans.registry import register, with_ctes
 from verdictflow.session import durable_path
 from verdictflow.sources import datasets as D
 from verdictflow.sources import sinks as K
-from verdictflow.sources.derived import document_claims, fixture_verifiers, table
+from verdictflow.sources.derived import document_claims, fixture_verifiers, table, text_key
 
 RAW_LABELS = ("yes", "no", "true", "false", "1", "0", "Yes", " no ", "maybe")
 RAW_LABEL_SPARK = "element_at(array(" + ", ".join(f"'{v}'" for v in RAW_LABELS) + \
@@ -123,7 +123,7 @@ EMPTY_TRUTH_SQL = "CASE WHEN claim_id % 13 = 0 THEN '' ELSE ground_truth END"
 
 
 @register("correct_flag", with_ctes(
-    O.cascade_ctes(claims=f"SELECT claim_id, claim, {EMPTY_TRUTH_SQL} AS ground_truth, lang, source FROM "
+    O.cascade_ctes(claims=f"SELECT claim_id, claim, {EMPTY_TRUTH_SQL} AS ground_truth, lang, source, text_key FROM "
                           f"({O.claims_sql()}) c"),
     "SELECT claim_id, ground_truth, final_verdict, correct FROM res"))
 def q_correct_flag(spark, sf_dir):
@@ -189,7 +189,8 @@ def q_reasoning_preview(spark, sf_dir):
 
 # ----------------------------------------------------------------- E1, E3, E4, F19, G6
 def _unlabelled_claims_sql():
-    return "SELECT doc_id AS claim_id, text AS claim, CAST(NULL AS VARCHAR) AS ground_truth, lang, source FROM documents"
+    return ("SELECT doc_id AS claim_id, text AS claim, CAST(NULL AS VARCHAR) AS ground_truth, lang, source, "
+            f"{O.text_key_sql('text')} AS text_key FROM documents")
 
 
 @register("results_with_truth", with_ctes(
@@ -199,7 +200,8 @@ def _unlabelled_claims_sql():
     "ON r.claim_id = l.doc_id"))
 def q_results_with_truth(spark, sf_dir):
     a, b, j = fixture_verifiers()
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), F.col("text").alias("claim"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), F.col("text").alias("claim"),
+                                                   text_key("text").alias("text_key"))
     r = cascade(docs, a, b, j, GAMMA, truth_col=None)
     truth = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("claim_id"),
@@ -327,7 +329,7 @@ def q_quick_eval(spark, sf_dir):
 def _typed_claims_sql():
     return (f"SELECT *, 'labeled' AS type FROM ({O.claims_sql()}) l UNION ALL "
             f"SELECT d.doc_id AS claim_id, d.text AS claim, CAST(NULL AS VARCHAR) AS ground_truth, d.lang, d.source, "
-            f"'contested_factual' AS type FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
+            f"{O.text_key_sql('d.text')} AS text_key, 'contested_factual' AS type FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
 
 
 def typed_claims(spark, sf_dir):
@@ -335,7 +337,7 @@ def typed_claims(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     contested = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select(
         F.col("doc_id").alias("claim_id"), F.col("text").alias("claim"), F.lit(None).cast("string").alias("ground_truth"),
-        "lang", "source", F.lit("contested_factual").alias("type"))
+        "lang", "source", text_key("text").alias("text_key"), F.lit("contested_factual").alias("type"))
     return labelled.unionByName(contested)
 
 
@@ -539,7 +541,8 @@ def q_run_log(spark, sf_dir):
 
 # ----------------------------------------------------------------- J1, J2
 EVENT_CLAIMS_SQL = ("SELECT event_id AS claim_id, concat_ws(' ', event_type, props) AS claim, "
-                    "CAST(NULL AS VARCHAR) AS ground_truth, event_type FROM events")
+                    "CAST(NULL AS VARCHAR) AS ground_truth, event_type, "
+                    f"{O.text_key_sql("concat_ws(' ', event_type, props)")} AS text_key FROM events")
 
 
 def _event_counters_sql():
@@ -583,7 +586,7 @@ def q_stream_cascade(spark, sf_dir):
     from verdictflow.streaming.stream import event_claims, stream_cascade, stream_table
     a, b, j = fixture_verifiers()
     sink, ckpt = _stream_paths(spark, "stream_cascade")
-    q = stream_cascade(event_claims(stream_table(spark, sf_dir, "events")), a, b, j, sink, ckpt, truth_col=None)
+    q = stream_cascade(event_claims(stream_table(spark, sf_dir, "events")).withColumn("text_key", text_key("claim")), a, b, j, sink, ckpt, truth_col=None)
     q.awaitTermination()
     return spark.read.parquet(sink).select("claim_id", "event_type", "escalated", "final_verdict", "reason")
 
@@ -594,7 +597,7 @@ def q_stream_counters(spark, sf_dir):
     from verdictflow.streaming.stream import event_claims, stream_counters, stream_table
     a, b, j = fixture_verifiers()
     sink, ckpt = _stream_paths(spark, "stream_counters")
-    r = cascade(event_claims(stream_table(spark, sf_dir, "events")), a, b, j, GAMMA, truth_col=None)
+    r = cascade(event_claims(stream_table(spark, sf_dir, "events")).withColumn("text_key", text_key("claim")), a, b, j, GAMMA, truth_col=None)
     q = stream_counters(r, sink, ckpt, by="event_type")
     q.awaitTermination()
     return spark.read.parquet(sink)
@@ -640,7 +643,7 @@ def _udf_answers():
         cols += [f"CASE WHEN length(claim) % 2 = 0 THEN 'yes' ELSE 'no' END AS {p}_v", f"'checked by rule' AS {p}_r",
                  f"'0.95' AS {p}_c", f"CAST(NULL AS VARCHAR) AS {p}_e", f"CAST(NULL AS VARCHAR) AS {p}_o"]
     return (f"SELECT *, {', '.join(cols)}, {O.answers_cols(roles=(('b', 1),))}, "
-            f"'verdict=' || b_v || ' confidence=' || coalesce(b_c, '') AS b_o FROM claims")
+            f"CAST(NULL AS VARCHAR) AS b_o FROM claims")
 
 
 @register("verifier_udf", with_ctes(O.cascade_ctes(answers=_udf_answers(), raw_given=True),
@@ -695,6 +698,6 @@ def q_stream_counters_update(spark, sf_dir):
     from verdictflow.streaming.stream import event_claims, read_counters, stream_counters, stream_table
     a, b, j = fixture_verifiers()
     sink, ckpt = _stream_paths(spark, "stream_counters_update")
-    r = cascade(event_claims(stream_table(spark, sf_dir, "events")), a, b, j, GAMMA, truth_col=None)
+    r = cascade(event_claims(stream_table(spark, sf_dir, "events")).withColumn("text_key", text_key("claim")), a, b, j, GAMMA, truth_col=None)
     stream_counters(r, sink, ckpt, by="event_type", output_mode="update").awaitTermination()
     return read_counters(spark, sink, "event_type")

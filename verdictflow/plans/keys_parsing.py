@@ -83,21 +83,22 @@ def q_confidence_structured(spark, sf_dir):
                                               P.confidence_structured("expr:raw.confidence").alias("value"))
 
 
-def _search_text(d):
-    return d.withColumn("text", P.confidence_text("expr:raw.reasoning", "expr:raw.raw_output"))
+def _search_text(spark, sf_dir):
+    d = parsed(spark, sf_dir)
+    return d.withColumn("text", P.confidence_text("expr:r.reasoning", "expr:r.raw_output"))
 
 
 @register("confidence_percent", with_ctes(O.parse_input_ctes(),
                                           "SELECT claim_id, role, r_conf_percent AS value FROM parsed"), ("value",))
 def q_confidence_percent(spark, sf_dir):
-    return _search_text(role_answers(spark, sf_dir)).select("claim_id", "role",
+    return _search_text(spark, sf_dir).select("claim_id", "role",
                                                             P.confidence_percent("text").alias("value"))
 
 
 @register("confidence_lexicon", with_ctes(O.parse_input_ctes(),
                                           "SELECT claim_id, role, r_conf_lexicon AS value FROM parsed"), ("value",))
 def q_confidence_lexicon(spark, sf_dir):
-    return _search_text(role_answers(spark, sf_dir)).select("claim_id", "role",
+    return _search_text(spark, sf_dir).select("claim_id", "role",
                                                             P.confidence_lexicon("text").alias("value"))
 
 

@@ -28,14 +28,19 @@ def _list(values) -> str:
     return "[" + ", ".join(q(v) for v in values) + "]"
 
 
+def text_key_sql(col: str) -> str:
+    return f"CAST('0x' || substr(md5(coalesce({col}, '')), 1, 7) AS BIGINT)"
+
+
 def claims_sql(with_text: bool = True) -> str:
     text = "d.text AS claim, " if with_text else ""
     return ("SELECT d.doc_id AS claim_id, " + text +
-            "CASE WHEN l.quality = 1 THEN 'yes' ELSE 'no' END AS ground_truth, d.lang AS lang, d.source AS source "
+            "CASE WHEN l.quality = 1 THEN 'yes' ELSE 'no' END AS ground_truth, d.lang AS lang, d.source AS source, "
+            f"{text_key_sql('d.text')} AS text_key "
             "FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
 
 
-def answers_cols(key: str = "claim_id", roles=ROLES, errors: bool = False) -> str:
+def answers_cols(key: str = "text_key", roles=ROLES, errors: bool = False) -> str:
     """Fixture answers ``{p}_v, {p}_r, {p}_c, {p}_e`` per (prefix, role index or SQL for it)."""
     out = []
     for p, x in roles:
@@ -53,7 +58,7 @@ def answers_cols(key: str = "claim_id", roles=ROLES, errors: bool = False) -> st
 
 
 def answers_raw_cols(roles=ROLES) -> str:
-    return ", ".join(f"'verdict=' || {p}_v || ' confidence=' || coalesce({p}_c, '') AS {p}_o" for p, _ in roles)
+    return ", ".join(f"CAST(NULL AS VARCHAR) AS {p}_o" for p, _ in roles)
 
 
 def _any(col: str, words) -> str:
@@ -74,16 +79,10 @@ def p1_stages(p: str) -> list[str]:
     failed = f"({p}_e IS NOT NULL OR {p}_v IS NULL)"
     reason = (f"CASE WHEN {p}_e IS NOT NULL THEN 'Error: ' || {p}_e WHEN {p}_v IS NULL THEN 'Model output error' "
               f"ELSE coalesce({p}_r, '') END")
-    default_raw = (f"'reasoning=''' || coalesce({p}_r, '') || ''' verdict=''' || coalesce({p}_v, '') || "
-                   f"''' confidence=''' || coalesce({p}_c, '') || ''''")
     s1 = [f"{reason} AS {p}_reason",
           f"CASE WHEN {failed} THEN 'no' ELSE {p}_v END AS {p}_vt",
-          f"CASE WHEN NOT {failed} THEN {p}_c END AS {p}_ct",
-          f"CASE WHEN {failed} THEN 'verdict=''no'' reasoning=''' || ({reason}) || '''' "
-          f"ELSE coalesce({p}_o, {default_raw}) END AS {p}_ro"]
-    s2 = [f"lower(coalesce({p}_vt, '')) AS {p}_t",
-          f"lower(coalesce({p}_reason, '') || ' ' || coalesce({p}_ro, '')) AS {p}_text",
-          f"{strip_sql(p + '_ct')} AS {p}_cs"]
+          f"CASE WHEN NOT {failed} THEN {p}_c END AS {p}_ct"]
+    s2 = [f"lower(coalesce({p}_vt, '')) AS {p}_t", f"{strip_sql(p + '_ct')} AS {p}_cs"]
     t, text = f"{p}_t", f"{p}_text"
     hy, hn = _any(t, YES_WORDS), _any(t, NO_WORDS)
     verdict = (f"CASE WHEN {hy} AND {hn} THEN CASE WHEN {_count(t, YES_COUNTED)} > {_count(t, NO_COUNTED)} "
@@ -97,16 +96,19 @@ def p1_stages(p: str) -> list[str]:
                              for w, v in CONFIDENCE_LEXICON) + " END"
     structured = (f"CASE WHEN regexp_matches({p}_cs, {q(NUMERIC_RE)}) THEN "
                   f"least(greatest(TRY_CAST({p}_cs AS DOUBLE), 0.0), 1.0) END")
-    s3 = [f"{verdict} AS {p}_verdict",
-          f"{structured} AS {p}_conf_structured",
-          f"CASE WHEN contains({text}, '%') THEN coalesce({', '.join(extracts)}) END AS {p}_pf",
+    s2b = [f"{verdict} AS {p}_verdict", f"{structured} AS {p}_conf_structured"]
+    # the printed answer: one field per line, the verdict already reduced to yes / no
+    printed = (f"'Prediction(' || chr(10) || '    reasoning=''' || {p}_reason || ''',' || chr(10) || '    verdict=''' || "
+               f"{p}_verdict || ''',' || chr(10) || '    confidence=''' || coalesce({p}_ct, '') || '''' || chr(10) || ')'")
+    s2c = [f"lower({p}_reason || ' ' || coalesce(CASE WHEN NOT {failed} THEN {p}_o END, {printed})) AS {p}_text"]
+    s3 = [f"CASE WHEN contains({text}, '%') THEN coalesce({', '.join(extracts)}) END AS {p}_pf",
           f"{lex} AS {p}_conf_lexicon"]
     s4 = [f"CASE WHEN {p}_verdict = 'yes' THEN 1 ELSE 0 END AS {p}_prediction",
           f"CASE WHEN {p}_pf IS NOT NULL THEN least(CASE WHEN {p}_pf > 1 THEN {p}_pf / 100 ELSE {p}_pf END, 1.0) "
           f"END AS {p}_conf_percent"]
     s5 = [f"coalesce({p}_conf_structured, {p}_conf_percent, {p}_conf_lexicon, {DEFAULT_CONFIDENCE}) AS {p}_confidence",
           f"{p}_reason AS {p}_reasoning"]
-    return [", ".join(s) for s in (s1, s2, s3, s4, s5)]
+    return [", ".join(s) for s in (s1, s2, s2b, s2c, s3, s4, s5)]
 
 
 def p2_cols(p: str) -> str:
@@ -296,9 +298,9 @@ def sweep_ctes(gammas, policy: str = "p1", prefix: str = "", **kw) -> str:
 
 def parse_input_ctes(errors: bool = False, policy: str | None = "p1", role: str = "r") -> str:
     """Every document x role index with its fixture answer, prefix ``r``; then the parser stages."""
-    pin = (f"SELECT claim_id, x, CASE x WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'judge' END AS role, "
+    pin = (f"SELECT claim_id, text_key, x, CASE x WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'judge' END AS role, "
            f"{answers_cols(roles=(('r', 'x'),), errors=errors)} "
-           f"FROM (SELECT doc_id AS claim_id, unnest([0, 1, 2]) AS x FROM documents) d")
+           f"FROM (SELECT doc_id AS claim_id, {text_key_sql('text')} AS text_key, unnest([0, 1, 2]) AS x FROM documents) d")
     ctes = [f"pin0 AS ({pin})", f"pin AS (SELECT *, {answers_raw_cols((('r', 0),))} FROM pin0)"]
     prev = "pin"
     if policy == "p1":

@@ -3,8 +3,9 @@
 The driver tables hold no claims or model answers, so tests and benchmarks
 use a *derived verdict relation*: claims are ``documents`` joined to ``labels``
 (truth = ``quality``), and each role's answer is picked from fixed phrase
-lists by integer arithmetic on the claim key. The same recipe is written in
-DuckDB SQL for the oracle, so both engines see identical inputs.
+lists by a checksum of the whole claim text, so every answer reads its claim.
+The same recipe is written in DuckDB SQL for the oracle, so both engines see
+identical inputs.
 """
 
 from __future__ import annotations
@@ -15,18 +16,17 @@ from pyspark.sql import functions as F
 from verdictflow.functions.parsing import ident, lit
 from verdictflow.operators.verifiers import RuleVerifier
 
-# Phrase lists of the derived verdict relation (test fixture).
+# Phrase lists of the derived verdict relation (test fixture): every branch of the parsers is met.
 FIXTURE_VERDICTS = (
-    "yes", "No.", "Yes, this is correct", "No, this is false", "True statement",
-    "Invalid claim", "ambiguous response", "incorrect", "invalid", "valid",
-    "untrue", "not true", "unknown", "yes, no doubt", "I cannot say",
-    "maybe", "", "  TRUE\n", "yes yes no", "false. Not correct",
+    "yes", "no", "Yes - the sources agree", "no: two dates differ", "that is TRUE", "Valid as stated",
+    "mixed picture", "incorrect.", "Invalid", "valid", "untrue at best", "certainly not true", "open question",
+    "yes; no contrary source", "will not say", "maybe", "", "\tYes\n", "true, true, no", "False - not correct",
 )
 FIXTURE_REASONINGS = (
-    "", "I am 95% confident this is correct", "I am definitely sure this is accurate",
-    "I might be wrong but this seems false", "I am uncertain", "not sure at all", "this is unlikely",
-    "1% confident", "0.5% sure", "1.2.3% confident", "doubtful", "could be wrong", "I believe so",
-    "this is incorrect", "plain text", "probability of about 35%", "extremely confident",
+    "", "about 80% confident after a second look", "the wording is definitely accurate", "it might rest on a typo",
+    "uncertain without the table", "not sure the place exists", "an unlikely reading", "2% confident", "0.4% sure",
+    "3.4.5% confident", "a doubtful source", "this could be a copy", "I believe the date", "wrong year, incorrect",
+    "no further remark", "probability near 60%", "extremely close match",
 )
 ROLE_INDEX = {"a": 0, "b": 1, "judge": 2}
 
@@ -35,11 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def text_key(col: str) -> Column:
+    """A number that depends on the whole text."""
+    return F.expr(f"CAST(conv(substr(md5(coalesce({col}, '')), 1, 7), 16, 10) AS BIGINT)")
+
+
 def document_claims(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
     """Labelled claims: ``documents JOIN labels USING (doc_id)``.
 
     ``claim_id`` = doc_id, ``claim`` = the whole document text, ``ground_truth``
-    = 'yes' when ``quality = 1``; ``lang`` and ``source`` pass through.
+    = 'yes' when ``quality = 1``; ``lang`` and ``source`` pass through. The
+    fixture verifiers answer by ``text_key``.
     """
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
@@ -47,7 +53,7 @@ def document_claims(spark: SparkSession, sf_dir: str, with_text: bool = True) ->
     if with_text:
         cols.append(F.col("d.text").alias("claim"))
     cols += [F.when(F.col("l.quality") == 1, F.lit("yes")).otherwise(F.lit("no")).alias("ground_truth"),
-             F.col("d.lang").alias("lang"), F.col("d.source").alias("source")]
+             F.col("d.lang").alias("lang"), F.col("d.source").alias("source"), text_key("d.text").alias("text_key")]
     return docs.alias("d").join(labels.alias("l"), F.col("d.doc_id") == F.col("l.doc_id"), "inner").select(*cols)
 
 
@@ -72,32 +78,32 @@ def fixture_answer_sql(role, key: str, errors: bool = False) -> str:
         err = f"CASE WHEN ({key} + {x}) % 7 = 3 THEN 'timeout' END"
         verdict = f"CASE WHEN ({key} + {x}) % 11 = 5 THEN CAST(NULL AS STRING) ELSE {verdict} END"
     return (f"named_struct('verdict', {verdict}, 'confidence', {conf}, 'reasoning', {reasoning}, "
-            f"'raw_output', concat('verdict=', {verdict}, ' confidence=', coalesce({conf}, '')), "
+            f"'raw_output', CAST(NULL AS STRING), "
             f"'error', {err}, 'elapsed_ms', CAST(NULL AS DOUBLE))")
 
 
-def fixture_answer(role, key: str = "claim_id", errors: bool = False) -> Column:
+def fixture_answer(role, key: str = "text_key", errors: bool = False) -> Column:
     return F.expr(fixture_answer_sql(role, ident(key), errors))
 
 
 def role_answers(spark: SparkSession, sf_dir: str, errors: bool = False) -> DataFrame:
     """Every document x every role with its fixture raw answer: ``claim_id, x, role, raw``."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"))
-    d = d.select("claim_id", F.expr("explode(array(0, 1, 2)) AS x"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), text_key("text").alias("text_key"))
+    d = d.select("claim_id", "text_key", F.expr("explode(array(0, 1, 2)) AS x"))
     return d.select("claim_id", "x", F.expr("CASE x WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'judge' END AS role"),
-                    F.expr(fixture_answer_sql("expr:x", "claim_id", errors)).alias("raw"))
+                    F.expr(fixture_answer_sql("expr:x", "text_key", errors)).alias("raw"))
 
 
-def fixture_verifier(role: str | int, key_col: str = "claim_id", errors: bool = False) -> RuleVerifier:
+def fixture_verifier(role: str | int, key_col: str = "text_key", errors: bool = False) -> RuleVerifier:
     """D3 rule verifier answering with the derived relation for ``role``."""
     return RuleVerifier(lambda claim: fixture_answer(role, key_col, errors), name=f"fixture_{role}")
 
 
-def fixture_verifiers(key_col: str = "claim_id", errors: bool = False):
+def fixture_verifiers(key_col: str = "text_key", errors: bool = False):
     return tuple(fixture_verifier(r, key_col, errors) for r in ("a", "b", "judge"))
 
 
 def fixture_outputs(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
     """Precomputed answers of one role for every document (input of a TableVerifier, D4)."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), text_key("text").alias("text_key"))
     return d.select("claim_id", fixture_answer(role).alias("r")).select("claim_id", "r.*")
