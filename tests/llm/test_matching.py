@@ -124,7 +124,7 @@ def test_join_is_exact(spark, documents, seed):
 def test_signatures_miss_no_link():
     """Pairs at the threshold share a signature in all bands, also with frequent features last."""
     rng = np.random.default_rng(5)
-    for size in (1, 2, 3, 4, 7, 8, 12, 40, 187, 188, 299, 300, 301, 700, 2500):
+    for size in (1, 2, 3, 4, 7, 8, 9, 10, 11, 12, 13, 40, 187, 300, 700, 2500):
         base = rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2)
         for drop in range(0, size // 4 + 1, max(1, size // 8)):
             for add in range(0, size // 3 + 1, max(1, size // 8)):
@@ -133,19 +133,12 @@ def test_signatures_miss_no_link():
                 if not jaccard_join.linked(inter, len(a), len(b)):
                     continue
                 frequent = np.sort(rng.choice(base, size // 3 + 1))
-                key, owner, short = jaccard_join.signatures([a, b], frequent, frozenset())
-                assert set(key[owner == 0]) & set(key[owner == 1]) and not short
+                key, owner = jaccard_join.signatures([a, b], frequent)
+                assert set(key[owner == 0]) & set(key[owner == 1])
                 assert jaccard_join.least_difference(jaccard_join.sketch(a), jaccard_join.sketch(b)) \
                     <= len(a) + len(b) - 2 * inter <= jaccard_join.most_difference(len(a), len(b))
 
 
-def test_bands_hold_every_linked_pair():
-    for a in range(1, 400):
-        for b in range(a, a * 100 // 75 + 1):
-            assert any(low <= a and b <= high and jaccard_join.most_difference(a, b) <= k
-                       for low, high, k in jaccard_join.bands(b))
-
-
 def test_join_awkward_rows(spark, documents):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(4, text), (4, text), (2, text.upper()), (None, text), (6, None), (7, " \n"), (8, "one two"), (9, "One  two"),
