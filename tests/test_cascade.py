@@ -189,3 +189,32 @@ def test_attach_truth_and_judge_partitions(spark):
     assert [got[i]["correct"] for i in range(6)] == [True, False, True, True, False, None]
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(claim_id" in plan
+
+
+@pytest.mark.parametrize("use", ["count", "one column", "metrics"])
+def test_blank_claims_fail_whatever_is_selected(spark, use):
+    from verdictflow.operators.metrics import evaluation_metrics
+    a, j = constant_verifier("yes"), constant_verifier("no")
+    claims = spark.createDataFrame([(1, "fine", "yes"), (2, " \n", "no")], "claim_id long, claim string, ground_truth string")
+    r = cascade(claims, a, a, j, 0.7)
+    with pytest.raises(Exception, match="Claim cannot be empty"):
+        r.count() if use == "count" else r.select("escalated").collect() if use == "one column" \
+            else evaluation_metrics(r).collect()
+
+
+def test_kept_blank_claims_are_not_sent(spark):
+    a, j = constant_verifier("yes", confidence="0.9"), constant_verifier("yes")
+    claims = spark.createDataFrame([(1, "fine"), (2, "  "), (3, None)], "claim_id long, claim string")
+    r = {x["claim_id"]: x for x in cascade(claims, a, a, j, 0.7, truth_col=None, blank="keep").collect()}
+    assert r[1]["final_verdict"] == "yes" and {r[2]["final_verdict"], r[3]["final_verdict"]} == {"no"}
+    assert r[2]["a"]["reasoning"] == "Empty claim" == r[3]["judge"]["reasoning"] and r[2]["a"]["confidence"] == 0.6
+
+
+def test_sweep_beyond_the_cascade_fails(spark):
+    from verdictflow.plans.sweep import gamma_sweep
+    a, j = constant_verifier("yes", confidence="0.5"), constant_verifier("no")
+    claims = spark.createDataFrame([(i, f"claim {i}", "no") for i in range(9)], "claim_id long, claim string, ground_truth string")
+    low = cascade(claims, a, a, j, 0.1)
+    assert gamma_sweep(low, [0.1]).count() == 1
+    with pytest.raises(Exception, match="the judge was not asked"):
+        gamma_sweep(low, [0.1, 0.9]).collect()

@@ -17,7 +17,7 @@ from verdictflow.operators.cascade import cascade
 from verdictflow.plans import compare as C
 from verdictflow.sources import datasets as D
 from verdictflow.sources import sinks as K
-from verdictflow.sources.derived import document_claims, fixture_verifiers
+from verdictflow.sources.derived import document_claims, fixture_verifiers, text_key
 
 
 def test_dense_index_matches_brute_force(spark):
@@ -87,7 +87,7 @@ def test_json_csv_roundtrip(spark, tmp_path):
     df = spark.createDataFrame([(0, "a, \"q\"\nb", "yes"), (1, "plain", "no")], "claim_id long, claim string, label string")
     for suffix in (".csv", ".json", ".jsonl", ".parquet"):
         p = str(tmp_path / f"out{suffix}")
-        K.save_dataset(df, p, metadata={"source": "test"})
+        K.save_dataset(df, p, metadata={"source": "test"}, max_rows=1000)
         back = sorted((x["claim"], x["label"]) for x in D.read_claims(spark, p).collect())
         assert back == [("a, \"q\"\nb", "yes"), ("plain", "no")], suffix
     with pytest.raises(ValueError, match="Unsupported file format"):
@@ -99,18 +99,35 @@ def test_json_csv_roundtrip(spark, tmp_path):
 
 
 def test_named_datasets(spark):
-    t = D.load_named_dataset(spark, "test", 20, seed=0)
+    pool = spark.createDataFrame([(i, f"claim {i}", "yes" if i % 2 else "no") for i in range(30)],
+                                 "claim_id long, claim string, label string")
+    sets = {"test": pool, "hard": pool.limit(16)}
+    t = D.load_named_dataset(spark, "test", 20, seed=0, named=sets)
     labels = [r["label"] for r in t.collect()]
     assert len(labels) == 20 and labels.count("yes") == 10
-    odd = D.load_named_dataset(spark, "test", 7, seed=0).collect()
+    odd = D.load_named_dataset(spark, "test", 7, seed=0, named=sets).collect()
     assert len(odd) == 7  # rounded up to 8, then one dropped (quirk Q18)
-    assert D.load_named_dataset(spark, "edge_cases").count() == 16
-    cont = D.load_named_dataset(spark, "controversial").collect()
-    assert len(cont) == 14 and sum(r["label"] == "yes" for r in cont) == 5
+    assert D.load_named_dataset(spark, "hard", named=sets).count() == 16
     with pytest.raises(ValueError, match="Unknown dataset|Unsupported"):
         D.load_named_dataset(spark, "no_such_dataset")
 
 
+def test_ids_do_not_collide(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / "d.json").mkdir(exist_ok=True)
+        (tmp_path / "d.json" / f"{name}.json").write_text(json.dumps({"claims": ["x", "y"], "labels": ["yes", "no"]}))
+    (tmp_path / "d.json" / "c.json").write_text(json.dumps([{"claim": "z", "label": "no"}]))
+    got = D.read_claims(spark, str(tmp_path / "d.json")).collect()
+    assert len(got) == 5 and len({r["claim_id"] for r in got}) == 5
+    some = tmp_path / "some.jsonl"
+    some.write_text('{"claim_id": 1, "claim": "a", "label": "yes"}\n{"claim": "b", "label": "no"}\n')
+    with pytest.raises(Exception, match="claim_id is missing"):
+        D.read_claims(spark, str(some)).count()
+    none = tmp_path / "none.jsonl"
+    none.write_text('{"claim": "a", "label": "yes"}\n{"claim": "b", "label": "no"}\n')
+    assert len({r["claim_id"] for r in D.read_claims(spark, str(none)).collect()}) == 2
+
+
 def test_validation(spark):
     ok = spark.createDataFrame([("yes",), ("no",), ("true",), ("0",)], "label string")
     s = V.validate_dataset(ok, require_balanced=True)
@@ -182,12 +199,12 @@ def test_catalog(spark):
 def test_streaming_counters_equal_batch(spark, sf, tmp_path):
     from verdictflow.streaming.stream import counter_frame, event_claims, stream_counters, stream_table
     a, b, j = fixture_verifiers()
-    r = cascade(event_claims(stream_table(spark, sf, "events")), a, b, j, 0.7, truth_col=None)
+    r = cascade(event_claims(stream_table(spark, sf, "events")).withColumn("text_key", text_key("claim")), a, b, j, 0.7, truth_col=None)
     q = stream_counters(r, str(tmp_path / "sink"), str(tmp_path / "ckpt"), by="event_type")
     q.awaitTermination()
     got = {x["event_type"]: x.asDict() for x in spark.read.parquet(str(tmp_path / "sink")).collect()}
     ev = spark.read.parquet(f"{sf}/events.parquet")
-    batch = counter_frame(cascade(event_claims(ev), a, b, j, 0.7, truth_col=None), by="event_type").collect()
+    batch = counter_frame(cascade(event_claims(ev).withColumn("text_key", text_key("claim")), a, b, j, 0.7, truth_col=None), by="event_type").collect()
     assert {x["event_type"]: x.asDict() for x in batch} == got
 
 
@@ -228,11 +245,11 @@ def test_report_rendering(spark, sf):
 def test_streaming_update_mode(spark, sf, tmp_path):
     from verdictflow.streaming.stream import counter_frame, event_claims, read_counters, stream_counters, stream_table
     a, b, j = fixture_verifiers()
-    r = cascade(event_claims(stream_table(spark, sf, "events", max_files_per_trigger=1)), a, b, j, 0.7,
+    r = cascade(event_claims(stream_table(spark, sf, "events", max_files_per_trigger=1)).withColumn("text_key", text_key("claim")), a, b, j, 0.7,
                 truth_col=None)
     q = stream_counters(r, str(tmp_path / "sink"), str(tmp_path / "ckpt"), by="event_type", output_mode="update")
     q.awaitTermination()
     got = {x["event_type"]: x.asDict() for x in read_counters(spark, str(tmp_path / "sink"), "event_type").collect()}
     ev = spark.read.parquet(f"{sf}/events.parquet")
-    batch = counter_frame(cascade(event_claims(ev), a, b, j, 0.7, truth_col=None), by="event_type").collect()
+    batch = counter_frame(cascade(event_claims(ev).withColumn("text_key", text_key("claim")), a, b, j, 0.7, truth_col=None), by="event_type").collect()
     assert {x["event_type"]: x.asDict() for x in batch} == got

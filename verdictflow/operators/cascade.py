@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from verdictflow.functions import parsing as P
-from verdictflow.operators.verifiers import Verifier
+from verdictflow.operators.verifiers import Verifier, raw_answer
 
 POLICIES = ("p1", "p2", "p3")
 RESULT_COLUMNS = ("a", "b", "judge", "agree", "min_confidence", "mean_confidence", "gamma", "escalated", "reason",
@@ -79,7 +79,8 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
     ``claims`` needs ``id_col`` and ``claim_col``; ``truth_col`` (yes/no) is optional.
     Other columns pass through. ``gamma`` may be a number or a Column (D7).
     ``blank='fail'`` aborts on a blank claim like the reference, ``'quarantine'``
-    drops it here (use :func:`split_blank_claims` to keep the rejects).
+    drops it here (use :func:`split_blank_claims` to keep the rejects), ``'keep'``
+    answers it with 'no' ("Empty claim") without asking a model.
     ``row_error_col`` names a column whose non-NULL value fails the row as a
     whole (D13 fallback: prediction 0, confidence 0.1, escalated).
     ``judge_gate`` overrides which rows the judge is asked about.
@@ -98,15 +99,26 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
     claim = F.col(claim_col)
     df = claims
     if blank == "fail":
-        df = df.withColumn(claim_col, F.when(blank_claim(claim_col), F.raise_error(F.lit("Claim cannot be empty")))
-                           .otherwise(claim))
+        # a filter, so that no choice of columns can prune the check away
+        df = df.filter(F.when(blank_claim(claim_col), F.raise_error(F.lit("Claim cannot be empty")).cast("boolean"))
+                       .otherwise(True))
     elif blank == "quarantine":
         df = df.filter(~blank_claim(claim_col))
     elif blank != "keep":
         raise ValueError("blank must be 'fail', 'quarantine' or 'keep'")
 
-    df = verifier_a.answers(df, "__a_raw", claim)
-    df = verifier_b.answers(df, "__b_raw", claim)
+    # a kept blank claim is not sent to a model: every verifier answers it with 'no'
+    full = ~blank_claim(claim_col) if blank == "keep" else None
+
+    def answered(d: DataFrame, verifier: Verifier, name: str, gate: Column | None = None) -> DataFrame:
+        if full is None:
+            return verifier.answers(d, name, claim, gate=gate) if gate is not None else verifier.answers(d, name, claim)
+        d = verifier.answers(d, name, claim, gate=full if gate is None else gate & full)
+        empty = raw_answer("no", reasoning="Empty claim")
+        return d.withColumn(name, F.when(full, F.col(name)).when(F.lit(True) if gate is None else gate, empty))
+
+    df = answered(df, verifier_a, "__a_raw")
+    df = answered(df, verifier_b, "__b_raw")
     df = P.parse_roles(df, [("__a_raw", "a", pa, biases[0]), ("__b_raw", "b", pb, biases[1])], id_col, seed)
     failed = f"({P.ident(row_error_col)} IS NOT NULL)" if row_error_col else "FALSE"
     if row_error_col:
@@ -131,7 +143,7 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
     if judge_partitions:
         df = df.repartition(judge_partitions, F.col(id_col))
     ask = F.col("escalated") if judge_gate is None else judge_gate
-    df = judge.answers(df, "__j_raw", claim, gate=ask & ~F.expr(failed))
+    df = answered(df, judge, "__j_raw", ask & ~F.expr(failed))
     df = P.parse_role(df, "__j_raw", "judge", pj, id_col, seed)
     jfb = P.fallback_result_sql(f"CAST({P.ident(row_error_col)} AS STRING)") if row_error_col else "NULL"
     truth = P.ident(truth_col) if truth_col and truth_col in claims.columns else "CAST(NULL AS STRING)"

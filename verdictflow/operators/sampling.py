@@ -20,10 +20,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdictflow.session import ensure_checkpoint_dir
+from verdictflow.session import ensure_checkpoint_dir, materialize
 
-SMALL_TAKE = 10_000  # up to this many rows, top-n uses TakeOrdered (each task keeps n rows)
-BROADCAST_POOL_ROWS = 1_000_000  # a counted pool up to this size is broadcast to the draws
+SALTS = 8            # parts in which a drawn pool row is joined
 _LOCAL_BITS = 33     # monotonically_increasing_id = partition_index << 33 | row_in_partition
 
 
@@ -66,12 +65,10 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "pos",
 
 
 def top_n(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:
-    """The first ``n`` rows of a total order. Small n: TakeOrdered; large n: exact positions."""
+    """The first ``n`` rows of a total order, sorted by it."""
     if n < 0:
         raise ValueError("n must be >= 0")
-    if n <= SMALL_TAKE:
-        return df.orderBy(*order).limit(n)
-    return dense_index(df, order, "__pos").filter(F.col("__pos") < n).drop("__pos")
+    return dense_index(df, order, "__pos").filter(F.col("__pos") < n).orderBy("__pos").drop("__pos")
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 0, key: str = "claim_id") -> DataFrame:
@@ -143,18 +140,17 @@ def synthetic_alternating(spark, pool: DataFrame, size: int, seed: int = 0, trut
     slots = slots.withColumn(truth_col, F.when(F.col("i") % 2 == 0, F.lit("yes")).otherwise(F.lit("no")))
     slots = slots.withColumn("__idx", draw % F.when(F.col(truth_col) == "yes", F.lit(counts["yes"]))
                              .otherwise(F.lit(counts["no"])))
-    pool_side = numbered.drop("__g")
-    if counts["yes"] + counts["no"] <= BROADCAST_POOL_ROWS:
-        # the pool's size was just counted: a small pool is broadcast, so the few keys every
-        # slot draws from never become hot shuffle partitions
-        pool_side = F.broadcast(pool_side)
-    return slots.join(pool_side, [truth_col, "__idx"]).drop("__idx")
+    # a small pool is drawn from by very many slots: its rows are copied to SALTS parts of the slots
+    pool_side = numbered.drop("__g").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    slots = slots.withColumn("__salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int"))
+    return slots.join(pool_side, [truth_col, "__idx", "__salt"]).drop("__idx", "__salt")
 
 
 def running_rates(results: DataFrame, order: Sequence[str] = ("claim_id",), every: int = 10) -> DataFrame:
     """Running escalation rate and accuracy at rows i > 0 with i % every == 0 (0-based)."""
     # only the order key and the two flags are positioned (and checkpointed), not the whole result rows
-    slim = results.select(*order, "escalated", "correct")
+    # written first: range partitioning samples its input, and models must not be asked twice
+    slim = materialize(results.select(*order, "escalated", "correct"), "running-rates")
     idx = dense_index(slim, list(order), "i", sums={
         "__esc": F.col("escalated").cast("long"),
         "__ok": F.coalesce(F.col("correct"), F.lit(False)).cast("long")})

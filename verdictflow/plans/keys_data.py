@@ -604,33 +604,16 @@ def q_stream_counters(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- A1 - A3, D1, D14/F21, I1
-def _written(spark, sf_dir, suffix, records=False):
+def _written(spark, sf_dir, suffix):
     """Labelled claims written by Spark in a reference file format, to be read back."""
     path = durable_path(spark, "claims") + suffix
-    c = document_claims(spark, sf_dir).withColumnRenamed("ground_truth", "label")
-    if records:  # a JSON array of {claim, label} records: one document, written by one task
-        one = c.agg(F.sort_array(F.collect_list(F.struct("claim_id", "claim", "label"))).alias("r"))
-        recs = F.transform("r", lambda x: F.struct(x["claim"].alias("claim"), x["label"].alias("label")))
-        one.select(F.to_json(recs).alias("value")).coalesce(1) \
-            .write.mode("overwrite").text(path)
-    else:
-        K.save_dataset(c, path)
+    K.save_dataset(document_claims(spark, sf_dir).withColumnRenamed("ground_truth", "label"), path)
     return path
 
 
 CLAIM_LABEL_SQL = with_ctes(f"c AS ({O.claims_sql()})", "SELECT claim, ground_truth AS label FROM c")
 
 
-@register("read_json_records", CLAIM_LABEL_SQL)
-def q_read_json_records(spark, sf_dir):
-    return D.read_json_records(spark, _written(spark, sf_dir, ".json", records=True)).select("claim", "label")
-
-
-@register("read_json_columns", CLAIM_LABEL_SQL)
-def q_read_json_columns(spark, sf_dir):
-    return D.read_json_columns(spark, _written(spark, sf_dir, ".json")).select("claim", "label")
-
-
 @register("read_csv", CLAIM_LABEL_SQL)
 def q_read_csv(spark, sf_dir):
     return D.read_csv(spark, _written(spark, sf_dir, ".csv")).select("claim", "label")

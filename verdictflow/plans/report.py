@@ -118,8 +118,8 @@ def sweep_report_rows_p2(sweep: DataFrame) -> DataFrame:
 
 
 def render_report(rows: DataFrame, title: str = "CASCADE EVALUATION REPORT") -> str:
-    """Text form of report rows (collects the few report rows only)."""
-    got = rows.limit(100).collect()
+    """Text form of report rows (the rows of one report, read one partition at a time)."""
+    got = rows.toLocalIterator()
     lines = ["=" * 80, title, "=" * 80]
     for r in got:
         v = r["value"]

@@ -28,15 +28,12 @@ from verdictflow.functions.parsing import ident
 from verdictflow.operators import metrics as M
 
 DEFAULT_GAMMAS = (0.1, 0.3, 0.5, 0.7, 0.8, 0.9, 0.95)
-MAX_GAMMAS = 100_000  # sanity bound on the parameter list (it is shipped inside the plan)
 
 
 def _check_gammas(gammas: Sequence[float]) -> list[float]:
     gs = [float(g) for g in gammas]
     if not gs:
         raise ValueError("gamma list is empty")
-    if len(gs) > MAX_GAMMAS:
-        raise ValueError(f"at most {MAX_GAMMAS} gamma values")
     for g in gs:
         if not 0.0 <= g <= 1.0:
             raise ValueError("gamma must be between 0 and 1")
@@ -52,12 +49,8 @@ def escalation_bucket(sorted_gammas: Sequence[float], policy: str = "p1") -> Col
     always = ~F.col("agree") | (F.col("reason") == "error")
     if policy == "p3":
         return F.when(always, F.lit(0)).otherwise(F.lit(len(sorted_gammas)))
-    if len(sorted_gammas) <= 64:  # a sum of comparisons stays in generated code
-        k = " + ".join(f"CASE WHEN min_confidence >= {float(g)!r}D THEN 1 ELSE 0 END" for g in sorted_gammas)
-        return F.when(always, F.lit(0)).otherwise(F.expr(k))
-    arr = F.array(*[F.lit(g) for g in sorted_gammas])
-    mc = F.col("min_confidence")
-    return F.when(always, F.lit(0)).otherwise(F.size(F.filter(arr, lambda g: g <= mc)))
+    gammas = ", ".join(f"{float(g)!r}D" for g in sorted_gammas)
+    return F.when(always, F.lit(0)).otherwise(F.expr(f"size(filter(array({gammas}), g -> g <= min_confidence))"))
 
 
 def _bucket_sums(results: DataFrame, sorted_gammas, keys, truth_col, policy, mask: str | None = None) -> DataFrame:
@@ -144,7 +137,7 @@ def gamma_sweep(results: DataFrame, gammas: Sequence[float] = DEFAULT_GAMMAS, by
     judge answered every row some gamma escalates (see :func:`sweep_results`).
     """
     keys = _keys(by)
-    s = sweep_sums(results, gammas, by, truth_col, policy)
+    s = sweep_sums(with_judge_checked(results, gammas, policy), gammas, by, truth_col, policy)
     return s.select(*keys, "pos", "gamma", *M.derive_metrics(), "positive", "negative")
 
 
@@ -152,10 +145,21 @@ def sweep_metrics_p2(results: DataFrame, gammas: Sequence[float] = DEFAULT_GAMMA
                      truth_col: str = "ground_truth") -> DataFrame:
     """the P2 harness's 11 columns per gamma (single evaluation, quirk Q7)."""
     keys = _keys(by)
-    s = sweep_sums(results, gammas, by, truth_col, "p2")
+    s = sweep_sums(with_judge_checked(results, gammas, "p2"), gammas, by, truth_col, "p2")
     return s.select(*keys, "pos", "gamma", *M.harness_metrics_from_sums())
 
 
+def with_judge_checked(results: DataFrame, gammas: Sequence[float], policy: str = "p1") -> DataFrame:
+    """Fails on rows that some gamma escalates but whose cascade, run at a lower gamma, never asked
+    the judge: without its answer every metric of that gamma would be wrong."""
+    if policy == "p3" or "judge" not in results.columns:
+        return results
+    asked = F.col("judge").isNotNull() | (F.col("reason") == "error")
+    escalated = ~F.col("agree") | (F.col("min_confidence") < float(max(gammas)))
+    message = "the judge was not asked about a row that the sweep escalates; run the cascade at the largest gamma"
+    return results.filter(F.when(escalated & ~asked, F.raise_error(F.lit(message)).cast("boolean")).otherwise(True))
+
+
 def sweep_results(claims: DataFrame, verifier_a, verifier_b, judge, gammas: Sequence[float] = DEFAULT_GAMMAS,
                   policy: str = "p1", **kw) -> DataFrame:
     """Run the models once for a whole sweep (cascade at the largest gamma)."""
@@ -163,7 +167,7 @@ def sweep_results(claims: DataFrame, verifier_a, verifier_b, judge, gammas: Sequ
     from verdictflow.operators.verifiers import ModelVerifier
     gs = _check_gammas(gammas)
     if "materialize" not in kw:  # model answers are costly and non-deterministic: write them once
-        kw["materialize"] = any(isinstance(v, ModelVerifier) for v in (verifier_a, verifier_b, judge))
+        kw["materialize"] = any(isinstance(getattr(v, "inner", v), ModelVerifier) for v in (verifier_a, verifier_b, judge))
     return cascade(claims, verifier_a, verifier_b, judge, max(gs), policy, **kw)
 
 
@@ -176,7 +180,7 @@ def gamma_decisions(results: DataFrame, gammas: Sequence[float] = DEFAULT_GAMMAS
     """
     gs = _check_gammas(gammas)
     arr = F.array(*[F.lit(g) for g in gs])
-    x = results.select(*keep, "agree", "min_confidence", "reason", F.col("a.prediction").alias("__pc"),
+    x = with_judge_checked(results, gs, policy).select(*keep, "agree", "min_confidence", "reason", F.col("a.prediction").alias("__pc"),
                        F.col("judge.prediction").alias("__pe"), F.col(truth_col).alias("__truth"),
                        F.posexplode(arr).alias("pos", "gamma"))
     failed = F.col("reason") == "error"

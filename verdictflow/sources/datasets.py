@@ -48,8 +48,8 @@ def _columns_to_rows(df: DataFrame) -> DataFrame:
     checked = df.withColumn("claims", F.when(F.size("claims") == F.size("labels"), F.col("claims"))
                             .otherwise(F.raise_error(F.lit("claims and labels must have the same length"))))
     z = checked.select(F.posexplode(F.arrays_zip("claims", "labels")).alias("pos", "z"))
-    return z.select(F.col("pos").cast("long").alias("claim_id"), F.col("z.claims").alias("claim"),
-                    F.col("z.labels").alias("label"))
+    # ids in file and array order; the array position where there is one file
+    return _keyed(z.select(F.col("z.claims").alias("claim"), F.col("z.labels").alias("label")))
 
 
 def _required(c: str):
@@ -66,12 +66,15 @@ def read_json_any(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.schema(JSON_SCHEMA).option("multiLine", True).json(path)
     records = _keyed(df.filter(F.col("claims").isNull()).select(_required("claim"), _required("label")))
     columns = _columns_to_rows(df.filter(F.col("claims").isNotNull()))
-    return records.unionByName(columns)
+    return _keyed(records.unionByName(columns))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A3: header ``claim,label``; every column is a string (0/1 and true/false stay labels, Q10)."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A3: header ``claim,label``; every column is a string (0/1 and true/false stay labels, Q10).
+
+    Quoted claims may hold line breaks; a file is then read by one task. With ``multi_line=False``
+    files are split, and no claim may hold a line break."""
+    df = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
           .schema("claim string, label string").csv(path))
     return _keyed(df)
 
@@ -87,10 +90,11 @@ def read_claims(spark: SparkSession, path: str) -> DataFrame:
         df = spark.read.schema("claim_id long, claim string, label string").json(path)
     else:
         df = spark.read.parquet(path)
-    if "claim_id" not in df.columns:
-        df = df.withColumn("claim_id", F.lit(None).cast("long"))
-    df = df.withColumn("claim_id", F.coalesce(F.col("claim_id"), F.monotonically_increasing_id()))
-    return df.select("claim_id", "claim", "label")
+    if "claim_id" not in df.columns or df.filter(F.col("claim_id").isNotNull()).isEmpty():
+        return _keyed(df.select("claim", "label"))
+    # made-up ids could equal given ones: all rows have an id, or none
+    missing = F.raise_error(F.lit("claim_id is missing in some rows")).cast("boolean")
+    return df.filter(F.when(F.col("claim_id").isNull(), missing).otherwise(True)).select("claim_id", "claim", "label")
 
 
 def tag_dataset(df: DataFrame, name: str) -> DataFrame:
@@ -98,25 +102,20 @@ def tag_dataset(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("dataset", F.lit(name))
 
 
-def builtin_dataset(spark: SparkSession, name: str) -> DataFrame:
-    """The built-in labelled sets as small DataFrames."""
-    from verdictflow.sources import builtin
-    rows = {"test_pool": builtin.TEST_POOL, "edge_cases": builtin.EDGE_CASES,
-            "controversial": builtin.CONTROVERSIAL}[name]
-    return spark.createDataFrame([(i, c, l) for i, (c, l) in enumerate(rows)], "claim_id long, claim string, label string")
-
-
-def load_named_dataset(spark: SparkSession, name: str, size: int | None = None, seed: int = 0) -> DataFrame:
-    """A5: ``test``/``default`` (balanced sample of the pool, default 20), ``edge_cases``,
-    ``controversial``, else a file path; ``size`` (0 = not set) caps the rows by a seeded sample.
-    An odd size on ``test`` is rounded up by the balanced sample and cut back by the cap (quirk Q18)."""
-    if name in ("test", "default"):
-        pool = builtin_dataset(spark, "test_pool").withColumnRenamed("label", "ground_truth")
+def load_named_dataset(spark: SparkSession, name: str, size: int | None = None, seed: int = 0,
+                       named: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A set of the catalogue ``named`` (name -> claim_id, claim, label), else a file path.
+    ``test`` / ``default`` draw a balanced sample (default 20) of the set ``test``; ``size`` (0 = not
+    set) caps the rows by a seeded sample. An odd size on ``test`` is rounded up by the balanced
+    sample and cut back by the cap (quirk Q18)."""
+    named = named or {}
+    if name in ("test", "default") and "test" in named:
+        pool = named["test"].withColumnRenamed("label", "ground_truth")
         df = balanced_sample(pool, size or 20, seed).select("claim_id", "round", "claim",
                                                             F.col("ground_truth").alias("label"))
         df = df.withColumn("claim_id", F.col("claim_id") + F.col("round") * 1000).drop("round")
-    elif name in ("edge_cases", "controversial"):
-        df = builtin_dataset(spark, name)
+    elif name in named:
+        df = named[name]
     else:
         try:
             df = read_claims(spark, name)

@@ -17,16 +17,15 @@ from pyspark.sql import functions as F
 
 from verdictflow.sources.datasets import check_format
 
-MAX_SINGLE_OBJECT_ROWS = 1_000_000
-
-
-def save_dataset(df: DataFrame, path: str, metadata: dict | None = None, max_rows: int = MAX_SINGLE_OBJECT_ROWS,
+def save_dataset(df: DataFrame, path: str, metadata: dict | None = None, max_rows: int | None = None,
                  mode: str = "overwrite") -> None:
     """``.json`` = one object ``{claims, labels, size, metadata}`` in ``claim_id`` order
-    (bounded size); ``.csv`` = ``claim,label`` with header; ``.jsonl`` / ``.parquet`` scale."""
+    (one row in one task: the caller must state ``max_rows``); ``.csv`` = ``claim,label`` with header; ``.jsonl`` / ``.parquet`` scale."""
     s = check_format(path)
     cols = df.select("claim_id", "claim", "label")
     if s == ".json":
+        if max_rows is None:
+            raise ValueError("one JSON object is written by one task: state max_rows, or write .jsonl or .parquet")
         n = cols.count()
         if n > max_rows:
             raise ValueError(f"{n} rows is too many for one JSON object; write .jsonl or .parquet")
