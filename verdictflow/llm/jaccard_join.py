@@ -1,12 +1,15 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-Sets of hashed word shingles fall into overlapping bands of equal size, such that two sets that reach
-the threshold share the band of the smaller one. In a band their symmetric difference is at most
-``k``, so of a partition of the feature domain into more than ``k`` parts they agree on most. A
-signature is the content of a subset of parts; here subsets of one part, the choice that needs the
-fewest signatures: the parts that are not empty are enumerated in one global order, and the first
-``k + 1`` of each set suffice for similar sets to share one (parts beyond them can hold at most ``k``
-differences). In bands of small sets every feature is a part of its own.
+A set is a set of hashed word shingles. The hash range is the feature domain, partitioned into its
+single values. Subsets of parts are enumerated such that linked sets share one: a signature is a run
+of neighbouring parts that holds exactly two features, so it says that both are there and nothing
+between them. A feature that only one of two sets has spoils two runs of its own set and one of the
+other. Linked sets are of similar size (the band: each at least 3/4 of the other), which bounds these
+features: of a set of x features at most x / 2 runs are not runs of the other set. So if every set
+puts its runs in one global order, the first x / 2 + 1 of each are enough to share one. Sets of at
+most ``SMALL`` features, and those that such a set can be linked with, use single parts instead.
+Fixed ranges as parts would need fewer than three features each on average, and most would hold one;
+one shingle is shared by chance far too often.
 
 Features that very many sets have, such as those of a licence text, come last in the global order, so
 signatures made of them are used only by sets that hold little else. The list of such features is a
@@ -42,8 +45,7 @@ from verdictflow.session import materialize
 SHINGLE = 5
 #: The threshold: links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-GROWTH = 1.6  # of the bands
-LEAST_PARTS = 100  # differences below which every feature is a part of its own
+SMALL = 8  # features up to which sets use single parts
 OFTEN, HINTS = 4, 65_536  # sets of a batch that share a frequent feature; bound on the list of them
 MIX = np.uint64(0xD6E8FEB86659FD93)
 PROFILE = "doc_id long, n long, digest binary, sketch binary, feature long, sets long"
@@ -103,17 +105,6 @@ def most_difference(a: int, b: int) -> int:
     return (100 - PERCENT) * (a + b) // (100 + PERCENT)
 
 
-def bands(largest: int) -> list[tuple[int, int, int]]:
-    """(smallest size, largest size, k): the smaller of two linked sets is below the next band's start."""
-    out, low = [], 1
-    while low <= largest:
-        following = max(low + 1, int(low * GROWTH))
-        high = (following - 1) * 100 // PERCENT
-        out.append((low, high, most_difference(following - 1, high)))
-        low = following
-    return out
-
-
 def ranks(doc: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Place of each item among those of its document (``doc`` ascending), ``last`` ones at the end."""
     n = int(doc[-1]) + 1 if len(doc) else 0
@@ -124,47 +115,25 @@ def ranks(doc: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.where(last, early[doc] + behind - base[1][doc], ahead - base[0][doc]) - 1
 
 
-def signatures(sets: list[np.ndarray], frequent: np.ndarray, whole: frozenset[int]) -> tuple[np.ndarray, np.ndarray, set[int]]:
-    """(keys, set numbers) of all signatures, and the bands in which some set has too few parts.
-
-    ``whole``: bands whose features are to be parts of their own, whatever k.
-    """
+def signatures(sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, set numbers) of the signatures of each set (sorted features)."""
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    at = np.searchsorted(frequent, flat)
     hot = np.zeros(len(flat), bool)
     if len(frequent):
-        hot = frequent[np.minimum(at, len(frequent) - 1)] == flat
-    single, keys, owners, short = np.zeros(len(sets), bool), [], [], set()
-    for i, (low, high, k) in enumerate(bands(int(sizes.max(initial=0)))):
-        mine = (sizes >= low) & (sizes <= high)
-        if not mine.any():
-            continue
-        if k < LEAST_PARTS or i in whole:
-            single |= mine
-            continue
-        here = mine[owner]
-        f, o = flat[here], owner[here]
-        parts = np.uint64(4 * (k + 1))
-        part = (f >> np.uint64(32)) * parts >> np.uint64(32)  # ascending, as the features are
-        first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (o[1:] != o[:-1])])
-        key = mixed(np.add.reduceat(mixed(f), first) + part[first] * MIX + np.uint64(i + 1))
-        late = np.logical_and.reduceat(hot[here], first)
-        o = o[first]
-        number = np.bincount(o, minlength=len(sets))
-        if (number[mine] <= k).any():
-            short.add(i)
-        use = ranks(o, late) <= k
-        keys.append(key[use])
-        owners.append(o[use])
-    here = single[owner]
-    f, o = flat[here], owner[here]
-    need = sizes - -(-PERCENT * sizes // 100) + 1  # a linked set shares PERCENT of it at least
-    use = ranks(o, hot[here]) < need[o]
-    keys.append(mixed(f[use]))
-    owners.append(o[use])
-    return np.concatenate(keys), np.concatenate(owners), short
+        hot = frequent[np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)] == flat
+    # runs of two features
+    run = np.flatnonzero((owner[1:] == owner[:-1]) & (sizes[owner[1:]] > SMALL))
+    o = owner[run]
+    use = ranks(o, hot[run] & hot[run + 1]) <= sizes[o] // 2
+    key, o = mixed(mixed(flat[run[use]]) + flat[run[use] + 1]), o[use]
+    # single features
+    one = np.flatnonzero(sizes[owner] <= SMALL * 100 // PERCENT)
+    p = owner[one]
+    need = sizes - -(-PERCENT * sizes // 100)
+    use = ranks(p, hot[one]) <= need[p]
+    return np.concatenate([key, mixed(flat[one[use]])]), np.concatenate([o, p[use]])
 
 
 def distinct_sets(rows: list[dict]) -> tuple[list[int], list[np.ndarray]]:
@@ -198,46 +167,32 @@ def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def matched(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the signatures that several documents have, each with its smallest document.
-    A row without a document names a band whose sets have too few parts."""
+    """Of one bucket: the signatures that several documents have, each with its smallest document."""
     key, doc = packed.unpacked(rows["key"], np.uint64), packed.unpacked(rows["doc"], np.int64)
     size = packed.unpacked(rows["size"], np.int64)
-    bad = np.unique(size[size < 0])
-    key, doc, size = key[size >= 0], doc[size >= 0], size[size >= 0]
     order = np.lexsort((doc, key))
     key, doc, size = key[order], doc[order], size[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
     count = np.diff(np.r_[first, len(key)])
     hub = np.repeat(first, count)
     several = np.repeat(doc[np.cumsum(count) - 1] if len(count) else doc, count) != doc[hub]
-    out = pd.DataFrame({"token": key[several].view(np.int64), "doc_id": doc[several], "size": size[several],
-                        "hub": doc[hub][several], "hub_size": size[hub][several]})
-    if len(bad):
-        out = pd.concat([out.astype("Int64"), pd.DataFrame({"size": -1 - bad}).astype("Int64")])
-    return out
+    return pd.DataFrame({"token": key[several].view(np.int64), "doc_id": doc[several], "size": size[several],
+                         "hub": doc[hub][several], "hub_size": size[hub][several]})
 
 
 def shared_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """token, doc_id, size, hub, hub_size: signatures of several documents, written once."""
-    n, whole = packed.buckets(docs.sparkSession), frozenset()
+    n = packed.buckets(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in packed.text_batches(batches):
             ids, sets = distinct_sets(rows)
-            key, owner, short = signatures(sets, frequent, whole)
-            doc, size = np.array(ids, np.int64)[owner], np.array([len(s) for s in sets], np.int64)[owner]
-            extra = np.array(sorted(short), np.int64)
-            yield packed.pack(np.concatenate([key, mixed(extra.view(np.uint64))]), n, {
-                "doc": np.concatenate([doc, extra]), "size": np.concatenate([size, -1 - extra])})
-
-    while True:
-        found = materialize(docs.mapInArrow(emit, PACKED).groupBy("bucket").applyInPandas(matched, SHARED),
-                            "jaccard-signatures")
-        # at most one value per band
-        bad = {r.band for r in found.filter("doc_id IS NULL").select(F.col("size").alias("band")).distinct().collect()}
-        if not bad:
-            return found
-        whole |= bad
+            key, owner = signatures(sets, frequent)
+            yield packed.pack(key, n, {"doc": np.array(ids, np.int64)[owner],
+                                       "size": np.array([len(s) for s in sets], np.int64)[owner]})
+
+    return materialize(docs.mapInArrow(emit, PACKED).groupBy("bucket").applyInPandas(matched, SHARED),
+                       "jaccard-signatures")
 
 
 def comparable(a: str, b: str):
