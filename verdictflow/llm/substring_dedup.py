@@ -67,9 +67,9 @@ def combined(key: np.ndarray, other: np.ndarray, doc: np.ndarray, pos: np.ndarra
         (c, pa.binary()) for c in ("key", "other", "doc", "pos", "sure_doc", "sure_pos")]]))
 
 
-def settle(rows, shared: bool):
-    """Of one bucket: positions by document. ``shared``: rows whose key has several documents; else
-    rows whose key has a smaller document."""
+def settle(rows: pd.DataFrame, shared: bool, n: int) -> pd.DataFrame:
+    """Of one bucket: the rows whose key has several documents (``shared``), else those whose key has a
+    smaller document; packed by document."""
     key, other = packed.unpacked(rows["key"], np.uint64), packed.unpacked(rows["other"], np.uint64)
     doc, pos = packed.unpacked(rows["doc"], np.int64), packed.unpacked(rows["pos"], np.int32)
     order = np.lexsort((doc, other, key))
@@ -80,15 +80,21 @@ def settle(rows, shared: bool):
     hit = (least != most)[group] if shared else doc > least[group]
     doc = np.concatenate([doc[hit], packed.unpacked(rows["sure_doc"], np.int64)])
     pos = np.concatenate([pos[hit], packed.unpacked(rows["sure_pos"], np.int32)])
-    ids, found = packed.per_doc(doc, pos)
+    return packed.pack(doc.view(np.uint64) * np.uint64(packed.SPREAD), n, {"doc": doc, "pos": pos}).to_pandas()
+
+
+def gathered(rows: pd.DataFrame) -> pd.DataFrame:
+    """Positions by document (int32 arrays; at most as many as its words)."""
+    ids, found = packed.per_doc(packed.unpacked(rows["doc"], np.int64), packed.unpacked(rows["pos"], np.int32))
     return pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "pos": pd.Series(found, dtype=object)})
 
 
 def settled(rows: DataFrame, shared: bool, name: str) -> DataFrame:
-    """doc_id, pos (list of int32 arrays) over all buckets, written once."""
-    found = rows.groupBy("bucket").applyInPandas(lambda pdf: settle(pdf, shared), "doc_id long, pos binary")
-    # a document's positions are at most as many as its words
-    return materialize(found.groupBy("doc_id").agg(F.collect_list("pos").alias("pos")), name)
+    """doc_id, pos over all buckets, written once."""
+    n = packed.buckets(rows.sparkSession)
+    found = rows.groupBy("bucket").applyInPandas(
+        lambda pdf: settle(pdf, shared, n), "bucket int, key binary, doc binary, pos binary")
+    return materialize(found.groupBy("bucket").applyInPandas(gathered, "doc_id long, pos binary"), name)
 
 
 def anchors(batches: Iterator[pa.RecordBatch], window: int, period: int, cover: tuple, n: int) -> Iterator[pa.RecordBatch]:
@@ -122,7 +128,7 @@ def extended(batches: Iterator[pa.RecordBatch], window: int, period: int, n: int
         h, starts = packed.word_hashes([split(r["text"]) for r in rows])
         near = np.zeros(len(h) + 1, np.int64)
         for row, a, b in zip(rows, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            at = packed.unpacked(row["pos"], np.int32).astype(np.int64)
+            at = np.frombuffer(row["pos"], np.int32).astype(np.int64)
             last = b - a - window  # the last window of the document
             low, high = np.maximum(at - (period - 1), 0), np.minimum(at, last) + 1
             low, high = low[low < high], high[low < high]
@@ -143,7 +149,7 @@ def left_out(row: dict, window: int) -> tuple[int, list[bytes]]:
     """Words removed from a document, and those kept."""
     words = split(row["text"])
     cover = np.zeros(len(words) + 1, np.int64)
-    at = packed.unpacked(row["pos"], np.int32)
+    at = np.frombuffer(row["pos"], np.int32)
     at = at[at + window <= len(words)]
     np.add.at(cover, at, 1)
     np.add.at(cover, at + window, -1)
