@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOOM = 17  # log2 of the number of 64-bit words of the filter: 1 MB, whatever the data
-BATCH_CHARS = 8_000_000  # texts handled at once by a worker
+BATCH_CHARS = 4_000_000  # texts handled at once by a worker
+SPREAD = 0x9E3779B97F4A7C15  # odd multiplier that spreads ids over buckets
 
 
 def buckets(spark: SparkSession) -> int:
@@ -56,12 +57,13 @@ def text_batches(batches: Iterator[pa.RecordBatch], most: int = BATCH_CHARS) ->
     """Rows in lists of about ``most`` characters of text."""
     rows, size = [], 0
     for batch in batches:
-        for row in batch.to_pylist():
-            rows.append(row)
-            size += len(row["text"])
-            if size > most:
-                yield rows
-                rows, size = [], 0
+        for at in range(0, len(batch), 256):
+            for row in batch.slice(at, 256).to_pylist():
+                rows.append(row)
+                size += len(row["text"])
+                if size > most:
+                    yield rows
+                    rows, size = [], 0
     if rows:
         yield rows
 
@@ -75,7 +77,7 @@ def word_hashes(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(flat, np.uint64, int(starts[-1])), starts
 
 
-def windows(h: np.ndarray, length: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+def windows(h: np.ndarray, length: int, factor: int = SPREAD) -> np.ndarray:
     """Hash of the ``length`` words from each place (as if the array went on with zeros)."""
     out, done, power = np.zeros(len(h), np.uint64), 0, 1
     part, size, step = h, 1, factor
