@@ -132,9 +132,10 @@ def test_signatures_miss_no_link():
                 inter = len(np.intersect1d(a, b))
                 if not jaccard_join.linked(inter, len(a), len(b)):
                     continue
-                frequent = np.sort(rng.choice(base, size // 3 + 1))
-                key, owner = jaccard_join.signatures([a, b], frequent)
-                assert set(key[owner == 0]) & set(key[owner == 1])
+                for hot in (0, size // 5, size // 3, size // 2, 2 * size // 3, size):
+                    frequent = np.sort(rng.permutation(base)[:hot])
+                    key, owner = jaccard_join.signatures([a, b], frequent)
+                    assert set(key[owner == 0]) & set(key[owner == 1])
                 assert jaccard_join.least_difference(jaccard_join.sketch(a), jaccard_join.sketch(b)) \
                     <= len(a) + len(b) - 2 * inter <= jaccard_join.most_difference(len(a), len(b))
 

@@ -11,12 +11,16 @@ most ``SMALL`` features, and those that such a set can be linked with, use singl
 Fixed ranges as parts would need fewer than three features each on average, and most would hold one;
 one shingle is shared by chance far too often.
 
-Features that very many sets have, such as those of a licence text, come last in the global order, so
-signatures made of them are used only by sets that hold little else. The list of such features is a
-bounded hint: it changes the number of candidates, never the links.
-
-Signatures are matched in packed buckets. In each, sets are first compared with the smallest one (a
-star, linear in its size); the links found join the sets into components, and only sets that are
+Features that very many sets have, such as those of a licence text, come last in the global order.
+A set with enough other runs never uses runs of two such features. One without has at least half of
+its features among them, so a set linked with it has at least 3/16 (it lacks a quarter of the other's
+features at most and is larger by a third at most): all such sets put their single features in order
+as well, frequent ones last, and share one of the first quarter and one more. Runs of two frequent
+features are therefore never emitted. The list of frequent features is a bounded hint: it changes the
+number of candidates, never the links.
+
+Signatures are matched in packed buckets. In each, sets are first compared with a hub (a
+star, linear in its size; the signatures of a group pick one of eight hubs); the links found join the sets into components, and only sets that are
 then still apart from most of their bucket are compared with its other components. Candidates pass
 an exact lower bound on their difference (parity sketches) before their shingles are fetched and
 compared. Equal sets link by their digest and count once per map batch.
@@ -46,7 +50,8 @@ SHINGLE = 5
 #: The threshold: links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 SMALL = 8  # features up to which sets use single parts
-OFTEN, HINTS = 4, 65_536  # sets of a batch that share a frequent feature; bound on the list of them
+OFTEN, HINTS = 2, 65_536  # sets of a batch that share a frequent feature; bound on the list of them
+HUBS = 8  # members of a group that all others are compared with first
 MIX = np.uint64(0xD6E8FEB86659FD93)
 PROFILE = "doc_id long, n long, digest binary, sketch binary, feature long, sets long"
 PACKED = "bucket int, key binary, doc binary, size binary"
@@ -123,13 +128,15 @@ def signatures(sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray
     hot = np.zeros(len(flat), bool)
     if len(frequent):
         hot = frequent[np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)] == flat
-    # runs of two features
+    # runs of two features; those of two frequent ones come last in the order and are never needed
     run = np.flatnonzero((owner[1:] == owner[:-1]) & (sizes[owner[1:]] > SMALL))
+    run = run[~(hot[run] & hot[run + 1])]
     o = owner[run]
-    use = ranks(o, hot[run] & hot[run + 1]) <= sizes[o] // 2
+    use = ranks(o, np.zeros(len(o), bool)) <= sizes[o] // 2
     key, o = mixed(mixed(flat[run[use]]) + flat[run[use] + 1]), o[use]
-    # single features
-    one = np.flatnonzero(sizes[owner] <= SMALL * 100 // PERCENT)
+    # single features, of small sets and of those that much of a set with too few other runs may share
+    much = 16 * np.bincount(owner[hot], minlength=len(sets)) >= 3 * sizes
+    one = np.flatnonzero(((sizes <= SMALL * 100 // PERCENT) | much)[owner])
     p = owner[one]
     need = sizes - -(-PERCENT * sizes // 100)
     use = ranks(p, hot[one]) <= need[p]
@@ -167,10 +174,11 @@ def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def matched(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the signatures that several documents have, each with its smallest document."""
+    """Of one bucket: the signatures that several documents have, each with one of them as hub. The
+    signatures of a group have one of ``HUBS`` hubs, the same for equal groups."""
     key, doc = packed.unpacked(rows["key"], np.uint64), packed.unpacked(rows["doc"], np.int64)
     size = packed.unpacked(rows["size"], np.int64)
-    order = np.lexsort((doc, key))
+    order = np.lexsort((mixed(doc.view(np.uint64) + key % np.uint64(HUBS) * MIX), key))
     key, doc, size = key[order], doc[order], size[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
     count = np.diff(np.r_[first, len(key)])
@@ -273,7 +281,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
              .join(first, ["digest", "salt"]).select("a", F.col("doc_id").alias("b")).filter("a < b"))
     shared = shared_signatures(docs, frequent)
     star = (shared.filter("hub <> doc_id").filter(comparable("hub_size", "size"))
-            .select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+            .select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct())
     star = materialize(near(star, one), "jaccard-star")
     known = materialize(equal.union(links(star, docs)), "jaccard-links")
     rest = apart(shared, components(known)).join(star, ["a", "b"], "left_anti")
