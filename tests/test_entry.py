@@ -34,3 +34,8 @@ def test_oracle_matches(spark, sf, key):
     rel = con.sql(E.oracle_sql()[key])
     assert sorted(df.columns) == sorted(rel.columns)
     assert canon([tuple(r) for r in df.collect()], df.columns) == canon(rel.fetchall(), rel.columns)
+
+
+@pytest.mark.parametrize("key", ["cascade_all", "evaluation_metrics_all", "gamma_sweep_all"])
+def test_all_documents_match(spark, sf, key):
+    test_oracle_matches(spark, sf, key)

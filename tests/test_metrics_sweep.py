@@ -11,7 +11,7 @@ from verdictflow.operators import metrics as M
 from verdictflow.operators.cascade import cascade
 from verdictflow.operators.verifiers import RuleVerifier, raw_answer
 from verdictflow.plans import sweep as S
-from verdictflow.sources.derived import document_claims, fixture_verifiers
+from verdictflow.sources.derived import all_claims, document_claims, fixture_verifiers
 
 GAMMAS = [0.1, 0.3, 0.5, 0.7, 0.8, 0.9, 0.95]
 
@@ -106,3 +106,21 @@ def test_sweep_other_policies_match_brute_force(base, policy):
         assert sw[pos]["escalations"] == brute["escalations"], (policy, g)
         assert sw[pos]["correct_predictions"] == brute["correct_predictions"], (policy, g)
         assert sw[pos]["false_consensus_rate"] == pytest.approx(brute["false_consensus_rate"], nan_ok=True)
+
+
+def test_claims_without_a_truth(spark, sf):
+    """They are answered, escalated, costed and counted; accuracies are those of the labelled rows."""
+    claims = all_claims(spark, sf)
+    assert claims.count() == spark.read.parquet(f"{sf}/documents.parquet").count() > claims.filter("ground_truth IS NOT NULL").count()
+    verifiers = fixture_verifiers()
+    every, labelled = (cascade(c, *verifiers, 0.7) for c in (claims, claims.filter("ground_truth IS NOT NULL")))
+    m, part = M.evaluation_metrics(every).first(), M.evaluation_metrics(labelled).first()
+    assert m["total_evaluations"] == claims.count() and m["escalations"] > part["escalations"]
+    assert m["total_model_calls"] == 2 * m["total_evaluations"] + m["escalations"]
+    for c in ("correct_predictions", "overall_accuracy", "escalated_accuracy", "non_escalated_accuracy", "precision", "recall",
+              "f1_score", "false_consensus_rate", "cost_per_correct"):
+        assert m[c] == part[c], c
+    h, part = M.harness_metrics(every).first(), M.harness_metrics(labelled).first()
+    assert all(h[c] == part[c] for c in ("accuracy", "escalated_accuracy", "non_escalated_accuracy", "false_consensus_rate"))
+    none = M.evaluation_metrics(cascade(claims.filter("ground_truth IS NULL"), *verifiers, 0.7)).first()
+    assert none["total_evaluations"] > 0 and none["overall_accuracy"] is None and none["correct_predictions"] == 0

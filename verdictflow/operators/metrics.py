@@ -31,6 +31,11 @@ def truth_binary(truth: Column) -> Column:
     return F.when(truth == "yes", F.lit(1)).otherwise(F.lit(0))
 
 
+def truth_sql(truth: str) -> str:
+    """B6 over rows with an optional truth (SQL): NULL where none is given (NULL or empty, as in B10)."""
+    return f"(CASE WHEN {truth} = 'yes' THEN 1 WHEN {truth} <> '' THEN 0 END)"
+
+
 def row_cost(escalated: Column) -> Column:
     """Model calls of one row."""
     return F.when(escalated, F.lit(3)).otherwise(F.lit(2))
@@ -38,13 +43,17 @@ def row_cost(escalated: Column) -> Column:
 
 # ------------------------------------------------------------------ sums
 SUM_NAMES = ("n", "n_esc", "n_agree", "n_hit", "n_hit_esc", "n_hit_non", "n_calls", "n_tp", "n_fp", "n_fn",
-             "n_agree_non")
+             "n_lab", "n_lab_esc", "n_lab_agree_non")
 
 
 def evaluation_sums(truth_col: str = "ground_truth") -> list[Column]:
-    """Additive per-group sums behind F5-F12 (``calculate_metrics``)."""
-    gt = f"(CASE WHEN `{truth_col}` = 'yes' THEN 1 ELSE 0 END)"
-    hit = f"final_prediction = {gt}"
+    """Additive per-group sums behind F5-F12 (``calculate_metrics``).
+
+    The truth is optional: counts, escalations and calls are over all rows, hits over labelled ones
+    (``n_lab`` and the like are what accuracies divide by).
+    """
+    gt = truth_sql(f"`{truth_col}`")
+    hit, lab = f"final_prediction = {gt}", f"{gt} IS NOT NULL"
     return [
         F.expr("count(1)").alias("n"),
         _n("escalated").alias("n_esc"),
@@ -56,7 +65,9 @@ def evaluation_sums(truth_col: str = "ground_truth") -> list[Column]:
         _n(f"final_prediction = 1 AND {gt} = 1").alias("n_tp"),
         _n(f"final_prediction = 1 AND {gt} = 0").alias("n_fp"),
         _n(f"final_prediction = 0 AND {gt} = 1").alias("n_fn"),
-        _n("agree AND NOT escalated").alias("n_agree_non"),
+        _n(lab).alias("n_lab"),
+        _n(f"escalated AND {lab}").alias("n_lab_esc"),
+        _n(f"agree AND NOT escalated AND {lab}").alias("n_lab_agree_non"),
     ]
 
 
@@ -69,23 +80,27 @@ def _d(a: str, b: str) -> str:
 
 
 def derive_metrics(include_efficiency: bool = True) -> list[Column]:
-    """F5-F13 from the sums (``MetricsResult``); undefined ratios are NULL."""
+    """F5-F13 from the sums (``MetricsResult``); undefined ratios are NULL.
+
+    Accuracies, false consensus and the cost of a correct answer are over labelled rows only.
+    """
     prec, rec = _d("n_tp", "n_tp + n_fp"), _d("n_tp", "n_tp + n_fn")
-    acc, calls = _d("n_hit", "n"), _d("n_calls", "n")
+    acc, calls = _d("n_hit", "n_lab"), _d("n_calls", "n")
+    lab_non, lab_calls = "n_lab - n_lab_esc", "(2 * n_lab + n_lab_esc)"
     cols = [
         ("n", "total_evaluations"), ("n_esc", "escalations"), ("n_agree", "agreements"),
         ("n - n_agree", "disagreements"), ("n_hit", "correct_predictions"),
         (acc, "overall_accuracy"),
-        (_d("n_hit_esc", "n_esc"), "escalated_accuracy"),
-        (_d("n_hit_non", "n - n_esc"), "non_escalated_accuracy"),
+        (_d("n_hit_esc", "n_lab_esc"), "escalated_accuracy"),
+        (_d("n_hit_non", lab_non), "non_escalated_accuracy"),
         (_d("n_esc", "n"), "escalation_rate"),
         (_d("n - n_agree", "n"), "disagreement_rate"),
         (_d("n_agree", "n"), "agreement_rate"),
         ("n_calls", "total_model_calls"),
         (calls, "avg_calls_per_evaluation"),
-        ("CASE WHEN n_hit > 0 THEN CAST(n_calls AS DOUBLE) / CAST(n_hit AS DOUBLE) ELSE double('Infinity') END",
+        (f"CASE WHEN n_hit > 0 THEN CAST({lab_calls} AS DOUBLE) / CAST(n_hit AS DOUBLE) ELSE double('Infinity') END",
          "cost_per_correct"),
-        (_d("n - n_esc - n_hit_non", "n - n_esc"), "false_consensus_rate"),
+        (_d("(n_lab - n_lab_esc - n_hit_non)", lab_non), "false_consensus_rate"),
         (prec, "precision"), (rec, "recall"),
         (f"CASE WHEN ({prec}) IS NOT NULL AND ({rec}) IS NOT NULL AND ({prec}) + ({rec}) > 0 "
          f"THEN 2 * ({prec}) * ({rec}) / (({prec}) + ({rec})) END", "f1_score"),
@@ -112,9 +127,10 @@ def evaluation_metrics(results: DataFrame, by: str | Sequence[str] | None = None
 def harness_metrics_from_sums() -> list[Column]:
     """the P2 harness columns (false consensus is 0 when undefined)."""
     cols = [
-        (_d("n_hit", "n"), "accuracy"), (_d("n_esc", "n"), "escalation_rate"),
-        (_d("n_hit_esc", "n_esc"), "escalated_accuracy"), (_d("n_hit_non", "n - n_esc"), "non_escalated_accuracy"),
-        (f"coalesce({_d('n_agree_non - n_hit_non', 'n_agree_non')}, 0.0D)", "false_consensus_rate"),
+        (_d("n_hit", "n_lab"), "accuracy"), (_d("n_esc", "n"), "escalation_rate"),
+        (_d("n_hit_esc", "n_lab_esc"), "escalated_accuracy"),
+        (_d("n_hit_non", "n_lab - n_lab_esc"), "non_escalated_accuracy"),
+        (f"coalesce({_d('(n_lab_agree_non - n_hit_non)', 'n_lab_agree_non')}, 0.0D)", "false_consensus_rate"),
         (_d("n - n_agree", "n"), "disagreement_rate"), (_d("n_calls", "n"), "avg_calls_per_evaluation"),
         ("n", "total_evaluations"), ("n_esc", "total_escalations"), ("n_agree", "total_agreements"),
         ("n - n_agree", "total_disagreements"),

@@ -13,7 +13,7 @@ from verdictflow.operators.cascade import cascade
 from verdictflow.plans import oracle as O
 from verdictflow.plans import sweep as S
 from verdictflow.plans.registry import register, with_ctes
-from verdictflow.sources.derived import document_claims, fixture_verifiers
+from verdictflow.sources.derived import all_claims, document_claims, fixture_verifiers
 
 GAMMA = 0.7
 GAMMAS = S.DEFAULT_GAMMAS
@@ -78,6 +78,28 @@ metric_key("evaluation_metrics", ["total_evaluations", "escalations", "agreement
                                   "false_consensus_rate", "precision", "recall", "f1_score", "efficiency"], by=None)
 
 
+# ----------------------------------------------------------------- all documents, truth optional
+def all_results(spark, sf_dir, gamma=GAMMA):
+    return cascade(all_claims(spark, sf_dir), *fixture_verifiers(), gamma)
+
+
+@register("cascade_all", with_ctes(O.cascade_ctes(claims=O.all_claims_sql()), f"SELECT {O.FLAT_COLS} FROM res"), FLAT_DOUBLES)
+def q_cascade_all(spark, sf_dir):
+    return all_results(spark, sf_dir).select(*flat_cols())
+
+
+@register("evaluation_metrics_all", with_ctes(O.cascade_ctes(claims=O.all_claims_sql()), O.optional_truth_sql("res", "lang")),
+          METRIC_DOUBLES)
+def q_evaluation_metrics_all(spark, sf_dir):
+    return M.evaluation_metrics(all_results(spark, sf_dir), "lang")
+
+
+@register("gamma_sweep_all", with_ctes(O.sweep_ctes(GAMMAS, claims=O.all_claims_sql()),
+                                       O.optional_truth_sql("res", "pos, gamma")), ("gamma",) + METRIC_DOUBLES)
+def q_gamma_sweep_all(spark, sf_dir):
+    return S.gamma_sweep(all_results(spark, sf_dir, max(GAMMAS)), GAMMAS).drop("positive", "negative")
+
+
 # ----------------------------------------------------------------- F15 sweep
 SWEEP_COLS = ["total_evaluations", "escalations", "agreements", "disagreements", "correct_predictions",
               "overall_accuracy", "escalated_accuracy", "non_escalated_accuracy", "escalation_rate",

@@ -40,6 +40,14 @@ def claims_sql(with_text: bool = True) -> str:
             "FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
 
 
+def all_claims_sql() -> str:
+    """Every document; truth only where a label is given."""
+    label = "(SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)"
+    return ("SELECT d.doc_id AS claim_id, d.text AS claim, CASE l.quality WHEN 1 THEN 'yes' WHEN 0 THEN 'no' END "
+            f"AS ground_truth, d.lang AS lang, d.source AS source, {text_key_sql('d.text')} AS text_key "
+            f"FROM documents d LEFT JOIN {label} l ON d.doc_id = l.doc_id")
+
+
 def answers_cols(key: str = "text_key", roles=ROLES, errors: bool = False) -> str:
     """Fixture answers ``{p}_v, {p}_r, {p}_c, {p}_e`` per (prefix, role index or SQL for it)."""
     out = []
@@ -277,6 +285,32 @@ def derive_sql() -> str:
     ])
 
 
+def optional_truth_sql(src: str, keys: str = "") -> str:
+    """The metric columns over rows with an optional truth, stated per column instead of from sums."""
+    k, gb = (keys + ", ", f" GROUP BY {keys}") if keys else ("", "")
+    lab = "ground_truth IS NOT NULL"
+    right = "avg(CAST(correct AS INTEGER))"  # correct is NULL without a truth
+    precision = "avg(CASE WHEN final_verdict = 'yes' THEN CAST(correct AS INTEGER) END)"
+    recall = "avg(CASE WHEN ground_truth = 'yes' THEN CAST(correct AS INTEGER) END)"
+    cols = {
+        "total_evaluations": "count(*)", "escalations": "count(*) FILTER (escalated)",
+        "agreements": "count(*) FILTER (agree)", "disagreements": "count(*) FILTER (NOT agree)",
+        "correct_predictions": "count(*) FILTER (correct)", "overall_accuracy": right,
+        "escalated_accuracy": f"{right} FILTER (escalated)",
+        "non_escalated_accuracy": f"{right} FILTER (NOT escalated)",
+        "escalation_rate": "avg(CAST(escalated AS INTEGER))", "disagreement_rate": "avg(CAST(NOT agree AS INTEGER))",
+        "agreement_rate": "avg(CAST(agree AS INTEGER))", "total_model_calls": "CAST(sum(calls) AS BIGINT)",
+        "avg_calls_per_evaluation": "avg(calls)",
+        "cost_per_correct": f"coalesce(sum(calls) FILTER ({lab}) / nullif(count(*) FILTER (correct), 0), "
+                            "CAST('inf' AS DOUBLE))",
+        "false_consensus_rate": "avg(1 - CAST(correct AS INTEGER)) FILTER (NOT escalated)",
+        "precision": precision, "recall": recall,
+        "f1_score": f"2 * {precision} * {recall} / nullif({precision} + {recall}, 0)",
+        "efficiency": f"{right} / avg(calls)",
+    }
+    return f"SELECT {k}{', '.join(f'{e} AS {c}' for c, e in cols.items())} FROM {src}{gb}"
+
+
 def harness_sql() -> str:
     return ", ".join([
         f"{_div('n_hit', 'n')} AS accuracy",

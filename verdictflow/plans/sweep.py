@@ -60,7 +60,7 @@ def _bucket_sums(results: DataFrame, sorted_gammas, keys, truth_col, policy, mas
     pushed down through the parser projections and inline them into its
     condition, which costs seconds of planning for nothing.
     """
-    gt = f"CASE WHEN {ident(truth_col)} = 'yes' THEN 1 ELSE 0 END"
+    gt = M.truth_sql(ident(truth_col))  # NULL without a truth: such a row counts, but never as a hit or a miss
     pe = "CASE WHEN reason = 'error' THEN 0 ELSE judge.prediction END"  # outcome when escalated
     pc = "a.prediction"                                                 # outcome on consensus
     m = f" AND ({mask})" if mask else ""
@@ -74,6 +74,7 @@ def _bucket_sums(results: DataFrame, sorted_gammas, keys, truth_col, policy, mas
             .groupBy(*keys, "__k")
             .agg(i("TRUE").alias("s_n"), i("agree").alias("s_agree"),
                  i(f"{ident(truth_col)} = 'yes'").alias("s_pos"), i(f"{ident(truth_col)} = 'no'").alias("s_neg"),
+                 i("__gt IS NOT NULL").alias("s_lab"), i("agree AND __gt IS NOT NULL").alias("s_lab_agree"),
                  i("__pe = __gt").alias("e_hit"), i("__pc = __gt").alias("c_hit"),
                  i("__pe = 1 AND __gt = 1").alias("e_tp"), i("__pe = 1 AND __gt = 0").alias("e_fp"),
                  i("__pe = 0 AND __gt = 1").alias("e_fn"),
@@ -81,7 +82,7 @@ def _bucket_sums(results: DataFrame, sorted_gammas, keys, truth_col, policy, mas
                  i("__pc = 0 AND __gt = 1").alias("c_fn")))
 
 
-_SUMS = ("s_n", "s_agree", "s_pos", "s_neg", "e_hit", "c_hit", "e_tp", "e_fp", "e_fn", "c_tp", "c_fp", "c_fn")
+_SUMS = ("s_n", "s_agree", "s_pos", "s_neg", "s_lab", "s_lab_agree", "e_hit", "c_hit", "e_tp", "e_fp", "e_fn", "c_tp", "c_fp", "c_fn")
 
 
 def sweep_sums(results: DataFrame, gammas: Sequence[float] = DEFAULT_GAMMAS, by=None,
@@ -122,7 +123,9 @@ def sweep_sums(results: DataFrame, gammas: Sequence[float] = DEFAULT_GAMMAS, by=
         (cum["e_tp"] + tot["c_tp"] - cum["c_tp"]).alias("n_tp"),
         (cum["e_fp"] + tot["c_fp"] - cum["c_fp"]).alias("n_fp"),
         (cum["e_fn"] + tot["c_fn"] - cum["c_fn"]).alias("n_fn"),
-        (tot["s_agree"] - cum["s_agree"]).alias("n_agree_non"),
+        tot["s_lab"].alias("n_lab"),
+        cum["s_lab"].alias("n_lab_esc"),
+        (tot["s_lab_agree"] - cum["s_lab_agree"]).alias("n_lab_agree_non"),
         tot["s_pos"].alias("positive"),
         tot["s_neg"].alias("negative"),
     )

@@ -57,6 +57,18 @@ def document_claims(spark: SparkSession, sf_dir: str, with_text: bool = True) ->
     return docs.alias("d").join(labels.alias("l"), F.col("d.doc_id") == F.col("l.doc_id"), "inner").select(*cols)
 
 
+def all_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a claim; ``ground_truth`` is NULL where no label is given.
+
+    The columns of :func:`document_claims`. Repeated labels of a document count once ('yes' if any says so).
+    """
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    truth = F.when(F.col("quality") == 1, F.lit("yes")).when(F.col("quality").isNotNull(), F.lit("no"))
+    return docs.select(F.col("doc_id").alias("claim_id"), F.col("text").alias("claim"), truth.alias("ground_truth"),
+                       "lang", "source", text_key("text").alias("text_key"))
+
+
 def fixture_answer_sql(role, key: str, errors: bool = False) -> str:
     """Raw answer of role x (0=a, 1=b, 2=judge) for claim key ``key`` (SQL; FIXTURES.md F-6).
 
