@@ -202,6 +202,21 @@ def test_reading(html, blocks):
     assert [t for _, t in html_extract.Dom(html).blocks] == blocks
 
 
+@pytest.mark.parametrize(("html", "blocks"), [
+    ('<article><p>One <svg class="i"/> two.</p><p>Three.</p></article>', ["One two.", "Three."]),
+    ('<p>One <svg class="i"/> two.</p><p>Three.</p><svg><text>x</text></svg>z', ["One two.", "Three.", "z"]),
+    ("<p>a <svg><g><path d='m'/><text>t</text></g></svg> b</p>c", ["a b", "c"]), ("<p>a <math><mi>x</mi></math>b</p>", ["a b"]),
+    ("<p>a <svg><title/><style/></svg> b</p>c", ["a b", "c"]), ("<p><a href=x><svg><path></a> b</p>c", ["b", "c"]),
+    ("<article><p>a <svg> x<p>b</article>c", ["a", "b", "c"]), ("<div>a <math> x</div>b", ["a", "b"]),
+    ("<div>a <object> x</div><p>b</p>", ["a", "b"]), ("<p>a <select><option>x<p>b</p>c", ["a", "b", "c"]),
+    ("<ul><li>a <object>x<li>b</ul>c", ["a", "b", "c"]), ("<p>a <object><p>x</p><div>y</div></object> b</p>c", ["a b", "c"]),
+    ("<head><noscript><meta x></head><body><p>a</p>", ["a"]), ("<div><noscript><div>x</div>y</noscript>a</div>", ["a"]),
+    ("<p>a <object>x <object>y</object> z</object> b</p>", ["a b"]), ("<p>a</p><textarea>x</p><p>y", ["a"]), ("<title>x<p>y", []),
+    ("<div><iframe><p>x</iframe><template><li>y</template>a</div>", ["a"])])
+def test_reading_left_out_elements(html, blocks):
+    assert [t for _, t in html_extract.Dom(html).blocks] == blocks
+
+
 def test_extract_awkward_rows(spark, model):
     html = "<html><body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>" + "A sentence, and more. " * 30 + "</p></article></body></html>"
     df = spark.createDataFrame([(1, "u", html, "t", 1), (1, "u", html, "t", 1), (None, None, html, "t", 2), (2, "v", None, "t", 3),

@@ -31,11 +31,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object")
+RAW = ("script", "style", "textarea", "title")
+OPENING = r"""<(/?)([a-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))"""
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     rf"|<({'|'.join(RAW)})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
-    r"""|<(/?)([a-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))""", re.I | re.S)
+    rf"|{OPENING}", re.I | re.S)
+OPENING = re.compile(OPENING, re.I | re.S)
+#: Elements left out with all they hold; without a closing tag they end with their parent.
+FOREIGN = ("svg", "math")
+OUT = frozenset((*FOREIGN, "noscript", "template", "iframe", "select", "object"))
+NEXT_OF = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in OUT}
+#: Holds HTML inside foreign elements; elsewhere in them a block element ends the foreign one.
+HTML_IN_FOREIGN = frozenset(("foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"))
 ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
                   "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section "
@@ -60,6 +68,8 @@ class Dom:
         self.blocks: list[tuple[int, str]] = []  # owner, text
         self.links: list[int] = []  # characters of links, by text block
         open_, run, linked, in_link, at = [0], [], 0, False, 0
+        out: list[str] = []  # the element that is being left out, and the open ones in it
+        closed, inline = True, Counter()  # whether that one has a closing tag; open elements that are no blocks
 
         def flush() -> None:
             nonlocal run, linked
@@ -70,15 +80,40 @@ class Dom:
                     self.links.append(min(linked, len(text)))
                 run, linked = [], 0
 
-        for m in TOKEN.finditer(html):
-            if m.start() > at:
+        while m := TOKEN.search(html, at):
+            if m.start() > at and not out:
                 run.append(html[at:m.start()])
                 if in_link:
                     linked += m.start() - at
             at = m.end()
+            if m[1] and out and out[0] in FOREIGN and (m0 := OPENING.match(html, m.start()))[0].endswith("/>"):
+                at = m0.end()
             if m[3] is None:
                 continue
             tag, ends = m[3].lower(), bool(m[2])
+            if out:
+                foreign, host = out[0] in FOREIGN, self.tag[open_[-1]]
+                if ends and tag in out:
+                    del out[len(out) - 1 - out[::-1].index(tag):]
+                    continue
+                if ends:
+                    over = inline[tag] > 0 or tag == "head" or tag in BLOCK and tag in [self.tag[i] for i in open_[1:]]
+                else:
+                    over = tag == "body" or tag in BLOCK and (
+                        foreign and HTML_IN_FOREIGN.isdisjoint(out)
+                        or not closed and (host == "p" or host in CLOSES.get(tag, ())) and BLOCK.isdisjoint(out))
+                if not over:
+                    if not ends and tag not in VOID and not (foreign and m[4].endswith("/>")):
+                        out.append(tag)
+                    continue
+                out = []
+            if tag in OUT:
+                if not ends and not (tag in FOREIGN and m[4].endswith("/>")):
+                    out = [tag]
+                    closed = (found := NEXT_OF[tag].search(html, at)) is not None and bool(found[1])
+                continue
+            if tag not in BLOCK and tag not in VOID:
+                inline[tag] += -1 if ends and inline[tag] else not ends
             if tag == "a":
                 in_link = not ends
                 continue
@@ -113,7 +148,7 @@ class Dom:
             self.parent.append(open_[-1])
             self.depth.append(len(open_))
             open_.append(len(self.tag) - 1)
-        if at < len(html):
+        if at < len(html) and not out:
             run.append(html[at:])
         flush()
 
