@@ -122,6 +122,25 @@ def test_spans(spark, documents):
         assert (None if text is None else "".join("*" if i in hidden else c for i, c in enumerate(text))) in clean
 
 
+def test_private_keys_are_hidden_whole(spark, documents):
+    """The body up to the END line; without one, the base64 run and no prose after it."""
+    lines = ["MIIEpAIBAAKCAQEA" + "aB3+/xYz" * 6, "Zk9/" * 16, "q83w+A=="]
+    begin, end, body = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "\n".join(lines)
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n"
+    long = "\n".join(["Zk9/" * 16] * 2000)
+    keys = [f"{begin}\n{body}\n{end}", f"{begin}\n{head}{body}\n{end}", f"{begin}\r\n{body}", f"{begin}\n{head}{body}",
+            f"{begin}\\n{lines[0]}\\n{lines[1]}\\n{lines[2]}\\n{end}", f"{begin} {lines[0]} {lines[1]}", f"{begin}\n{long}\n{end}",
+            f"{begin}\n{long}", f"{begin}\n" + "- a" * 20000 + f"\n{end}", begin]
+    after = "\nthe key above was here - and more words\n-----BEGIN CERTIFICATE-----"
+    texts = [f"see {k}{after}" for k in keys] + [keys[2] + "\n" + keys[0]]
+    hidden = ["see " + "*" * len(k) + after for k in keys] + ["*" * len(keys[2]) + "\n" + "*" * len(keys[0])]
+    got = {r.doc_id: r.text for r in secret_scan.redact(documents(list(enumerate(texts)))).collect()}
+    for i, expected in enumerate(hidden):
+        assert got[i] == expected, i
+    rule = next(r for r in secret_scan.RULES if r.kind == "private_key")
+    assert secret_scan.trigram_query(rule.pattern) == secret_scan.trigram_query("-----BEGIN [A-Z ]*PRIVATE KEY-----")
+
+
 def test_queries_are_implied_by_matches():
     """Any text that a rule matches holds one of the rule's sets of trigrams."""
     for rule in secret_scan.RULES:

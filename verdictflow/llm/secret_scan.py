@@ -45,9 +45,16 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}"),  # whole runs: a shorter run holds no match and hides none
 )
+#: After the BEGIN line of a private key: all up to its END line (no other line of five dashes between);
+#: without one, header lines and the base64 run: long words, and lines that are one word. The repeats
+#: are possessive, since Java recurses for others.
+KEY_BODY = (r"(?:[^-]*+(?:-{1,4}[^-]++)*+-----END [A-Z ]*PRIVATE KEY-----"
+            r"|(?:[\x20\x09-\x0D]*+(?:Proc-Type|DEK-Info):[^\x0A\x0D]*+)*+"
+            r"(?:(?:[\x20\x09-\x0D]|\\[rn])*+[A-Za-z0-9+/]{16,}+={0,2}+"
+            r"|[\x20\x09]*+[\x0A\x0D][\x20\x09-\x0D]*+[A-Za-z0-9+/]++={0,2}+(?![\x20\x09]*+[^\x20\x09-\x0D]))*+)?")
 #: Formats that public services document for their keys.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----" + KEY_BODY),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("github", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
