@@ -253,3 +253,22 @@ def test_streaming_update_mode(spark, sf, tmp_path):
     ev = spark.read.parquet(f"{sf}/events.parquet")
     batch = counter_frame(cascade(event_claims(ev).withColumn("text_key", text_key("claim")), a, b, j, 0.7, truth_col=None), by="event_type").collect()
     assert {x["event_type"]: x.asDict() for x in batch} == got
+
+
+def test_evaluation_file_holds_all_fields(spark, tmp_path):
+    from verdictflow.operators.config import CascadeConfig
+    from verdictflow.operators.verifiers import RuleVerifier, raw_answer
+    v = RuleVerifier(lambda claim: raw_answer("yes", "0.9", "r" * 200, elapsed_ms=500.0))
+    claims = spark.createDataFrame([(1, "one", "no", None), (2, "two", None, None), (3, "three", "yes", "timeout"),
+                                    (4, "four", None, "broken")],
+                                   "claim_id long, claim string, ground_truth string, row_error string")
+    config = CascadeConfig(gamma=0.95)
+    r = cascade(claims, v, v, v, config=config, row_error_col="row_error")
+    got = {(x["type"], x["claim_id"]): x for x in K.write_evaluation(r, str(tmp_path / "f"), config, seed=5).collect()}
+    assert len(got) == 6 and got["metadata", None]["gamma"] == 0.95 and got["metadata", None]["models"]["referee"] == "judge"
+    one, two, three, four = (got[k] for k in (("labeled", 1), ("contested_factual", 2), ("labeled", 3), ("contested_factual", 4)))
+    assert (one["claim"], one["predicted"], one["correct"], one["time"], one["ref_confidence"]) == ("one", "yes", False, 1.5, 0.9)
+    assert two["a_reasoning"] == "r" * 150 + "..." and two["final"] == 1 and two["expected"] is None and two["escalated"]
+    assert (three["error"], three["correct"], three["escalated"], three["time"]) == ("timeout", False, False, None)
+    assert (four["error"], four["correct"], four["escalated"], four["final"]) == ("broken", None, False, None)
+    assert got["summary", None]["contested_factual_escalation_rate"] == 0.5

@@ -36,6 +36,7 @@ def test_oracle_matches(spark, sf, key):
     assert canon([tuple(r) for r in df.collect()], df.columns) == canon(rel.fetchall(), rel.columns)
 
 
-@pytest.mark.parametrize("key", ["cascade_all", "evaluation_metrics_all", "gamma_sweep_all"])
+@pytest.mark.parametrize("key", ["cascade_all", "evaluation_metrics_all", "gamma_sweep_all", "jsonl_records_full",
+                                 "metrics_json_full", "quick_eval_rows"])
 def test_all_documents_match(spark, sf, key):
     test_oracle_matches(spark, sf, key)

@@ -20,11 +20,12 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from verdictflow.functions import parsing as P
+from verdictflow.operators.config import CascadeConfig
 from verdictflow.operators.verifiers import Verifier, raw_answer
 
 POLICIES = ("p1", "p2", "p3")
 RESULT_COLUMNS = ("a", "b", "judge", "agree", "min_confidence", "mean_confidence", "gamma", "escalated", "reason",
-                  "final_prediction", "final_verdict", "correct", "calls")
+                  "final_prediction", "final_verdict", "correct", "calls", "elapsed_ms")
 
 
 def blank_claim(claim_col: str = "claim") -> Column:
@@ -73,7 +74,7 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
             row_error_col: str | None = None, parsers: tuple[str, str, str] | None = None,
             biases: tuple[str | None, str | None] = (None, None), judge_gate: Column | None = None,
             observation: Observation | None = None, judge_partitions: int | None = None,
-            materialize: bool = False) -> DataFrame:
+            materialize: bool = False, config: CascadeConfig | None = None) -> DataFrame:
     """Label every claim with the cascade.
 
     ``claims`` needs ``id_col`` and ``claim_col``; ``truth_col`` (yes/no) is optional.
@@ -89,8 +90,11 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
     ``materialize`` writes the results to the shared checkpoint folder and returns
     the written table: model answers are then computed exactly once, a lost
     executor re-reads them, and every later use (rows, metrics, sweeps) sees the
-    same answers.
+    same answers. ``config`` (D2) gives the gamma and the policy. ``elapsed_ms`` of a result is the time of
+    its calls, NULL where no verifier measures any.
     """
+    if config is not None:
+        gamma, policy = config.gamma, config.policy
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
     if not isinstance(gamma, Column) and not (0.0 <= float(gamma) <= 1.0):
@@ -158,6 +162,8 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
         "final_verdict": F.expr(verdict),
         "correct": F.expr(f"CASE WHEN {given} THEN {hit} END"),
         "calls": F.expr("CASE WHEN escalated THEN 3 ELSE 2 END"),
+        "elapsed_ms": F.expr("aggregate(array_compact(array(__a_raw.elapsed_ms, __b_raw.elapsed_ms, __j_raw.elapsed_ms)), "
+                             "CAST(NULL AS DOUBLE), (t, x) -> coalesce(t, 0D) + x)"),
     })
     out = observe_calls(df, observation).drop("__a_raw", "__b_raw", "__j_raw")
     if materialize:

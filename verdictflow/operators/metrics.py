@@ -110,6 +110,18 @@ def derive_metrics(include_efficiency: bool = True) -> list[Column]:
     return [F.expr(e).alias(n) for e, n in cols]
 
 
+#: The fields of ``MetricsResult``.
+RESULT_FIELDS = ("total_evaluations", "escalations", "agreements", "disagreements", "correct_predictions",
+                 "overall_accuracy", "escalated_accuracy", "non_escalated_accuracy", "escalation_rate",
+                 "disagreement_rate", "agreement_rate", "total_model_calls", "avg_calls_per_evaluation",
+                 "cost_per_correct", "false_consensus_rate", "precision", "recall", "f1_score")
+
+
+def metrics_json() -> Column:
+    """All metric fields as JSON, without the undefined ones."""
+    return F.to_json(F.struct(*RESULT_FIELDS))
+
+
 def _by(by) -> list[str]:
     if by is None:
         return []

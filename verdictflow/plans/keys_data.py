@@ -11,15 +11,17 @@ from verdictflow.operators import metrics as M
 from verdictflow.operators import sampling as SM
 from verdictflow.operators import validation as V
 from verdictflow.operators.cascade import cascade, flat_results, prediction_to_verdict, preview
+from verdictflow.operators.config import CascadeConfig
+from verdictflow.operators.verifiers import RuleVerifier
 from verdictflow.plans import compare as C
 from verdictflow.plans import oracle as O
 from verdictflow.plans import sweep as S
-from verdictflow.plans.keys import GAMMA, GAMMAS, results
+from verdictflow.plans.keys import FLAT_DOUBLES, GAMMA, GAMMAS, METRIC_DOUBLES, all_results, flat_cols, results
 from verdictflow.plans.registry import register, with_ctes
 from verdictflow.session import durable_path
 from verdictflow.sources import datasets as D
 from verdictflow.sources import sinks as K
-from verdictflow.sources.derived import document_claims, fixture_verifiers, table, text_key
+from verdictflow.sources.derived import all_claims, document_claims, fixture_answer, fixture_verifiers, table, text_key
 
 RAW_LABELS = ("yes", "no", "true", "false", "1", "0", "Yes", " no ", "maybe")
 RAW_LABEL_SPARK = "element_at(array(" + ", ".join(f"'{v}'" for v in RAW_LABELS) + \
@@ -178,6 +180,23 @@ def q_metrics_json(spark, sf_dir):
     return m.select("lang", "reason", F.to_json(F.struct(*fields)).alias("metrics"))
 
 
+def _metrics_json_full_sql():
+    names = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{c}' END" for c in M.RESULT_FIELDS)
+    return with_ctes(O.cascade_ctes(claims=O.all_claims_sql()) +
+                     f",\nm AS ({O.optional_truth_sql('res', 'lang, reason')})",
+                     f"SELECT lang, reason, concat_ws(',', {names}) AS fields, {', '.join(M.RESULT_FIELDS)} FROM m")
+
+
+@register("metrics_json_full", _metrics_json_full_sql(), METRIC_DOUBLES[:-1])
+def q_metrics_json_full(spark, sf_dir):
+    """The JSON form of all 18 metric fields, unrounded, without the undefined ones; parsed again."""
+    m = M.evaluation_metrics(all_results(spark, sf_dir), by=["lang", "reason"])
+    fields = m.select(*M.RESULT_FIELDS).schema
+    m = m.select("lang", "reason", M.metrics_json().alias("metrics"))
+    return m.select("lang", "reason", F.array_join(F.json_object_keys("metrics"), ",").alias("fields"),
+                    F.from_json("metrics", fields).alias("m")).select("lang", "reason", "fields", "m.*")
+
+
 @register("reasoning_preview", "SELECT doc_id AS claim_id, CASE WHEN length(text) > 60 THEN substring(text, 1, 60) || '...' "
                                "ELSE text END AS claim_60, CASE WHEN length(text) > 150 THEN substring(text, 1, 150) || "
                                "'...' ELSE text END AS text_150, length(text) AS n_chars FROM documents")
@@ -326,6 +345,23 @@ def q_quick_eval(spark, sf_dir):
                     F.col("avg_calls_per_evaluation").alias("avg_cost"))
 
 
+@register("quick_eval_rows", with_ctes(
+    O.cascade_ctes(claims=f"SELECT * FROM ({O.all_claims_sql()}) c ORDER BY md5('0:sample:' || CAST(claim_id AS VARCHAR)), "
+                          f"claim_id LIMIT {QUICK_N}"),
+    "SELECT 'summary' AS type, count(*) AS num_claims, count(*) FILTER (escalated) AS num_escalations, "
+    "avg(CAST(escalated AS INTEGER)) AS escalation_rate, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS accuracy, "
+    f"avg(calls) AS avg_cost FROM res UNION ALL BY NAME SELECT 'result' AS type, claim, {O.FLAT_COLS} FROM res"),
+    ("escalation_rate", "accuracy", "avg_cost") + FLAT_DOUBLES)
+def q_quick_eval_rows(spark, sf_dir):
+    """F24 with its result rows; the sample is answered once."""
+    c = SM.sample_n(all_claims(spark, sf_dir), QUICK_N, 0)
+    r = cascade(c, *fixture_verifiers(), GAMMA, materialize=True)
+    summary = M.cascade_metrics(r).select(
+        F.col("total_evaluations").alias("num_claims"), F.col("escalations").alias("num_escalations"), "escalation_rate",
+        F.col("overall_accuracy").alias("accuracy"), F.col("avg_calls_per_evaluation").alias("avg_cost"))
+    return K.typed_records(None, ("summary", summary), ("result", r.select("claim", *flat_cols())))
+
+
 def _typed_claims_sql():
     return (f"SELECT *, 'labeled' AS type FROM ({O.claims_sql()}) l UNION ALL "
             f"SELECT d.doc_id AS claim_id, d.text AS claim, CAST(NULL AS VARCHAR) AS ground_truth, d.lang, d.source, "
@@ -486,6 +522,53 @@ def q_jsonl_records(spark, sf_dir):
     return K.typed_records(meta, ("labeled", lab), ("contested_factual", con), ("summary", summ))
 
 
+RECORD_ERROR_SQL = "CASE claim_id % 29 WHEN 3 THEN 'timeout' WHEN 7 THEN 'upstream failure' END"
+RECORD_DOUBLES = ("time", "a_confidence", "b_confidence", "ref_confidence", "gamma", "labeled_accuracy",
+                  "contested_factual_escalation_rate", "temperature_a", "temperature_b", "temperature_referee")
+
+
+def _full_records_sql():
+    """Every record with all its fields; each call takes text_key % 1000 ms."""
+    short = "CASE WHEN length({0}) > 150 THEN substring({0}, 1, 150) || '...' ELSE {0} END AS {0}"
+    lab = ("SELECT 'labeled' AS type, claim_id, claim, ground_truth AS expected, final_verdict AS predicted, correct, "
+           "escalated, text_key % 1000 * calls / 1000.0 AS time, a_confidence, b_confidence, judge_confidence AS "
+           "ref_confidence FROM res WHERE ground_truth IS NOT NULL AND row_error IS NULL")
+    con = ("SELECT 'contested_factual' AS type, claim_id, claim, a_prediction AS verifier_a, b_prediction AS verifier_b, "
+           "final_prediction AS final, escalated, text_key % 1000 * calls / 1000.0 AS time, a_confidence, b_confidence, "
+           f"judge_confidence AS ref_confidence, {short.format('a_reasoning')}, {short.format('b_reasoning')} "
+           "FROM res WHERE ground_truth IS NULL AND row_error IS NULL")
+    bad = ("SELECT CASE WHEN ground_truth IS NULL THEN 'contested_factual' ELSE 'labeled' END AS type, claim_id, claim, "
+           "ground_truth AS expected, CASE WHEN ground_truth IS NOT NULL THEN FALSE END AS correct, FALSE AS escalated, "
+           "row_error AS error FROM res WHERE row_error IS NOT NULL")
+    summ = ("SELECT 'summary' AS type, avg(CASE WHEN ground_truth IS NOT NULL THEN CAST(correct AND row_error IS NULL "
+            "AS INTEGER) END) AS labeled_accuracy, avg(CASE WHEN ground_truth IS NULL THEN CAST(escalated AND row_error "
+            "IS NULL AS INTEGER) END) AS contested_factual_escalation_rate, CAST(sum(calls) AS BIGINT) AS "
+            "total_model_calls FROM res")
+    meta = (f"SELECT 'metadata' AS type, CAST({GAMMA} AS DOUBLE) AS gamma, 0 AS seed, 'verifier-a' AS model_a, "
+            "'verifier-b' AS model_b, 'judge' AS model_referee, CAST(0.1 AS DOUBLE) AS temperature_a, "
+            "CAST(0.9 AS DOUBLE) AS temperature_b, CAST(0 AS DOUBLE) AS temperature_referee, TRUE AS dated")
+    return with_ctes(O.cascade_ctes(claims=O.all_claims_sql(), row_error=RECORD_ERROR_SQL),
+                     " UNION ALL BY NAME ".join((meta, lab, con, bad, summ)))
+
+
+def timed_verifier(role):
+    return RuleVerifier(lambda claim: fixture_answer(role).withField("elapsed_ms", F.expr("CAST(text_key % 1000 AS DOUBLE)")))
+
+
+@register("jsonl_records_full", _full_records_sql(), RECORD_DOUBLES)
+def q_jsonl_records_full(spark, sf_dir):
+    """All fields of all records of all documents, written as JSON Lines and read back."""
+    claims = all_claims(spark, sf_dir).withColumn("row_error", F.expr(RECORD_ERROR_SQL))
+    config = CascadeConfig(gamma=GAMMA)
+    r = cascade(claims, *map(timed_verifier, ("a", "b", "judge")), config=config, row_error_col="row_error")
+    back = K.write_evaluation(r, durable_path(spark, "records"), config)
+    names = (("a", "verifier_a"), ("b", "verifier_b"), ("referee", "referee"))
+    return back.select(*[c for c in back.columns if c not in ("timestamp", "models", "temperatures")],
+                       *[F.col(f"models.{f}").alias(f"model_{n}") for n, f in names],
+                       *[F.col(f"temperatures.{f}").alias(f"temperature_{n}") for n, f in names],
+                       (F.col("timestamp") > 0).alias("dated"))
+
+
 @register("save_results", with_ctes(
     O.cascade_ctes(), "SELECT claim_id, final_verdict, escalated, a_confidence, judge_verdict FROM res"),
     ("a_confidence",))

@@ -96,6 +96,56 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def evaluation_records(results: DataFrame) -> DataFrame:
+    """One record per result, labelled or contested by its truth; a row that failed as a whole
+    (D13) becomes an error record. Fields that a record does not have are NULL."""
+    from verdictflow.operators.cascade import preview
+    labelled = "(ground_truth IS NOT NULL AND ground_truth <> '')"
+    ok = "(reason <> 'error')"
+
+    def only(cond, value):
+        return F.when(F.expr(cond), F.col(value) if isinstance(value, str) else value)
+
+    return results.select(
+        F.expr(f"CASE WHEN {labelled} THEN 'labeled' ELSE 'contested_factual' END").alias("type"), "claim_id", "claim",
+        only(labelled, "ground_truth").alias("expected"), only(f"{labelled} AND {ok}", "final_verdict").alias("predicted"),
+        F.expr(f"CASE WHEN {labelled} THEN {ok} AND correct END").alias("correct"),
+        F.expr(f"{ok} AND escalated").alias("escalated"), only(ok, F.col("elapsed_ms") / 1000).alias("time"),
+        only(ok, "a.confidence").alias("a_confidence"), only(ok, "b.confidence").alias("b_confidence"),
+        only(ok, "judge.confidence").alias("ref_confidence"),
+        only(f"NOT {labelled} AND {ok}", "a.prediction").alias("verifier_a"),
+        only(f"NOT {labelled} AND {ok}", "b.prediction").alias("verifier_b"),
+        only(f"NOT {labelled} AND {ok}", "final_prediction").alias("final"),
+        only(f"NOT {labelled} AND {ok}", preview(F.col("a.reasoning"))).alias("a_reasoning"),
+        only(f"NOT {labelled} AND {ok}", preview(F.col("b.reasoning"))).alias("b_reasoning"),
+        only(f"NOT {ok}", "a.error").alias("error"))
+
+
+def write_evaluation(results: DataFrame, path: str, config, seed: int = 0) -> DataFrame:
+    """Metadata, one record per result and a summary as JSON Lines; read back with their schema.
+
+    The results are computed once: the summary comes from the written records.
+    """
+    spark = results.sparkSession
+    roles = (("verifier_a", config.verifier_a), ("verifier_b", config.verifier_b), ("referee", config.judge))
+    meta = spark.range(1).select(
+        F.lit(int(time.time())).cast("bigint").alias("timestamp"), F.lit(seed).alias("seed"),
+        F.lit(float(config.gamma)).alias("gamma"), F.struct(*[F.lit(s.model).alias(n) for n, s in roles]).alias("models"),
+        F.struct(*[F.lit(float(s.temperature)).alias(n) for n, s in roles]).alias("temperatures"))
+    records = evaluation_records(results)
+    write_jsonl(typed_records(meta).unionByName(records, allowMissingColumns=True), path)
+    back = spark.read.schema(records.schema).json(path).filter("type <> 'metadata'")
+    summary = back.agg(
+        F.expr("avg(CASE WHEN type = 'labeled' THEN CAST(correct AS INT) END)").alias("labeled_accuracy"),
+        F.expr("avg(CASE WHEN type = 'contested_factual' THEN CAST(escalated AS INT) END)")
+        .alias("contested_factual_escalation_rate"),
+        F.expr("sum(CASE WHEN escalated OR error IS NOT NULL THEN 3 ELSE 2 END)").alias("total_model_calls"))
+    summary = typed_records(None, ("summary", summary))
+    write_jsonl(summary, path, "append")
+    empty = typed_records(meta).limit(0).unionByName(records.limit(0), allowMissingColumns=True)
+    return spark.read.schema(empty.unionByName(summary.limit(0), allowMissingColumns=True).schema).json(path)
+
+
 def append_run_log(spark: SparkSession, path: str, dataset_name: str, dataset_size: int, seconds: float,
                    metrics: DataFrame) -> DataFrame:
     """Append ``dataset_name, dataset_size, evaluation_time, timestamp`` + metric columns to a log table."""
