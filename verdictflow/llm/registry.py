@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from verdictflow.llm.html_extract import op10_html_extraction
 from verdictflow.llm.jaccard_join import OP6_SQL, op6_jaccard_join
+from verdictflow.llm.merkle_manifest import OP11_SQL, op11_merkle_manifest
 from verdictflow.llm.piece_tokenizer import op4_sentencepiece
 from verdictflow.llm.quality_rules import op8_quality_rules
 from verdictflow.llm.secret_scan import op3_secret_scan
@@ -28,6 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_html_extraction": op10_html_extraction,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op5_top_k": OP5_SQL, "op6_jaccard_join": OP6_SQL, "op7_source_mix": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op5_top_k": OP5_SQL,
+                           "op6_jaccard_join": OP6_SQL, "op7_source_mix": OP7_SQL, "op11_merkle_manifest": OP11_SQL}
