@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verdictflow.llm.best_fit import op13_best_fit
 from verdictflow.llm.html_extract import op10_html_extraction
 from verdictflow.llm.jaccard_join import OP6_SQL, op6_jaccard_join
 from verdictflow.llm.merkle_manifest import OP11_SQL, op11_merkle_manifest
@@ -17,6 +18,7 @@ from verdictflow.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from verdictflow.llm.token_counts import op9_token_counts
 from verdictflow.llm.top_k import OP5_SQL, op5_top_k
 from verdictflow.llm.warc import OP2_SQL, op2_warc
+from verdictflow.llm.whitening import op12_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_html_extraction": op10_html_extraction,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_whitening": op12_whitening,
+    "op13_best_fit": op13_best_fit,
 }
 
 ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op5_top_k": OP5_SQL,
