@@ -48,7 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only when unset.
 
     ``setCheckpointDir`` is called once per context (each call would create a new
-    sub-folder); our own durable writes go under the configured folder itself.
+    sub-folder); our own durable writes go under the configured folder itself. The setting
+    cannot be changed in a running session: a folder of our own is known by the context only.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -58,7 +59,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             d = tempfile.mkdtemp(prefix="verdictflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
