@@ -62,11 +62,17 @@ def _keyed(df: DataFrame) -> DataFrame:
 
 
 def read_json_any(spark: SparkSession, path: str) -> DataFrame:
-    """A1 or A2, told apart per file by the top-level type, without a driver-side peek."""
+    """A1 or A2, told apart per file by the top-level type, without a driver-side peek.
+
+    One scan: a record is a set of one row, an object of two arrays a set of its positions.
+    """
     df = spark.read.schema(JSON_SCHEMA).option("multiLine", True).json(path)
-    records = _keyed(df.filter(F.col("claims").isNull()).select(_required("claim"), _required("label")))
-    columns = _columns_to_rows(df.filter(F.col("claims").isNotNull()))
-    return _keyed(records.unionByName(columns))
+    record = F.array(F.struct(_required("claim"), _required("label")))
+    aligned = F.when(F.size("claims") == F.size("labels"), F.arrays_zip("claims", "labels")).otherwise(
+        F.raise_error(F.lit("claims and labels must have the same length")))
+    columns = F.transform(aligned, lambda z: F.struct(z["claims"].alias("claim"), z["labels"].alias("label")))
+    rows = df.select(F.explode(F.when(F.col("claims").isNull() & F.col("labels").isNull(), record).otherwise(columns)).alias("r"))
+    return _keyed(rows.select("r.claim", "r.label"))
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
