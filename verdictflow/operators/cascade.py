@@ -14,8 +14,6 @@ Policies (the three generations of the reference):
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -26,6 +24,9 @@ from verdictflow.operators.verifiers import Verifier, raw_answer
 POLICIES = ("p1", "p2", "p3")
 RESULT_COLUMNS = ("a", "b", "judge", "agree", "min_confidence", "mean_confidence", "gamma", "escalated", "reason",
                   "final_prediction", "final_verdict", "correct", "calls", "elapsed_ms")
+#: What the gate and the decision add to a claim.
+GATE_COLUMNS = ("__a_raw", "__b_raw", "a", "b", "gamma", "agree", "min_confidence", "mean_confidence", "escalated", "reason")
+DECISION_COLUMNS = ("judge", "final_prediction", "final_verdict", "correct", "calls", "elapsed_ms")
 
 
 def blank_claim(claim_col: str = "claim") -> Column:
@@ -143,6 +144,8 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
         "reason": F.expr(f"CASE WHEN {failed} THEN 'error' WHEN NOT {agree} THEN 'disagreement' "
                          f"WHEN {low} THEN 'low_confidence_agreement' ELSE 'consensus' END"),
     }).drop("__gamma")
+    passed = [c for c in claims.columns if c not in GATE_COLUMNS + DECISION_COLUMNS]
+    df = generated(df, passed)
 
     if judge_partitions:
         df = df.repartition(judge_partitions, F.col(id_col))
@@ -165,27 +168,40 @@ def cascade(claims: DataFrame, verifier_a: Verifier, verifier_b: Verifier, judge
         "elapsed_ms": F.expr("aggregate(array_compact(array(__a_raw.elapsed_ms, __b_raw.elapsed_ms, __j_raw.elapsed_ms)), "
                              "CAST(NULL AS DOUBLE), (t, x) -> coalesce(t, 0D) + x)"),
     })
-    out = observe_calls(df, observation).drop("__a_raw", "__b_raw", "__j_raw")
+    if observation is not None:
+        df = observe_calls(df, observation)
+    out = df.drop("__a_raw", "__b_raw", "__j_raw")
+    if not judge.calls_model:
+        out = generated(out, [c for c in out.columns if c not in DECISION_COLUMNS])
     if materialize:
         from verdictflow.session import materialize as _write
         out = _write(out, "cascade")
     return out
 
 
-def observe_calls(results: DataFrame, observation: Observation | str | None = None) -> DataFrame:
+def generated(df: DataFrame, passed: list[str]) -> DataFrame:
+    """The columns that are not ``passed`` as a relation of their own, generated per row (one row each).
+
+    Catalyst pushes a filter on the ``passed`` columns below the generated relation, down to the scan,
+    before any model is asked. A filter on the others stays above it: pushed into the parser
+    projections, its condition would grow with every column that a projection uses twice (a filter
+    on ``escalated`` then took minutes to plan). The cascade generates the gate's columns, and above
+    them the decision's, unless the judge is a model: its projections must be pruned where nothing of
+    the judge is selected, so that it is not asked (being nondeterministic, they stop filters by themselves).
+    """
+    made = [c for c in df.columns if c not in passed]
+    return df.select(*map(F.col, passed), F.inline(F.array(F.struct(*map(F.col, made)))))
+
+
+def observe_calls(results: DataFrame, observation: Observation | str) -> DataFrame:
     """Observed metrics of a cascade: rows, escalations and the judge inputs actually sent.
 
     ``judge_calls`` counts non-NULL gated judge inputs, i.e. the rows the judge
     was asked about (it equals ``escalations`` unless a ``judge_gate`` widens it).
-    Pass a ``pyspark.sql.Observation`` to read them after an action.
-
-    The CollectMetrics node is also a plan barrier: the optimizer does not
-    push a later filter through it into the parser projections, where inlining
-    every multiply-used column made the filter condition grow multiplicatively
-    (a filter on ``escalated`` or ``judge`` then took minutes to plan).
+    Pass a ``pyspark.sql.Observation`` to read them after an action. Observing needs the judge's
+    answers and stops filters, so that a cascade is observed only on request.
     """
-    obs = observation or f"verdictflow_cascade_{uuid.uuid4().hex[:10]}"
-    return results.observe(obs, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("escalated")).alias("escalations"),
+    return results.observe(observation, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("escalated")).alias("escalations"),
                            F.count(F.col("__j_raw")).alias("judge_calls"),
                            F.sum(F.col("calls")).alias("model_calls"))
 
@@ -216,11 +232,12 @@ def preview(text: Column, n: int = 150) -> Column:
 
 
 def forced_disagreement(claims: DataFrame, verifier: Verifier, judge: Verifier, *, seed: int = 0,
-                        id_col: str = "claim_id", claim_col: str = "claim",
-                        truth_col: str | None = "ground_truth") -> DataFrame:
-    """A yes-biased and a no-biased copy of one verifier; the judge decides every disagreement."""
-    a = verifier.with_prefix("You tend to agree with claims. ")
-    b = verifier.with_prefix("You tend to disagree with claims. ")
+                        id_col: str = "claim_id", claim_col: str = "claim", truth_col: str | None = "ground_truth",
+                        prefixes: tuple[str, str] = ("Lean towards accepting this: ", "Lean towards rejecting this: ")
+                        ) -> DataFrame:
+    """A yes-biased and a no-biased copy of one verifier (``prefixes`` before the claim); the judge
+    decides every disagreement."""
+    a, b = map(verifier.with_prefix, prefixes)
     return cascade(claims, a, b, judge, 0.0, "p3", id_col=id_col, claim_col=claim_col, truth_col=truth_col,
                    seed=seed, parsers=("biased", "biased", "p3"), biases=("yes", "no"))
 

@@ -7,8 +7,8 @@ to a claims DataFrame. Parsing (``functions.parsing``) turns it into a result.
 * :class:`RuleVerifier`  - a Column expression (mocks, canned answers, fixtures). JVM only.
 * :class:`TableVerifier` - answers computed earlier, joined on the claim key.
 * :class:`ModelVerifier` - any Python client, called through an Arrow-batched
-  iterator ``pandas_udf``: one client per task, retries, a per-call timeout,
-  per-row error isolation, and rows whose input is NULL are never sent.
+  iterator ``pandas_udf``: a bounded window of calls in flight, retries, a deadline
+  per claim, per-row error isolation, and rows whose input is NULL are never sent.
 
 Every verifier accepts a ``gate`` Column: rows where it is false get a NULL
 answer and cost nothing. That is how the judge is only asked about escalated rows.
@@ -17,8 +17,11 @@ answer and cost nothing. That is how the judge is only asked about escalated row
 from __future__ import annotations
 
 import concurrent.futures as cf
+import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,6 +63,7 @@ class Verifier:
     """Base class; ``answers`` adds ``out_col`` (raw answer struct) to ``df``."""
 
     name = "verifier"
+    calls_model = False  # whether an answer costs a call
 
     def answers(self, df: DataFrame, out_col: str, claim: Column, gate: Column | None = None) -> DataFrame:
         raise NotImplementedError
@@ -102,38 +106,60 @@ class PrefixedVerifier(Verifier):
         self.inner = inner
         self.prefix = prefix
         self.name = f"{inner.name}+prefix"
+        self.calls_model = inner.calls_model
 
     def answers(self, df, out_col, claim, gate=None):
         return self.inner.answers(df, out_col, F.concat(F.lit(self.prefix), claim), gate)
 
 
+def stored_answer(outputs: DataFrame) -> Column:
+    """The raw answer struct of a row of ``outputs``; fields that it lacks are NULL."""
+    return raw_answer(**{c: F.col(c) if c in outputs.columns else None for c in RAW_FIELDS})
+
+
+def one_answer(answer: Column) -> Column:
+    """Aggregate: the answer kept of several stored ones.
+
+    One without an error goes before one with an error; among these the smallest by verdict, then
+    confidence, reasoning, raw output, error and time (NULL before any value). Ties are equal answers.
+    """
+    return F.min(F.when(answer.isNotNull(), F.struct(answer["error"].isNotNull().alias("failed"), answer.alias("kept"))))["kept"]
+
+
 class TableVerifier(Verifier):
     """Precomputed answers ``(key, verdict, confidence, reasoning, raw_output, error)``.
 
     Lets users label once (offline or with a ModelVerifier + ``materialize``)
     and re-run the cascade, sweeps and reports without any model call. The
-    join is a plain equi-join on the key: Spark picks broadcast or sort-merge
-    from the measured size (AQE), and bucketing both sides on the key removes
-    the shuffle. A claim without an answer gets a "missing answer" error row.
+    answers are reduced to one per key (so a claim never gives several rows)
+    and joined on it: both use the same partitioning, Spark picks broadcast or
+    sort-merge from the measured size (AQE), and bucketing both sides on the key
+    removes the shuffle. ``repeated='first'`` keeps the answer that
+    :func:`one_answer` names, ``'fail'`` fails the job on a second answer. As keys
+    are unique, Spark drops the join where no answer is selected.
+    A claim without an answer gets a "missing answer" error row.
     """
 
-    def __init__(self, outputs: DataFrame, key: str = "claim_id", name: str = "table"):
+    def __init__(self, outputs: DataFrame, key: str = "claim_id", name: str = "table", repeated: str = "first"):
+        if repeated not in ("first", "fail"):
+            raise ValueError("repeated must be 'first' or 'fail'")
         self.outputs = outputs
         self.key = key
         self.name = name
+        self.repeated = repeated
 
     def answers(self, df, out_col, claim, gate=None):
-        o = self.outputs
-        cols = {c: (F.col(c) if c in o.columns else F.lit(None)) for c in RAW_FIELDS}
-        tmp = f"__{out_col}_ans"
-        right = o.select(F.col(self.key).alias(f"__{out_col}_key"),
-                         raw_answer(cols["verdict"], cols["confidence"], cols["reasoning"], cols["raw_output"],
-                                    cols["error"], cols["elapsed_ms"]).alias(tmp))
-        j = df.join(right, df[self.key] == right[f"__{out_col}_key"], "left")
-        ans = F.when(F.col(f"__{out_col}_key").isNull(), raw_answer(error="missing answer")).otherwise(F.col(tmp))
+        key, tmp = f"__{out_col}_key", f"__{out_col}_ans"
+        given = self.outputs.select(F.col(self.key).alias(key), stored_answer(self.outputs).alias(tmp))
+        right = given.groupBy(key).agg(one_answer(F.col(tmp)).alias(tmp), F.count(F.lit(1)).alias("__n"))
+        if self.repeated == "fail":
+            again = F.raise_error(F.concat(F.lit("several stored answers for "), F.col(key).cast("string")))
+            right = right.filter(F.when(F.col("__n") > 1, again.cast("boolean")).otherwise(True))
+        j = df.join(right.drop("__n"), df[self.key] == F.col(key), "left")
+        ans = F.when(F.col(key).isNull(), raw_answer(error="missing answer")).otherwise(F.col(tmp))
         if gate is not None:
             ans = F.when(gate, ans)
-        return j.withColumn(out_col, ans).drop(tmp, f"__{out_col}_key")
+        return j.withColumn(out_col, ans).drop(tmp, key)
 
 
 class ColumnVerifier(Verifier):
@@ -158,13 +184,12 @@ def join_answers(claims: DataFrame, outputs: DataFrame, key: str = "claim_id", r
     It is grouped by key (one shuffle, map-side partial aggregation) and joined
     to the claims on the same key, so the join reuses that partitioning instead
     of three separate joins each shuffling the claims. Returns the widened claims
-    and one :class:`ColumnVerifier` per role (a missing answer becomes an error row).
+    and one :class:`ColumnVerifier` per role (a missing answer becomes an error row; of
+    several, :func:`one_answer` names the one kept).
     """
-    cols = {c: (F.col(c) if c in outputs.columns else F.lit(None)) for c in RAW_FIELDS}
-    ans = raw_answer(cols["verdict"], cols["confidence"], cols["reasoning"], cols["raw_output"], cols["error"],
-                     cols["elapsed_ms"])
-    wide = outputs.groupBy(F.col(key).alias(f"__{key}")).agg(
-        *[F.first(F.when(F.col(role_col) == r, ans), ignorenulls=True).alias(f"__ans_{r}") for r in roles])
+    given = outputs.select(F.col(key).alias(f"__{key}"), F.col(role_col).alias("__role"), stored_answer(outputs).alias("__ans"))
+    wide = given.groupBy(f"__{key}").agg(
+        *[one_answer(F.when(F.col("__role") == r, F.col("__ans"))).alias(f"__ans_{r}") for r in roles])
     j = claims.join(wide, claims[key] == wide[f"__{key}"], "left").drop(f"__{key}")
     missing = raw_answer(error="missing answer")
     j = j.withColumns({f"__ans_{r}": F.coalesce(F.col(f"__ans_{r}"), missing) for r in roles})
@@ -175,11 +200,6 @@ def join_answers(claims: DataFrame, outputs: DataFrame, key: str = "claim_id", r
 ClientFn = Callable[[pd.Series], pd.DataFrame]
 
 
-def _call_with_timeout(pool: cf.ThreadPoolExecutor, fn: ClientFn, claims: pd.Series, timeout_s: float | None):
-    fut = pool.submit(fn, claims)
-    return fut.result(timeout=timeout_s)
-
-
 def _answers_frame(out: pd.DataFrame, n: int) -> pd.DataFrame:
     out = out.reset_index(drop=True)
     if len(out) != n:
@@ -194,78 +214,155 @@ def _answers_frame(out: pd.DataFrame, n: int) -> pd.DataFrame:
     return res
 
 
+@dataclass
+class Call:
+    """One call: which claims, since when they wait for an answer, how often it was tried."""
+
+    rows: list[int]
+    first: float | None = None
+    tries: int = 0
+    started: float = 0.0
+    client: ClientFn | None = None
+
+
+class CallWindow:
+    """The model calls of one task: at most ``in_flight`` at once, every claim done by its deadline.
+
+    A call that fails is tried again ``retries`` times; then, and when a call of several claims is not
+    back after half of the limit, its claims are asked one by one. A claim's deadline counts from its
+    first call (a call of its own has at least half of the limit), so that a client that hangs on one
+    claim costs that claim one limit and its neighbours half of one. After ``give_up_after`` failed
+    claims in a row the following ones get an error unasked, but for one probe after each
+    ``give_up_after`` of them; once a probe succeeds, all are asked again.
+    """
+
+    def __init__(self, factory: Callable[[], ClientFn], in_flight: int, retries: int, timeout_s: float | None,
+                 give_up_after: int | None):
+        self.factory, self.in_flight, self.retries, self.limit = factory, in_flight, retries, timeout_s
+        self.give_up_after = give_up_after
+        self.idle: list[ClientFn] = []  # a client serves one call at a time; one that hangs is left behind
+        self.failures = self.skipped = 0
+
+    def start(self, call: Call, claims: pd.Series) -> cf.Future:
+        call.client = self.idle.pop() if self.idle else self.factory()
+        call.started = time.monotonic()
+        call.first = call.first or call.started
+        done: cf.Future = cf.Future()
+        sent = claims.iloc[call.rows].reset_index(drop=True)
+
+        def run() -> None:
+            try:
+                done.set_result(_answers_frame(call.client(sent), len(sent)))
+            except BaseException as e:  # noqa: BLE001 - handed to the caller
+                done.set_exception(e)
+
+        threading.Thread(target=run, daemon=True).start()  # a thread that hangs must not hold up the worker's end
+        return done
+
+    def due(self, call: Call) -> float:
+        if self.limit is None:
+            return float("inf")
+        if len(call.rows) > 1:
+            return call.started + self.limit / 2
+        return max(call.first + self.limit, call.started + self.limit / 2)
+
+    def answers(self, claims: pd.Series, batch_size: int) -> list[tuple]:
+        """(verdict, confidence, reasoning, raw_output, error, elapsed_ms) of each claim."""
+        out: list[tuple] = [()] * len(claims)
+        waiting = deque(Call(list(range(i, min(i + batch_size, len(claims))))) for i in range(0, len(claims), batch_size))
+        running: dict[cf.Future, Call] = {}
+
+        def failed(call: Call, error: str) -> None:
+            self.failures += 1
+            for r in call.rows:
+                out[r] = (None,) * 4 + (error, (time.monotonic() - call.started) * 1000.0)
+
+        def one_by_one(call: Call) -> None:
+            waiting.extendleft(Call([r], call.first, self.retries) for r in reversed(call.rows))
+
+        while waiting or running:
+            while waiting and len(running) < self.in_flight:
+                call = waiting.popleft()
+                if self.give_up_after and self.failures >= self.give_up_after:
+                    if running:  # wait for what is under way before another probe
+                        waiting.appendleft(call)
+                        break
+                    probe = self.skipped >= self.give_up_after
+                    rest = call.rows[1:] if probe else call.rows
+                    for r in rest:
+                        out[r] = (None,) * 4 + (f"not asked: {self.failures} claims failed in a row", None)
+                    self.skipped = len(rest) + (0 if probe else self.skipped)
+                    if not probe:
+                        continue
+                    call.rows = call.rows[:1]
+                running[self.start(call, claims)] = call
+            if not running:
+                continue
+            wait = min(map(self.due, running.values())) - time.monotonic()
+            cf.wait(running, None if wait == float("inf") else max(wait, 0), cf.FIRST_COMPLETED)
+            now = time.monotonic()
+            for done, call in list(running.items()):
+                if done.done():
+                    del running[done]
+                    self.idle.append(call.client)
+                    error = done.exception()
+                    if error is None:
+                        self.failures, frame = 0, done.result()
+                        each = (now - call.started) * 1000.0 / len(call.rows)
+                        for r, values in zip(call.rows, frame.itertuples(index=False), strict=True):
+                            out[r] = (*values, None, each)
+                    elif call.tries < self.retries:
+                        call.tries += 1
+                        waiting.appendleft(call)
+                    elif len(call.rows) > 1:
+                        one_by_one(call)
+                    else:
+                        failed(call, f"{type(error).__name__}: {error}")
+                elif now >= self.due(call):
+                    del running[done]
+                    if len(call.rows) > 1:
+                        one_by_one(call)
+                    else:
+                        failed(call, "timeout")
+        return out
+
+
 class ModelVerifier(Verifier):
-    """A Python model client run as an Arrow-batched iterator ``pandas_udf``.
-
-    ``client_factory()`` is called once per task (one connection per
-    partition); the client maps a ``pd.Series`` of claims to a ``pd.DataFrame``
-    with any of ``verdict, confidence, reasoning, raw_output``. A failing batch
-    is retried ``retries`` times, then each row is tried on its own so one bad
-    claim cannot fail its neighbours; a row that still fails, or takes longer
-    than ``timeout_s``, becomes an answer with ``error`` set (never a job failure).
-    Calls are counted by the cascade's observed metrics (``judge_calls``).
+    """A Python model client run as an Arrow-batched iterator ``pandas_udf``.
+
+    ``client_factory()`` makes a client; a task makes one per call that it has in flight (at most
+    ``in_flight``), so a client need not be thread-safe. It maps a ``pd.Series`` of claims to a
+    ``pd.DataFrame`` with any of ``verdict, confidence, reasoning, raw_output``. Retries, the limit of
+    ``timeout_s`` per claim and the breaker are those of :class:`CallWindow`; a claim that fails or
+    takes too long becomes an answer with ``error`` set (never a job failure).
     """
 
+    calls_model = True
+
     def __init__(self, client_factory: Callable[[], ClientFn], name: str = "model", batch_size: int = 64,
-                 retries: int = 2, timeout_s: float | None = 60.0):
+                 retries: int = 2, timeout_s: float | None = 60.0, in_flight: int = 8, give_up_after: int | None = 32):
         self.client_factory = client_factory
         self.name = name
         self.batch_size = batch_size
         self.retries = retries
         self.timeout_s = timeout_s
+        self.in_flight = in_flight
+        self.give_up_after = give_up_after
         self._udf = self._build_udf()
 
     def _build_udf(self):
-        factory, batch_size, retries, timeout_s = self.client_factory, self.batch_size, self.retries, self.timeout_s
+        settings = (self.client_factory, self.in_flight, self.retries, self.timeout_s, self.give_up_after)
+        batch_size = self.batch_size
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            client = factory()
-            pool = cf.ThreadPoolExecutor(max_workers=1)
-            try:
-                for claims in batches:
-                    out = pd.DataFrame({c: pd.Series([None] * len(claims), dtype=object) for c in RAW_FIELDS[:5]})
-                    out["elapsed_ms"] = pd.Series([None] * len(claims), dtype="float64")
-                    todo = claims.index[claims.notna()]
-                    for start in range(0, len(todo), batch_size):
-                        idx = todo[start:start + batch_size]
-                        chunk = claims.loc[idx].reset_index(drop=True)
-                        t0 = time.perf_counter()
-                        ans, err = None, None
-                        for _ in range(retries + 1):
-                            try:
-                                ans = _answers_frame(_call_with_timeout(pool, client, chunk, timeout_s), len(chunk))
-                                break
-                            except cf.TimeoutError:
-                                err = "timeout"
-                                pool.shutdown(wait=False, cancel_futures=True)
-                                pool = cf.ThreadPoolExecutor(max_workers=1)
-                            except Exception as e:  # noqa: BLE001 - isolated below
-                                err = f"{type(e).__name__}: {e}"
-                        if ans is not None:
-                            per_row = (time.perf_counter() - t0) * 1000.0 / max(len(chunk), 1)
-                            for c in RAW_FIELDS[:4]:
-                                out.loc[idx, c] = ans[c].to_numpy()
-                            out.loc[idx, "elapsed_ms"] = per_row
-                            continue
-                        # isolate: one call per claim of the failed batch
-                        for i in idx:
-                            t1 = time.perf_counter()
-                            try:
-                                one = _answers_frame(
-                                    _call_with_timeout(pool, client, claims.loc[[i]].reset_index(drop=True),
-                                                       timeout_s), 1)
-                                for c in RAW_FIELDS[:4]:
-                                    out.at[i, c] = one.at[0, c]
-                            except cf.TimeoutError:
-                                out.at[i, "error"] = "timeout"
-                                pool.shutdown(wait=False, cancel_futures=True)
-                                pool = cf.ThreadPoolExecutor(max_workers=1)
-                            except Exception as e:  # noqa: BLE001
-                                out.at[i, "error"] = f"{type(e).__name__}: {e}"
-                            out.at[i, "elapsed_ms"] = (time.perf_counter() - t1) * 1000.0
-                    yield out
-            finally:
-                pool.shutdown(wait=False, cancel_futures=True)
+            window = CallWindow(*settings)
+            for claims in batches:
+                given = claims.notna().to_numpy()
+                found = iter(window.answers(claims[given].reset_index(drop=True), batch_size))
+                rows = [next(found) if g else (None,) * len(RAW_FIELDS) for g in given.tolist()]
+                out = pd.DataFrame(rows, columns=RAW_FIELDS, dtype=object)
+                out["elapsed_ms"] = out["elapsed_ms"].astype("float64")
+                yield out
 
         return F.pandas_udf(run, RAW_ANSWER_TYPE).asNondeterministic()
 
