@@ -7,6 +7,8 @@ preceding partitions. The per-partition table has one row per partition, so
 broadcasting it is bounded by the partition count, not by the data. The
 sorted data is checkpointed to the shared checkpoint folder first, so both
 uses of it see the same partitioning, and a lost executor re-reads it.
+Where only the first rows of an order are wanted, ``top_n`` finds the place of
+the last of them by histograms and filters; the rest is never sorted.
 
 Random choices of the reference (``random.sample``, ``shuffle``) become orders
 by ``md5(seed:...:key)``: reproducible, the same in every engine.
@@ -19,10 +21,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdictflow.session import ensure_checkpoint_dir, materialize
 
-SALTS = 8            # parts in which a drawn pool row is joined
+REPEATS = 1024       # copies of a pool row that one task makes
+DRAWS = 20_000       # slots that one part of a pool row is joined with, about
 _LOCAL_BITS = 33     # monotonically_increasing_id = partition_index << 33 | row_in_partition
 
 
@@ -64,11 +68,83 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "pos",
     return out.drop(*drop)
 
 
+def image(df: DataFrame, first: Column) -> tuple[Column, int, int] | None:
+    """A long that never falls as ``first`` rises, with bounds of it; None where the type has none."""
+    kind = df.select(first.alias("k")).schema["k"].dataType
+    if isinstance(kind, T.StringType):  # the first seven bytes, as a number
+        head = F.rpad(F.hex(F.substring(F.encode(first, "UTF-8"), 1, 7)), 14, "0")
+        return F.conv(head, 16, 10).cast("long"), 0, (1 << 56) - 1
+    if isinstance(kind, T.IntegralType | T.DateType | T.TimestampType):
+        value = F.unix_micros(first) if isinstance(kind, T.TimestampType) else \
+            F.unix_date(first).cast("long") if isinstance(kind, T.DateType) else first.cast("long")
+        low, high = df.agg(F.min(value), F.max(value)).first()
+        return value, low or 0, high or 0
+    return None
+
+
+def threshold(df: DataFrame, n: int, value: Column, low: int, high: int,
+              enough: int = 1 << 16) -> tuple[int | None, int, int] | None:
+    """(low, high, before): the bounds of the smallest interval found that holds the ``n``-th smallest value, and
+    how many values (and NULLs) lie below it; ``low`` None means that it is among the NULLs. None: there are
+    fewer than ``n`` rows.
+
+    Each pass counts values by equal parts of the interval, at most 65,537 rows whatever the data, and
+    goes on with the part that holds the value, until that has at most ``enough`` rows or one value.
+    """
+    before = 0
+    while True:
+        width = (high - low >> 16) + 1
+        from_low = value.cast("decimal(38,0)") - F.lit(low)
+        part = ((from_low - from_low % F.lit(width)) / F.lit(width)).cast("long")  # a whole quotient: no rounding
+        inside = df.filter(value.isNull() | value.between(low, high)) if before == 0 else df.filter(value.between(low, high))
+        counts = {r[0]: r[1] for r in inside.groupBy(part.alias("p")).count().collect()}
+        nulls = counts.pop(None, 0)
+        if nulls >= n - before and nulls:
+            return None, low, before
+        before += nulls
+        for p in sorted(counts):
+            if before + counts[p] >= n:
+                low, high, rows = low + p * width, min(high, low + (p + 1) * width - 1), counts[p]
+                break
+            before += counts[p]
+        else:
+            return None
+        if rows <= enough or low == high:
+            return low, high, before
+
+
 def top_n(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:
-    """The first ``n`` rows of a total order, sorted by it."""
+    """The first ``n`` rows of an order (NULLs first), sorted by it; among rows equal in it, any.
+
+    No row that is not chosen is sorted or written. A histogram of the first column finds an interval
+    that holds the ``n``-th row, the rows in that interval (few, unless they are equal in the column)
+    give that row's place in the whole order, and the result is a filter. Sorted are the chosen rows.
+    """
     if n < 0:
         raise ValueError("n must be >= 0")
-    return dense_index(df, order, "__pos").filter(F.col("__pos") < n).orderBy("__pos").drop("__pos")
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    if n == 0:
+        return df.limit(0)
+    found = image(df, order[0])
+    if found is None:
+        return df.orderBy(*order).limit(n)
+    value, low, high = found
+    interval = threshold(df, n, value, low, high)
+    if interval is None:
+        return df.orderBy(*order)
+    low, high, before = interval
+    edge = value.isNull() if low is None else value.between(low, high)
+    below = F.lit(False) if low is None else value.isNull() | (value < low)
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    last = df.filter(edge).select(key.alias("k")).orderBy("k").limit(n - before)
+    stop = last.agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("n")).select("k.*", "n").first()
+    kinds = df.select(key.alias("k")).schema["k"].dataType
+    at = F.struct(*[F.lit(stop[f.name]).cast(f.dataType).alias(f.name) for f in kinds.fields])
+    equal = df.filter(edge & (key == at))
+    less, same = df.filter(edge).agg(F.count_if(key < at), F.count_if(key == at)).first()
+    if less + same <= n - before:
+        return df.filter(below | (edge & (key <= at))).orderBy(*order)
+    return df.filter(below | (edge & (key < at))).unionByName(equal.limit(n - before - less)).orderBy(*order)
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 0, key: str = "claim_id") -> DataFrame:
@@ -91,7 +167,7 @@ def balanced_sample(df: DataFrame, size: int = 20, seed: int = 0, truth_col: str
     """``size`` rounded up to even; half per class; a class smaller than half is
     repeated whole (each repeat a fresh permutation) and the last repeat is cut to fit.
 
-    Rows carry ``round`` (which repeat) and ``shuffle_key`` (the final random order).
+    Rows carry ``round`` (which repeat) and ``shuffle_key`` (the final random order, in which they come).
     Only the two class counts reach the driver.
     """
     size = size if size % 2 == 0 else size + 1
@@ -108,8 +184,12 @@ def balanced_sample(df: DataFrame, size: int = 20, seed: int = 0, truth_col: str
         last_quota = half - (rounds - 1) * pool
         members = df.filter(F.col(truth_col) == c)
         if rounds > 1:  # full repeats: every pool row once per repeat
-            full = members.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 2))))
-            parts.append(full)
+            # by blocks, which are dealt out before they are filled: a pool of a few rows gives no task all repeats
+            blocks = members.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit((rounds - 2) // REPEATS))))
+            if rounds - 1 > REPEATS:
+                blocks = blocks.repartition(F.col(key), F.col("__b"))
+            until = F.least(F.lit(rounds - 2), (F.col("__b") + 1) * REPEATS - 1)
+            parts.append(blocks.withColumn("round", F.explode(F.sequence(F.col("__b") * REPEATS, until))).drop("__b"))
         last = members.withColumn("__h", hash_key(seed, key, "balanced", c, str(rounds - 1)))
         parts.append(top_n(last, last_quota, ["__h", key]).drop("__h").withColumn("round", F.lit(rounds - 1)))
     out = parts[0]
@@ -117,7 +197,7 @@ def balanced_sample(df: DataFrame, size: int = 20, seed: int = 0, truth_col: str
         out = out.unionByName(p)
     shuffle = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.col(truth_col), F.col("round").cast("string"),
                                 F.col(key).cast("string")))
-    return out.withColumn("shuffle_key", shuffle)
+    return out.withColumn("shuffle_key", shuffle).orderBy("shuffle_key", key, "round")
 
 
 def synthetic_alternating(spark, pool: DataFrame, size: int, seed: int = 0, truth_col: str = "ground_truth",
@@ -140,9 +220,11 @@ def synthetic_alternating(spark, pool: DataFrame, size: int, seed: int = 0, trut
     slots = slots.withColumn(truth_col, F.when(F.col("i") % 2 == 0, F.lit("yes")).otherwise(F.lit("no")))
     slots = slots.withColumn("__idx", draw % F.when(F.col(truth_col) == "yes", F.lit(counts["yes"]))
                              .otherwise(F.lit(counts["no"])))
-    # a small pool is drawn from by very many slots: its rows are copied to SALTS parts of the slots
-    pool_side = numbered.drop("__g").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    slots = slots.withColumn("__salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int"))
+    # a small pool is drawn from by very many slots: its rows are copied to as many parts of the slots as
+    # that takes for a part of a row to have about DRAWS of them
+    parts = max(1, math.ceil(size / 2 / min(counts.values()) / DRAWS))
+    pool_side = numbered.drop("__g").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    slots = slots.withColumn("__salt", F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int"))
     return slots.join(pool_side, [truth_col, "__idx", "__salt"]).drop("__idx", "__salt")
 
 
