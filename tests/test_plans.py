@@ -7,8 +7,8 @@ import pytest
 
 import __spark_entry__ as E
 
-STREAMING = {"stream_cascade", "stream_counters", "stream_counters_update"}
-PYTHON_OK = {"verifier_udf", "model_timing", "paired_ttest_p"}
+STREAMING = {"stream_cascade", "stream_counters", "stream_counters_update", "stream_cascade_restart", "stream_counters_restart"}
+PYTHON_OK = {"verifier_udf", "model_timing"}
 
 
 def _plans(spark, sf):

@@ -6,17 +6,20 @@
   overwrite mode, which makes a retried batch idempotent (exactly-once files).
 * J2 ``stream_counters``: the reference's running counters (F1) and rates
   (F2) as a streaming aggregation; the state is the built-in aggregate state
-  (one row per group), checkpointed by Spark.
+  (one row per group), checkpointed by Spark. Readers see whole versions only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from verdictflow.operators import metrics as M
 from verdictflow.operators.cascade import cascade
+from verdictflow.streaming.snapshots import SnapshotSink
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -39,12 +42,18 @@ def event_claims(events: DataFrame) -> DataFrame:
 
 def stream_cascade(claims: DataFrame, verifier_a, verifier_b, judge, sink: str, checkpoint: str,
                    gamma: float = 0.7, policy: str = "p1", available_now: bool = True,
-                   **kw) -> StreamingQuery:
-    """Label a claim stream; every micro-batch lands in ``sink/batch_id=<n>`` (idempotent)."""
+                   written: Callable[[int], None] | None = None, **kw) -> StreamingQuery:
+    """Label a claim stream; every micro-batch lands in ``sink/batch_id=<n>`` (idempotent).
+
+    ``written(n)`` is called when batch n is written and before Spark notes that it is done: a crash in
+    between makes Spark repeat the batch after a restart, which overwrites its own folder.
+    """
     results = cascade(claims, verifier_a, verifier_b, judge, gamma, policy, **kw)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
+        if written is not None:
+            written(batch_id)
 
     w = results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -61,33 +70,39 @@ def counter_frame(results: DataFrame, by=None, truth_col: str = "ground_truth")
 
 
 def stream_counters(results: DataFrame, sink: str, checkpoint: str, by=None, available_now: bool = True,
-                    output_mode: str = "complete") -> StreamingQuery:
-    """Running counters over a result stream.
+                    output_mode: str = "complete", written: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Running counters over a result stream, as versions of a :class:`SnapshotSink`.
 
-    ``complete``: each trigger overwrites ``sink`` with the totals of every group
-    (right for a few groups). ``update``: each trigger writes only the groups that
-    changed, to ``sink/batch_id=<n>`` (idempotent on retry); :func:`read_counters`
-    returns the latest row per group - the form that scales to many groups.
+    ``complete``: each version holds the totals of every group (right for a few groups). ``update``:
+    each adds only the groups that changed - the form that scales to many groups.
+    :func:`read_counters` returns the current row per group of either. ``written`` as in
+    :func:`stream_cascade`.
     """
     if output_mode not in ("complete", "update"):
         raise ValueError("output_mode must be 'complete' or 'update'")
     agg = counter_frame(results, by)
+    keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if output_mode == "complete":
-            batch.write.mode("overwrite").parquet(sink)
-        else:
-            batch.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
+        new = SnapshotSink(batch.sparkSession, sink).commit(batch_id, batch.write.parquet, output_mode == "update",
+                                                            lambda rows: latest(rows, keys))
+        if not new:  # a repeated batch changes nothing, but its state must still be computed
+            batch.write.format("noop").mode("overwrite").save()
+        if written is not None:
+            written(batch_id)
 
     w = agg.writeStream.outputMode(output_mode).foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group the row of its latest batch."""
+    cols = [c for c in rows.columns if c not in keys and c != "batch_id"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("__r")).select(*keys, "__r.*")
+
+
 def read_counters(spark: SparkSession, sink: str, by=None) -> DataFrame:
-    """The current counters of an ``update``-mode sink: per group, the row of the latest batch."""
+    """The current counters of a sink: per group, the row of its latest batch in the version current now."""
     keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
-    df = spark.read.parquet(sink)
-    cols = [c for c in df.columns if c not in keys and c != "batch_id"]
-    latest = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("__r"))
-    return latest.select(*keys, "__r.*")
+    return latest(SnapshotSink(spark, sink).rows(), keys)
