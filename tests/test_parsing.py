@@ -124,3 +124,37 @@ def test_no_python_udf_in_parser_plan(spark):
     plan = P.parse_role(df, "raw", "r")._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
     assert F is not None
+
+
+def test_percent_patterns_on_random_texts(spark):
+    """The first match of every pattern, as Python's ``re`` finds it, also across lines and with numbers in a row."""
+    import random
+    import re
+
+    rng = random.Random(11)
+    bits = ["confident", "confidence", "certain", "sure", "probability", "80%", " 5.5 %", "3.4.5%", ".%", "9", "%", "\n", "\r", " ", " ",
+            "\xa0", "x", "0.7%", "12%confident", "unsure", "70% ", "\u0085", "a 1 b"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+
+    def expected(text):
+        for p in P.PERCENT_PATTERNS:
+            if (m := re.search(p, text)) and re.fullmatch(r"[0-9]+\.?[0-9]*|\.[0-9]+", m[1]):
+                v = float(m[1])
+                return min(v / 100 if v > 1 else v, 1.0)
+        return None
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r.i: r.v for r in df.select("i", P.confidence_percent("t").alias("v")).collect()}
+    assert [got[i] for i in range(len(texts))] == [expected(t) for t in texts]
+    assert sum(v is not None for v in got.values()) > 500
+
+
+def test_percent_patterns_take_linear_time(spark):
+    import time
+
+    hard = ["% " + "confident sure certain confidence probability " * 40_000, "1" * 1_000_000 + " %", "%" + " " * 1_000_000,
+            ("sure " * 500 + "\n") * 400 + "% "]
+    df = spark.createDataFrame([(t,) for t in hard], "t string")
+    df.limit(0).select(P.confidence_percent("t")).collect()
+    start = time.monotonic()
+    assert [r[0] for r in df.select(P.confidence_percent("t")).collect()] == [None] * 4
+    assert time.monotonic() - start < 20

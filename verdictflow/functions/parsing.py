@@ -93,12 +93,18 @@ DOTTED_NUMBER_RE = r"^([0-9]+\.?[0-9]*|\.[0-9]+)$"
 
 
 def java_regex(py_pattern: str) -> str:
-    """Python ``re`` pattern -> Java pattern with the same matches.
+    """Python ``re`` percent pattern -> Java pattern with the same first match, found in linear time.
 
-    Python's ``.`` stops only at ``\\n`` (Java's also at ``\\r`` and others) and
-    Python's ``\\s`` is Unicode-aware (Java's needs ``(?U)``).
+    Python's ``.`` stops only at ``\\n`` (Java's also at ``\\r`` and others) and Python's ``\\s`` is
+    Unicode-aware (Java's needs ``(?U)``). A number is tried at its first character only. Of a line only
+    the first occurrence of a word before ``.*?`` is tried (if a number follows any, it follows that one):
+    a text with many of them and no number behind would be scanned to the line's end from each.
     """
-    return "(?U)" + py_pattern.replace(".*?", "[^\\n]*?")
+    number = "(?<![0-9.])([0-9.]+)%"
+    word, gap, _ = py_pattern.partition(".*?")
+    if gap:
+        return f"(?dm)^(?>[^\\n]*?{word})[^\\n]*?{number}"
+    return "(?U)" + py_pattern.replace("([0-9.]+)%", number)
 
 
 # ----------------------------------------------------------------- SQL text helpers
