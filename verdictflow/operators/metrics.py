@@ -226,11 +226,15 @@ def class_balance(claims: DataFrame, truth_col: str = "ground_truth") -> DataFra
                       F.count(F.lit(1)).alias("size"))
 
 
+def answered() -> Column:
+    """None of the row's answers failed."""
+    return F.col("a.error").isNull() & F.col("b.error").isNull() & \
+        (F.col("judge").isNull() | F.col("judge.error").isNull())
+
+
 def successful(results: DataFrame) -> DataFrame:
     """Rows none of whose answers failed."""
-    ok = F.col("a.error").isNull() & F.col("b.error").isNull() & \
-        (F.col("judge").isNull() | F.col("judge.error").isNull())
-    return results.filter(ok)
+    return results.filter(answered())
 
 
 def timing_confidence(results: DataFrame, by=None, elapsed_col: str | None = None) -> DataFrame:

@@ -154,10 +154,8 @@ OK_SQL = "(a_e IS NULL AND b_e IS NULL AND (NOT escalated OR j_e IS NULL))"
     O.cascade_ctes(errors=True), f"SELECT lang, count(*) AS claims, CAST(sum(CASE WHEN {OK_SQL} THEN 1 ELSE 0 END) "
                                  f"AS BIGINT) AS successful FROM res GROUP BY lang"))
 def q_successful_only(spark, sf_dir):
-    r = _err_results(spark, sf_dir)
-    ok = M.successful(r).groupBy("lang").agg(F.count(F.lit(1)).alias("successful"))
-    return r.groupBy("lang").agg(F.count(F.lit(1)).alias("claims")).join(ok, "lang", "left") \
-        .select("lang", "claims", F.coalesce("successful", F.lit(0)).alias("successful"))
+    return _err_results(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("claims"),
+                                                           F.count_if(M.answered()).alias("successful"))
 
 
 JSON_FIELDS = ("total_evaluations", "escalations", "overall_accuracy", "escalated_accuracy", "non_escalated_accuracy")
@@ -256,19 +254,36 @@ def q_paired_runs(spark, sf_dir):
     return C.paired_runs(*_paired(spark, sf_dir))
 
 
-@register("paired_ttest", _paired_sql(
+PAIRED_TTEST = (
     "SELECT count(*) AS n, avg(hit_a) AS mean_accuracy_a, avg(hit_b) AS mean_accuracy_b, "
     "avg(hit_a) - avg(hit_b) AS accuracy_difference, CASE WHEN stddev_samp(diff) > 0 THEN avg(diff) / "
     "(stddev_samp(diff) / sqrt(count(*))) END AS t_statistic, CASE WHEN stddev_pop(diff) > 0 THEN avg(diff) / "
-    "stddev_pop(diff) ELSE 0.0 END AS cohens_d FROM p"),
-    ("mean_accuracy_a", "mean_accuracy_b", "accuracy_difference", "t_statistic", "cohens_d"))
+    "stddev_pop(diff) ELSE 0.0 END AS cohens_d FROM p")
+
+
+@register("paired_ttest", _paired_sql(PAIRED_TTEST),
+          ("mean_accuracy_a", "mean_accuracy_b", "accuracy_difference", "t_statistic", "cohens_d"))
 def q_paired_ttest(spark, sf_dir):
     return C.paired_ttest(*_paired(spark, sf_dir), with_p=False)
 
 
-@register("paired_ttest_p")
+def _ttest_p_sql():
+    """The tail by the finite series in cos(atan(t / sqrt(df))), one form for even and one for odd df."""
+    cols = "n, mean_accuracy_a, mean_accuracy_b, accuracy_difference, t_statistic, cohens_d"
+    even = ("sin(w) * coalesce(list_sum(list_transform(range(CAST(df // 2 AS BIGINT)), lambda i: "
+            "exp(lgamma(i + 0.5) - lgamma(i + 1)) / sqrt(pi()) * pow(cos(w), 2 * i))), 0)")
+    odd = ("2 / pi() * (w + sin(w) * coalesce(list_sum(list_transform(range(CAST((df - 1) // 2 AS BIGINT)), lambda i: "
+           "exp(lgamma(i + 1) - lgamma(i + 1.5)) * sqrt(pi()) / 2 * pow(cos(w), 2 * i + 1))), 0))")
+    return _paired_sql(
+        f"SELECT {cols}, p_value, coalesce(p_value < 0.05, FALSE) AS significant FROM (SELECT *, CASE WHEN t_statistic IS "
+        f"NOT NULL AND df > 0 THEN 1 - CASE WHEN df % 2 = 0 THEN {even} ELSE {odd} END END AS p_value FROM (SELECT *, n - 1 AS "
+        f"df, atan(abs(t_statistic) / sqrt(n - 1)) AS w FROM ({PAIRED_TTEST}) x) y)")
+
+
+@register("paired_ttest_p", _ttest_p_sql(),
+          ("mean_accuracy_a", "mean_accuracy_b", "accuracy_difference", "t_statistic", "cohens_d", "p_value"))
 def q_paired_ttest_p(spark, sf_dir):
-    """F19 with the Student-t p-value (no SQL function for it: rows-only check + unit test)."""
+    """F19 with the Student-t p-value."""
     return C.paired_ttest(*_paired(spark, sf_dir))
 
 
@@ -609,9 +624,17 @@ def q_save_sweep(spark, sf_dir):
     return spark.read.option("header", True).schema(sw.schema).csv(path)
 
 
-@register("run_log")
+def _run_log_sql():
+    runs = ", ".join(f"r{i} AS (SELECT 'documents_gamma_{g}' AS dataset_name, n AS dataset_size, {O.derive_sql()} FROM ({O.sums_sql(f'g{i}_res')}) s)"
+                     for i, g in enumerate((0.5, 0.9)))
+    cols = "dataset_name, dataset_size, escalation_rate, overall_accuracy"
+    ctes = ",\n".join(O.cascade_ctes(f"g{i}_", gamma=g) for i, g in enumerate((0.5, 0.9)))
+    return with_ctes(f"{ctes},\n{runs}", f"SELECT {cols}, TRUE AS timed FROM r0 UNION ALL SELECT {cols}, TRUE FROM r1")
+
+
+@register("run_log", _run_log_sql(), ("escalation_rate", "overall_accuracy"))
 def q_run_log(spark, sf_dir):
-    """Two evaluations appended to one run-log table."""
+    """Two evaluations appended to one run-log table, read back."""
     path = durable_path(spark, "runlog")
     for g in (0.5, 0.9):
         t0 = time.time()
@@ -619,7 +642,9 @@ def q_run_log(spark, sf_dir):
                                                                    "overall_accuracy")
         n = m.first()["total_evaluations"]
         K.append_run_log(spark, path, f"documents_gamma_{g}", n, time.time() - t0, m)
-    return spark.read.parquet(path).select("dataset_name", "dataset_size", "final_metrics")
+    log = spark.read.parquet(path).withColumn("m", F.from_json("final_metrics", "escalation_rate double, overall_accuracy double"))
+    return log.select("dataset_name", "dataset_size", "m.escalation_rate", "m.overall_accuracy",
+                      (F.col("evaluation_time") > 0).alias("timed"))
 
 
 # ----------------------------------------------------------------- J1, J2
@@ -677,13 +702,71 @@ def q_stream_cascade(spark, sf_dir):
 @register("stream_counters", _event_counters_sql(), EVENT_RATE_DOUBLES)
 def q_stream_counters(spark, sf_dir):
     """Running counters per event type over the streamed cascade results."""
-    from verdictflow.streaming.stream import event_claims, stream_counters, stream_table
+    from verdictflow.streaming.stream import event_claims, read_counters, stream_counters, stream_table
     a, b, j = fixture_verifiers()
     sink, ckpt = _stream_paths(spark, "stream_counters")
     r = cascade(event_claims(stream_table(spark, sf_dir, "events")).withColumn("text_key", text_key("claim")), a, b, j, GAMMA, truth_col=None)
     q = stream_counters(r, sink, ckpt, by="event_type")
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return read_counters(spark, sink, "event_type")
+
+
+class _Crash(Exception):
+    """Stands for a driver that is lost between a batch's write and Spark's note of it."""
+
+
+def _crash_once(at):
+    left = {at}
+
+    def written(batch_id):
+        if batch_id in left:
+            left.clear()
+            raise _Crash(f"lost after batch {batch_id}")
+    return written
+
+
+def _event_files(spark, sf_dir, name, files=4):
+    """The events as a stream of several files, one per trigger."""
+    path = durable_path(spark, name) + "/events"
+    table(spark, sf_dir, "events").repartition(files, "event_id").write.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _until_done(start):
+    """Runs a stream that crashes once, and resumes it from its checkpoint."""
+    try:
+        start().awaitTermination()
+    except Exception as e:  # noqa: BLE001 - Spark wraps what the batch raised
+        if "lost after batch" not in str(e):
+            raise
+        start().awaitTermination()
+        return
+    raise AssertionError("the stream did not crash")
+
+
+@register("stream_cascade_restart", with_ctes(O.cascade_ctes(claims=EVENT_CLAIMS_SQL),
+                                              "SELECT claim_id, event_type, escalated, final_verdict, reason FROM res"))
+def q_stream_cascade_restart(spark, sf_dir):
+    """Several micro-batches; the second is repeated after a crash between its write and its commit."""
+    from verdictflow.streaming.stream import event_claims, stream_cascade
+    a, b, j = fixture_verifiers()
+    sink, ckpt = _stream_paths(spark, "stream_cascade_restart")
+    events, crash = _event_files(spark, sf_dir, "stream_cascade_restart"), _crash_once(1)
+    claims = event_claims(events).withColumn("text_key", text_key("claim"))
+    _until_done(lambda: stream_cascade(claims, a, b, j, sink, ckpt, truth_col=None, written=crash))
+    return spark.read.parquet(sink).select("claim_id", "event_type", "escalated", "final_verdict", "reason")
+
+
+@register("stream_counters_restart", _event_counters_sql(), EVENT_RATE_DOUBLES)
+def q_stream_counters_restart(spark, sf_dir):
+    """Counters of several micro-batches, of which one is repeated after a crash."""
+    from verdictflow.streaming.stream import event_claims, read_counters, stream_counters
+    a, b, j = fixture_verifiers()
+    sink, ckpt = _stream_paths(spark, "stream_counters_restart")
+    events, crash = _event_files(spark, sf_dir, "stream_counters_restart"), _crash_once(2)
+    r = cascade(event_claims(events).withColumn("text_key", text_key("claim")), a, b, j, GAMMA, truth_col=None)
+    _until_done(lambda: stream_counters(r, sink, ckpt, by="event_type", output_mode="update", written=crash))
+    return read_counters(spark, sink, "event_type")
 
 
 # ----------------------------------------------------------------- A1 - A3, D1, D14/F21, I1
@@ -725,14 +808,15 @@ def q_verifier_udf(spark, sf_dir):
     return cascade(document_claims(spark, sf_dir), a, fixture_verifier("b"), j, GAMMA).select(*flat_cols())
 
 
-@register("model_timing")
+@register("model_timing", f"SELECT lang, count(*) AS claims, CAST(sum(CASE WHEN claim IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS "
+                         f"timed, CAST(0 AS BIGINT) AS errors FROM ({O.claims_sql()}) c GROUP BY lang")
 def q_model_timing(spark, sf_dir):
-    """Per-call time of a model verifier (time varies run to run: rows-only)."""
+    """How many claims have a time of their call, and how many ran into an error (times vary run to run)."""
     from verdictflow.operators.clients import RuleClient
     from verdictflow.operators.verifiers import ModelVerifier
     mv = ModelVerifier(RuleClient)
     d = mv.answers(document_claims(spark, sf_dir), "m", F.col("claim"))
-    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("claims"), F.avg("m.elapsed_ms").alias("avg_time_ms"),
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("m.elapsed_ms") >= 0).alias("timed"),
                                  F.count_if(F.col("m.error").isNotNull()).alias("errors"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdictflow.functions import parsing as P
-from verdictflow.functions.bands import BAND_SCHEMES, band_sql, escalation_band
+from verdictflow.functions.bands import BAND_SCHEMES, escalation_band
 from verdictflow.operators.cascade import cascade, forced_disagreement
 from verdictflow.operators.verifiers import RuleVerifier, TableVerifier, constant_verifier, raw_answer
 from verdictflow.plans import oracle as O
@@ -29,8 +29,8 @@ def q_normalize_verdict(spark, sf_dir):
 
 @register("verdict_quality", with_ctes(
     O.parse_input_ctes(policy=None),
-    f"SELECT claim_id, role, ({O._any('lower(r_v)', P.YES_WORDS)} AND {O._any('lower(r_v)', P.NO_WORDS)}) AS conflict, "
-    f"(NOT {O._any('lower(r_v)', P.YES_WORDS)} AND NOT {O._any('lower(r_v)', P.NO_WORDS)}) AS ambiguous FROM parsed"))
+    f"SELECT claim_id, role, ({O._any('lower(r_v)', O.YES_WORDS)} AND {O._any('lower(r_v)', O.NO_WORDS)}) AS conflict, "
+    f"(NOT {O._any('lower(r_v)', O.YES_WORDS)} AND NOT {O._any('lower(r_v)', O.NO_WORDS)}) AS ambiguous FROM parsed"))
 def q_verdict_quality(spark, sf_dir):
     return role_answers(spark, sf_dir).select("claim_id", "role", P.verdict_conflict("expr:raw.verdict").alias("conflict"),
                                               P.verdict_ambiguous("expr:raw.verdict").alias("ambiguous"))
@@ -142,7 +142,7 @@ def q_pair_confidence(spark, sf_dir):
 
 @register("escalation_band", with_ctes(
     O.cascade_ctes(),
-    "SELECT lang, escalation_rate, " + ", ".join(f"{band_sql('escalation_rate', s)} AS {s}" for s in BAND_SCHEMES) +
+    "SELECT lang, escalation_rate, " + ", ".join(f"{sql.format(r='escalation_rate')} AS {s}" for s, sql in O.BANDS.items()) +
     " FROM (SELECT lang, avg(CASE WHEN escalated THEN 1.0 ELSE 0.0 END) AS escalation_rate FROM res GROUP BY lang) x"),
     ("escalation_rate",))
 def q_escalation_band(spark, sf_dir):
@@ -180,6 +180,9 @@ def text_rule():
         .otherwise(F.lit("unclear"))), name="text_rule")
 
 
+LEANINGS = ("Be generous: ", "Be strict: ")
+
+
 def _text_rule_sql(prefix):
     t = f"lower({O.q(prefix)} || claim)"
     return f"CASE WHEN contains({t}, ' not ') THEN 'no' WHEN contains({t}, ' the ') THEN 'yes' ELSE 'unclear' END"
@@ -187,7 +190,7 @@ def _text_rule_sql(prefix):
 
 def _forced_answers():
     cols = []
-    for p, prefix in (("a", "You tend to agree with claims. "), ("b", "You tend to disagree with claims. ")):
+    for p, prefix in zip("ab", LEANINGS, strict=True):
         cols += [f"{_text_rule_sql(prefix)} AS {p}_v", f"CAST(NULL AS VARCHAR) AS {p}_r",
                  f"CAST(NULL AS VARCHAR) AS {p}_c", f"CAST(NULL AS VARCHAR) AS {p}_e",
                  f"CAST(NULL AS VARCHAR) AS {p}_o"]
@@ -204,7 +207,7 @@ def _forced_ctes():
     _forced_ctes(), "SELECT claim_id, lang, a_verdict, b_verdict, judge_verdict, escalated, final_verdict, correct "
                     "FROM res"))
 def q_forced_disagreement(spark, sf_dir):
-    r = forced_disagreement(document_claims(spark, sf_dir), text_rule(), fixture_verifier("judge"))
+    r = forced_disagreement(document_claims(spark, sf_dir), text_rule(), fixture_verifier("judge"), prefixes=LEANINGS)
     return r.select("claim_id", "lang", F.col("a.verdict").alias("a_verdict"), F.col("b.verdict").alias("b_verdict"),
                     F.col("judge.verdict").alias("judge_verdict"), "escalated", "final_verdict", "correct")
 
@@ -215,7 +218,7 @@ def q_forced_disagreement(spark, sf_dir):
                     "CAST(sum(CASE WHEN b_verdict = 'yes' THEN 1 ELSE 0 END) AS BIGINT) AS b_yes, "
                     "CAST(sum(CASE WHEN escalated THEN 1 ELSE 0 END) AS BIGINT) AS escalations FROM res GROUP BY lang"))
 def q_biased_verifiers(spark, sf_dir):
-    r = forced_disagreement(document_claims(spark, sf_dir), text_rule(), fixture_verifier("judge"))
+    r = forced_disagreement(document_claims(spark, sf_dir), text_rule(), fixture_verifier("judge"), prefixes=LEANINGS)
     return r.groupBy("lang").agg(F.count(F.lit(1)).alias("claims"),
                                  F.count_if(F.col("a.verdict") == "yes").alias("a_yes"),
                                  F.count_if(F.col("b.verdict") == "yes").alias("b_yes"),

@@ -8,11 +8,36 @@ that a bug in the Spark expressions does not hide in both sides.
 
 from __future__ import annotations
 
-from verdictflow.functions.parsing import (CONFIDENCE_LEXICON, DEFAULT_CONFIDENCE, DOTTED_NUMBER_RE, NO_COUNTED,
-                                           NO_WORDS, NUMERIC_RE, PERCENT_PATTERNS, REASONING_YES_WORDS, YES_COUNTED,
-                                           YES_WORDS)
 from verdictflow.sources.derived import FIXTURE_REASONINGS, FIXTURE_VERDICTS
 
+# Fixed values, written out once more: a wrong word or number in the library must not be right here too.
+YES_WORDS = ["yes", "true", "correct", "valid"]
+NO_WORDS = ["no", "false", "incorrect", "invalid"]
+YES_COUNTED = ["yes", "true", "correct"]
+NO_COUNTED = ["no", "false", "incorrect"]
+REASONING_YES_WORDS = ["correct", "true", "accurate"]
+PERCENT_PATTERNS = [
+    r"([0-9.]+)%\s*confident", r"confident.*?([0-9.]+)%", r"([0-9.]+)%\s*confidence", r"confidence.*?([0-9.]+)%",
+    r"([0-9.]+)%\s*certain", r"certain.*?([0-9.]+)%", r"([0-9.]+)%\s*sure", r"sure.*?([0-9.]+)%",
+    r"probability.*?([0-9.]+)%", r"([0-9.]+)%\s*probability"]
+CONFIDENCE_LEXICON = [
+    ("certain", 0.9), ("definitely", 0.85), ("absolutely", 0.9), ("completely", 0.85), ("totally", 0.8),
+    ("very confident", 0.85), ("highly confident", 0.9), ("extremely confident", 0.95), ("very sure", 0.85),
+    ("quite sure", 0.8), ("positive", 0.8), ("convinced", 0.85), ("confident", 0.75), ("sure", 0.7), ("likely", 0.7),
+    ("probably", 0.7), ("fairly confident", 0.7), ("reasonably sure", 0.7), ("believe", 0.65), ("think", 0.6),
+    ("might", 0.4), ("maybe", 0.4), ("perhaps", 0.4), ("possibly", 0.4), ("uncertain", 0.3), ("unsure", 0.3),
+    ("doubtful", 0.3), ("not sure", 0.3), ("might be wrong", 0.3), ("could be wrong", 0.3), ("not certain", 0.4)]
+DEFAULT_CONFIDENCE = 0.6
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"  # what float() reads
+DOTTED = r"^(\d+\.?\d*|\.\d+)$"  # and of digits and dots
+BANDS = {
+    "aggressive": "CASE WHEN {r} > 0.8 THEN 'maximum' WHEN {r} > 0.6 THEN 'high' WHEN {r} > 0.4 THEN 'moderate' ELSE 'low' END",
+    "contested": "CASE WHEN {r} >= 0.5 THEN 'excellent' WHEN {r} >= 0.3 THEN 'good' WHEN {r} > 0 THEN 'low' ELSE 'none' END",
+    "edge": "CASE WHEN {r} > 0.2 THEN 'good' WHEN {r} > 0 THEN 'low' ELSE 'none' END",
+    "forced": "CASE WHEN {r} >= 0.8 THEN 'success' ELSE 'unexpected' END",
+    "demo": "CASE WHEN {r} >= 0.4 THEN 'excellent' WHEN {r} > 0 THEN 'good' ELSE 'limited' END",
+}
+
 ROLES = (("a", 0), ("b", 1), ("j", 2))
 ROLE_NAME = {"a": "a", "b": "b", "j": "judge"}
 
@@ -99,10 +124,10 @@ def p1_stages(p: str) -> list[str]:
     extracts = []
     for pat in PERCENT_PATTERNS:
         g = f"regexp_extract({text}, {q(pat)}, 1)"
-        extracts.append(f"CASE WHEN regexp_matches({g}, {q(DOTTED_NUMBER_RE)}) THEN TRY_CAST({g} AS DOUBLE) END")
+        extracts.append(f"CASE WHEN regexp_matches({g}, {q(DOTTED)}) THEN TRY_CAST({g} AS DOUBLE) END")
     lex = "CASE " + " ".join(f"WHEN contains({text}, {q(w)}) THEN CAST({float(v)} AS DOUBLE)"
                              for w, v in CONFIDENCE_LEXICON) + " END"
-    structured = (f"CASE WHEN regexp_matches({p}_cs, {q(NUMERIC_RE)}) THEN "
+    structured = (f"CASE WHEN regexp_matches({p}_cs, {q(NUMBER)}) THEN "
                   f"least(greatest(TRY_CAST({p}_cs AS DOUBLE), 0.0), 1.0) END")
     s2b = [f"{verdict} AS {p}_verdict", f"{structured} AS {p}_conf_structured"]
     # the printed answer: one field per line, the verdict already reduced to yes / no

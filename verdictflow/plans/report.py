@@ -17,14 +17,13 @@ REPORT_SCHEMA = "section string, item string, gamma double, value double"
 
 def tradeoff_series(sweep: DataFrame, accuracy_col: str = "overall_accuracy") -> DataFrame:
     """I4: the data behind the four trade-off charts, tidy ``(series, pos, gamma, x, y)``."""
-    def s(name, x, y):
-        return sweep.select(F.lit(name).alias("series"), "pos", "gamma", F.col(x).cast("double").alias("x"),
-                            F.col(y).cast("double").alias("y"))
-    return (s("accuracy_vs_escalation", "escalation_rate", accuracy_col)
-            .unionByName(s("cost_vs_accuracy", "avg_calls_per_evaluation", accuracy_col))
-            .unionByName(s("false_consensus_vs_gamma", "gamma", "false_consensus_rate"))
-            .unionByName(s("escalation_vs_gamma", "gamma", "escalation_rate"))
-            .unionByName(s("disagreement_vs_gamma", "gamma", "disagreement_rate")))
+    series = (("accuracy_vs_escalation", "escalation_rate", accuracy_col),
+              ("cost_vs_accuracy", "avg_calls_per_evaluation", accuracy_col),
+              ("false_consensus_vs_gamma", "gamma", "false_consensus_rate"),
+              ("escalation_vs_gamma", "gamma", "escalation_rate"), ("disagreement_vs_gamma", "gamma", "disagreement_rate"))
+    points = F.array(*[F.struct(F.lit(name).alias("series"), F.col("pos"), F.col("gamma"), F.col(x).cast("double").alias("x"),
+                                F.col(y).cast("double").alias("y")) for name, x, y in series])
+    return sweep.select(F.inline(points))  # the sweep is computed once
 
 
 def _rows(df: DataFrame, spec) -> DataFrame:
