@@ -73,6 +73,19 @@ def test_search_awkward_rows(spark):
     assert top_k.top_k(df.limit(0), df, 3).count() == 0
 
 
+def test_search_is_exact_beyond_doubles(spark):
+    """Scores above 2 ** 53 differ in their last digits, some are beyond a long; shards pass bounds on."""
+    rng = random.Random(0)
+    data = [(i, [float(2**40), float(rng.randrange(-3, 4)) / 256, float(rng.randrange(3))]) for i in range(200)]
+    data += [(i, [float(2**36 * rng.randrange(1, 9)), 2.0**-8 * i, 2.0**-8]) for i in range(200, 400)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, top_k.top_k(df, df.filter("vec_id % 10 = 0"), 5, shard_rows=50, part_rows=7).collect()))
+    ints = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in data]
+    want = best_brute(ints, [x for x in ints if x[0] % 10 == 0], 5)
+    assert max(s for *_, s in want) > 2**63 and len({s for *_, s in want if s < 2**63}) > 20
+    assert got == [(*r, min(s, 2**63 - 1)) for *r, s in want]
+
+
 def test_search_against_sql(spark, sf, by_sql):
     got = top_k.op5_top_k(spark, sf)
     frame = duckdb.sql(f"SELECT * FROM '{sf}/embeddings.parquet'").arrow()
@@ -258,3 +271,72 @@ def test_pipeline(spark, sf):
     longest = {s: max(len(t.split()) for d, t in clean.items() if source[d] == s) for s in total}
     assert all(abs(taken.get(s, 0) - want[s]) <= longest[s] for s in total)
     assert secret_scan.BASE == secret_scan.RULES[:3]
+
+
+def table_dir(spark, tmp_path, rows, good):
+    """Documents (id, text, lang) with awkward further columns, and labels."""
+    docs = [(i, t, g, "src", None if t is None else len(t), 1, "x", True, 2.0) for i, t, g in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, size long, q string, "
+                                "near boolean, position double").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(good, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def words(rng, n, mark=""):
+    return " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randrange(10**6)}{mark}" for _ in range(n))
+
+
+def test_pipeline_awkward_rows(spark, tmp_path):
+    rng = random.Random(3)
+    a, b, c = (words(rng, 80) for _ in range(3))
+    rows = [(1, a, "en")] * 3 + [(7, a + " end", "en"), (None, b, None), (None, b, "xx"), (None, a, "en"), (2, c, "en"),
+                                 (3, None, "en"), (None, None, None), (4, "", ""), (5, "short text", "de")]
+    out = corpus_pipeline.run(spark, table_dir(spark, tmp_path, rows, [])).collect()
+    assert {r.doc_id for r in out} <= {1, 2, None} and all(r.round_trip for r in out)
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert {tuple(r.ids) for r in out} <= {tuple(lib.encode(t)) for t in (a, b, c)}
+    kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.quality(
+        spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)), str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(1, a), (0, b), (2, c)])
+    assert kept.columns == spark.read.parquet(f"{tmp_path}/documents.parquet").columns
+
+
+def test_pipeline_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, table_dir(spark, tmp_path, [], [])).count() == 0
+
+
+def test_pipeline_learned_cutoffs(spark, tmp_path):
+    """Enough labelled good texts of one language for a cutoff: unlabelled texts above it go, other languages stay."""
+    rng = random.Random(8)
+    rows = [(i, words(rng, 60), "en") for i in range(500)]
+    rows += [(1000 + i, words(rng, 60, "#$%"), g) for i, g in enumerate(["en", "de", "en"])]
+    folder = table_dir(spark, tmp_path, rows, [(i, 1, 0) for i in range(500)])
+    out = corpus_pipeline.quality(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert sorted(r.doc_id for r in out.collect()) == [*range(500), 1001]
+    assert {r.doc_id for r in corpus_pipeline.run(spark, folder).select("doc_id").collect()} <= {*range(500), 1001}
+
+
+def test_cutoffs_against_exact_bounds(spark):
+    """The step that a plain search over all steps finds, per stratum, with exact binomial tails."""
+    from math import comb
+
+    rng, rules = random.Random(4), {"symbols_per_word": (0.1, 0.2, 0.4, 0.8), "dup_line_share": (0.2, 0.5, 0.9)}
+    data = []
+    for name, n in (("en", 700), ("de", 450), ("fr", 300)):
+        for i in range(n):
+            data.append((f"{name}{i}", name, rng.choice([0.0, 0.05, rng.random() ** 12]), rng.choice([0.0, rng.random() ** 20])))
+    rows = [(d, s, (x, y, 0.0, 0.0)) for d, s, x, y in data]
+    scored = spark.createDataFrame(rows, "doc_id string, stratum string, q struct<symbols_per_word: double, dup_line_share: double, "
+                                         "repeat_word_share: double, capital_share: double>")
+    labels = spark.createDataFrame([(d, 1) for d, *_ in data], "doc_id string, quality int")
+    path, want = quality_rules.tightening(rules), {}
+    assert path == {"symbols_per_word": (0.8, 0.4, 0.2, 0.1), "dup_line_share": (0.9, 0.5, 0.5, 0.2)}
+    for name in ("en", "de", "fr"):
+        mine = [(x, y) for _, s, x, y in data if s == name]
+        for a, b in zip(*path.values(), strict=True):
+            k, n = sum(x > a or y > b for x, y in mine), len(mine)
+            if sum(comb(n, i) * 0.02 ** i * 0.98 ** (n - i) for i in range(k + 1)) > 0.05 / 3 or k >= n * 0.02:
+                break
+            want[name] = (a, b)
+    got = {r.stratum: (r.symbols_per_word, r.dup_line_share) for r in quality_rules.thresholds(scored, labels, 0.02, 0.05, rules).collect()}
+    assert got == want and len(want) >= 1

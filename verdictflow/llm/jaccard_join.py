@@ -292,10 +292,20 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that are the smallest id of their component, or linked with nothing; of rows
-    repeated with the same id, all stay."""
-    found = join(df, id_col, text_col).filter("component_id <> doc_id").select("doc_id").distinct()
-    return packed.without(df, materialize(found, "jaccard-gone"), id_col)
+    """One row of each component, that of the smallest id, and every row that is linked with nothing.
+
+    Rows without id are told apart by a hash of their text and come after all others; of rows that are
+    equal in id and text one stays. Only rows that may be repeated are moved for that.
+    """
+    given, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    key = F.coalesce(given, F.xxhash64(text).bitwiseAND((1 << 62) - 1) + (1 << 62))
+    rows = df.withColumn("__key", key)
+    found = join(rows, "__key", text_col).filter("component_id <> doc_id").select("doc_id").distinct()
+    left = packed.without(rows, materialize(found, "jaccard-gone"), "__key")
+    again = rows.groupBy(F.col("__key").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    seen = packed.suspects(left, materialize(again, "jaccard-repeated"), "__key")
+    once = seen.filter("_near").withColumn("__text", F.md5(text)).dropDuplicates(["__key", "__text"]).drop("__text")
+    return seen.filter(~F.col("_near")).unionByName(once).drop("_near", "__key")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

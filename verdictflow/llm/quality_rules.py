@@ -3,13 +3,14 @@
 Every text gets counts (words, symbols, repeated lines and words) and from them rule scores. A text
 fails the base rules when it is too short or mostly repeats itself. Beyond these, each rule rejects
 texts whose score exceeds a cutoff, one per stratum (language). Cutoffs come from a labelled
-holdout: of all labelled good texts of the stratum, ``k`` of ``n`` exceed a cutoff; the cutoff is
-safe when the exact binomial tail P(Bin(n, risk) <= k) is at most the allowed error, that is, when a
-rule that rejects more than ``risk`` of all good texts would hardly ever look this harmless. The
-error is divided by strata and rules (Bonferroni); within a rule the grid is tested from the
-largest cutoff down and stops at the first that is not safe (fixed sequence), and the last safe one
-is used. So with probability 1 - ``error`` no rule rejects more than ``risk`` of the good texts of
-any stratum. A rule without a safe cutoff rejects nothing.
+holdout, for all rules together: step by step every rule is tightened along its grid, and of all
+labelled good texts of the stratum ``k`` of ``n`` are rejected by some rule. A step is safe when the
+exact binomial tail P(Bin(n, risk) <= k) is at most the allowed error, that is, when rules that
+reject more than ``risk`` of all good texts would hardly ever look this harmless. The steps are
+tested from the loosest on up to the first that is not safe (a fixed sequence needs no correction);
+the error is divided by the strata that have labelled good texts (Bonferroni). So with probability
+1 - ``error`` the rules reject at most ``risk`` of the good texts of every stratum. In a stratum
+without a safe step they reject nothing.
 
 Defined results: a null text has no words and fails the base rules; a null or unlisted language
 belongs to the stratum ``other``; a document labelled twice is good only if every label says so;
@@ -112,34 +113,37 @@ def binomial_tail(k: Column, n: Column, p: float, terms: int = 300) -> Column:
     return F.when(n == 0, 1.0).when(k >= n * p, 1.0).otherwise(F.least(F.lit(1.0), F.exp(top) * (state["sum"] + rest)))
 
 
+def tightening(rules: dict = RULES) -> dict[str, tuple[float, ...]]:
+    """The cutoffs of every rule, step by step from the loosest to the tightest, all rules at once."""
+    steps = max(map(len, rules.values()))
+    return {r: tuple(g[round((len(g) - 1) * (1 - i / max(steps - 1, 1)))] for i in range(steps)) for r, g in rules.items()}
+
+
 def thresholds(scored: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05,
-               rules: dict = RULES, strata: tuple = STRATA) -> DataFrame:
-    """Safe cutoffs: one row per stratum that has any, with one column per rule (null: none).
+               rules: dict = RULES) -> DataFrame:
+    """Safe cutoffs: one row per stratum that has any, with one column per rule.
 
-    ``scored``: doc_id, stratum, q. ``risk`` is shared evenly by the rules, so that all rules of a
-    stratum together reject at most ``risk`` of its good texts.
+    ``scored``: doc_id, stratum, q. All rules of a stratum together reject at most ``risk`` of its good texts.
     """
     good = (labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id")
             .agg(F.min("quality").alias("quality")).filter("quality >= 1")
             .select(F.col("doc_id").cast(scored.schema["doc_id"].dataType).alias("doc_id")))
-    held = scored.join(good, "doc_id")
-    # the place of a score in the grid says which cutoffs it exceeds
-    place = [F.struct(F.lit(r).alias("rule"), F.expr(
-        f"size(filter(array({', '.join(f'{c!r}D' for c in g)}), c -> q.{r} > c))").alias("above")) for r, g in rules.items()]
-    counts = (held.select("stratum", F.explode(F.array(*place)).alias("p")).groupBy("stratum", "p.rule", "p.above")
-              .agg(F.count(F.lit(1)).alias("m")))
-    grid = F.expr("map(" + ", ".join(f"'{r}', array({', '.join(f'{c!r}D' for c in g)})" for r, g in rules.items()) + ")")
-    # one row per stratum, rule and cutoff: at most strata x rules x grid rows
-    cut = (counts.groupBy("stratum", "rule").agg(F.collect_list(F.struct("above", "m")).alias("seen"),
-                                                 F.sum("m").alias("n"))
-           .select("stratum", "rule", "n", "seen", F.posexplode(F.element_at(grid, F.col("rule"))).alias("i", "cutoff"))
-           .withColumn("k", F.aggregate(F.filter("seen", lambda x: x.above > F.col("i")), F.lit(0).cast("long"),
+    held, path = scored.join(good, "doc_id"), tightening(rules)
+    # the first step at which some rule rejects the text: as many as have a cutoff that its score does not exceed
+    first = [F.expr(f"size(filter(array({', '.join(f'{c!r}D' for c in g)}), c -> NOT q.{r} > c))") for r, g in path.items()]
+    first = F.least(*first) if len(first) > 1 else first[0]
+    counts = held.select("stratum", first.alias("first")).groupBy("stratum", "first").agg(F.count(F.lit(1)).alias("m"))
+    # one row per stratum with labels and step: at most strata x steps rows
+    cut = (counts.groupBy("stratum").agg(F.collect_list(F.struct("first", "m")).alias("seen"), F.sum("m").alias("n"))
+           .withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+           .select("*", F.explode(F.sequence(F.lit(0), F.lit(len(next(iter(path.values()))) - 1))).alias("i"))
+           .withColumn("k", F.aggregate(F.filter("seen", lambda x: x["first"] <= F.col("i")), F.lit(0).cast("long"),
                                         lambda a, x: a + x.m)))
-    tail = binomial_tail(F.col("k"), F.col("n"), risk / len(rules))
-    level = error / ((len(strata) + 1) * len(rules))
-    down = Window.partitionBy("stratum", "rule").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
-    safe = (cut.withColumn("unsafe", F.max((tail > level).cast("int")).over(down)).filter("unsafe = 0"))
-    return safe.groupBy("stratum").pivot("rule", list(rules)).agg(F.min("cutoff"))
+    unsafe = (binomial_tail(F.col("k"), F.col("n"), risk) > F.lit(error) / F.col("strata")).cast("int")
+    earlier = Window.partitionBy("stratum").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    last = cut.withColumn("unsafe", F.max(unsafe).over(earlier)).filter("unsafe = 0").groupBy("stratum").agg(F.max("i").alias("i"))
+    return last.select("stratum", *[F.expr(f"element_at(array({', '.join(f'{c!r}D' for c in g)}), i + 1)").alias(r)
+                                    for r, g in path.items()])
 
 
 def judged(scored: DataFrame, cutoffs: DataFrame, rules: dict = RULES) -> DataFrame:

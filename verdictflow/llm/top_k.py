@@ -15,11 +15,14 @@ Defined results: vectors that are null, or hold null or non-finite components, t
 rows with a null id; vectors of different lengths are never compared; a query row that is repeated is
 one query, a repeated candidate row counts each time; ties go to the smaller id; queries with fewer
 than k candidates return all; an empty table gives an empty result; only the two named columns are
-read, so other columns may have any name. Scores beyond a long are cut to its range.
+read, so other columns may have any name. Scores are compared as whole numbers of up to 38 digits and
+cut to the range of a long in the result only, after ranking.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,7 +32,8 @@ from verdictflow.session import materialize
 
 LEAF = 64
 EXACT = 2 ** 53  # integers below this are exact in float64
-HITS = "query_id long, twin long, vec_id long, score long"
+WIDE = 10 ** 38 - 1  # scores travel as decimals of 38 digits
+HITS = "query_id long, twin long, vec_id long, score decimal(38,0)"
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -63,9 +67,14 @@ class KdTree:
         self.low, self.high = np.array(low), np.array(high)
 
 
+def size_of(a: np.ndarray) -> int:
+    """The largest magnitude, also where a long has no opposite."""
+    return max(int(a.max()), -int(a.min())) if a.size else 0
+
+
 def exact_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T over integers: in float64 where that is exact, else in Python integers."""
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] >= EXACT:
+    if size_of(a) * size_of(b) * a.shape[1] >= EXACT:
         return a.astype(object) @ b.T.astype(object)
     return a.astype(np.float64) @ b.T.astype(np.float64)
 
@@ -77,8 +86,10 @@ def search(tree: KdTree, points: np.ndarray, ids: np.ndarray, queries: np.ndarra
     ``least``: a score known to be reached by k candidates elsewhere (-inf: none).
     """
     n = len(queries)
-    best, name = np.full((n, k), -np.inf, object if points.dtype == object else float), np.full((n, k), 2 ** 63 - 1)
-    kth = least.copy()
+    # scores are kept as Python integers where one of them might not be exact in float64
+    kind = object if size_of(points) * size_of(queries) * points.shape[1] >= EXACT else float
+    best, name = np.full((n, k), -np.inf, kind), np.full((n, k), 2 ** 63 - 1)
+    kth = least.astype(kind)
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
 
     def bound(rows: np.ndarray, node: int) -> np.ndarray:
@@ -124,7 +135,11 @@ def search(tree: KdTree, points: np.ndarray, ids: np.ndarray, queries: np.ndarra
                 continue
             every = np.concatenate([best[q], got], axis=1)
             names = np.concatenate([name[q], np.broadcast_to(ids[at], got.shape)], axis=1)
-            pick = np.lexsort((names, -every), axis=-1)[:, :k]
+            if kind is float:
+                pick = np.lexsort((names, -every), axis=-1)[:, :k]
+            else:
+                pick = np.array([sorted(range(len(e)), key=lambda i: (-e[i], m[i]))[:k]
+                                 for e, m in zip(every.tolist(), names.tolist(), strict=True)])
             best[q], name[q] = np.take_along_axis(every, pick, 1), np.take_along_axis(names, pick, 1)
             kth[q] = np.maximum(kth[q], best[q][:, k - 1])
     return best, name
@@ -149,29 +164,30 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "
             return none
         points, q = np.array(here["v"].tolist(), np.int64), np.array(asked["v"].tolist(), np.int64)
         ids, own = here["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
-        least = asked["kth"].to_numpy(float, na_value=-np.inf)
+        least = np.array([-np.inf if pd.isna(v) else int(v) for v in asked["kth"]], object)
         best, name = search(KdTree(points), points, ids, q, own, least, k)
         row, col = np.nonzero(best != -np.inf)
-        score = [max(-2 ** 63, min(2 ** 63 - 1, int(x))) for x in best[row, col]]
+        score = [Decimal(max(-WIDE, min(WIDE, int(x)))) for x in best[row, col]]
         return pd.DataFrame({"query_id": own[row], "twin": asked["twin"].to_numpy()[row], "vec_id": name[row, col],
-                             "score": np.array(score, np.int64)})
+                             "score": pd.Series(score, dtype=object)})
 
     def passed(asked: DataFrame) -> DataFrame:
         spread = cand.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         keys = ["shard", "part", "dim"]
         return spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(look, HITS)
 
-    first = materialize(passed(ask.withColumn("shard", F.col("home")).withColumn("kth", F.lit(None).cast("double"))),
+    first = materialize(passed(ask.withColumn("shard", F.col("home")).withColumn("kth", F.lit(None).cast("decimal(38,0)"))),
                         "topk-home")
     # a home shard with fewer than k candidates gives no bound
     known = first.groupBy(F.col("query_id").alias("vec_id"), "twin").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("kth"))
+        F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
     away = (ask.join(known, ["vec_id", "twin"], "left")
             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard <> home"))
     hits = first.unionByName(passed(away)) if shards > 1 else first
     rank = F.row_number().over(Window.partitionBy("query_id", "twin").orderBy(F.desc("score"), "vec_id"))
     return (hits.withColumn("rank", rank).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+            .select("query_id", "rank", "vec_id",
+                    F.greatest(F.least("score", F.lit(2 ** 63 - 1)), F.lit(-2 ** 63)).cast("long").alias("score")))
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
