@@ -14,13 +14,15 @@ Defined results: a null text is an empty one, whose only token is the separator;
 packed one by one; null ids pass through; an empty table gives an empty result; only the two named
 columns are read, so others may have any name. A document longer than the capacity is cut so that
 all pieces but the first fill a sequence. Very long texts are encoded in slices, cut at a blank or
-line end between two word characters, where no token can cross.
+line end between two word characters, where no token can cross (those with special strings, whole).
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
@@ -32,11 +34,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from verdictflow.llm.packed import text_batches
 from verdictflow.session import materialize
 
-BATCH_CHARS = 1_000_000  # characters encoded at once
+BATCH_CHARS = 1_000_000  # characters that a worker holds at once, or one longer text
+KNOWN_WORDS, LONG_WORD = 300_000, 1000  # distinct pre-tokens remembered, and when not to
 BUCKET_ROWS = 50_000  # pieces whose ranks one window group finds, on average over all lengths
 SHIFT = 44  # size << SHIFT | rank: sizes below 2 ** 19, ranks below 2 ** 44
 CUT = re.compile(r"(?<=\w)[ \n](?=\w)")
@@ -202,17 +206,94 @@ class Packing:
 
 # --- documents -------------------------------------------------------------------------------------
 
-_TOKENIZERS: dict = {}
+def merge_ranks(spec: dict) -> dict[bytes, int] | None:
+    """The tokens of a byte-level BPE model by their bytes, if their ids are in the order of the merges.
 
+    Merging the pair that makes the token of the smallest id is then the same as merging by rules: a
+    token made from another pair than its rule's could not have been left unmerged before.
+    """
+    shown = {chr(b): b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}  # byte-level: printable as they are
+    shown |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown.values()))}
+    vocab = spec["model"]["vocab"]
+    rules = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in spec["model"]["merges"]]
+    single = [vocab.get(c, -1) for c in shown]
+    made = [vocab.get(r, -1) for r in rules]
+    if sorted(single) != list(range(256)) or made != list(range(256, 256 + len(rules))):
+        return None
+    return {bytes(shown[c] for c in t): vocab[t] for t in (*shown, *rules)}
+
+
+class WordCoder:
+    """Encodes texts by their pre-tokens, each distinct one once.
+
+    The pre-tokens of a byte-level vocabulary are cut with the standard library's ``re``. Its character
+    classes are compared with the tokenizer's for every character met; a text with a character that they
+    class differently, or a vocabulary of another kind, is encoded by the tokenizer as a whole.
+    """
+
+    WORD = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+    CLASSES = ((re.compile(r"[^\W\d_]"), "a"), (re.compile(r"\d"), "1"), (re.compile(r"[^\w\s]|_"), "!"))
 
-def tokenizer(path: str):
-    """One tokenizer per worker and file."""
-    if path not in _TOKENIZERS:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has its core only
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    return _TOKENIZERS[path]
+        self.lib = Tokenizer.from_file(path)
+        spec = json.loads(self.lib.to_str())
+        split = spec["pre_tokenizer"] or {}
+        self.by_words = (split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+                         and spec["normalizer"] is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+                         and all(t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in spec["added_tokens"]))
+        if ranks := merge_ranks(spec) if self.by_words else None:
+            import tiktoken
+
+            self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            self.by_words = False
+        self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.known: dict[str, bytes] = {}
+        self.alike: dict[str, bool] = {}
+
+    def same_class(self, ch: str) -> bool:
+        if ch not in self.alike:
+            here = [bool(kind.fullmatch(ch)) for kind, _ in self.CLASSES]
+            there = [len(self.lib.pre_tokenizer.pre_tokenize_str(beside + ch)) == 1 for _, beside in self.CLASSES]
+            self.alike[ch] = here == there
+        return self.alike[ch]
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text without special strings, as little-endian 32-bit numbers."""
+        if not self.by_words or not all(map(self.same_class, set(text))):
+            return b"".join(np.array(self.lib.encode(s, add_special_tokens=False).ids, "<u4").tobytes() for s in slices(text))
+        words = self.WORD.findall(text)
+        missing = set(words).difference(self.known)
+        for w in missing:
+            ids = self.merge(w)
+            self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        out = b"".join(map(self.known.__getitem__, words))
+        if missing and (len(self.known) > KNOWN_WORDS or max(map(len, missing)) > LONG_WORD):
+            self.known.clear()  # the memory of a worker stays bounded, whatever the words
+        return out
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.cut is None or not self.cut.search(text):
+            return np.frombuffer(self.plain(text), "<u4")
+        parts, at = [], 0
+        for m in self.cut.finditer(text):
+            parts += [self.plain(text[at:m.start()]), self.special[m[0]]]
+            at = m.end()
+        return np.frombuffer(b"".join([*parts, self.plain(text[at:])]), "<u4")
+
+
+_CODERS: dict[str, WordCoder] = {}
+
+
+def coder(path: str) -> WordCoder:
+    """One per worker and file."""
+    if path not in _CODERS:
+        _CODERS[path] = WordCoder(path)
+    return _CODERS[path]
 
 
 def vocabulary_path(name_or_path: str) -> str:
@@ -233,30 +314,13 @@ def slices(text: str, most: int = BATCH_CHARS // 2) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def encoded(coder, texts: list[str], separator: int) -> Iterator[np.ndarray]:
-    """The ids of each text, and the separator."""
-    parts: list[list[np.ndarray]] = [[] for _ in texts]
-    waiting: list[tuple[int, str]] = []
-
-    def encode() -> None:
-        found = coder.encode_batch_fast([s for _, s in waiting], add_special_tokens=False)
-        for (i, _), e in zip(waiting, found, strict=True):
-            parts[i].append(np.array(e.ids, "<u4"))
-        waiting.clear()
-
-    size = 0
-    for i, text in enumerate(texts):
-        for piece in slices(text):
-            waiting.append((i, piece))
-            size += len(piece)
-            if size > BATCH_CHARS:
-                encode()
-                size = 0
-    encode()
-    end = np.array([separator], "<u4")
-    for i in range(len(texts)):
-        yield np.concatenate([*parts[i], end])
-        parts[i] = []
+def encoded(words: WordCoder, text: str, separator: int) -> np.ndarray:
+    """The ids of a text, and the separator; long texts in slices."""
+    if len(text) <= BATCH_CHARS or (words.cut is not None and words.cut.search(text)):
+        parts = [words.ids(text)]
+    else:
+        parts = [words.ids(s) for s in slices(text)]
+    return np.concatenate([*parts, np.array([separator], "<u4")])
 
 
 def pieces(df: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text",
@@ -265,11 +329,11 @@ def pieces(df: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
     kind = df.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, row = tokenizer(vocabulary_path(vocabulary)), TaskContext.get().partitionId() << 40
+        words, row = coder(vocabulary_path(vocabulary)), TaskContext.get().partitionId() << 40
         for docs in text_batches(batches, BATCH_CHARS):
             out = []
-            for doc, ids in zip(docs, encoded(coder, [d["text"] for d in docs], separator), strict=True):
-                start = 0
+            for doc in docs:
+                ids, start = encoded(words, doc["text"], separator), 0
                 for i in range(-(-len(ids) // capacity)):
                     to = start + ((len(ids) - 1) % capacity + 1 if i == 0 else capacity)
                     out.append((doc["doc_id"], i, start, to - start, zlib.crc32(ids[start:to].tobytes()), row))
@@ -279,8 +343,6 @@ def pieces(df: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
                 [pa.array(columns[0], doc_type), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[2:]]],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     doc_type = to_arrow_type(df.schema[id_col].dataType)
     return (df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
             .mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, row long"))
