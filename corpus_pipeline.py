@@ -3,12 +3,15 @@
 ``STAGES`` are (name, function) pairs. Each function takes (spark, docs, sf_dir) and returns a
 DataFrame that is written as Parquet and read again as the next stage's ``docs``. All stages but the
 last return the columns of ``documents``.
+
+Defined results, of every stage: null texts are empty texts; rows without id are documents like the
+others; an empty table gives an empty table; ``documents`` may have further columns, whose names do
+not begin with an underscore. Repeated rows are copies, of which the second stage keeps one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from verdictflow.llm import jaccard_join, piece_tokenizer, quality_rules, secret_scan, source_mix
 from verdictflow.session import materialize
@@ -36,9 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every copy: doc_id, n_tokens, ids, and whether they decode to its text again."""
-    coded = piece_tokenizer.encode(docs.select("doc_id", "text"), keep=("text",))
-    return coded.select("doc_id", "n_tokens", "ids",
-                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return piece_tokenizer.round_trips(docs)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix),

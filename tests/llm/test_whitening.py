@@ -92,7 +92,7 @@ def test_outlier(spark):
     rng = np.random.default_rng(0)
     data = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(50, 6)))] + [(50, [1e6, -1e6, 3.0, 0.0, 0.0, 0.0])]
     found = W.whitened(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
-    assert len(found) == 51 * 4 and {r.identity_error < 1e-6 for r in found} == {True}
+    assert len(found) == 51 * 4 and {r.identity_error < 1e-5 for r in found} == {True}
     assert sum(r.explained for r in found[:4]) < 1.0001
 
 

@@ -21,8 +21,12 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from verdictflow.llm.packed import text_batches
 
 MARK = "▁"
 BLOCK = 4_000_000  # characters encoded at once; bounds the memory of a worker
@@ -224,6 +228,31 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .select("doc_id", F.size("_b.ids").cast("long").alias("n_tokens"), "_b.ids", "_b.decoded", *keep))
 
 
+def round_trips(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model",
+                batch_chars: int = 500_000) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, ids (array of int) and round_trip, whether they decode to its text.
+
+    A worker holds the texts and ids of about ``batch_chars`` characters, or of one longer text.
+    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer(model_path(model))
+        for rows in text_batches(batches, batch_chars):
+            ids, same = [], []
+            for row, x in zip(rows, t.ids([r["text"] for r in rows]), strict=True):
+                ids.append(x)
+                same.append(t.decode(x.tolist()) == row["text"])
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": [r["doc_id"] for r in rows], "n_tokens": pa.array(np.diff(ends).astype(np.int64)),
+                "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), "round_trip": same}, schema)
+
+    kind = df.schema[id_col].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())),
+                        ("round_trip", pa.bool_())])
+    return (df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+            .mapInArrow(work, f"doc_id {kind.simpleString()}, n_tokens long, ids array<int>, round_trip boolean"))
+
+
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             model: str = "piece_bpe_32k.model") -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and
