@@ -340,3 +340,64 @@ def test_cutoffs_against_exact_bounds(spark):
             want[name] = (a, b)
     got = {r.stratum: (r.symbols_per_word, r.dup_line_share) for r in quality_rules.thresholds(scored, labels, 0.02, 0.05, rules).collect()}
     assert got == want and len(want) >= 1
+
+
+LONG = "The council met again on Tuesday, and it heard a long report about roads and bridges."
+MENU = '<nav><ul><li><a href="/">Home</a></li><li><a href="/news">News</a></li><li><a href="/x">Sport</a></li></ul></nav>'
+FOOT = "<footer><p>&copy; 2024 Example. All rights reserved.</p></footer>"
+H, P1, P3, LINK = "<h1>Roads report</h1>", f"<p>{LONG}</p>", f"<p>{' '.join([LONG] * 3)}</p>", f'<p><a href="/full">{LONG}</a></p>'
+ROADS, ONE, THREE = "Roads report", LONG, " ".join([LONG] * 3)
+
+
+@pytest.mark.parametrize(("body", "blocks"), [
+    # content directly in the body
+    (f"{MENU}{H}{P3}{P3}{P3}{FOOT}", [ROADS, THREE, THREE, THREE]), (f"{MENU}{H}{P3}{FOOT}", [ROADS, THREE]),
+    (f"{H}{P3}{P3}", [ROADS, THREE, THREE]), (f"{MENU}{H}{P1}<p>The council met again.</p>{P1}{FOOT}", [ROADS, ONE, "The council met again.", ONE]),
+    # a plain element
+    (f"{MENU}<div>{H}{P3}{P3}{P3}</div>{FOOT}", [ROADS, THREE, THREE, THREE]), (f"<div>{H}{P3}{P3}</div>", [ROADS, THREE, THREE]),
+    (f"<header><p>Example Times</p></header>{MENU}<div>{H}{P3 * 6}</div><aside>{P1}</aside>{FOOT}", [ROADS, *[THREE] * 6]),
+    # parts of the page inside the article
+    (f"{MENU}<article>{H}{P3}{P3}<footer><p>Filed under roads by the news desk.</p></footer></article>{FOOT}", [ROADS, THREE, THREE]),
+    (f"{MENU}<article>{H}{P3}{P3}<footer>Posted in News</footer></article>", [ROADS, THREE, THREE]),
+    (f'{MENU}<main>{H}{P3}<div class="sidebar"><h3>Related stories</h3>{P1}</div>{P3}</main>{FOOT}', [ROADS, THREE, THREE]),
+    (f"{MENU}<article>{H}{P3}<aside><h2>Read also</h2>{P1}</aside>{P3}<div class='ad'>{LONG}</div>{P3}</article>", [ROADS, THREE, THREE, THREE]),
+    # paragraphs that are links
+    (f"{MENU}<article>{H}{P3}{LINK}{P3}</article>{FOOT}", [ROADS, THREE, ONE, THREE]),
+    (f"{MENU}<div class=content>{H}{P3}{LINK}{P3}</div>{FOOT}", [ROADS, THREE, ONE, THREE])])
+def test_layouts_beyond_the_tables(model, body, blocks):
+    assert next(model.texts([f"<html><body>{body}</body></html>"])) == "\n\n".join(blocks)
+
+
+def test_decoding_against_all_assignments():
+    """Every way of putting the nodes before, inside or out that only moves forward on the way down."""
+    from itertools import product
+
+    rng = random.Random(6)
+    for _ in range(150):
+        html = "".join(rng.choice(["<div>", "<p>t%d</p>", "</div>", "<section>", "x%d", "</section>"]) for _ in range(9))
+        dom = html_extract.Dom("".join(part.replace("%d", str(i)) for i, part in enumerate(re.findall(r"<[^>]*>[^<]*|[^<]+", html))))
+        n = len(dom.tag)
+        if n > 7:
+            continue
+        score = np.array([rng.gauss(0, 2) for _ in range(n)])
+        own = [sum(len(t) for i, t in dom.blocks if i == k) for k in range(n)]
+        best = (-1e9, None)
+        for state in product(range(3), repeat=n):
+            if state[0] == 2 or any(state[i] < state[dom.parent[i]] or state[i] - state[dom.parent[i]] > 1 for i in range(1, n)):
+                continue
+            moves = (state[0] == 1) + sum(state[i] != state[dom.parent[i]] for i in range(1, n))
+            value = sum(score[i] * (0.5 + np.log1p(own[i])) for i in range(n) if state[i] == 1) - moves * html_extract.SWITCH
+            best = max(best, (value, state), key=lambda v: v[0])
+        assert html_extract.decode(dom, score) == [t for i, t in dom.blocks if best[1][i] == 1]
+
+
+def test_extraction_query(spark, sf):
+    """The query over its table: every page once, its article, and its length."""
+    got = html_extract.op10_html_extraction(spark, sf)
+    assert [c for c, _ in got.dtypes] == ["page_id", "url", "text", "n_chars"]
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = got.collect()
+    assert sorted(r.page_id for r in rows) == sorted(pages)
+    wrong = [r.page_id for r in rows if r.text != article(pages[r.page_id].html)]
+    assert len(wrong) <= 0.01 * len(rows)
+    assert all(r.url == pages[r.page_id].url and r.n_chars == len(r.text) for r in rows)

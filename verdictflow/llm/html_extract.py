@@ -223,7 +223,7 @@ def features(pages: list[Dom], weight: dict[str, float], plain: bool = False) ->
 class Trees:
     """Gradient boosting with logistic loss over quantile bins."""
 
-    def __init__(self, count: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 24, l2: float = 1.0):
+    def __init__(self, count: int = 80, depth: int = 5, rate: float = 0.25, bins: int = 24, l2: float = 1.0):
         self.count, self.depth, self.rate, self.bins, self.l2 = count, depth, rate, bins, l2
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base = 0.0
@@ -344,14 +344,25 @@ def layout(rng: random.Random, sentences: list[str]) -> tuple[str, str]:
         r = rng.random()
         paragraphs.append(f"<h2>{words(5)}</h2>" if r < 0.1 else f"<blockquote>{some(1, 2)}</blockquote>" if r < 0.14
                           else "<ul>" + f"<li>{some(1, 1)}</li>" * rng.randint(2, 4) + "</ul>" if r < 0.2
+                          else f'<p><a href="#">{some(1, 3)}</a></p>' if r < 0.26
                           else f"<p>{some(1, 6)}" + rng.choice(("</p>", "", "</p>")))
-        if rng.random() < 0.06:
-            paragraphs.append(box(rng.choice(("advert", "share", "sidebar", "form")), f"<p>{some(1, 2)}</p>"))
-    title = f"<h1>{words(rng.randint(3, 10))}</h1>" if rng.random() < 0.9 else ""
-    body = title + "".join(paragraphs)
-    tag = rng.choice(("article", "main")) if semantic else "div"
-    name = rng.choice(ARTICLE.split()) if rng.random() < (0.4 if semantic else 0.8) else ""
-    content = f'<{tag} class="{name} x-target">{body}</{tag}>'
+    title = [f"<h1>{words(rng.randint(3, 10))}</h1>"] if rng.random() < 0.9 else []
+    # parts of the page between the paragraphs, and at the end of the article
+    inner = [box(part, rng.choice((f"<p>{some(1, 2)}</p>", f"<h3>{words(3)}</h3><p>{some(1, 2)}</p>", linked(3, 3))))
+             for part in ("advert", "share", "sidebar", "form", "notice", "menu") if rng.random() < 0.08]
+    ends = [box("footer", rng.choice((words(4), f"<p>{words(8)}</p>", f"<p>{some(1, 1)}</p>", linked(3, 1))))] if rng.random() < 0.2 else []
+    style = rng.random()
+    if style < 0.7:
+        for x in inner:
+            paragraphs.insert(rng.randint(0, len(paragraphs)), x)
+        tag = rng.choice(("article", "main")) if semantic else "div"
+        name = rng.choice(ARTICLE.split()) if rng.random() < (0.4 if semantic else 0.7) else ""
+        content = f'<{tag} class="{name} x-target">{"".join(title + paragraphs + ends)}</{tag}>'
+    else:  # no element of its own: the paragraphs stand among the parts of the page
+        content = [re.sub(r"^<(\w+)", r'<\1 class="x-target"', x) for x in title + paragraphs]
+        for x in inner:
+            content.insert(rng.randint(0, len(content)), x)
+        content = "".join(content)
     above = [box("header", rng.choice((f"<p>{words(3)}</p>", linked(3, 2), f"<h2>{words(2)}</h2>"))),
              box("menu", linked(rng.randint(3, 9), rng.randint(1, 2))), box("notice", f"<p>{some(1, 2)}</p>"),
              box("advert", rng.choice((some(1, 2), f"<p>{some(1, 1)}</p>"))), box("form", f"<p>{words(4)}</p>")]
@@ -359,11 +370,13 @@ def layout(rng: random.Random, sentences: list[str]) -> tuple[str, str]:
              box("sidebar", rng.choice((linked(5, 6), f"<h3>{words(3)}</h3><p>{some(1, 2)}</p>"))),
              box("footer", rng.choice((f"&copy; {words(8)}", f"<p>{some(1, 2)}</p>", linked(4, 2)))),
              box("advert", some(1, 2)), box("form", f"<p>{words(6)}</p>"), box("notice", f"<p>{some(1, 1)}</p>")]
-    above = [x for x in above if rng.random() < 0.5]
-    below = [x for x in below if rng.random() < 0.5]
+    dense = rng.choice((0.1, 0.5, 0.5, 0.5, 0.8))
+    above = [x for x in above if rng.random() < dense]
+    below = [x for x in below if rng.random() < dense]
     if rng.random() < 0.4:
         content = f"<div>{content}</div>"
-    return f"<html><body>{''.join(above)}{content}{''.join(below)}</body></html>", "target"
+    page = f"{''.join(above)}{content}{''.join(below)}"
+    return f"<html><body>{f'<div>{page}</div>' if rng.random() < 0.3 else page}</body></html>", "target"
 
 
 EXCLUDED = frozenset(w for _, names in PARTS.values() for n in names.split() for w in re.findall("[a-z]+", n)) - {
@@ -385,7 +398,7 @@ def labelled(dom: Dom, generated: bool) -> np.ndarray | None:
 class Extractor:
     """A trained model: attribute token weights and trees."""
 
-    def __init__(self, sample: list[str], seed: int = 7, layouts: int = 400):
+    def __init__(self, sample: list[str], seed: int = 7, layouts: int = 1000):
         rng = random.Random(seed)
         pages, labels, text = [], [], []
         for html in sample:
@@ -394,6 +407,7 @@ class Extractor:
                 pages.append(dom)
                 labels.append(y)
             text += [t for _, t in dom.blocks if len(t) > 40][:8]
+        real = len(pages)
         sentences = [s for t in text for s in re.findall(r"[^.!?]+[.!?]", t[:2000])][:5000]
         sentences = [s.strip() for s in sentences if " " in s.strip()] or re.findall(r"[^.]+\.", FILLER)
         for _ in range(layouts):
@@ -412,8 +426,9 @@ class Extractor:
         self.weight = {w: float(np.log((good[w] + 2 * rate) / (k - good[w] + 2 * (1 - rate)) * (1 - rate) / rate))
                        for w, k in seen.items() if k >= 3}
         x = np.concatenate([features(pages, self.weight), features(pages, self.weight, plain=True)])
-        # pages count alike, however many nodes they have; the view without names counts a third
-        each = np.concatenate([np.full(len(v), 20 / len(v)) for v in labels])
+        # pages count alike, however many nodes they have, real ones as much as three layouts; the view
+        # without names counts a third
+        each = np.concatenate([np.full(len(v), (20 if i >= real else 60) / len(v)) for i, v in enumerate(labels)])
         self.trees = Trees().fit(x, np.concatenate([y, y]), np.concatenate([each, each / 3]))
 
     def texts(self, htmls: list[str], at_once: int = 400) -> Iterator[str]:
