@@ -25,9 +25,13 @@ def summary_stats(configs: DataFrame, cols: Sequence[str] = ("overall_accuracy",
 
 def paired_runs(results_a: DataFrame, results_b: DataFrame, id_col: str = "claim_id",
                 truth_col: str = "ground_truth", keys: Sequence[str] = ()) -> DataFrame:
-    """The two runs' outcomes on the same claims (inner equi-join on the key), with the first run's ``keys``."""
+    """The two runs' outcomes on the same claims (inner equi-join on the key), with the first run's ``keys``.
+
+    Claims without a truth have no outcome and are left out."""
+    given = F.col(truth_col).isNotNull() & (F.col(truth_col) != "")
+
     def side(r, s, *more):
-        return r.select(F.col(id_col), F.col(truth_col).alias(f"truth_{s}"),
+        return r.filter(given).select(F.col(id_col), F.col(truth_col).alias(f"truth_{s}"),
                         F.col("final_prediction").alias(f"final_{s}"),
                         (F.col("final_prediction") == M.truth_binary(F.col(truth_col))).cast("int").alias(f"hit_{s}"), *more)
     j = side(results_a, "a", *keys).join(side(results_b, "b"), id_col, "inner")

@@ -83,18 +83,18 @@ def all_results(spark, sf_dir, gamma=GAMMA):
     return cascade(all_claims(spark, sf_dir), *fixture_verifiers(), gamma)
 
 
-@register("cascade_all", with_ctes(O.cascade_ctes(claims=O.all_claims_sql()), f"SELECT {O.FLAT_COLS} FROM res"), FLAT_DOUBLES)
+@register("cascade_all", with_ctes(O.cascade_ctes(claims=O.claims_sql()), f"SELECT {O.FLAT_COLS} FROM res"), FLAT_DOUBLES)
 def q_cascade_all(spark, sf_dir):
     return all_results(spark, sf_dir).select(*flat_cols())
 
 
-@register("evaluation_metrics_all", with_ctes(O.cascade_ctes(claims=O.all_claims_sql()), O.optional_truth_sql("res", "lang")),
+@register("evaluation_metrics_all", with_ctes(O.cascade_ctes(claims=O.claims_sql()), O.optional_truth_sql("res", "lang")),
           METRIC_DOUBLES)
 def q_evaluation_metrics_all(spark, sf_dir):
     return M.evaluation_metrics(all_results(spark, sf_dir), "lang")
 
 
-@register("gamma_sweep_all", with_ctes(O.sweep_ctes(GAMMAS, claims=O.all_claims_sql()),
+@register("gamma_sweep_all", with_ctes(O.sweep_ctes(GAMMAS, claims=O.claims_sql()),
                                        O.optional_truth_sql("res", "pos, gamma")), ("gamma",) + METRIC_DOUBLES)
 def q_gamma_sweep_all(spark, sf_dir):
     return S.gamma_sweep(all_results(spark, sf_dir, max(GAMMAS)), GAMMAS).drop("positive", "negative")

@@ -21,7 +21,8 @@ from verdictflow.plans.registry import register, with_ctes
 from verdictflow.session import durable_path
 from verdictflow.sources import datasets as D
 from verdictflow.sources import sinks as K
-from verdictflow.sources.derived import all_claims, document_claims, fixture_answer, fixture_verifiers, table, text_key
+from verdictflow.sources.derived import (all_claims, document_claims, fixture_answer, fixture_verifiers, labelled_claims,
+                                         table, text_key)
 
 RAW_LABELS = ("yes", "no", "true", "false", "1", "0", "Yes", " no ", "maybe")
 RAW_LABEL_SPARK = "element_at(array(" + ", ".join(f"'{v}'" for v in RAW_LABELS) + \
@@ -180,7 +181,7 @@ def q_metrics_json(spark, sf_dir):
 
 def _metrics_json_full_sql():
     names = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{c}' END" for c in M.RESULT_FIELDS)
-    return with_ctes(O.cascade_ctes(claims=O.all_claims_sql()) +
+    return with_ctes(O.cascade_ctes(claims=O.claims_sql()) +
                      f",\nm AS ({O.optional_truth_sql('res', 'lang, reason')})",
                      f"SELECT lang, reason, concat_ws(',', {names}) AS fields, {', '.join(M.RESULT_FIELDS)} FROM m")
 
@@ -241,7 +242,7 @@ def _paired_sql(select):
     p = ("SELECT a.claim_id, a.ground_truth, a.final_prediction AS final_a, b.final_prediction AS final_b, "
          "CAST(a.final_prediction = CASE WHEN a.ground_truth = 'yes' THEN 1 ELSE 0 END AS INTEGER) AS hit_a, "
          "CAST(b.final_prediction = CASE WHEN b.ground_truth = 'yes' THEN 1 ELSE 0 END AS INTEGER) AS hit_b "
-         "FROM ra_res a JOIN rb_res b ON a.claim_id = b.claim_id")
+         "FROM ra_res a JOIN rb_res b ON a.claim_id = b.claim_id WHERE a.ground_truth IS NOT NULL")
     return with_ctes(f"{ra},\n{rb},\np AS (SELECT *, hit_a - hit_b AS diff FROM ({p}) x)", select)
 
 
@@ -291,8 +292,8 @@ def _configs_sql():
     ctes = [O.cascade_ctes(f"c{i}_", policy=p) for i, p in enumerate(("p1", "p2", "p3"))]
     u = " UNION ALL ".join(f"SELECT '{p}' AS config, {i} AS pos, * FROM ({O.sums_sql(f'c{i}_res')}) s{i}"
                            for i, p in enumerate(("p1", "p2", "p3")))
-    m = (f"m AS (SELECT config, pos, {O._div('n_hit', 'n')} AS overall_accuracy, {O._div('n_calls', 'n')} AS "
-         f"avg_calls_per_evaluation, {O._div('n_hit', 'n')} / {O._div('n_calls', 'n')} AS efficiency, "
+    m = (f"m AS (SELECT config, pos, {O._div('n_hit', 'n_lab')} AS overall_accuracy, {O._div('n_calls', 'n')} AS "
+         f"avg_calls_per_evaluation, {O._div('n_hit', 'n_lab')} / {O._div('n_calls', 'n')} AS efficiency, "
          f"{O._div('n_esc', 'n')} AS escalation_rate FROM ({u}) u)")
     sel = ("SELECT config, pos, overall_accuracy, avg_calls_per_evaluation, efficiency, escalation_rate, "
            "config = (SELECT config FROM m ORDER BY overall_accuracy DESC, pos LIMIT 1) AS best_accuracy, "
@@ -361,7 +362,7 @@ def q_quick_eval(spark, sf_dir):
 
 
 @register("quick_eval_rows", with_ctes(
-    O.cascade_ctes(claims=f"SELECT * FROM ({O.all_claims_sql()}) c ORDER BY md5('0:sample:' || CAST(claim_id AS VARCHAR)), "
+    O.cascade_ctes(claims=f"SELECT * FROM ({O.claims_sql()}) c ORDER BY md5('0:sample:' || CAST(claim_id AS VARCHAR)), "
                           f"claim_id LIMIT {QUICK_N}"),
     "SELECT 'summary' AS type, count(*) AS num_claims, count(*) FILTER (escalated) AS num_escalations, "
     "avg(CAST(escalated AS INTEGER)) AS escalation_rate, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS accuracy, "
@@ -378,18 +379,13 @@ def q_quick_eval_rows(spark, sf_dir):
 
 
 def _typed_claims_sql():
-    return (f"SELECT *, 'labeled' AS type FROM ({O.claims_sql()}) l UNION ALL "
-            f"SELECT d.doc_id AS claim_id, d.text AS claim, CAST(NULL AS VARCHAR) AS ground_truth, d.lang, d.source, "
-            f"{O.text_key_sql('d.text')} AS text_key, 'contested_factual' AS type FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
+    return (f"SELECT *, CASE WHEN ground_truth IS NULL THEN 'contested_factual' ELSE 'labeled' END AS type "
+            f"FROM ({O.claims_sql()}) every")
 
 
 def typed_claims(spark, sf_dir):
-    labelled = document_claims(spark, sf_dir).withColumn("type", F.lit("labeled"))
-    docs = table(spark, sf_dir, "documents")
-    contested = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select(
-        F.col("doc_id").alias("claim_id"), F.col("text").alias("claim"), F.lit(None).cast("string").alias("ground_truth"),
-        "lang", "source", text_key("text").alias("text_key"), F.lit("contested_factual").alias("type"))
-    return labelled.unionByName(contested)
+    kind = F.when(F.col("ground_truth").isNull(), F.lit("contested_factual")).otherwise(F.lit("labeled"))
+    return document_claims(spark, sf_dir).withColumn("type", kind)
 
 
 @register("by_type_summary", with_ctes(
@@ -486,19 +482,19 @@ def q_tag_dataset(spark, sf_dir):
         "claim_id", "ground_truth", "dataset")
 
 
-@register("roundtrip_dataset", with_ctes(f"c AS ({O.claims_sql()})", "SELECT claim, ground_truth AS label FROM c"))
+@register("roundtrip_dataset", with_ctes(f"c AS ({O.labelled_claims_sql()})", "SELECT claim, ground_truth AS label FROM c"))
 def q_roundtrip_dataset(spark, sf_dir):
     """A9 -> A3: write the labelled claims as CSV (whole texts, quotes, newlines) and read them back."""
     path = durable_path(spark, "roundtrip") + ".csv"
-    K.save_dataset(document_claims(spark, sf_dir).withColumnRenamed("ground_truth", "label"), path)
+    K.save_dataset(labelled_claims(spark, sf_dir).withColumnRenamed("ground_truth", "label"), path)
     return D.read_claims(spark, path).select("claim", "label")
 
 
-@register("load_named_dataset", with_ctes(f"c AS ({O.claims_sql()})", "SELECT claim, ground_truth AS label FROM c"))
+@register("load_named_dataset", with_ctes(f"c AS ({O.labelled_claims_sql()})", "SELECT claim, ground_truth AS label FROM c"))
 def q_load_named_dataset(spark, sf_dir):
     """A5 with a path: JSON Lines written from the labelled claims, loaded back by name (suffix)."""
     path = durable_path(spark, "named") + ".jsonl"
-    K.save_dataset(document_claims(spark, sf_dir).withColumnRenamed("ground_truth", "label"), path)
+    K.save_dataset(labelled_claims(spark, sf_dir).withColumnRenamed("ground_truth", "label"), path)
     return D.load_named_dataset(spark, path).select("claim", "label")
 
 
@@ -562,7 +558,7 @@ def _full_records_sql():
     meta = (f"SELECT 'metadata' AS type, CAST({GAMMA} AS DOUBLE) AS gamma, 0 AS seed, 'verifier-a' AS model_a, "
             "'verifier-b' AS model_b, 'judge' AS model_referee, CAST(0.1 AS DOUBLE) AS temperature_a, "
             "CAST(0.9 AS DOUBLE) AS temperature_b, CAST(0 AS DOUBLE) AS temperature_referee, TRUE AS dated")
-    return with_ctes(O.cascade_ctes(claims=O.all_claims_sql(), row_error=RECORD_ERROR_SQL),
+    return with_ctes(O.cascade_ctes(claims=O.claims_sql(), row_error=RECORD_ERROR_SQL),
                      " UNION ALL BY NAME ".join((meta, lab, con, bad, summ)))
 
 
@@ -773,11 +769,11 @@ def q_stream_counters_restart(spark, sf_dir):
 def _written(spark, sf_dir, suffix):
     """Labelled claims written by Spark in a reference file format, to be read back."""
     path = durable_path(spark, "claims") + suffix
-    K.save_dataset(document_claims(spark, sf_dir).withColumnRenamed("ground_truth", "label"), path)
+    K.save_dataset(labelled_claims(spark, sf_dir).withColumnRenamed("ground_truth", "label"), path)
     return path
 
 
-CLAIM_LABEL_SQL = with_ctes(f"c AS ({O.claims_sql()})", "SELECT claim, ground_truth AS label FROM c")
+CLAIM_LABEL_SQL = with_ctes(f"c AS ({O.labelled_claims_sql()})", "SELECT claim, ground_truth AS label FROM c")
 
 
 @register("read_csv", CLAIM_LABEL_SQL)

@@ -58,21 +58,18 @@ def text_key_sql(col: str) -> str:
 
 
 def claims_sql(with_text: bool = True) -> str:
-    text = "d.text AS claim, " if with_text else ""
-    return ("SELECT d.doc_id AS claim_id, " + text +
-            "CASE WHEN l.quality = 1 THEN 'yes' ELSE 'no' END AS ground_truth, d.lang AS lang, d.source AS source, "
-            f"{text_key_sql('d.text')} AS text_key "
-            "FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
-
-
-def all_claims_sql() -> str:
     """Every document; truth only where a label is given."""
     label = "(SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)"
-    return ("SELECT d.doc_id AS claim_id, d.text AS claim, CASE l.quality WHEN 1 THEN 'yes' WHEN 0 THEN 'no' END "
+    text = "d.text AS claim, " if with_text else ""
+    return (f"SELECT d.doc_id AS claim_id, {text}CASE WHEN l.quality = 1 THEN 'yes' WHEN l.quality IS NOT NULL THEN 'no' END "
             f"AS ground_truth, d.lang AS lang, d.source AS source, {text_key_sql('d.text')} AS text_key "
             f"FROM documents d LEFT JOIN {label} l ON d.doc_id = l.doc_id")
 
 
+def labelled_claims_sql(with_text: bool = True) -> str:
+    return f"SELECT * FROM ({claims_sql(with_text)}) every WHERE ground_truth IS NOT NULL"
+
+
 def answers_cols(key: str = "text_key", roles=ROLES, errors: bool = False) -> str:
     """Fixture answers ``{p}_v, {p}_r, {p}_c, {p}_e`` per (prefix, role index or SQL for it)."""
     out = []
@@ -264,21 +261,18 @@ FLAT_COLS = ("claim_id, lang, ground_truth, a_verdict, a_prediction, a_confidenc
 
 # ----------------------------------------------------------------- metric SQL
 def sums_sql(src: str, keys: str = "") -> str:
+    """Counts over all rows; hits and ``n_lab...`` over rows with a truth (comparisons with NULL are not true)."""
     k = (keys + ", ") if keys else ""
     gb = f" GROUP BY {keys}" if keys else ""
-    gt = "(CASE WHEN ground_truth = 'yes' THEN 1 ELSE 0 END)"
-    return (f"SELECT {k}CAST(count(*) AS BIGINT) AS n, "
-            f"CAST(sum(CASE WHEN escalated THEN 1 ELSE 0 END) AS BIGINT) AS n_esc, "
-            f"CAST(sum(CASE WHEN agree THEN 1 ELSE 0 END) AS BIGINT) AS n_agree, "
-            f"CAST(sum(CASE WHEN final_prediction = {gt} THEN 1 ELSE 0 END) AS BIGINT) AS n_hit, "
-            f"CAST(sum(CASE WHEN escalated AND final_prediction = {gt} THEN 1 ELSE 0 END) AS BIGINT) AS n_hit_esc, "
-            f"CAST(sum(CASE WHEN NOT escalated AND final_prediction = {gt} THEN 1 ELSE 0 END) AS BIGINT) AS n_hit_non, "
-            f"CAST(sum(calls) AS BIGINT) AS n_calls, "
-            f"CAST(sum(CASE WHEN final_prediction = 1 AND {gt} = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_tp, "
-            f"CAST(sum(CASE WHEN final_prediction = 1 AND {gt} = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_fp, "
-            f"CAST(sum(CASE WHEN final_prediction = 0 AND {gt} = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_fn, "
-            f"CAST(sum(CASE WHEN agree AND NOT escalated THEN 1 ELSE 0 END) AS BIGINT) AS n_agree_non "
-            f"FROM {src}{gb}")
+    gt = "(CASE ground_truth WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END)"
+    cols = {"n": "TRUE", "n_esc": "escalated", "n_agree": "agree", "n_hit": f"final_prediction = {gt}",
+            "n_hit_esc": f"escalated AND final_prediction = {gt}", "n_hit_non": f"NOT escalated AND final_prediction = {gt}",
+            "n_tp": f"final_prediction = 1 AND {gt} = 1", "n_fp": f"final_prediction = 1 AND {gt} = 0",
+            "n_fn": f"final_prediction = 0 AND {gt} = 1", "n_lab": f"{gt} IS NOT NULL",
+            "n_lab_esc": f"escalated AND {gt} IS NOT NULL", "n_lab_agree_non": f"agree AND NOT escalated AND {gt} IS NOT NULL"}
+    sums = ", ".join(f"count(*) FILTER ({cond}) AS {name}" for name, cond in cols.items())
+    return (f"SELECT {k}{sums}, CAST(sum(calls) AS BIGINT) AS n_calls, "
+            f"CAST(coalesce(sum(calls) FILTER ({gt} IS NOT NULL), 0) AS BIGINT) AS n_lab_calls FROM {src}{gb}")
 
 
 def _div(a: str, b: str) -> str:
@@ -288,21 +282,21 @@ def _div(a: str, b: str) -> str:
 def derive_sql() -> str:
     prec = _div("n_tp", "n_tp + n_fp")
     rec = _div("n_tp", "n_tp + n_fn")
-    acc = _div("n_hit", "n")
+    acc = _div("n_hit", "n_lab")
     calls = _div("n_calls", "n")
     return ", ".join([
         "n AS total_evaluations", "n_esc AS escalations", "n_agree AS agreements",
         "n - n_agree AS disagreements", "n_hit AS correct_predictions",
         f"{acc} AS overall_accuracy",
-        f"{_div('n_hit_esc', 'n_esc')} AS escalated_accuracy",
-        f"{_div('n_hit_non', 'n - n_esc')} AS non_escalated_accuracy",
+        f"{_div('n_hit_esc', 'n_lab_esc')} AS escalated_accuracy",
+        f"{_div('n_hit_non', 'n_lab - n_lab_esc')} AS non_escalated_accuracy",
         f"{_div('n_esc', 'n')} AS escalation_rate",
         f"{_div('n - n_agree', 'n')} AS disagreement_rate",
         f"{_div('n_agree', 'n')} AS agreement_rate",
         "n_calls AS total_model_calls",
         f"{calls} AS avg_calls_per_evaluation",
-        "CASE WHEN n_hit > 0 THEN CAST(n_calls AS DOUBLE) / n_hit ELSE CAST('inf' AS DOUBLE) END AS cost_per_correct",
-        f"{_div('n - n_esc - n_hit_non', 'n - n_esc')} AS false_consensus_rate",
+        "CASE WHEN n_hit > 0 THEN CAST(n_lab_calls AS DOUBLE) / n_hit ELSE CAST('inf' AS DOUBLE) END AS cost_per_correct",
+        f"{_div('n_lab - n_lab_esc - n_hit_non', 'n_lab - n_lab_esc')} AS false_consensus_rate",
         f"{prec} AS precision", f"{rec} AS recall",
         f"CASE WHEN ({prec}) IS NOT NULL AND ({rec}) IS NOT NULL AND ({prec}) + ({rec}) > 0 "
         f"THEN 2 * ({prec}) * ({rec}) / (({prec}) + ({rec})) END AS f1_score",
@@ -338,11 +332,11 @@ def optional_truth_sql(src: str, keys: str = "") -> str:
 
 def harness_sql() -> str:
     return ", ".join([
-        f"{_div('n_hit', 'n')} AS accuracy",
+        f"{_div('n_hit', 'n_lab')} AS accuracy",
         f"{_div('n_esc', 'n')} AS escalation_rate",
-        f"{_div('n_hit_esc', 'n_esc')} AS escalated_accuracy",
-        f"{_div('n_hit_non', 'n - n_esc')} AS non_escalated_accuracy",
-        f"coalesce({_div('n_agree_non - n_hit_non', 'n_agree_non')}, 0.0) AS false_consensus_rate",
+        f"{_div('n_hit_esc', 'n_lab_esc')} AS escalated_accuracy",
+        f"{_div('n_hit_non', 'n_lab - n_lab_esc')} AS non_escalated_accuracy",
+        f"coalesce({_div('n_lab_agree_non - n_hit_non', 'n_lab_agree_non')}, 0.0) AS false_consensus_rate",
         f"{_div('n - n_agree', 'n')} AS disagreement_rate",
         f"{_div('n_calls', 'n')} AS avg_calls_per_evaluation",
         "n AS total_evaluations", "n_esc AS total_escalations", "n_agree AS total_agreements",

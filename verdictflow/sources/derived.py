@@ -1,8 +1,8 @@
 """Claims and fixture model answers derived from the driver tables.
 
 The driver tables hold no claims or model answers, so tests and benchmarks
-use a *derived verdict relation*: claims are ``documents`` joined to ``labels``
-(truth = ``quality``), and each role's answer is picked from fixed phrase
+use a *derived verdict relation*: claims are ``documents``, with the truth of ``labels``
+(``quality``) where there is one, and each role's answer is picked from fixed phrase
 lists by a checksum of the whole claim text, so every answer reads its claim.
 The same recipe is written in DuckDB SQL for the oracle, so both engines see
 identical inputs.
@@ -41,32 +41,28 @@ def text_key(col: str) -> Column:
 
 
 def document_claims(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
-    """Labelled claims: ``documents JOIN labels USING (doc_id)``.
+    """Every document as a claim, with an optional truth.
 
-    ``claim_id`` = doc_id, ``claim`` = the whole document text, ``ground_truth``
-    = 'yes' when ``quality = 1``; ``lang`` and ``source`` pass through. The
-    fixture verifiers answer by ``text_key``.
+    ``claim_id`` = doc_id, ``claim`` = the whole document text, ``ground_truth`` = 'yes' where
+    ``quality = 1``, 'no' for another label, NULL where none is given; ``lang`` and ``source`` pass
+    through. The fixture verifiers answer by ``text_key``. Repeated labels of a document count once
+    ('yes' if any says so), so a document is one claim.
     """
-    docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels")
-    cols = [F.col("d.doc_id").alias("claim_id")]
-    if with_text:
-        cols.append(F.col("d.text").alias("claim"))
-    cols += [F.when(F.col("l.quality") == 1, F.lit("yes")).otherwise(F.lit("no")).alias("ground_truth"),
-             F.col("d.lang").alias("lang"), F.col("d.source").alias("source"), text_key("d.text").alias("text_key")]
-    return docs.alias("d").join(labels.alias("l"), F.col("d.doc_id") == F.col("l.doc_id"), "inner").select(*cols)
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    truth = F.when(F.col("quality") == 1, F.lit("yes")).when(F.col("quality").isNotNull(), F.lit("no"))
+    text = [F.col("text").alias("claim")] if with_text else []
+    return docs.select(F.col("doc_id").alias("claim_id"), *text, truth.alias("ground_truth"), "lang", "source",
+                       text_key("text").alias("text_key"))
 
 
 def all_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a claim; ``ground_truth`` is NULL where no label is given.
+    return document_claims(spark, sf_dir)
 
-    The columns of :func:`document_claims`. Repeated labels of a document count once ('yes' if any says so).
-    """
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
-    truth = F.when(F.col("quality") == 1, F.lit("yes")).when(F.col("quality").isNotNull(), F.lit("no"))
-    return docs.select(F.col("doc_id").alias("claim_id"), F.col("text").alias("claim"), truth.alias("ground_truth"),
-                       "lang", "source", text_key("text").alias("text_key"))
+
+def labelled_claims(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
+    """The claims that have a truth: for data sets whose format requires a label."""
+    return document_claims(spark, sf_dir, with_text).filter(F.col("ground_truth").isNotNull())
 
 
 def fixture_answer_sql(role, key: str, errors: bool = False) -> str:
