@@ -73,3 +73,22 @@ def test_balanced_sample_order(spark, monkeypatch):
     assert all(sorted(r.round for r in got if r.claim_id == i)[:3] == [0, 1, 2] for i in range(1, 8))
     assert [r.shuffle_key for r in got] == sorted(
         hashlib.md5(f"5:order:{r.ground_truth}:{r.round}:{r.claim_id}".encode()).hexdigest() for r in got)
+
+
+def test_shuffled_order(spark):
+    df = spark.range(500).select(F.col("id").alias("claim_id"))
+    got = [r.claim_id for r in S.shuffled(df, 7).collect()]
+    assert got == sorted(range(500), key=lambda i: (hashlib.md5(f"7:shuffle:{i}".encode()).hexdigest(), i)) and got != sorted(got)
+
+
+def test_draws_from_one_row_are_spread(spark, monkeypatch):
+    """A pool of one row per class: no part of the draws has over twice the median."""
+    monkeypatch.setattr(S, "DRAWS", 500)
+    pool = spark.createDataFrame([(1, "yes"), (2, "no")], "claim_id long, ground_truth string")
+    got = S.synthetic_alternating(spark, pool, 20_000)
+    assert got.count() == 20_000 and {(r.i % 2, r.claim_id) for r in got.collect()} == {(0, 1), (1, 2)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "__salt" in plan
+    salts = spark.range(20_000).groupBy(F.pmod(F.xxhash64("id"), F.lit(20)).alias("s")).count().collect()
+    sizes = sorted(r["count"] for r in salts)
+    assert sizes[-1] <= 2 * sizes[10]

@@ -18,7 +18,7 @@ from verdictflow.plans import oracle as O
 from verdictflow.plans import sweep as S
 from verdictflow.plans.keys import FLAT_DOUBLES, GAMMA, GAMMAS, METRIC_DOUBLES, all_results, flat_cols, results
 from verdictflow.plans.registry import register, with_ctes
-from verdictflow.session import durable_path
+from verdictflow.session import durable_path, materialize
 from verdictflow.sources import datasets as D
 from verdictflow.sources import sinks as K
 from verdictflow.sources.derived import (all_claims, document_claims, fixture_answer, fixture_verifiers, labelled_claims,
@@ -516,7 +516,8 @@ def _records_sql():
                                             "contested_factual_escalation_rate", "gamma"))
 def q_jsonl_records(spark, sf_dir):
     a, b, j = fixture_verifiers()
-    r = cascade(typed_claims(spark, sf_dir), a, b, j, GAMMA)
+    # the records of three kinds come from one cascade
+    r = materialize(cascade(typed_claims(spark, sf_dir), a, b, j, GAMMA).drop("claim"), "records")
     lab = r.filter(F.col("type") == "labeled").select(
         "claim_id", F.col("ground_truth").alias("expected"), F.col("final_verdict").alias("predicted"), "correct",
         "escalated", F.col("a.confidence").alias("a_confidence"), F.col("b.confidence").alias("b_confidence"),

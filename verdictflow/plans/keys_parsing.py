@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from verdictflow.functions import parsing as P
 from verdictflow.functions.bands import BAND_SCHEMES, escalation_band
+from verdictflow.operators.answers import AnswerStore, StoredCascade
 from verdictflow.operators.cascade import cascade, forced_disagreement
 from verdictflow.operators.verifiers import RuleVerifier, TableVerifier, constant_verifier, raw_answer
 from verdictflow.plans import oracle as O
 from verdictflow.plans.keys import FLAT_DOUBLES, GAMMA, flat_cols, results
 from verdictflow.plans.registry import register, with_ctes
-from verdictflow.sources.derived import (document_claims, fixture_outputs, fixture_verifier, role_answers,
+from verdictflow.session import durable_path
+from verdictflow.sources.derived import (document_claims, fixture_answer_sql, fixture_outputs, fixture_verifier, role_answers,
                                          table)
 
 
@@ -302,3 +304,28 @@ def q_precomputed_answers_long(spark, sf_dir):
     out = role_answers(spark, sf_dir).select("claim_id", "role", "raw.*")
     c, (a, b, j) = join_answers(document_claims(spark, sf_dir), out)
     return cascade(c, a, b, j, GAMMA).select(*flat_cols())
+
+
+# ----------------------------------------------------------------- D1, D4, D12 over stored answers
+def _stored(spark, sf_dir, name):
+    """The cascade over a new answer store; the fixture answers stand for models that see the text only."""
+    key = "CAST(conv(substr(md5(coalesce(claim, '')), 1, 7), 16, 10) AS BIGINT)"
+    a, b, j = (RuleVerifier(lambda claim, r=r: F.expr(fixture_answer_sql(r, key)), name=f"fixture_{r}") for r in ("a", "b", "judge"))
+    store = AnswerStore(spark, durable_path(spark, name))
+    return StoredCascade(document_claims(spark, sf_dir), a, b, j, store, GAMMA)
+
+
+@register("stored_cascade", with_ctes(O.cascade_ctes(), f"SELECT {O.FLAT_COLS} FROM res"), FLAT_DOUBLES)
+def q_stored_cascade(spark, sf_dir):
+    """Nine tenths of the claims are answered by an earlier run; this one asks about the others."""
+    every = _stored(spark, sf_dir, "answers")
+    every.where("claim_id % 10 <> 0").results()
+    return every.results().select(*flat_cols())
+
+
+@register("stored_gate", with_ctes(O.cascade_ctes(), "SELECT claim_id, lang, min_confidence, reason FROM res WHERE lang = 'de' "
+                                                     "AND escalated"), ("min_confidence",))
+def q_stored_gate(spark, sf_dir):
+    """The gate alone, of the claims of one language: no judge is asked."""
+    gate = _stored(spark, sf_dir, "gate-answers").where("lang = 'de'").gate()
+    return gate.filter("escalated").select("claim_id", "lang", "min_confidence", "reason")

@@ -81,7 +81,9 @@ def answers_cols(key: str = "text_key", roles=ROLES, errors: bool = False) -> st
             v = f"CASE WHEN ({key} + {x}) % 11 = 5 THEN CAST(NULL AS VARCHAR) ELSE {v} END"
             e = f"CASE WHEN ({key} + {x}) % 7 = 3 THEN 'timeout' END"
         out.append(f"{v} AS {p}_v")
-        out.append(f"({_list(FIXTURE_REASONINGS)})[({key} * (2 * {x} + 3) + 5 * {x}) % 17 + 1] AS {p}_r")
+        sentences = "string_split_regex(coalesce(claim, ''), '[.!?]+')"
+        out.append(f"({_list(FIXTURE_REASONINGS)})[({key} * (2 * {x} + 3) + 5 * {x}) % 17 + 1] || ' ' || "
+                   f"{sentences}[({key} + {x}) % len({sentences}) + 1] AS {p}_r")
         out.append(f"CASE ({key} + {x}) % 5 WHEN 0 THEN '0.9' WHEN 1 THEN '0.55' WHEN 2 THEN 'x%' END AS {p}_c")
         out.append(f"{e} AS {p}_e")
     return ", ".join(out)
@@ -353,7 +355,7 @@ def parse_input_ctes(errors: bool = False, policy: str | None = "p1", role: str
     """Every document x role index with its fixture answer, prefix ``r``; then the parser stages."""
     pin = (f"SELECT claim_id, text_key, x, CASE x WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'judge' END AS role, "
            f"{answers_cols(roles=(('r', 'x'),), errors=errors)} "
-           f"FROM (SELECT doc_id AS claim_id, {text_key_sql('text')} AS text_key, unnest([0, 1, 2]) AS x FROM documents) d")
+           f"FROM (SELECT doc_id AS claim_id, text AS claim, {text_key_sql('text')} AS text_key, unnest([0, 1, 2]) AS x FROM documents) d")
     ctes = [f"pin0 AS ({pin})", f"pin AS (SELECT *, {answers_raw_cols((('r', 0),))} FROM pin0)"]
     prev = "pin"
     if policy == "p1":

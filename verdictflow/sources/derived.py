@@ -3,7 +3,7 @@
 The driver tables hold no claims or model answers, so tests and benchmarks
 use a *derived verdict relation*: claims are ``documents``, with the truth of ``labels``
 (``quality``) where there is one, and each role's answer is picked from fixed phrase
-lists by a checksum of the whole claim text, so every answer reads its claim.
+lists by a checksum of the whole claim text, together with a sentence of the claim.
 The same recipe is written in DuckDB SQL for the oracle, so both engines see
 identical inputs.
 """
@@ -68,7 +68,8 @@ def labelled_claims(spark: SparkSession, sf_dir: str, with_text: bool = True) ->
 def fixture_answer_sql(role, key: str, errors: bool = False) -> str:
     """Raw answer of role x (0=a, 1=b, 2=judge) for claim key ``key`` (SQL; FIXTURES.md F-6).
 
-    ``role`` is a role name, an index, or SQL text for the index (``expr:x``).
+    ``role`` is a role name, an index, or SQL text for the index (``expr:x``). The reasoning is a phrase
+    and a sentence of the column ``claim``, another one for each role, so that parsers meet table text.
     ``errors=True`` injects failed calls: ``error='timeout'`` when
     ``(key + x) % 7 = 3`` and a missing verdict when ``(key + x) % 11 = 5``.
     """
@@ -80,6 +81,8 @@ def fixture_answer_sql(role, key: str, errors: bool = False) -> str:
     reasonings = "array(" + ", ".join(lit(v) for v in FIXTURE_REASONINGS) + ")"
     verdict = f"element_at({verdicts}, CAST(({key} * (2 * {x} + 1) + 3 * {x}) % 20 + 1 AS INT))"
     reasoning = f"element_at({reasonings}, CAST(({key} * (2 * {x} + 3) + 5 * {x}) % 17 + 1 AS INT))"
+    sentences = "split(coalesce(claim, ''), '[.!?]+')"
+    reasoning = f"concat({reasoning}, ' ', element_at({sentences}, CAST(({key} + {x}) % size({sentences}) + 1 AS INT)))"
     conf = f"CASE ({key} + {x}) % 5 WHEN 0 THEN '0.9' WHEN 1 THEN '0.55' WHEN 2 THEN 'x%' END"
     err = "CAST(NULL AS STRING)"
     if errors:
@@ -96,8 +99,9 @@ def fixture_answer(role, key: str = "text_key", errors: bool = False) -> Column:
 
 def role_answers(spark: SparkSession, sf_dir: str, errors: bool = False) -> DataFrame:
     """Every document x every role with its fixture raw answer: ``claim_id, x, role, raw``."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), text_key("text").alias("text_key"))
-    d = d.select("claim_id", "text_key", F.expr("explode(array(0, 1, 2)) AS x"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), F.col("text").alias("claim"),
+                                                 text_key("text").alias("text_key"))
+    d = d.select("claim_id", "claim", "text_key", F.expr("explode(array(0, 1, 2)) AS x"))
     return d.select("claim_id", "x", F.expr("CASE x WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'judge' END AS role"),
                     F.expr(fixture_answer_sql("expr:x", "text_key", errors)).alias("raw"))
 
@@ -113,5 +117,6 @@ def fixture_verifiers(key_col: str = "text_key", errors: bool = False):
 
 def fixture_outputs(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
     """Precomputed answers of one role for every document (input of a TableVerifier, D4)."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), text_key("text").alias("text_key"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), F.col("text").alias("claim"),
+                                                 text_key("text").alias("text_key"))
     return d.select("claim_id", fixture_answer(role).alias("r")).select("claim_id", "r.*")
