@@ -92,3 +92,15 @@ def test_draws_from_one_row_are_spread(spark, monkeypatch):
     salts = spark.range(20_000).groupBy(F.pmod(F.xxhash64("id"), F.lit(20)).alias("s")).count().collect()
     sizes = sorted(r["count"] for r in salts)
     assert sizes[-1] <= 2 * sizes[10]
+
+
+@pytest.mark.parametrize(("every", "blocks"), [(1, 4), (7, 3), (10, 4096)])
+def test_running_rates_by_blocks(spark, monkeypatch, every, blocks):
+    monkeypatch.setattr(S, "BLOCKS", blocks)
+    rng = random.Random(every)
+    flags = [(i, rng.random() < 0.4, rng.choice([True, False, None])) for i in range(200)]
+    df = spark.createDataFrame(flags, "claim_id long, escalated boolean, correct boolean")
+    got = {r.i: (r.claim_id, r.escalation_rate, r.accuracy) for r in S.running_rates(df, every=every).collect()}
+    assert got == {i: (i, sum(e for _, e, _ in flags[:i + 1]) / (i + 1), sum(bool(c) for *_, c in flags[:i + 1]) / (i + 1))
+                   for i in range(every, 200, every)}
+    assert S.running_rates(df.limit(0)).count() == 0

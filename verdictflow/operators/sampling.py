@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from verdictflow.session import ensure_checkpoint_dir, materialize
 
+BLOCKS = 4096        # blocks of rows that one window group sums up
 REPEATS = 1024       # copies of a pool row that one task makes
 DRAWS = 20_000       # slots that one part of a pool row is joined with, about
 _LOCAL_BITS = 33     # monotonically_increasing_id = partition_index << 33 | row_in_partition
@@ -233,9 +234,25 @@ def running_rates(results: DataFrame, order: Sequence[str] = ("claim_id",), ever
     # only the order key and the two flags are positioned (and checkpointed), not the whole result rows
     # written first: range partitioning samples its input, and models must not be asked twice
     slim = materialize(results.select(*order, "escalated", "correct"), "running-rates")
-    idx = dense_index(slim, list(order), "i", sums={
-        "__esc": F.col("escalated").cast("long"),
-        "__ok": F.coalesce(F.col("correct"), F.lit(False)).cast("long")})
+    idx = dense_index(slim, list(order), "i").select(
+        "i", *order, F.col("escalated").cast("long").alias("__esc"),
+        F.coalesce(F.col("correct"), F.lit(False)).cast("long").alias("__ok"))
+    # what is reported is the first row of a block of ``every`` rows and the sums of all earlier blocks: the
+    # sorted rows are summed by block where they are, and only the blocks move
+    first = F.min_by(F.struct(*order, "__esc", "__ok"), "i").alias("__first")
+    blocks = (idx.groupBy(F.expr(f"i div {int(every)}").alias("__b"))
+              .agg(first, F.sum("__esc").alias("__e"), F.sum("__ok").alias("__c")).withColumn("__s", F.expr(f"__b div {BLOCKS}")))
+
+    def earlier(c: str, window: Window) -> Column:
+        return F.coalesce(F.sum(c).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    groups = blocks.groupBy("__s").agg(F.sum("__e").alias("__e"), F.sum("__c").alias("__c"))
+    before = Window.orderBy("__s")  # one row per every * BLOCKS rows
+    groups = groups.select("__s", earlier("__e", before).alias("__ge"), earlier("__c", before).alias("__gc"))
+    inside = Window.partitionBy("__s").orderBy("__b")
+    out = blocks.select("__b", "__s", "__first", earlier("__e", inside).alias("__pe"), earlier("__c", inside).alias("__pc"))
+    out = out.join(groups, "__s").filter("__b > 0").withColumn("i", F.col("__b") * every)
     done = F.col("i") + 1
-    return idx.filter((F.col("i") > 0) & (F.col("i") % every == 0)).select(
-        "i", *order, (F.col("__esc") / done).alias("escalation_rate"), (F.col("__ok") / done).alias("accuracy"))
+    return out.select("i", *[F.col(f"__first.{c}").alias(c) for c in order],
+                      ((F.col("__ge") + F.col("__pe") + F.col("__first.__esc")) / done).alias("escalation_rate"),
+                      ((F.col("__gc") + F.col("__pc") + F.col("__first.__ok")) / done).alias("accuracy"))
