@@ -166,25 +166,26 @@ def test_slices_encode_alike(most):
         assert ids == CODER.encode(text, add_special_tokens=False).ids
 
 
-def test_words_encode_like_the_library(monkeypatch):
-    words, rng = B.WordCoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
-    assert words.by_words
+def test_texts_encode_like_the_library():
+    words, rng = B.TextCoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
+    assert words.fast is not None
     for k in range(3000):
         text = "".join(rng.choices(PIECES, k=rng.randrange(40))) if k % 2 else "".join(
             chr(c) for c in rng.choices(range(0x3100), k=20) if not 0xD800 <= c < 0xE000)
         assert words.ids(text).tolist() == CODER.encode(text, add_special_tokens=False).ids
-    monkeypatch.setattr(B, "KNOWN_WORDS", 3)
-    assert words.ids("many new words, one by one").tolist() == CODER.encode("many new words, one by one").ids and not words.known
     for token in random.Random(2).sample(sorted(CODER.get_vocab()), 5000):  # also tokens that no pre-token holds
         text = CODER.decode([CODER.token_to_id(token)], skip_special_tokens=False)
         assert words.ids(text + "ing").tolist() == CODER.encode(text + "ing").ids
-    other = B.WordCoder(public_tokenizers.path("word_bpe_49k.json"))
-    assert not other.by_words and other.ids("Two words").tolist() == other.lib.encode("Two words", add_special_tokens=False).ids
+    words.alike.discard("q")
+    words.unlike.add("q")  # as if the two engines disagreed
+    assert words.ids("quite so").tolist() == CODER.encode("quite so").ids and words.ids("").tolist() == []
+    other = B.TextCoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert other.fast is None and other.ids("Two words").tolist() == other.lib.encode("Two words", add_special_tokens=False).ids
 
 
 def test_long_text_in_slices(monkeypatch):
     monkeypatch.setattr(B, "BATCH_CHARS", 100)
     monkeypatch.setattr(B.slices, "__defaults__", (50,))
-    words = B.WordCoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words = B.TextCoder(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ("one two " * 100, "x" * 300, "a b <|endoftext|> " * 30):
         assert B.encoded(words, text, 7).tolist() == CODER.encode(text, add_special_tokens=False).ids + [7]

@@ -22,7 +22,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
@@ -40,7 +39,6 @@ from verdictflow.llm.packed import text_batches
 from verdictflow.session import materialize
 
 BATCH_CHARS = 1_000_000  # characters that a worker holds at once, or one longer text
-KNOWN_WORDS, LONG_WORD = 300_000, 1000  # distinct pre-tokens remembered, and when not to
 BUCKET_ROWS = 50_000  # pieces whose ranks one window group finds, on average over all lengths
 SHIFT = 44  # size << SHIFT | rank: sizes below 2 ** 19, ranks below 2 ** 44
 CUT = re.compile(r"(?<=\w)[ \n](?=\w)")
@@ -223,16 +221,17 @@ def merge_ranks(spec: dict) -> dict[bytes, int] | None:
     return {bytes(shown[c] for c in t): vocab[t] for t in (*shown, *rules)}
 
 
-class WordCoder:
-    """Encodes texts by their pre-tokens, each distinct one once.
+class TextCoder:
+    """Encodes texts as the library does that the vocabulary file is for.
 
-    The pre-tokens of a byte-level vocabulary are cut with the standard library's ``re``. Its character
-    classes are compared with the tokenizer's for every character met; a text with a character that they
-    class differently, or a vocabulary of another kind, is encoded by the tokenizer as a whole.
+    A byte-level vocabulary goes through the faster engine with the same pattern and the same merges.
+    The pattern's character classes depend on an engine's Unicode tables, so they are compared for every
+    character met; a text with a character that the two class differently, or a vocabulary of another
+    kind, is encoded by the library itself.
     """
 
-    WORD = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
-    CLASSES = ((re.compile(r"[^\W\d_]"), "a"), (re.compile(r"\d"), "1"), (re.compile(r"[^\w\s]|_"), "!"))
+    PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    BESIDE = "a1!"  # a letter, a number and another sign: a character of their class joins them
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has its core only
@@ -240,41 +239,42 @@ class WordCoder:
 
         self.lib = Tokenizer.from_file(path)
         spec = json.loads(self.lib.to_str())
-        split = spec["pre_tokenizer"] or {}
-        self.by_words = (split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
-                         and spec["normalizer"] is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
-                         and all(t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in spec["added_tokens"]))
-        if ranks := merge_ranks(spec) if self.by_words else None:
-            import tiktoken
-
-            self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
-            self.by_words = False
-        self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
+        split, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
+        fast = (split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+                and spec["normalizer"] is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+                and all(t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in added))
+        ranks = merge_ranks(spec) if fast else None
+        self.fast = self.engine(ranks) if ranks else None
+        self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.known: dict[str, bytes] = {}
-        self.alike: dict[str, bool] = {}
+        self.alike: set[str] = set()  # characters of the same class in both
+        self.unlike: set[str] = set()
 
-    def same_class(self, ch: str) -> bool:
-        if ch not in self.alike:
-            here = [bool(kind.fullmatch(ch)) for kind, _ in self.CLASSES]
-            there = [len(self.lib.pre_tokenizer.pre_tokenize_str(beside + ch)) == 1 for _, beside in self.CLASSES]
-            self.alike[ch] = here == there
-        return self.alike[ch]
+    def engine(self, ranks: dict[bytes, int]):
+        import tiktoken
+
+        return tiktoken.Encoding("texts", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def compare(self, chars: set[str]) -> None:
+        """Sorts new characters into ``alike`` and ``unlike``: is a probe of two characters one piece or two?"""
+        probes = [x + ch for ch in sorted(chars) for x in self.BESIDE]
+        ranks = {bytes([i]): i for i in range(256)}
+        ranks |= {p.encode(): 256 + i for i, p in enumerate(probes)}
+        whole = self.engine(ranks)
+        for ch in chars:
+            here = [len(whole.encode_ordinary(x + ch)) == 1 for x in self.BESIDE]
+            there = [len(self.lib.pre_tokenizer.pre_tokenize_str(x + ch)) == 1 for x in self.BESIDE]
+            (self.alike if here == there else self.unlike).add(ch)
 
     def plain(self, text: str) -> bytes:
         """The ids of a text without special strings, as little-endian 32-bit numbers."""
-        if not self.by_words or not all(map(self.same_class, set(text))):
+        if self.fast is not None and (other := set(text) - self.alike):
+            if new := other - self.unlike:
+                self.compare(new)
+            other &= self.unlike
+        if self.fast is None or other:
             return b"".join(np.array(self.lib.encode(s, add_special_tokens=False).ids, "<u4").tobytes() for s in slices(text))
-        words = self.WORD.findall(text)
-        missing = set(words).difference(self.known)
-        for w in missing:
-            ids = self.merge(w)
-            self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
-        out = b"".join(map(self.known.__getitem__, words))
-        if missing and (len(self.known) > KNOWN_WORDS or max(map(len, missing)) > LONG_WORD):
-            self.known.clear()  # the memory of a worker stays bounded, whatever the words
-        return out
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         if self.cut is None or not self.cut.search(text):
@@ -286,13 +286,13 @@ class WordCoder:
         return np.frombuffer(b"".join([*parts, self.plain(text[at:])]), "<u4")
 
 
-_CODERS: dict[str, WordCoder] = {}
+_CODERS: dict[str, TextCoder] = {}
 
 
-def coder(path: str) -> WordCoder:
+def coder(path: str) -> TextCoder:
     """One per worker and file."""
     if path not in _CODERS:
-        _CODERS[path] = WordCoder(path)
+        _CODERS[path] = TextCoder(path)
     return _CODERS[path]
 
 
@@ -314,7 +314,7 @@ def slices(text: str, most: int = BATCH_CHARS // 2) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def encoded(words: WordCoder, text: str, separator: int) -> np.ndarray:
+def encoded(words: TextCoder, text: str, separator: int) -> np.ndarray:
     """The ids of a text, and the separator; long texts in slices."""
     if len(text) <= BATCH_CHARS or (words.cut is not None and words.cut.search(text)):
         parts = [words.ids(text)]
