@@ -73,10 +73,11 @@ def size_of(a: np.ndarray) -> int:
 
 
 def exact_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T over integers: in float64 where that is exact, else in Python integers."""
+    """a @ b.T over integers: by float64 where that is exact, else in Python integers. Never floats, whose sum with
+    a large integer would be rounded."""
     if size_of(a) * size_of(b) * a.shape[1] >= EXACT:
         return a.astype(object) @ b.T.astype(object)
-    return a.astype(np.float64) @ b.T.astype(np.float64)
+    return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
 
 
 def search(tree: KdTree, points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray,
