@@ -114,35 +114,37 @@ def threshold(df: DataFrame, n: int, value: Column, low: int, high: int,
             return low, high, before
 
 
-def top_n(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:
+def top_n(df: DataFrame, n: int, order: Sequence[str | Column], probe: DataFrame | None = None) -> DataFrame:
     """The first ``n`` rows of an order (NULLs first), sorted by it; among rows equal in it, any.
 
     No row that is not chosen is sorted or written. A histogram of the first column finds an interval
     that holds the ``n``-th row, the rows in that interval (few, unless they are equal in the column)
     give that row's place in the whole order, and the result is a filter. Sorted are the chosen rows.
+    ``probe``: the same rows with the columns of the order only, where these can be read more cheaply.
     """
+    probe = df if probe is None else probe
     if n < 0:
         raise ValueError("n must be >= 0")
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     if n == 0:
         return df.limit(0)
-    found = image(df, order[0])
+    found = image(probe, order[0])
     if found is None:
         return df.orderBy(*order).limit(n)
     value, low, high = found
-    interval = threshold(df, n, value, low, high)
+    interval = threshold(probe, n, value, low, high)
     if interval is None:
         return df.orderBy(*order)
     low, high, before = interval
     edge = value.isNull() if low is None else value.between(low, high)
     below = F.lit(False) if low is None else value.isNull() | (value < low)
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    last = df.filter(edge).select(key.alias("k")).orderBy("k").limit(n - before)
+    last = probe.filter(edge).select(key.alias("k")).orderBy("k").limit(n - before)
     stop = last.agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("n")).select("k.*", "n").first()
-    kinds = df.select(key.alias("k")).schema["k"].dataType
+    kinds = probe.select(key.alias("k")).schema["k"].dataType
     at = F.struct(*[F.lit(stop[f.name]).cast(f.dataType).alias(f.name) for f in kinds.fields])
     equal = df.filter(edge & (key == at))
-    less, same = df.filter(edge).agg(F.count_if(key < at), F.count_if(key == at)).first()
+    less, same = probe.filter(edge).agg(F.count_if(key < at), F.count_if(key == at)).first()
     if less + same <= n - before:
         return df.filter(below | (edge & (key <= at))).orderBy(*order)
     return df.filter(below | (edge & (key < at))).unionByName(equal.limit(n - before - less)).orderBy(*order)
@@ -173,7 +175,9 @@ def balanced_sample(df: DataFrame, size: int = 20, seed: int = 0, truth_col: str
     """
     size = size if size % 2 == 0 else size + 1
     half = size // 2
-    counts = {r[0]: r[1] for r in df.filter(F.col(truth_col).isin(*classes)).groupBy(truth_col).count().collect()}
+    # classes and keys are looked at several times: written once, without the other columns
+    keys = materialize(df.filter(F.col(truth_col).isin(*classes)).select(truth_col, key), "balanced-keys")
+    counts = {r[0]: r[1] for r in keys.groupBy(truth_col).count().collect()}
     parts = []
     for c in classes:
         pool = counts.get(c, 0)
@@ -191,8 +195,9 @@ def balanced_sample(df: DataFrame, size: int = 20, seed: int = 0, truth_col: str
                 blocks = blocks.repartition(F.col(key), F.col("__b"))
             until = F.least(F.lit(rounds - 2), (F.col("__b") + 1) * REPEATS - 1)
             parts.append(blocks.withColumn("round", F.explode(F.sequence(F.col("__b") * REPEATS, until))).drop("__b"))
-        last = members.withColumn("__h", hash_key(seed, key, "balanced", c, str(rounds - 1)))
-        parts.append(top_n(last, last_quota, ["__h", key]).drop("__h").withColumn("round", F.lit(rounds - 1)))
+        h = hash_key(seed, key, "balanced", c, str(rounds - 1))
+        last, probe = members.withColumn("__h", h), keys.filter(F.col(truth_col) == c).withColumn("__h", h)
+        parts.append(top_n(last, last_quota, ["__h", key], probe).drop("__h").withColumn("round", F.lit(rounds - 1)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -81,7 +81,7 @@ def answers_cols(key: str = "text_key", roles=ROLES, errors: bool = False) -> st
             v = f"CASE WHEN ({key} + {x}) % 11 = 5 THEN CAST(NULL AS VARCHAR) ELSE {v} END"
             e = f"CASE WHEN ({key} + {x}) % 7 = 3 THEN 'timeout' END"
         out.append(f"{v} AS {p}_v")
-        sentences = "string_split_regex(coalesce(claim, ''), '[.!?]+')"
+        sentences = "string_split(coalesce(claim, ''), '.')"
         out.append(f"({_list(FIXTURE_REASONINGS)})[({key} * (2 * {x} + 3) + 5 * {x}) % 17 + 1] || ' ' || "
                    f"{sentences}[({key} + {x}) % len({sentences}) + 1] AS {p}_r")
         out.append(f"CASE ({key} + {x}) % 5 WHEN 0 THEN '0.9' WHEN 1 THEN '0.55' WHEN 2 THEN 'x%' END AS {p}_c")

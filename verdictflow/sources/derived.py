@@ -81,7 +81,7 @@ def fixture_answer_sql(role, key: str, errors: bool = False) -> str:
     reasonings = "array(" + ", ".join(lit(v) for v in FIXTURE_REASONINGS) + ")"
     verdict = f"element_at({verdicts}, CAST(({key} * (2 * {x} + 1) + 3 * {x}) % 20 + 1 AS INT))"
     reasoning = f"element_at({reasonings}, CAST(({key} * (2 * {x} + 3) + 5 * {x}) % 17 + 1 AS INT))"
-    sentences = "split(coalesce(claim, ''), '[.!?]+')"
+    sentences = "split(coalesce(claim, ''), '\\\\.')"
     reasoning = f"concat({reasoning}, ' ', element_at({sentences}, CAST(({key} + {x}) % size({sentences}) + 1 AS INT)))"
     conf = f"CASE ({key} + {x}) % 5 WHEN 0 THEN '0.9' WHEN 1 THEN '0.55' WHEN 2 THEN 'x%' END"
     err = "CAST(NULL AS STRING)"
