@@ -93,3 +93,14 @@ def test_restarted_cascade_equals_batch(spark, sf, tmp_path):
     columns = ["claim_id", "final_verdict", "escalated", "reason", "min_confidence"]
     assert rows(spark.read.parquet(sink).select(*columns)) == rows(cascade(table, a, b, j, truth_col=None).select(*columns))
     assert len(os.listdir(sink)) == 4
+
+
+def test_triggers_use_all_cores(spark, sf, tmp_path):
+    """A trigger holds one file, whose rows are answered by as many tasks as there are cores."""
+    tasks = []
+
+    def write(batch, batch_id):
+        tasks.append(batch.select(F.spark_partition_id().alias("p")).distinct().count())
+    stream = K._event_files(spark, sf, "cores").writeStream.foreachBatch(write)
+    stream.option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination()
+    assert tasks == [spark.sparkContext.defaultParallelism] * 4

@@ -723,10 +723,11 @@ def _crash_once(at):
 
 
 def _event_files(spark, sf_dir, name, files=4):
-    """The events as a stream of several files, one per trigger."""
+    """The events as a stream of several files, one per trigger, each dealt out over all cores."""
+    from verdictflow.streaming.stream import dealt
     path = durable_path(spark, name) + "/events"
     table(spark, sf_dir, "events").repartition(files, "event_id").write.parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return dealt(spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path))
 
 
 def _until_done(start):

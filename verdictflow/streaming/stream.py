@@ -22,19 +22,23 @@ from verdictflow.operators.cascade import cascade
 from verdictflow.streaming.snapshots import SnapshotSink
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A parquet table as a file stream (schema taken from the data once).
+def dealt(stream: DataFrame) -> DataFrame:
+    """A stream whose rows are dealt out over all cores in each trigger.
 
-    The rows of a trigger are dealt out over all cores: answering a row costs far more than moving it, and a
-    trigger may hold a single file, which one task would read.
+    Answering a row costs far more than moving it, and a trigger may hold a single file, which one task would read.
     """
+    return stream.repartition(stream.sparkSession.sparkContext.defaultParallelism)
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A parquet table as a file stream (schema taken from the data once), :func:`dealt` out over all cores."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     # a glob that matches exactly this file: a file stream source needs a pattern or a directory
-    return r.parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]").repartition(spark.sparkContext.defaultParallelism)
+    return dealt(r.parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]"))
 
 
 def event_claims(events: DataFrame) -> DataFrame:
