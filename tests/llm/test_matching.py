@@ -140,6 +140,45 @@ def test_signatures_miss_no_link():
                     <= len(a) + len(b) - 2 * inter <= jaccard_join.most_difference(len(a), len(b))
 
 
+def test_first_shared_signature_is_within_reach():
+    """Linked sets share a signature that reaches both sizes; sets with much of their own do not."""
+    rng = np.random.default_rng(6)
+    new = lambda k: rng.integers(0, 2**63, k, dtype=np.uint64)
+
+    def candidates(a, b, frequent):
+        key, owner, reach = jaccard_join.reaching_signatures([a, b], frequent)
+        far = [{k: r for k, o, r in zip(key, owner, reach, strict=True) if o == i} for i in (0, 1)]
+        return any(len(b) <= far[0][k] and len(a) <= far[1][k] for k in far[0].keys() & far[1].keys())
+    for size in (1, 3, 8, 9, 10, 13, 40, 187, 700):
+        base = new(size) * np.uint64(2)
+        for drop in range(0, size // 4 + 1, max(1, size // 12)):
+            for add in range(0, size // 3 + 1, max(1, size // 12)):
+                a, b = np.unique(base), np.unique(np.r_[base[drop:], new(add)])
+                if jaccard_join.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+                    for hot in (0, size // 5, size // 2, 3 * size // 4, size):
+                        assert candidates(a, b, np.sort(rng.permutation(base)[:hot]))
+    common = np.sort(new(160))  # as a line that very many documents have
+    assert not candidates(np.sort(np.r_[common, new(40)]), np.sort(np.r_[common, new(40)]), common)
+
+
+def test_signatures_of_a_group_are_one(spark, documents):
+    """Documents that share many signatures are one group, not one for each signature."""
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base + [f"x{i}"])) for i in range(4)]
+    shared = jaccard_join.shared_signatures(documents(rows).select("doc_id", "text").repartition(4), np.zeros(0, np.uint64))
+    got = shared.collect()
+    assert len({r.token for r in got}) <= 11 and len({(r.token, r.doc_id) for r in got}) == len(got)  # 11 subsets of 2 to 4
+
+
+def test_frequent_features_are_bounded(spark, monkeypatch):
+    """Of more features than the bound, those of most sets; the rest never reaches the driver."""
+    monkeypatch.setattr(jaccard_join, "HINTS", 100)
+    rows = spark.range(0, 5000, 1, 50).selectExpr("id AS feature", "IF(id % 100 = 7, 40, 2) AS sets")
+    rows = rows.unionByName(rows.filter("id % 200 = 7"))
+    assert sorted(jaccard_join.frequent_features(rows).tolist()) == list(range(7, 5000, 100))
+    assert len(jaccard_join.frequent_features(rows.limit(0))) == 0
+
+
 def test_join_awkward_rows(spark, documents):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(4, text), (4, text), (2, text.upper()), (None, text), (6, None), (7, " \n"), (8, "one two"), (9, "One  two"),

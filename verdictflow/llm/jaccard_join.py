@@ -19,9 +19,17 @@ as well, frequent ones last, and share one of the first quarter and one more. Ru
 features are therefore never emitted. The list of frequent features is a bounded hint: it changes the
 number of candidates, never the links.
 
-Signatures are matched in packed buckets. In each, sets are first compared with a hub (a
-star, linear in its size; the signatures of a group pick one of eight hubs); the links found join the sets into components, and only sets that are
-then still apart from most of their bucket are compared with its other components. Candidates pass
+The place of a signature in a set's order bounds the other set, too. The first one that linked sets
+share has none of the other set's signatures before it. At place i of x single features, at most
+x - i features are common, so the other set has at most (4x - 7i) / 3. A run at place i has i runs
+before it that were spoiled, which leaves the other set at most (5x - 7i) / 2 features. This is the
+signature's reach: a pair is a candidate where each size is within the other's reach.
+
+Signatures are matched in packed buckets; those that the same sets have are one group, whose sets
+keep their largest reach. In each group, sets are first compared with a hub (a star, linear in its
+size; each group picks one of eight orders of hubs); the links found join the sets into components,
+and only sets that are then still apart from most of their group are compared with its other
+components. Candidates pass
 an exact lower bound on their difference (parity sketches) before their shingles are fetched and
 compared. Equal sets link by their digest and count once per map batch.
 
@@ -50,12 +58,12 @@ SHINGLE = 5
 #: The threshold: links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 SMALL = 8  # features up to which sets use single parts
-OFTEN, HINTS = 2, 65_536  # sets of a batch that share a frequent feature; bound on the list of them
-HUBS = 8  # members of a group that all others are compared with first
+OFTEN, HINTS = 2, 262_144  # sets of a batch that share a frequent feature; bound on the list of them
+HUBS = 8  # orders in which groups pick, of members that reach equally far, the one compared with all others first
 MIX = np.uint64(0xD6E8FEB86659FD93)
 PROFILE = "doc_id long, n long, digest binary, sketch binary, feature long, sets long"
-PACKED = "bucket int, key binary, doc binary, size binary"
-SHARED = "token long, doc_id long, size long, hub long, hub_size long"
+PACKED = "bucket int, key binary, doc binary, size binary, reach binary"
+SHARED = "token long, doc_id long, size long, reach long, hub long, hub_size long, hub_reach long"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -122,6 +130,11 @@ def ranks(doc: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def signatures(sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys, set numbers) of the signatures of each set (sorted features)."""
+    return reaching_signatures(sets, frequent)[:2]
+
+
+def reaching_signatures(sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, set numbers, reaches) of the signatures of each set (sorted features)."""
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -132,15 +145,19 @@ def signatures(sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray
     run = np.flatnonzero((owner[1:] == owner[:-1]) & (sizes[owner[1:]] > SMALL))
     run = run[~(hot[run] & hot[run + 1])]
     o = owner[run]
-    use = ranks(o, np.zeros(len(o), bool)) <= sizes[o] // 2
-    key, o = mixed(mixed(flat[run[use]]) + flat[run[use] + 1]), o[use]
+    place = ranks(o, np.zeros(len(o), bool))
+    use = place <= sizes[o] // 2
+    key, o, place = mixed(mixed(flat[run[use]]) + flat[run[use] + 1]), o[use], place[use]
+    reach = (5 * sizes[o] - 7 * place) // 2
     # single features, of small sets and of those that much of a set with too few other runs may share
     much = 16 * np.bincount(owner[hot], minlength=len(sets)) >= 3 * sizes
     one = np.flatnonzero(((sizes <= SMALL * 100 // PERCENT) | much)[owner])
     p = owner[one]
     need = sizes - -(-PERCENT * sizes // 100)
-    use = ranks(p, hot[one]) <= need[p]
-    return np.concatenate([key, mixed(flat[one[use]])]), np.concatenate([o, p[use]])
+    place = ranks(p, hot[one])
+    use = place <= need[p]
+    return (np.concatenate([key, mixed(flat[one[use]])]), np.concatenate([o, p[use]]),
+            np.concatenate([reach, (4 * sizes[p] - 7 * place)[use] // 3]))
 
 
 def distinct_sets(rows: list[dict]) -> tuple[list[int], list[np.ndarray]]:
@@ -174,39 +191,74 @@ def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def matched(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the signatures that several documents have, each with one of them as hub. The
-    signatures of a group have one of ``HUBS`` hubs, the same for equal groups."""
+    """Of one bucket: the groups of documents that share a signature, each with one of them as hub: of
+    those that reach furthest, that have least of their own, the first in one of ``HUBS`` orders.
+    A group's name depends on its documents only, so the signatures of a group are one."""
     key, doc = packed.unpacked(rows["key"], np.uint64), packed.unpacked(rows["doc"], np.int64)
-    size = packed.unpacked(rows["size"], np.int64)
-    order = np.lexsort((mixed(doc.view(np.uint64) + key % np.uint64(HUBS) * MIX), key))
-    key, doc, size = key[order], doc[order], size[order]
+    size, reach = packed.unpacked(rows["size"], np.int64), packed.unpacked(rows["reach"], np.int64)
+    order = np.lexsort((-reach, doc, key))
+    order = order[np.r_[True, (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])][:len(key)]]
+    key, doc, size, reach = key[order], doc[order], size[order], reach[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
     count = np.diff(np.r_[first, len(key)])
-    hub = np.repeat(first, count)
-    several = np.repeat(doc[np.cumsum(count) - 1] if len(count) else doc, count) != doc[hub]
-    return pd.DataFrame({"token": key[several].view(np.int64), "doc_id": doc[several], "size": size[several],
-                         "hub": doc[hub][several], "hub_size": size[hub][several]})
+    several = np.repeat(count > 1, count)
+    doc, size, reach, count = doc[several], size[several], reach[several], count[count > 1]
+    members = np.add.reduceat(mixed(doc.view(np.uint64) + MIX), np.r_[0, np.cumsum(count)[:-1]]) if len(count) else doc.view(np.uint64)
+    name = np.repeat(mixed(members + count.astype(np.uint64)), count)
+    order = np.lexsort((-reach, doc, name))
+    order = order[np.r_[True, (name[order][1:] != name[order][:-1]) | (doc[order][1:] != doc[order][:-1])][:len(name)]]
+    name, doc, size, reach = name[order], doc[order], size[order], reach[order]
+    order = np.lexsort((mixed(doc.view(np.uint64) + name % np.uint64(HUBS) * MIX), -reach, name))
+    first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]][:len(name)])
+    hub = np.repeat(order[first], np.diff(np.r_[first, len(name)]))
+    return pd.DataFrame({"token": name.view(np.int64), "doc_id": doc, "size": size, "reach": reach,
+                         "hub": doc[hub], "hub_size": size[hub], "hub_reach": reach[hub]})
 
 
 def shared_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """token, doc_id, size, hub, hub_size: signatures of several documents, written once."""
+    """token, doc_id, size, reach, hub, hub_size, hub_reach: groups that share signatures, written once."""
     n = packed.buckets(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in packed.text_batches(batches):
             ids, sets = distinct_sets(rows)
-            key, owner = signatures(sets, frequent)
+            key, owner, reach = reaching_signatures(sets, frequent)
             yield packed.pack(key, n, {"doc": np.array(ids, np.int64)[owner],
-                                       "size": np.array([len(s) for s in sets], np.int64)[owner]})
+                                       "size": np.array([len(s) for s in sets], np.int64)[owner], "reach": reach})
+
+    found = docs.mapInArrow(emit, PACKED).groupBy("bucket").applyInPandas(matched, SHARED)
+    found = found.groupBy("token", "doc_id").agg(F.max("size").alias("size"), F.max("reach").alias("reach"),
+                                                 F.max(F.struct("hub_reach", "hub", "hub_size")).alias("h"))
+    return materialize(found.select("token", "doc_id", "size", "reach", "h.*"), "jaccard-signatures")
+
 
-    return materialize(docs.mapInArrow(emit, PACKED).groupBy("bucket").applyInPandas(matched, SHARED),
-                       "jaccard-signatures")
+def frequent_features(rows: DataFrame) -> np.ndarray:
+    """The features of most sets, sorted: whole levels of frequency, from the top, up to ``HINTS`` features.
+
+    Levels are counted first, so the driver gets the chosen features only, however many there are.
+    """
+    counts = materialize(rows.filter("feature IS NOT NULL").groupBy("feature").agg(F.sum("sets").alias("sets")),
+                         "jaccard-features").withColumn("level", F.floor(8 * F.log2("sets")).cast("int"))
+    room, least = HINTS, None
+    for level, n in sorted(counts.groupBy("level").agg(F.count(F.lit(1))).collect(), reverse=True):
+        if n > room:
+            break
+        room, least = room - n, level
+    if least is None:
+        return np.zeros(0, np.uint64)
+    found = counts.filter(F.col("level") >= least).select("feature").toArrow().column("feature").to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
 
 
 def comparable(a: str, b: str):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT)
 
 
+def within(a: str, a_reach: str, b: str, b_reach: str):
+    """Whether each size is within the reach of the other's signature."""
+    return (F.col(a) <= F.col(b_reach)) & (F.col(b) <= F.col(a_reach))
+
+
 def near(pairs: DataFrame, profile: DataFrame) -> DataFrame:
     """The pairs (a, b) that their sketches do not rule out."""
     def side(x: str) -> DataFrame:
@@ -251,16 +303,16 @@ def apart(shared: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of documents that share a signature but no component: those outside the
     largest component of a bucket with the bucket's other components."""
     rows = shared.join(found, "doc_id", "left").select(
-        "token", "doc_id", "size", F.coalesce("component_id", "doc_id").alias("component"))
+        "token", "doc_id", "size", "reach", F.coalesce("component_id", "doc_id").alias("component"))
     groups = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
     main = (groups.groupBy("token").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("g"))
             .filter("g > 1").select("token", F.col("m.component").alias("main")))
     rows = materialize(rows.join(main, "token"), "jaccard-apart")
     few = rows.filter("component <> main").select("token", F.col("doc_id").alias("x"), F.col("size").alias("xn"),
-                                                  F.col("component").alias("xc"), "main")
+                                                  F.col("reach").alias("xr"), F.col("component").alias("xc"), "main")
     pairs = few.join(rows.drop("main"), "token").filter(
         (F.col("xc") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("doc_id")))
-        & comparable("xn", "size"))
+        & comparable("xn", "size") & within("xn", "xr", "size", "reach"))
     return pairs.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
 
 
@@ -269,9 +321,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = materialize(docs.mapInArrow(profiles, PROFILE), "jaccard-profiles")
     every = rows.filter("n IS NOT NULL").select("doc_id", "n", "digest", "sketch")
-    hints = (rows.filter("feature IS NOT NULL").groupBy("feature").agg(F.sum("sets").alias("sets"))
-             .orderBy(F.desc("sets"), "feature").limit(HINTS).select("feature").collect())
-    frequent = np.sort(np.array([r.feature for r in hints], np.int64).view(np.uint64))
+    frequent = frequent_features(rows)
     docs = docs.filter(F.col("doc_id").isNotNull())
     usable = every.filter("doc_id IS NOT NULL AND n > 0")
     one = usable.dropDuplicates(["doc_id"])
@@ -280,7 +330,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     equal = (usable.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
              .join(first, ["digest", "salt"]).select("a", F.col("doc_id").alias("b")).filter("a < b"))
     shared = shared_signatures(docs, frequent)
-    star = (shared.filter("hub <> doc_id").filter(comparable("hub_size", "size"))
+    star = (shared.filter("hub <> doc_id").filter(comparable("hub_size", "size") & within("hub_size", "hub_reach", "size", "reach"))
             .select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct())
     star = materialize(near(star, one), "jaccard-star")
     known = materialize(equal.union(links(star, docs)), "jaccard-links")
