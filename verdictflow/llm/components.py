@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from verdictflow.session import materialize
 
-SALTS = 16  # a vertex with very many links is joined in this many parts
+MANY = 1_000  # neighbours from which a vertex is joined in place; there are at most edges / MANY such vertices
 
 
 def with_least(edges: DataFrame) -> DataFrame:
-    """Adds to each edge (u, v) the smallest of u and its neighbours."""
-    least = (edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-             .select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.join(least, ["u", "salt"]).select("u", "v", "m")
+    """Adds to each edge (u, v) the smallest of u and its neighbours.
+
+    Vertices with very many neighbours are few; they are broadcast, and their edges stay where they are.
+    """
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    large = least.filter(F.col("n") >= MANY).select("u", F.col("m").alias("__m"))
+    seen = edges.join(F.broadcast(large), "u", "left")
+    rest = seen.filter("__m IS NULL").drop("__m").join(least.filter(F.col("n") < MANY).drop("n"), "u")
+    return seen.filter("__m IS NOT NULL").withColumnRenamed("__m", "m").unionByName(rest)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = with_least(large.filter("u > v").distinct())
+        small = with_least(materialize(large.filter("u > v").distinct(), "links"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             small.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
         edges = materialize(small, "links")

@@ -43,6 +43,7 @@ may have any name.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -62,7 +63,7 @@ OFTEN, HINTS = 2, 262_144  # sets of a batch that share a frequent feature; boun
 HUBS = 8  # orders in which groups pick, of members that reach equally far, the one compared with all others first
 MIX = np.uint64(0xD6E8FEB86659FD93)
 PROFILE = "doc_id long, n long, digest binary, sketch binary, feature long, sets long"
-PACKED = "bucket int, key binary, doc binary, size binary, reach binary"
+PACKED = "bucket int, key binary, reach binary, doc binary, size binary, count binary"
 SHARED = "token long, doc_id long, size long, reach long, hub long, hub_size long, hub_reach long"
 
 
@@ -190,12 +191,35 @@ def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "sketch": pa.array(none, pa.binary()), "feature": pa.array(f, pa.int64()), "sets": pa.array(n, pa.int64())})
 
 
+def packed_signatures(ids: list[int], sets: list[np.ndarray], frequent: np.ndarray, n: int) -> pa.RecordBatch:
+    """The signatures of sets by bucket. Those of a set are neighbours and name it once; the reach is
+    rounded up to whole hundredths of the set's size, which fit a byte (a run reaches 5/2 at most)."""
+    key, owner, reach = reaching_signatures(sets, frequent)
+    at = packed.places(key, n)
+    order = np.lexsort((owner, at))
+    key, owner, reach, at = key[order], owner[order], reach[order], at[order]
+    size = np.array([len(s) for s in sets], np.int64)
+    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])][:len(key)])
+    each = packed.pack(key, n, {"reach": -(-100 * reach // size[owner]).astype(np.uint8)})
+    runs = packed.pack(key[first], n, {"doc": np.array(ids, np.int64)[owner[first]], "size": size[owner[first]].astype(np.int32),
+                                       "count": np.diff(np.r_[first, len(key)]).astype(np.int32)})
+    return pa.RecordBatch.from_pydict({c: (each if c in each.schema.names else runs).column(c)
+                                       for c in ("bucket", "key", "reach", "doc", "size", "count")})
+
+
+def unpacked_signatures(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, documents, sizes, reaches) of one bucket."""
+    count = packed.unpacked(rows["count"], np.int32)
+    size = np.repeat(packed.unpacked(rows["size"], np.int32).astype(np.int64), count)
+    return (packed.unpacked(rows["key"], np.uint64), np.repeat(packed.unpacked(rows["doc"], np.int64), count), size,
+            packed.unpacked(rows["reach"], np.uint8) * size // 100)
+
+
 def matched(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: the groups of documents that share a signature, each with one of them as hub: of
     those that reach furthest, that have least of their own, the first in one of ``HUBS`` orders.
     A group's name depends on its documents only, so the signatures of a group are one."""
-    key, doc = packed.unpacked(rows["key"], np.uint64), packed.unpacked(rows["doc"], np.int64)
-    size, reach = packed.unpacked(rows["size"], np.int64), packed.unpacked(rows["reach"], np.int64)
+    key, doc, size, reach = unpacked_signatures(rows)
     order = np.lexsort((-reach, doc, key))
     order = order[np.r_[True, (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])][:len(key)]]
     key, doc, size, reach = key[order], doc[order], size[order], reach[order]
@@ -221,10 +245,7 @@ def shared_signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in packed.text_batches(batches):
-            ids, sets = distinct_sets(rows)
-            key, owner, reach = reaching_signatures(sets, frequent)
-            yield packed.pack(key, n, {"doc": np.array(ids, np.int64)[owner],
-                                       "size": np.array([len(s) for s in sets], np.int64)[owner], "reach": reach})
+            yield packed_signatures(*distinct_sets(rows), frequent, n)
 
     found = docs.mapInArrow(emit, PACKED).groupBy("bucket").applyInPandas(matched, SHARED)
     found = found.groupBy("token", "doc_id").agg(F.max("size").alias("size"), F.max("reach").alias("reach"),
@@ -275,26 +296,29 @@ def near(pairs: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the threshold."""
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in packed.text_batches(batches):
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array([r["doc_id"] for r in rows], pa.int64()),
-                "features": pa.array([s.tobytes() for s in shingle_sets([r["text"] for r in rows])], pa.binary())})
+    """The pairs (a, b) whose shingle sets reach the threshold.
+
+    The texts of the pairs move, smaller than their sets are: once by id, and once more with each pair.
+    """
+    def compared(a: list[str], b: list[str]) -> list[bool]:
+        texts = list(dict.fromkeys(a + b))
+        sets = dict(zip(texts, shingle_sets(texts), strict=True))
+        return [linked(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), len(sets[x]), len(sets[y]))
+                for x, y in zip(a, b, strict=True)]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("a_f"), batch.column("b_f"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                ok.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(ok)) for c in ("a", "b")})
+            a, b = (batch.column(c).to_pylist() for c in ("a_t", "b_t"))
+            ends = np.cumsum([len(x) + len(y) for x, y in zip(a, b, strict=True)], dtype=np.int64)
+            cuts = [*np.unique(ends // packed.BATCH_CHARS, return_index=True)[1].tolist(), len(batch)]
+            ok = pa.array([x for at, end in pairwise(cuts) for x in compared(a[at:end], b[at:end])], pa.bool_())
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(ok) for c in ("a", "b")})
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    found = materialize(packed.fetch(docs, ids).mapInArrow(sets, "doc_id long, features binary"), "jaccard-sets")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    texts = packed.suspects(docs, ids).filter("_near").select("doc_id", "text").dropDuplicates(["doc_id"])
 
     def side(x: str) -> DataFrame:
-        return found.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(x), F.col("features").alias(f"{x}_f"))
+        return texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"{x}_t"))
 
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(compare, "a long, b long")
 

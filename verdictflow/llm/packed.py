@@ -27,9 +27,14 @@ def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def places(keys: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each key."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
 def pack(keys: np.ndarray, n: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     """One row per bucket that has keys; ``columns`` (and the keys) as binary."""
-    at = ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    at = places(keys, n)
     order = np.argsort(at, kind="stable")
     used, first = np.unique(at[order], return_index=True)
     ends = np.append(first[1:], len(keys))[:len(used)].tolist()
