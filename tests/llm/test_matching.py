@@ -206,6 +206,64 @@ def test_large_group_of_near_copies(spark, documents):
     assert {r.component_id for r in got} == {100}
 
 
+def family(n_near, n_far, n_words=120):
+    """Near copies of one text that link, and texts that share much with all of them but link with none."""
+    rng = random.Random(11)
+    base, rows = [f"w{i}" for i in range(n_words)], []
+    for i in range(n_near + n_far):
+        w = list(base)
+        for at in rng.sample(range(0, n_words, 12), 1 if i < n_near else 6):  # each changes 5 shingles
+            w[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_far_members_of_a_group_make_few_pairs(spark, documents, monkeypatch):
+    """Texts below the threshold become no rows with every text of their group, also where it is cut into blocks."""
+    rows = family(60, 30)
+    docs = documents(rows).select("doc_id", "text")
+    every = docs.mapInArrow(jaccard_join.profiles, jaccard_join.PROFILE).filter("n IS NOT NULL").select("doc_id", "n", "digest", "sketch")
+    shared = jaccard_join.materialize(jaccard_join.shared_signatures(docs, np.zeros(0, np.uint64)))
+    found = spark.createDataFrame([(i, 0) for i in range(1, 60)], "doc_id long, component_id long")
+    for block in (jaccard_join.BLOCK, 5_000):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        assert jaccard_join.apart(shared, found, every).count() < 90  # of 30 * 60 + 30 * 29 / 2
+
+
+def test_blocks_miss_no_close_pair(spark, documents, monkeypatch):
+    """One block or many: the pairs of sets apart that neither sizes nor reaches nor sketches rule out."""
+    docs = documents(corpus(6, vocabulary=3000)).select("doc_id", "text").repartition(4)
+    every = docs.mapInArrow(jaccard_join.profiles, jaccard_join.PROFILE).filter("n IS NOT NULL").select("doc_id", "n", "digest", "sketch")
+    shared = jaccard_join.materialize(jaccard_join.shared_signatures(docs, np.zeros(0, np.uint64)))
+    of = {r.doc_id: (r.n, r.sketch) for r in every.collect()}
+    groups = {}
+    for r in shared.collect():
+        groups.setdefault(r.token, []).append(r)
+    want = set()
+    for rs in groups.values():
+        for a, b in combinations(sorted(rs, key=lambda r: r.doc_id), 2):
+            (n, s), (m, t) = of[a.doc_id], of[b.doc_id]
+            if 4 * min(n, m) >= 3 * max(n, m) and n <= b.reach and m <= a.reach \
+                    and jaccard_join.least_difference(s, t) <= jaccard_join.most_difference(n, m):
+                want.add((a.doc_id, b.doc_id))
+    none = spark.createDataFrame([], "doc_id long, component_id long")
+    for block in (jaccard_join.BLOCK, 2_000):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        got = [tuple(r) for r in jaccard_join.apart(shared, none, every).collect()]
+        assert sorted(got) == sorted(want) and len(want) > 5
+
+
+def test_equal_sets_count_once_in_a_group(spark, documents, monkeypatch):
+    """Copies of a text in many batches are one member of its groups, and stay linked."""
+    rows = family(8, 3)
+    copies = [(1000 + i, rows[0][1].upper()) for i in range(40)]
+    seen, apart = [], jaccard_join.apart
+    monkeypatch.setattr(jaccard_join, "apart", lambda shared, *rest: seen.append(shared) or apart(shared, *rest))
+    got = jaccard_join.join(documents(rows + copies).repartition(12)).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == join_brute(rows + copies)
+    assert {r.doc_id for r in seen[0].collect()} <= set(range(11))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(900, 900)]

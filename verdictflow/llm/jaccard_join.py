@@ -29,9 +29,9 @@ Signatures are matched in packed buckets; those that the same sets have are one
 keep their largest reach. In each group, sets are first compared with a hub (a star, linear in its
 size; each group picks one of eight orders of hubs); the links found join the sets into components,
 and only sets that are then still apart from most of their group are compared with its other
-components. Candidates pass
-an exact lower bound on their difference (parity sketches) before their shingles are fetched and
-compared. Equal sets link by their digest and count once per map batch.
+components: in blocks of a group, so that a pair becomes a row only if it passes
+an exact lower bound on the difference (parity sketches). Only then are shingles fetched and
+compared. Equal sets link by their digest and count once in a group.
 
 Defined results: a null or empty text has no shingles and links with nothing; a text of fewer words
 than a shingle is one feature, its whole word sequence; a null id is never linked and has a null
@@ -61,10 +61,12 @@ PERCENT = 75
 SMALL = 8  # features up to which sets use single parts
 OFTEN, HINTS = 2, 262_144  # sets of a batch that share a frequent feature; bound on the list of them
 HUBS = 8  # orders in which groups pick, of members that reach equally far, the one compared with all others first
+BLOCK, ROOM = 262_144, 512  # a block of a group holds about so many features, a set counting as ROOM more than it has
 MIX = np.uint64(0xD6E8FEB86659FD93)
 PROFILE = "doc_id long, n long, digest binary, sketch binary, feature long, sets long"
 PACKED = "bucket int, key binary, reach binary, doc binary, size binary, count binary"
 SHARED = "token long, doc_id long, size long, reach long, hub long, hub_size long, hub_reach long"
+MEMBER = "doc_id", "size", "reach", "component", "sketch"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -323,21 +325,84 @@ def links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(compare, "a long, b long")
 
 
-def apart(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of documents that share a signature but no component: those outside the
-    largest component of a bucket with the bucket's other components."""
+def folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (one per row, words of 64 bits) with bins added up to so many words."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, width), axis=1)
+
+
+def by_width(sketches: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, words) of the sketches of each width."""
+    width = np.array([len(x) // 8 for x in sketches], np.int64)
+    out = []
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        out.append((at, np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint64).reshape(len(at), w)))
+    return out
+
+
+def close(few: dict, rows: dict, main: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in ``few``, in ``rows``) of the pairs of two blocks of a group that are in different components
+    and that neither sizes nor reaches nor sketches rule out; two sets outside of ``main`` pair once."""
+    x, n, reach, part = (few[c][:, None] for c in MEMBER[:4])
+    y, m, far, other = (rows[c][None, :] for c in MEMBER[:4])
+    may = (part != other) & ((other == main) | (x < y)) & (n <= far) & (m <= reach)
+    may &= np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT
+    found = [np.zeros((0, 2), np.int64)]
+    for i, s in by_width(few["sketch"]):
+        for j, t in by_width(rows["sketch"]):
+            tried = may[np.ix_(i, j)]
+            if tried.any():
+                width = min(s.shape[1], t.shape[1])
+                a, b = folded(s, width), folded(t, width)
+                for k in np.flatnonzero(tried.any(axis=1)).tolist():
+                    to = np.flatnonzero(tried[k])
+                    least = np.bitwise_count(b[to] ^ a[k]).sum(axis=1, dtype=np.int64)
+                    to = j[to[least <= most_difference(few["size"][i[k]], rows["size"][j[to]])]]
+                    found.append(np.column_stack([np.full(len(to), i[k]), to]))
+    return tuple(np.concatenate(found).T)
+
+
+def members(column: pa.ListArray) -> Iterator[dict]:
+    """The columns of each list of members."""
+    flat, ends = column.flatten(), np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))].tolist()
+    col = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in MEMBER[:4]} | {"sketch": flat.field("sketch").to_pylist()}
+    for a, b in pairwise(ends):
+        yield {c: v[a:b] for c, v in col.items()}
+
+
+def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The close pairs (a, b), a < b, of each pair of blocks."""
+    for batch in batches:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for few, rows, main in zip(members(batch.column("few")), members(batch.column("rows")),
+                                   batch.column("main").to_pylist(), strict=True):
+            i, j = close(few, rows, main)
+            a.append(np.minimum(few["doc_id"][i], rows["doc_id"][j]))
+            b.append(np.maximum(few["doc_id"][i], rows["doc_id"][j]))
+        yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+
+def apart(shared: DataFrame, found: DataFrame, profile: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of documents that share a signature but no component, and that their sketches
+    do not rule out: those outside the largest component of a group with the group's other components.
+
+    Groups are cut into blocks by id. Most are one block, compared where it is; of the others, each block's
+    documents outside the largest component meet every block of the group.
+    """
     rows = shared.join(found, "doc_id", "left").select(
         "token", "doc_id", "size", "reach", F.coalesce("component_id", "doc_id").alias("component"))
-    groups = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = (groups.groupBy("token").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("g"))
-            .filter("g > 1").select("token", F.col("m.component").alias("main")))
-    rows = materialize(rows.join(main, "token"), "jaccard-apart")
-    few = rows.filter("component <> main").select("token", F.col("doc_id").alias("x"), F.col("size").alias("xn"),
-                                                  F.col("reach").alias("xr"), F.col("component").alias("xc"), "main")
-    pairs = few.join(rows.drop("main"), "token").filter(
-        (F.col("xc") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("doc_id")))
-        & comparable("xn", "size") & within("xn", "xr", "size", "reach"))
-    return pairs.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+    groups = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") + ROOM).alias("room"))
+    main = (groups.groupBy("token").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("g"),
+                                        F.ceil(F.sum("room") / BLOCK).alias("blocks"))
+            .filter("g > 1").select("token", "blocks", F.col("m.component").alias("main")))
+    rows = rows.join(main, "token").join(profile.select("doc_id", "sketch"), "doc_id")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    blocks = rows.groupBy("token", "main", "blocks", "block").agg(F.collect_list(F.struct(*MEMBER)).alias("rows"))
+    blocks = materialize(blocks.withColumn("few", F.filter("rows", lambda r: r.component != F.col("main"))), "jaccard-blocks")
+    several = blocks.filter("blocks > 1")
+    few = several.filter(F.size("few") > 0).select("token", "few", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    met = few.join(several.drop("few"), ["token", "block"]).select("few", "rows", "main")
+    return blocks.filter("blocks = 1").select("few", "rows", "main").unionByName(met).mapInArrow(compare_blocks, "a long, b long").distinct()
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,13 +418,14 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
              .select("digest", "a", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")))
     equal = (usable.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
              .join(first, ["digest", "salt"]).select("a", F.col("doc_id").alias("b")).filter("a < b"))
-    shared = shared_signatures(docs, frequent)
+    equal = materialize(equal, "jaccard-equal")
+    # the smallest of equal sets is in every group that one of them is in
+    shared = shared_signatures(docs, frequent).join(equal.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
     star = (shared.filter("hub <> doc_id").filter(comparable("hub_size", "size") & within("hub_size", "hub_reach", "size", "reach"))
             .select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct())
     star = materialize(near(star, one), "jaccard-star")
     known = materialize(equal.union(links(star, docs)), "jaccard-links")
-    rest = apart(shared, components(known)).join(star, ["a", "b"], "left_anti")
-    rest = materialize(near(rest, one), "jaccard-rest")
+    rest = materialize(apart(shared, components(known), one).join(star, ["a", "b"], "left_anti"), "jaccard-rest")
     found = components(known.union(links(rest, docs)))
     return (every.join(found, "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
