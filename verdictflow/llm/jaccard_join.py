@@ -398,7 +398,7 @@ def apart(shared: DataFrame, found: DataFrame, profile: DataFrame) -> DataFrame:
     rows = rows.join(main, "token").join(profile.select("doc_id", "sketch"), "doc_id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     blocks = rows.groupBy("token", "main", "blocks", "block").agg(F.collect_list(F.struct(*MEMBER)).alias("rows"))
-    blocks = materialize(blocks.withColumn("few", F.filter("rows", lambda r: r.component != F.col("main"))), "jaccard-blocks")
+    blocks = materialize(blocks, "jaccard-blocks").withColumn("few", F.filter("rows", lambda r: r.component != F.col("main")))
     several = blocks.filter("blocks > 1")
     few = several.filter(F.size("few") > 0).select("token", "few", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     met = few.join(several.drop("few"), ["token", "block"]).select("few", "rows", "main")
